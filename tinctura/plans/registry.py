@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tinctura.plans import arena, files, graphs, silver, streams, texts, training
+from tinctura.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: list = []
+_MODULES = (silver, texts, arena, training, graphs, streams, files)
 
 
 def queries() -> dict[str, Query]:

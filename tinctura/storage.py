@@ -9,16 +9,34 @@ for a local master.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to Python workers that can't import it, once per application."""
+    home = Path(__file__).resolve().parent
+    if str(home.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or (app := spark.sparkContext.applicationId) in _shipped:
+        return
+    there = tempfile.mkdtemp(prefix="tinctura-")  # on the driver, which serves the file to the workers
+    with zipfile.ZipFile(packed := f"{there}/{home.name}.zip", "w") as z:
+        for p in home.rglob("*.py"):
+            z.write(p, p.relative_to(home.parent))
+    spark.sparkContext.addPyFile(packed)
+    _shipped.add(app)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
