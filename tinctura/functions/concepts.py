@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from tinctura.functions.text import Name, col, concept, stripped
+from tinctura.functions.text import Name, col, concept, let, stripped
 
 # Characters no concept holds, marks of titles, words of sentences, the form of a word.
 GARBAGE = r"[#`;{}\[\]|\\<>+*=]"
@@ -34,16 +34,17 @@ class Quality:
 
 def is_garbage(c: Name) -> Column:
     """null or empty, code characters, only a number, a leading zero, or a single sign."""
-    text = stripped(F.coalesce(col(c), F.lit("")))
-    number = F.regexp_replace(text, r"[.,%-]", "").rlike(r"^\s*[0-9]+\s*$")
-    sign = (F.length(text) == 1) & ~text.rlike(r"^[\p{L}\p{N}]$")
-    return (text == "") | text.rlike(GARBAGE) | number | text.startswith("0") | sign
+
+    def judged(text: Column) -> Column:
+        number = F.regexp_replace(text, r"[.,%-]", "").rlike(r"^\s*[0-9]+\s*$")
+        sign = (F.length(text) == 1) & ~text.rlike(r"^[\p{L}\p{N}]$")
+        return (text == "") | text.rlike(GARBAGE) | text.startswith("0") | sign | number
+
+    return let(stripped(F.coalesce(col(c), F.lit(""))), judged)
 
 
 def concept_defect(c: Name, q: Quality = Quality()) -> Column:
-    """the first reason against a concept, null if there is none."""
-    text = concept(F.coalesce(col(c), F.lit("")))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(1))
+    """the first reason against a concept, null if there is none. The text and its words are computed once."""
 
     def word_defect(w: Column) -> Column:
         out = F.when(w.isin(*q.placeholders), "placeholder_token").when(F.length(w) < q.min_word_chars, "short_token")
@@ -53,22 +54,30 @@ def concept_defect(c: Name, q: Quality = Quality()) -> Column:
             for b in bad[1:]:
                 hit = hit | b
             out = out.when(hit, "suspicious_suffix")
-        return out.when(w.rlike("^[a-z]+$") & (F.length(w) >= q.vowelless_from) & ~w.rlike("[aeiou]"), "vowelless_token")
-
-    return F.coalesce(
-        F.when(text == "", "empty")
-        .when(F.length(text) > q.max_chars, "too_long")
-        .when(text.rlike(GARBAGE), "hard_symbol")
-        .when(text.rlike(TITLE_MARKS), "title_or_sentence_like")
-        .when(F.size(words) == 0, "no_word_tokens")
-        .when(F.size(words) > q.max_words, "too_many_words")
-        .when(F.regexp_replace(text, "[.,%-]", "").rlike("^[0-9]+$"), "numeric")
-        .when(F.lit(not q.digits) & F.exists(words, lambda w: w.rlike("[0-9]")), "has_digit")
-        .when(F.size(words) != F.size(F.array_distinct(words)), "repeated_token")
-        .when(F.lit(not q.gerunds) & F.exists(F.slice(words, 2, 1 << 20), lambda w: w.endswith("ing")), "gerund_phrase")
-        .when(F.lit(not q.sentence_words) & (F.size(words) >= 3) & F.arrays_overlap(words, F.array(*map(F.lit, SENTENCE_WORDS))), "sentence_like"),
-        F.get(F.filter(F.transform(words, word_defect), lambda r: r.isNotNull()), F.lit(0)),
-    )
+        return out.when((F.length(w) >= q.vowelless_from) & w.rlike("^[a-z&&[^aeiou]]+$"), "vowelless_token")
+
+    def of_words(text: Column, words: Column) -> Column:
+        found = (
+            F.when(F.size(words) == 0, "no_word_tokens")
+            .when(F.size(words) > q.max_words, "too_many_words")
+            .when(F.regexp_replace(text, "[.,%-]", "").rlike("^[0-9]+$"), "numeric")
+            .when(F.lit(not q.digits) & F.exists(words, lambda w: w.rlike("[0-9]")), "has_digit")
+            .when(F.size(words) != F.size(F.array_distinct(words)), "repeated_token")
+            .when(F.lit(not q.gerunds) & F.exists(F.slice(words, 2, 1 << 20), lambda w: w.endswith("ing")), "gerund_phrase")
+            .when(F.lit(not q.sentence_words) & (F.size(words) >= 3) & F.arrays_overlap(words, F.array(*map(F.lit, SENTENCE_WORDS))), "sentence_like")
+        )
+        return F.coalesce(found, F.get(F.filter(F.transform(words, word_defect), lambda r: r.isNotNull()), F.lit(0)))
+
+    def of_text(text: Column) -> Column:
+        return (
+            F.when(text == "", "empty")
+            .when(F.length(text) > q.max_chars, "too_long")
+            .when(text.rlike(GARBAGE), "hard_symbol")
+            .when(text.rlike(TITLE_MARKS), "title_or_sentence_like")
+            .otherwise(let(F.regexp_extract_all(text, F.lit(WORD), F.lit(1)), lambda words: of_words(text, words)))
+        )
+
+    return let(concept(F.coalesce(col(c), F.lit(""))), of_text)
 
 
 def recipe_defect(a: Name, b: Name, output: Name, q: Quality = Quality()) -> Column:

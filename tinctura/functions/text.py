@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 Name = Column | str
@@ -16,6 +18,11 @@ def col(c: Name) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(c: Name) -> Column:
     """Without white space, of any kind, at either end."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")

@@ -76,7 +76,8 @@ def canonical_pairs(obs: DataFrame, c: Cleaning = Cleaning(), position: str = "o
     Two shuffles of pre-aggregated rows: counts by pair and output, then pairs. The emoji of concepts are looked up
     on the counted rows.
     """
-    good = judged(obs, c, position).filter("reason is null").withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
+    kept = judged(obs, c, position).filter("reason is null").withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
+    good = materialize(kept.drop("reason"), "good")  # read for emoji and for pairs; the rules are costly
     emoji = materialize(emoji_modes(good), "emoji")  # looked up three times
     counted = good.groupBy("lo", "hi", "out").agg(F.count("*").alias("n"), F.min("pos").alias("pos"), F.collect_set(F.when(F.col("source") != "", F.col("source"))).alias("sources"))
     named = lookup(counted, emoji.select(F.col("concept").alias("out"), F.col("emoji").alias("e")), ["out"])

@@ -52,10 +52,8 @@ def text_vectors(texts: DataFrame, words: DataFrame, dims: int) -> DataFrame:
     """
     each = texts.select("text", F.explode_outer(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("word"))
     found = lookup(each, words, ["word"])
-    parts = found.select("text", F.posexplode_outer("vector").alias("i", "v")).groupBy("text", "i").agg(F.avg("v").alias("v"))
-    full = parts.groupBy("text").agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "v")))).alias("p"))
-    zeros = F.array_repeat(F.lit(0.0), dims)
-    return full.select("text", F.when(F.size("p") > 0, F.transform("p", lambda x: x["v"])).otherwise(zeros).alias("vector"))
+    full = found.groupBy("text").agg(F.collect_list("vector").alias("vs"))  # as many as the text has known words
+    return full.select("text", F.coalesce(V.centroid(F.col("vs")), F.array_repeat(F.lit(0.0), dims)).alias("vector"))
 
 
 def semantic(rows: DataFrame, row_id: str, embedded: DataFrame, threshold: float) -> DataFrame:

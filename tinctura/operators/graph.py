@@ -21,18 +21,22 @@ def levels(edges: DataFrame, starters: DataFrame, *, cost: str = "depth", max_ro
     """``node, cost`` of every node that can be made; starters have ``cost``.
 
     cost ``depth``: 1 + the deeper input; ``sum``: the sum of both inputs. Rounds of joins until nothing improves, so
-    recipes with an input out of reach don't hold it up; every few rounds the state is written and its lineage cut.
-    A round joins on each input in turn and keeps the least cost per node with map-side combining.
+    recipes with an input out of reach don't hold it up; every ``cut_every`` rounds the state is written and its
+    lineage cut. A round joins on each input in turn and keeps the least cost per node with map-side combining.
     """
     plus = (lambda x, y: F.greatest(x, y) + 1) if cost == "depth" else (lambda x, y: x + y)
     known = materialize(starters.select("node", F.col("cost").cast("long").alias("cost")).groupBy("node").agg(F.min("cost").alias("cost")), "levels")
     edges = materialize(edges.select("a", "b", "c"), "edges")
-    for i in range(max_rounds):
-        left = known.select(F.col("node").alias("a"), F.col("cost").alias("x"))
-        right = known.select(F.col("node").alias("b"), F.col("cost").alias("y"))
-        made = edges.join(left, "a").join(right, "b").select(F.col("c").alias("node"), plus(F.col("x"), F.col("y")).alias("cost"))
-        new = known.unionByName(made).groupBy("node").agg(F.min("cost").alias("cost"))
+    for i in range(0, max_rounds, cut_every):
+        new, held = known, []
+        for _ in range(cut_every):
+            left, right = new.select(F.col("node").alias("a"), F.col("cost").alias("x")), new.select(F.col("node").alias("b"), F.col("cost").alias("y"))
+            made = edges.join(left, "a").join(right, "b").select(F.col("c").alias("node"), plus(F.col("x"), F.col("y")).alias("cost"))
+            new = new.unionByName(made).groupBy("node").agg(F.min("cost").alias("cost")).persist()  # read three times
+            held.append(new)
         new = materialize(new, f"levels-{i}")
+        for df in held:
+            df.unpersist()
         improved = new.join(known.withColumnRenamed("cost", "was"), "node", "left").filter("was is null or cost < was")
         if not improved.take(1):
             return new
