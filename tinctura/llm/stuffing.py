@@ -29,6 +29,8 @@ FUNCTION_WORDS = {
 # End of fixed values.
 
 _LISTS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+#: Of each function word the languages that have it.
+_LANGUAGES = {w: [k for k, v in _LISTS.items() if w in v] for v in _LISTS.values() for w in v}
 _WORD = re.compile(r"[^\W_]+")
 _LINK = re.compile(r"https?://\S+|www\.\S+|<a\b[^>]*>|</a>|<br\s*/?>|\]\([^)\s]*\)|#\w+|\S+@\S+\.\w+|\bSKU\S*", re.I)
 _SEPARATOR = re.compile(r"[|·•»›;,/\\*#=<>\[\]]|\s-\s")
@@ -62,13 +64,27 @@ def windows(text: str, given: str | None) -> Iterator[tuple[str, int, int, int,
                 k += 1
             words.append((m[0].lower(), m.start(), k < len(spans) and spans[k][0] <= m.start()))
         parsed.append((line, words))
-    free = Counter(w for _, words in parsed for w, _, linked in words if not linked)
-    score = {k: sum(free[w] for w in v) for k, v in _LISTS.items()}
+    score = dict.fromkeys(_LISTS, 0)
+    near: Counter = Counter()
+    free = 0
+    for _, words in parsed:
+        last = None
+        for w, _, linked in words:
+            if linked:
+                last = None
+                continue
+            free += 1
+            for k in _LANGUAGES.get(w, ()):
+                score[k] += 1
+            if last:
+                near[last, w] += 1
+            last = w
     lang = max(score, key=lambda k: (score[k], k == (given or "")))
-    if score[lang] < 0.05 * sum(free.values()) and given:
+    if score[lang] < 0.05 * free and given:
         lang = given
-    near = Counter((a[0], b[0]) for _, words in parsed for a, b in zip(words, words[1:]) if not a[2] and not b[2])
+    often = {x for x, n in near.items() if n > 2}
     for line, words in parsed:
+        again = seen[line.strip().lower()] > 2
         for i in range(0, len(words), WINDOW):
             if i and len(words) - i < WINDOW // 2:
                 break
@@ -77,11 +93,15 @@ def windows(text: str, given: str | None) -> Iterator[tuple[str, int, int, int,
             end = words[upto][1] if upto < len(words) else len(line)
             piece = line[part[0][1] if i else 0 : end]
             plain = [w for w, _, linked in part if not linked]
-            frequent = sum(near[x, y] > 2 for x, y in zip(plain, plain[1:]))
-            words_of = {k: sum(w in v for w in plain) for k, v in _LISTS.items()}
+            words_of = dict.fromkeys(_LISTS, 0)
+            for w in plain:
+                for k in _LANGUAGES.get(w, ()):
+                    words_of[k] += 1
             here = max(words_of, key=lambda k: (words_of[k], k == lang))  # quotations may be in another language
-            top = max(Counter(w for w in plain if w not in _LISTS[here]).values(), default=0)
-            yield here, len(part), words_of[here], len(part) - len(plain), top, len(_SEPARATOR.findall(piece)), frequent, seen[line.strip().lower()] > 2
+            own = _LISTS[here]
+            top = max(Counter([w for w in plain if w not in own]).values(), default=0)
+            frequent = sum(x in often for x in zip(plain, plain[1:])) if often else 0
+            yield here, len(part), words_of[here], len(part) - len(plain), top, len(_SEPARATOR.findall(piece)), frequent, again
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
