@@ -44,6 +44,8 @@ LINKED, TOP_WORD, SEPARATED = 0.5, 0.2, 0.25
 REPEATED = 0.35
 #: Share of a document's words in such windows.
 MOSTLY = 0.5
+#: Shorter texts repeat nothing and are never spam.
+LEAST_WORDS = 6
 
 _FEATURES = "doc_id long, lang string, words int, functional int, linked int, top int, separators int, pairs int, repeated boolean"
 
@@ -134,5 +136,5 @@ def spam_shares(documents: DataFrame) -> DataFrame:
 
 
 def stuffed(documents: DataFrame) -> DataFrame:
-    """``doc_id`` of the documents most of whose words stand in keywords, links or tags."""
-    return spam_shares(documents).filter(F.col("spam_words") > MOSTLY * F.col("words")).select("doc_id")
+    """``doc_id`` of the documents most of whose words stand in keywords, links or tags; of six words at least."""
+    return spam_shares(documents).filter((F.col("spam_words") > MOSTLY * F.col("words")) & (F.col("words") >= LEAST_WORDS)).select("doc_id")
