@@ -29,13 +29,14 @@ FUNCTION_WORDS = {
 # End of fixed values.
 
 _LISTS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-#: Of each function word the languages that have it.
-_LANGUAGES = {w: [k for k, v in _LISTS.items() if w in v] for v in _LISTS.values() for w in v}
 _WORD = re.compile(r"[^\W_]+")
 _LINK = re.compile(r"https?://\S+|www\.\S+|<a\b[^>]*>|</a>|<br\s*/?>|\]\([^)\s]*\)|#\w+|\S+@\S+\.\w+|\bSKU\S*", re.I)
 _SEPARATOR = re.compile(r"[|·•»›;,/\\*#=<>\[\]]|\s-\s")
+#: What may begin a link; a word that stands for each word of one.
+_HINT, _LINKED = re.compile(r"http|www\.|<|\]\(|#|@|sku"), "ꙮ"
 #: Words in a window; a line's last window may be half as long again.
 WINDOW = 24
+_SPAN = re.compile(rf"[^\W_]+(?:[\W_]+[^\W_]+){{0,{WINDOW - 1}}}[\W_]*")
 #: A window lacks sentences if its share of function words is below this part of its language's usual share.
 MISSING = 0.4
 #: Of the words of a window: links, the most frequent word, separators a word, for it to be spam.
@@ -53,57 +54,48 @@ _FEATURES = "doc_id long, lang string, words int, functional int, linked int, to
 def windows(text: str, given: str | None) -> Iterator[tuple[str, int, int, int, int, int, int, bool]]:
     """``lang, words, functional, linked, top, separators, pairs, repeated`` of each window of ``text``.
 
-    pairs: words in word pairs that the text holds three times or more, link words aside.
+    pairs: words that begin a word pair which the text's windows hold three times or more, link words aside.
     """
-    lines = [x for x in re.split(r"[\n\r]+", text) if x.strip()]
-    seen = Counter(x.strip().lower() for x in lines)
-    parsed = []
+    lines = [x for x in re.split(r"[\n\r]+", text.lower()) if x.strip()]
+    seen = Counter(x.strip() for x in lines) if len(lines) > 2 else {}
+    parsed: list[tuple[list[str], int, int, bool]] = []
     for line in lines:
-        spans = [m.span() for m in _LINK.finditer(line)]
-        words, k = [], 0
-        for m in _WORD.finditer(line):
-            while k < len(spans) and spans[k][1] <= m.start():
-                k += 1
-            words.append((m[0].lower(), m.start(), k < len(spans) and spans[k][0] <= m.start()))
-        parsed.append((line, words))
-    score = dict.fromkeys(_LISTS, 0)
+        again = bool(seen) and seen[line.strip()] > 2
+        if _HINT.search(line):
+            line = _LINK.sub(_as_links, line)
+        pieces = [m[0] for m in _SPAN.finditer(line)]
+        cut = [_WORD.findall(x) for x in pieces]
+        if len(cut) > 1 and len(cut[-1]) < WINDOW // 2:
+            words, piece = cut.pop(), pieces.pop()
+            cut[-1] += words
+            pieces[-1] += piece
+        for words, piece in zip(cut, pieces, strict=True):
+            linked = words.count(_LINKED)
+            parsed.append(([w for w in words if w != _LINKED] if linked else words, linked, len(_SEPARATOR.findall(piece)), again))
+    counts: Counter = Counter()
     near: Counter = Counter()
-    free = 0
-    for _, words in parsed:
-        last = None
-        for w, _, linked in words:
-            if linked:
-                last = None
-                continue
-            free += 1
-            for k in _LANGUAGES.get(w, ()):
-                score[k] += 1
-            if last:
-                near[last, w] += 1
-            last = w
+    for plain, *_ in parsed:
+        counts.update(plain)
+        near.update(zip(plain, plain[1:]))
+    score = {k: sum(counts[w] for w in v) for k, v in _LISTS.items()}
     lang = max(score, key=lambda k: (score[k], k == (given or "")))
-    if score[lang] < 0.05 * free and given:
+    if score[lang] < 0.05 * counts.total() and given:
         lang = given
     often = {x for x, n in near.items() if n > 2}
-    for line, words in parsed:
-        again = seen[line.strip().lower()] > 2
-        for i in range(0, len(words), WINDOW):
-            if i and len(words) - i < WINDOW // 2:
-                break
-            upto = len(words) if len(words) - i < WINDOW * 3 // 2 else i + WINDOW
-            part = words[i:upto]
-            end = words[upto][1] if upto < len(words) else len(line)
-            piece = line[part[0][1] if i else 0 : end]
-            plain = [w for w, _, linked in part if not linked]
-            words_of = dict.fromkeys(_LISTS, 0)
-            for w in plain:
-                for k in _LANGUAGES.get(w, ()):
-                    words_of[k] += 1
-            here = max(words_of, key=lambda k: (words_of[k], k == lang))  # quotations may be in another language
-            own = _LISTS[here]
-            top = max(Counter([w for w in plain if w not in own]).values(), default=0)
-            frequent = sum(x in often for x in zip(plain, plain[1:])) if often else 0
-            yield here, len(part), words_of[here], len(part) - len(plain), top, len(_SEPARATOR.findall(piece)), frequent, again
+    for plain, linked, separators, again in parsed:
+        here, functional = lang, sum(map(_LISTS[lang].__contains__, plain))
+        if functional < 0.25 * len(plain):  # quotations may be in another language
+            most = {k: sum(map(v.__contains__, plain)) for k, v in _LISTS.items()}
+            here = max(most, key=lambda k: (most[k], k == lang))
+            functional = most[here]
+        own = _LISTS[here]
+        top = max(Counter([w for w in plain if w not in own]).values(), default=0)
+        frequent = sum(x in often for x in zip(plain, plain[1:])) if often else 0
+        yield here, len(plain) + linked, functional, linked, top, separators, frequent, again
+
+
+def _as_links(link: re.Match) -> str:
+    return " " + f"{_LINKED} " * len(_WORD.findall(link[0]))
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
