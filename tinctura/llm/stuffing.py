@@ -37,8 +37,9 @@ _HINT, _LINKED = re.compile(r"http|www\.|<|\]\(|#|@|sku"), "ꙮ"
 #: Words in a window; a line's last window may be half as long again.
 WINDOW = 24
 _SPAN = re.compile(rf"[^\W_]+(?:[\W_]+[^\W_]+){{0,{WINDOW - 1}}}[\W_]*")
-#: A window lacks sentences if its share of function words is below this part of its language's usual share.
-MISSING = 0.4
+#: A window lacks sentences if its share of function words is below this part of its language's usual share: the first
+#: if it looks like a list as well, the second if not.
+MISSING, ABSENT = 0.5, 0.15
 #: Of the words of a window: links, the most frequent word, separators a word, for it to be spam.
 LINKED, TOP_WORD, SEPARATED = 0.5, 0.2, 0.25
 #: Share of one content word that no sentence has, whatever stands between.
@@ -121,9 +122,9 @@ def spam_shares(documents: DataFrame) -> DataFrame:
     usual = seen.filter("linked = 0 and words >= 6").groupBy("lang").agg(F.percentile_approx(F.col("functional") / F.col("words"), 0.5, 1000).alias("usual"))
     rows = seen.join(F.broadcast(usual), "lang", "left")  # a row per listed language
     own = F.greatest(F.col("words") - F.col("linked"), F.lit(1))
-    lacking = F.col("functional") / own < F.greatest(F.coalesce("usual", F.lit(0.3)), F.lit(0.2)) * MISSING
+    share = F.col("functional") / own / F.greatest(F.coalesce("usual", F.lit(0.3)), F.lit(0.2))
     listed = (F.col("top") / own > TOP_WORD) | (F.col("separators") / F.col("words") > SEPARATED) | (F.col("pairs") / own > 0.3) | F.col("repeated")
-    spam = (F.col("linked") / F.col("words") > LINKED) | (F.col("top") / own > REPEATED) & (F.col("words") >= 6) | (lacking & (listed | (F.col("words") >= 12)))
+    spam = (F.col("linked") / F.col("words") > LINKED) | (F.col("top") / own > REPEATED) & (F.col("words") >= 6) | ((share < MISSING) & listed) | ((share < ABSENT) & (F.col("words") >= 12))
     return rows.groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum(F.when(spam, F.col("words")).otherwise(0)).alias("spam_words"))
 
 
