@@ -68,7 +68,7 @@ def _pairs(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
 def collapsed(obs: DataFrame, *, hash_bits: int = 128) -> DataFrame:
     """One row per distinct record: ``first_obs_id, n_copies``, singles included.
 
-    Collided hashes are kept apart by their check and full keys, as in ``hidden_copies``.
+    A record is known by its 128-bit hash and the 32-bit check together, so unequal keys with one hash stay apart.
     """
     rows = keyed(obs, hash_bits=hash_bits)
     groups = rows.groupBy(*HASH, "chk").agg(F.min("obs_id").alias("first_obs_id"), F.count("*").alias("n_copies"))

@@ -129,6 +129,8 @@ def split_overlaps(evals: DataFrame, canonical: DataFrame, *, shard_chars: int =
     chars = ev.agg(F.sum(2 * F.length("b") + 3 * F.length("a") + 5)).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
     indexes = materialize(pairs.withColumn("shard", F.pmod(F.xxhash64("a", "b"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_build, "shard int, index binary"), "overlap-index")
+    if shards > 1:
+        train = materialize(train, "overlap-train")  # each shard reads it
     found = None
     for k in range(shards):
         rows = indexes.filter(F.col("shard") == k).select("index").collect()
