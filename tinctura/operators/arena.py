@@ -100,13 +100,19 @@ def window_counts(hits: DataFrame, keys: list[str], at: str, seconds: int) -> Da
 
 
 def limited(hits: DataFrame, keys: list[str], at: str, seconds: int, limit: int) -> DataFrame:
-    """Each hit's number in its window, whether it is allowed (the limit included), and the seconds to wait if not."""
+    """Each hit's number in its window, whether it is allowed (the limit included), and the seconds to wait if not.
+
+    Hits are numbered within their second and the seconds before are added from counts, so that a busy key's window
+    isn't sorted by one task.
+    """
     second = F.unix_timestamp(F.col(at).cast("timestamp"))
-    begin = second - F.pmod(second, F.lit(seconds))
-    rows = hits.withColumn("_w", begin)
-    nth = F.row_number().over(Window.partitionBy(*keys, "_w").orderBy(at, "event_id"))
-    wait = F.greatest(F.lit(1), F.col("_w") + seconds - second)
-    return rows.withColumn("nth", nth).withColumn("allowed", F.col("nth") <= limit).withColumn("retry_after", F.when(~F.col("allowed"), wait).cast("long")).drop("_w")
+    rows = hits.withColumn("_s", second).withColumn("_w", second - F.pmod(second, F.lit(seconds)))
+    counts = rows.groupBy(*keys, "_w", "_s").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_w").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(at, "event_id")))
+    rows = within.join(counts.select(*keys, "_s", before.alias("_b")), [*keys, "_s"]).withColumn("nth", (F.col("_k") + F.col("_b")).cast("long"))
+    wait = F.greatest(F.lit(1), F.col("_w") + seconds - F.col("_s"))
+    return rows.withColumn("allowed", F.col("nth") <= limit).withColumn("retry_after", F.when(~F.col("allowed"), wait).cast("long")).drop("_w", "_s", "_k", "_b")
 
 
 def preference_events(events: DataFrame) -> DataFrame:

@@ -37,10 +37,17 @@ def normalized(rows: DataFrame, keys: list[str], fallback: str = "inverse_rank")
 def merged(rows: DataFrame, keys: list[str], fallback: str = "inverse_rank") -> DataFrame:
     """Recipes with the same inputs as one: shares of equal outputs add up, the first one's rank stays.
 
-    ``position`` must count through all candidates of the key.
+    ``position`` must count through all candidates of the key. Equal outputs are added up before the shuffle, so a
+    recipe that comes often sends one row per output and task.
     """
-    one = normalized(rows, keys, fallback).groupBy(*keys, "output").agg(F.sum("share").alias("mass"), F.min("position").alias("position"), F.min_by("rank", "position").alias("rank"))
-    return one.withColumn("share", F.col("mass") / F.sum("mass").over(Window.partitionBy(*keys))).drop("mass")
+    spare = F.lit(1.0) if fallback == "uniform" else 1.0 / F.coalesce(F.nullif("rank", F.lit(0)), F.col("position") + 1)
+    one = rows.groupBy(*keys, "output").agg(
+        F.sum("weight").alias("w"), F.sum(spare).alias("s"), F.min(F.col("weight").isNotNull()).alias("given"), F.min("weight").alias("least"), F.min("position").alias("position"), F.min_by("rank", "position").alias("rank"),
+    )
+    w = Window.partitionBy(*keys)
+    mass = F.when(F.min("given").over(w), F.when(F.min("least").over(w) >= 0, F.col("w"))).otherwise(F.col("s"))
+    one = one.withColumn("mass", mass)
+    return one.select(*keys, "output", "position", "rank", F.try_divide("mass", F.nullif(F.sum("mass").over(w), F.lit(0.0))).alias("share"))
 
 
 def group_losses(rows: DataFrame, group: str, logprob: str, weight: str, *, uniform: bool, logsumexp: bool) -> DataFrame:

@@ -149,7 +149,7 @@ def window_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @plans.add("""WITH h AS (SELECT event_id, event_type, ts, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY event_type, s // 86400 ORDER BY ts, event_id) AS nth FROM h)
-    SELECT event_id, CAST(nth AS INTEGER) AS nth, nth <= 40 AS allowed, CASE WHEN nth > 40 THEN greatest(1, (s // 86400 + 1) * 86400 - s) END AS retry_after FROM n""")
+    SELECT event_id, nth, nth <= 40 AS allowed, CASE WHEN nth > 40 THEN greatest(1, (s // 86400 + 1) * 86400 - s) END AS retry_after FROM n""")
 def rate_limits(spark: SparkSession, d: str) -> DataFrame:
     """The limit itself is allowed."""
     return A.limited(table(spark, d, "events"), ["event_type"], "ts", 86400, 40).select("event_id", "nth", "allowed", "retry_after")

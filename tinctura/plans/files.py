@@ -40,23 +40,25 @@ def csv_recipes(spark: SparkSession, d: str) -> DataFrame:
     return R.csv_recipes(spark, path).select("input_a", "input_b", "output")
 
 
-@plans.add("SELECT 'part ' || l_partkey AS input_a, 'part ' || l_suppkey AS input_b, 'part ' || l_linenumber AS output FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) AND l_suppkey IN (SELECT p_partkey FROM part) AND l_linenumber IN (SELECT p_partkey FROM part)")
+@plans.add("SELECT n.n_name AS input_a, r.r_name AS input_b, o.n_name AS output FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey JOIN nation o ON o.n_nationkey = (n.n_nationkey + 1) % 25")
 def packed_index(spark: SparkSession, d: str) -> DataFrame:
-    """One packed document, ids looked up three times."""
-    names = table(spark, d, "part").agg(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), F.array(F.lit("⭐"), F.concat(F.lit("part "), "p_partkey"), F.lit("1"))))).alias("index"))
-    data = table(spark, d, "lineitem").agg(F.array_join(F.collect_list(F.concat_ws(",", "l_partkey", "l_suppkey", "l_linenumber")), ";").alias("data"))  # the format is one document
+    """One packed document of the fixed tables nation and region, ids looked up three times."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    ids = n.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name")).unionByName(r.select((F.col("r_regionkey") + 100).cast("string").alias("id"), F.col("r_name").alias("name")))
+    names = ids.agg(F.map_from_entries(F.collect_list(F.struct("id", F.array(F.lit("⭐"), "name", F.lit("1"))))).alias("index"))
+    data = n.agg(F.array_join(F.collect_list(F.concat_ws(",", "n_nationkey", F.col("n_regionkey") + 100, (F.col("n_nationkey") + 1) % 25)), ";").alias("data"))
     names.withColumn("k", F.lit(1)).join(data.withColumn("k", F.lit(1)), "k").drop("k").coalesce(1).write.json(path := _folder(spark, "packed"))
     return R.packed_index(spark, path).select("input_a", "input_b", "output")
 
 
-@plans.add("SELECT replace(p.p_name, '_', ' ') AS input_a, replace(q.p_name, '_', ' ') AS input_b, trim(replace(p.p_type, '_', ' ')) AS output FROM part p JOIN part q ON q.p_partkey = p.p_partkey % 50 + 1")
+@plans.add("SELECT replace(n.n_name, '_', ' ') AS input_a, replace(o.n_name, '_', ' ') AS input_b, replace(r.r_name, '_', ' ') AS output FROM nation n JOIN nation o ON o.n_nationkey = (n.n_nationkey * 7) % 25 JOIN region r ON r.r_regionkey = n.n_regionkey")
 def id_files(spark: SparkSession, d: str) -> DataFrame:
-    """A file of names and recipes by id."""
-    p = table(spark, d, "part")
-    names = p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name")).unionByName(p.select((F.col("p_partkey") + 1_000_000).cast("string").alias("id"), F.col("p_type").alias("name")))
+    """A file of names and recipes by id, of the fixed tables nation and region."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    names = n.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name")).unionByName(r.select((F.col("r_regionkey") + 100).cast("string").alias("id"), F.col("r_name").alias("name")))
     doc = names.agg(F.map_from_entries(F.collect_list(F.struct("id", "name"))).alias("names")).withColumn("k", F.lit(1))
-    r = F.struct(F.array("p_partkey", F.col("p_partkey") % 50 + 1).alias("ingredients"), F.array(F.col("p_partkey") + 1_000_000).alias("results"))
-    doc.join(p.agg(F.collect_list(r).alias("recipes")).withColumn("k", F.lit(1)), "k").drop("k").coalesce(1).write.json(path := _folder(spark, "ids"))
+    one = F.struct(F.array("n_nationkey", F.col("n_nationkey") * 7 % 25).alias("ingredients"), F.array(F.col("n_regionkey") + 100).alias("results"))
+    doc.join(n.agg(F.collect_list(one).alias("recipes")).withColumn("k", F.lit(1)), "k").drop("k").coalesce(1).write.json(path := _folder(spark, "ids"))
     return R.id_files(spark, path).select("input_a", "input_b", "output")
 
 

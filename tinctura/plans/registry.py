@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tinctura.plans import arena, files, graphs, silver, streams, texts, training
+from tinctura.plans import arena, files, graphs, series, silver, streams, texts, training
 from tinctura.plans.base import Query
 
-_MODULES = (silver, texts, arena, training, graphs, streams, files)
+_MODULES = (silver, texts, arena, training, graphs, series, streams, files)
 
 
 def queries() -> dict[str, Query]:

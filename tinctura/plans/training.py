@@ -37,9 +37,7 @@ def candidate_shares(spark: SparkSession, d: str) -> DataFrame:
     SELECT a, output, sum(share) AS share FROM s GROUP BY 1, 2""")
 def merged_shares(spark: SparkSession, d: str) -> DataFrame:
     """All recipes of one first input as one, outputs by their first word."""
-    from pyspark.sql import Window
-
-    rows = _candidates(spark, d).withColumn("position", F.row_number().over(Window.partitionBy("input_a").orderBy("row_id", "position")) - 1)
+    rows = _candidates(spark, d).withColumn("position", F.col("row_id") * 10_000 + F.col("position"))
     rows = rows.select(F.col("input_a").alias("a"), F.split_part("output", F.lit(" "), F.lit(1)).alias("output"), "weight", "rank", "position")
     return W.merged(rows, ["a"]).select("a", "output", "share")
 
