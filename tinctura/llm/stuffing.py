@@ -29,6 +29,7 @@ FUNCTION_WORDS = {
 # End of fixed values.
 
 _LISTS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_LANGUAGES = {w: [k for k, v in _LISTS.items() if w in v] for v in _LISTS.values() for w in v}
 _WORD = re.compile(r"[^\W_]+")
 _LINK = re.compile(r"https?://\S+|www\.\S+|<a\b[^>]*>|</a>|<br\s*/?>|\]\([^)\s]*\)|#\w+|\S+@\S+\.\w+|\bSKU\S*", re.I)
 _SEPARATOR = re.compile(r"[|·•»›;,/\\*#=<>\[\]]|\s-\s")
@@ -55,7 +56,8 @@ _FEATURES = "doc_id long, lang string, words int, functional int, linked int, to
 def windows(text: str, given: str | None) -> Iterator[tuple[str, int, int, int, int, int, int, bool]]:
     """``lang, words, functional, linked, top, separators, pairs, repeated`` of each window of ``text``.
 
-    pairs: words that begin a word pair which the text's windows hold three times or more, link words aside.
+    pairs: words that begin a word pair which the text's windows short of function words (under a quarter) hold three
+    times or more, link words aside; counted in those windows only.
     """
     lines = [x for x in re.split(r"[\n\r]+", text.lower()) if x.strip()]
     seen = Counter(x.strip() for x in lines) if len(lines) > 2 else {}
@@ -74,24 +76,31 @@ def windows(text: str, given: str | None) -> Iterator[tuple[str, int, int, int,
             linked = words.count(_LINKED)
             parsed.append(([w for w in words if w != _LINKED] if linked else words, linked, len(_SEPARATOR.findall(piece)), again))
     counts: Counter = Counter()
-    near: Counter = Counter()
     for plain, *_ in parsed:
         counts.update(plain)
-        near.update(zip(plain, plain[1:]))
-    score = {k: sum(counts[w] for w in v) for k, v in _LISTS.items()}
+    score = dict.fromkeys(_LISTS, 0)
+    for w in counts.keys() & _LANGUAGES.keys():
+        for k in _LANGUAGES[w]:
+            score[k] += counts[w]
     lang = max(score, key=lambda k: (score[k], k == (given or "")))
     if score[lang] < 0.05 * counts.total() and given:
         lang = given
-    often = {x for x, n in near.items() if n > 2}
+    judged = []
+    near: Counter = Counter()
     for plain, linked, separators, again in parsed:
         here, functional = lang, sum(map(_LISTS[lang].__contains__, plain))
-        if functional < 0.25 * len(plain):  # quotations may be in another language
+        if few := functional < 0.25 * len(plain):  # quotations may be in another language
             most = {k: sum(map(v.__contains__, plain)) for k, v in _LISTS.items()}
             here = max(most, key=lambda k: (most[k], k == lang))
             functional = most[here]
+            if few := functional < 0.25 * len(plain):
+                near.update(zip(plain, plain[1:]))
+        judged.append((plain, linked, separators, again, here, functional, few))
+    often = {x for x, n in near.items() if n > 2}
+    for plain, linked, separators, again, here, functional, few in judged:
         own = _LISTS[here]
         top = max(Counter([w for w in plain if w not in own]).values(), default=0)
-        frequent = sum(x in often for x in zip(plain, plain[1:])) if often else 0
+        frequent = sum(x in often for x in zip(plain, plain[1:])) if few and often else 0
         yield here, len(plain) + linked, functional, linked, top, separators, frequent, again
 
 
