@@ -10,21 +10,21 @@ MAX_CODES = 64  # letters told apart; the rarest share the last code, so a searc
 
 
 def suffix_array(codes: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; the text's last code must be unique and the smallest."""
-    n = len(codes)
-    rank = codes.astype(np.int64)
-    width = 1
+    """Suffix array by prefix doubling, from eight codes on; codes are below MAX_CODES, the last is unique and the smallest."""
+    n, width = len(codes), 8
+    key = np.zeros(n, np.int64)
+    for i in range(width):
+        key *= MAX_CODES
+        key[: max(n - i, 0)] += codes[i:]
     while True:
-        tail = np.full(n, -1, np.int64)
-        tail[: n - width] = rank[width:] if width < n else 0
-        key = rank * (n + MAX_CODES + 2) + tail + 1
         order = np.argsort(key, kind="stable")
         ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        rank = new
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
         if rank[order[-1]] == n - 1 or width >= n:
             return order
+        key = rank * (n + 1)
+        key[: n - width] += rank[width:] + 1
         width *= 2
 
 

@@ -13,6 +13,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tinctura.storage import spread
+
 #: Successive words that make a leak.
 RUN_WORDS = 12
 #: Letters of passages in one automaton; more passages are scanned for in blocks of about this size.
@@ -93,6 +95,6 @@ def leaked_passages(documents: DataFrame, passages: DataFrame, *, run_words: int
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "start", "end", "words"])
 
-        part = documents.select("doc_id", "text").mapInArrow(scan, _SCHEMA)
+        part = spread(documents.select("doc_id", "text")).mapInArrow(scan, _SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out

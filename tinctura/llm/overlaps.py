@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tinctura.llm.copies import letters_digits
 from tinctura.llm.fmindex import FMIndex
-from tinctura.storage import materialize
+from tinctura.storage import materialize, spread
 
 #: Letters of index text in a shard (a longer single record makes a longer shard); an index takes about 6 bytes each.
 SHARD_CHARS = 8_000_000
@@ -124,7 +124,7 @@ def split_overlaps(evals: DataFrame, canonical: DataFrame, *, shard_chars: int =
     """
     spark = evals.sparkSession
     ev = materialize(sides(evals, "eval_id"), "overlap-evals")
-    train = sides(canonical.filter("split = 'train'"), "row_id")
+    train = spread(sides(canonical.filter("split = 'train'"), "row_id"))
     pairs = ev.select("a", "b").distinct()
     chars = ev.agg(F.sum(2 * F.length("b") + 3 * F.length("a") + 5)).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tinctura.storage import materialize
+from tinctura.storage import materialize, spread
 
 #: A public tokenizer's ranks, and the pattern its words are split by.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -36,7 +36,7 @@ def token_counts(documents: DataFrame, *, ranks: str = RANKS, pattern: str = PAT
             sizes = [len(own.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def boundaries(histogram: dict[int, int], buckets: int) -> list[int]:

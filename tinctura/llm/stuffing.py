@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tinctura.storage import materialize
+from tinctura.storage import materialize, spread
 
 # Frequent function words by language (not "of", which joins names in lists as well).
 FUNCTION_WORDS = {
@@ -127,7 +127,7 @@ def spam_shares(documents: DataFrame) -> DataFrame:
     A window's language is the one whose function words it holds most, else that of the text, else the given one;
     the usual share of function words is the median over all windows of a language, of all documents, without links.
     """
-    seen = materialize(documents.select("doc_id", "text", "lang").mapInArrow(_measure, _FEATURES), "stuffing")
+    seen = materialize(spread(documents.select("doc_id", "text", "lang")).mapInArrow(_measure, _FEATURES), "stuffing")
     usual = seen.filter("linked = 0 and words >= 6").groupBy("lang").agg(F.percentile_approx(F.col("functional") / F.col("words"), 0.5, 1000).alias("usual"))
     rows = seen.join(F.broadcast(usual), "lang", "left")  # a row per listed language
     own = F.greatest(F.col("words") - F.col("linked"), F.lit(1))
