@@ -10,7 +10,7 @@ from tinctura.functions.concepts import PLACEHOLDER, Quality, is_garbage, recipe
 from tinctura.functions.hashing import canonical_pair_id, split_of
 from tinctura.functions.text import concept, key, ordered, stripped
 from tinctura.operators.skew import lookup
-from tinctura.storage import materialize
+from tinctura.storage import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ def judged(obs: DataFrame, c: Cleaning = Cleaning(), position: str = "obs_id") -
 
     The vocabulary check looks up keys as they are, with inner white space, in the collapsed vocabulary (F4).
     """
-    rows = keys(obs, position)
+    rows = spread(keys(obs, position))
     reason = F.lit(None).cast("string")
     if c.quality:
         reason = recipe_defect("a", "b", "out", c.quality)

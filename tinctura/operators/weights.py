@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tinctura.functions.text import answer, word_count
+from tinctura.storage import spread
 
 
 def candidates(records: DataFrame, *keys: str) -> DataFrame:
@@ -108,13 +109,15 @@ def preference_pairs(rows: DataFrame, *, short: int = 2, verbose: int = 3) -> Da
     """
     known = F.transform(F.coalesce("known_outputs", F.array().cast("array<string>")), answer)
     samples = F.filter(F.transform(F.coalesce("sampled_outputs", F.array().cast("array<string>")), lambda s, i: F.struct(s.alias("raw"), i.alias("at"))), lambda s: s["raw"].isNotNull())
-    labeled = F.transform(samples, lambda s: F.struct(s["raw"].alias("raw"), answer(s["raw"]).alias("norm"), s["at"].alias("at"), word_count(s["raw"]).alias("words"), (F.array_contains(F.col("_known"), answer(s["raw"])) & (answer(s["raw"]) != "")).alias("valid")))
-    df = rows.withColumn("_known", known).withColumn("_s", labeled)
+    normed = F.transform(samples, lambda s: F.struct(s["raw"].alias("raw"), answer(s["raw"]).alias("norm"), s["at"].alias("at")))
+    size = lambda n: F.when(n == "", 0).otherwise(F.size(F.split(n, " ")))
+    labeled = F.transform(normed, lambda s: F.struct(s["raw"].alias("raw"), s["norm"].alias("norm"), s["at"].alias("at"), size(s["norm"]).alias("words"), (F.array_contains(F.col("_known"), s["norm"]) & (s["norm"] != "")).alias("valid")))
+    df = spread(rows).withColumn("_known", known).withColumn("_s", labeled)
     df = df.withColumn("_good", F.filter("_s", lambda s: s["valid"] & (s["words"] > 0) & (s["words"] <= short)))
-    spare = F.array_sort(F.transform(F.filter("candidate_outputs", lambda c: (word_count(c["output"]) > 0) & (word_count(c["output"]) <= short)), lambda c, i: F.struct(F.when(c["source"] == "observed", 0).otherwise(1).alias("o"), F.coalesce(c["rank"], F.lit(999)).alias("r"), i.alias("i"), c["output"].alias("output"))))
+    spare = F.array_sort(F.transform(F.filter("candidate_outputs", lambda c: word_count(c["output"]).between(1, short)), lambda c, i: F.struct(F.when(c["source"] == "observed", 0).otherwise(1).alias("o"), F.coalesce(c["rank"], F.lit(999)).alias("r"), i.alias("i"), c["output"].alias("output"))))
     df = df.withColumn("chosen", F.when(F.size("_good") > 0, _most_frequent(F.col("_good"))["raw"]).otherwise(F.get(spare, F.lit(0))["output"]))
-    df = df.filter(answer("chosen") != "")
-    df = df.withColumn("_bad", F.filter("_s", lambda s: (s["norm"] != "") & (s["norm"] != answer("chosen")) & (~s["valid"] | (s["words"] >= verbose)))).filter(F.size("_bad") > 0)
+    df = df.withColumn("_c", answer("chosen")).filter(F.col("_c") != "")
+    df = df.withColumn("_bad", F.filter("_s", lambda s: (s["norm"] != "") & (s["norm"] != F.col("_c")) & (~s["valid"] | (s["words"] >= verbose)))).filter(F.size("_bad") > 0)
     first = F.get("_s", F.lit(0))["at"]
     bad = F.when(F.exists("_bad", lambda b: b["at"] == first), F.get(F.filter("_bad", lambda b: b["at"] == first), F.lit(0))).otherwise(_most_frequent(F.col("_bad")))
     df = df.withColumn("_r", bad)
