@@ -81,3 +81,10 @@ def test_streams(spark, tmp_path, rows):
     assert grow() == 4 and grow() == 4
     hits.withColumn("event_id", F.col("event_id") + 100).write.mode("append").parquet(str(tmp_path / "in"))
     assert grow() == 8
+
+
+def test_store(spark, tmp_path, rows):
+    for name in ("a/x.jsonl", "a/skip/y.jsonl", "b/z.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f'{{"n": "{name}"}}\n')
+    assert rows(R.store(spark, str(tmp_path), "n string", without=("skip",))) == [("a/x.jsonl",)]

@@ -19,32 +19,32 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     return A.runs(table(spark, d, "events"))
 
 
-@plans.add(f"WITH {_DAILY} SELECT * FROM dly")
+@plans.add(f"WITH {_DAILY} SELECT * FROM dly", fractions="win_rate avg_combinations")
 def daily_standings(spark: SparkSession, d: str) -> DataFrame:
     """A9."""
     return A.standings(_runs(spark, d), "model", "day")
 
 
 @plans.add(f"""WITH {_RUNS}, b AS (SELECT model, count(*) AS runs, count(*) FILTER (won) AS wins, avg(CASE WHEN won THEN 1.0 ELSE 0.0 END) AS win_rate, avg(CAST(combinations AS DOUBLE)) FILTER (won) AS avg_combinations FROM r WHERE depth BETWEEN 1 AND 10 GROUP BY 1)
-    SELECT *, CAST(row_number() OVER (ORDER BY win_rate DESC, avg_combinations ASC NULLS LAST, model) AS INTEGER) AS place FROM b""")
+    SELECT *, CAST(row_number() OVER (ORDER BY win_rate DESC, avg_combinations ASC NULLS LAST, model) AS INTEGER) AS place FROM b""", fractions="win_rate avg_combinations")
 def ranking(spark: SparkSession, d: str) -> DataFrame:
     """A9, F11, F16, O2."""
     return A.ranked(A.standings(_runs(spark, d).filter("depth between 1 and 10"), "model"))
 
 
-@plans.add(f"""WITH {_DAILY} SELECT model, avg(win_rate) AS score, count(DISTINCT day) AS days, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(wins) AS BIGINT) AS wins, sum(avg_combinations * wins) FILTER (avg_combinations IS NOT NULL) / nullif(sum(wins) FILTER (avg_combinations IS NOT NULL), 0) AS avg_combinations FROM dly GROUP BY 1""")
+@plans.add(f"""WITH {_DAILY} SELECT model, avg(win_rate) AS score, count(DISTINCT day) AS days, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(wins) AS BIGINT) AS wins, sum(avg_combinations * wins) FILTER (avg_combinations IS NOT NULL) / nullif(sum(wins) FILTER (avg_combinations IS NOT NULL), 0) AS avg_combinations FROM dly GROUP BY 1""", fractions="score avg_combinations")
 def overall_board(spark: SparkSession, d: str) -> DataFrame:
     """A11, O3."""
     return A.overall(A.standings(_runs(spark, d), "model", "day"))
 
 
-@plans.add(f"WITH {_DAILY} SELECT day, max(win_rate) FILTER (model = 'click') AS click, max(win_rate) FILTER (model = 'view') AS \"view\", max(win_rate) FILTER (model = 'purchase') AS purchase FROM dly GROUP BY 1")
+@plans.add(f"WITH {_DAILY} SELECT day, max(win_rate) FILTER (model = 'click') AS click, max(win_rate) FILTER (model = 'view') AS \"view\", max(win_rate) FILTER (model = 'purchase') AS purchase FROM dly GROUP BY 1", fractions="click view purchase")
 def day_grid(spark: SparkSession, d: str) -> DataFrame:
     """J19."""
     return A.day_grid(A.standings(_runs(spark, d), "model", "day"), ["click", "view", "purchase"])
 
 
-@plans.add(f"WITH {_DAILY} SELECT *, win_rate - lag(win_rate) OVER w AS change, max(win_rate) OVER (PARTITION BY model ORDER BY day ROWS UNBOUNDED PRECEDING) AS best FROM dly WINDOW w AS (PARTITION BY model ORDER BY day)")
+@plans.add(f"WITH {_DAILY} SELECT *, win_rate - lag(win_rate) OVER w AS change, max(win_rate) OVER (PARTITION BY model ORDER BY day ROWS UNBOUNDED PRECEDING) AS best FROM dly WINDOW w AS (PARTITION BY model ORDER BY day)", fractions="win_rate avg_combinations change best")
 def daily_trend(spark: SparkSession, d: str) -> DataFrame:
     """The windows of 2.7: change from day to day, best so far."""
     return A.trend(A.standings(_runs(spark, d), "model", "day"))
@@ -179,3 +179,10 @@ def picked_items(spark: SparkSession, d: str) -> DataFrame:
     asked = rows.groupBy(F.col("o_custkey").alias("owner")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("ids"))
     owned = rows.filter("l_partkey % 3 = o_custkey % 3").select(F.col("o_custkey").alias("owner"), F.col("l_partkey").alias("id")).distinct()
     return A.picked(asked, owned)
+
+
+@plans.add("SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate >= TIMESTAMP '1996-01-01'")
+def open_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The shape of sessions with their users, those not yet over."""
+    o = table(spark, d, "orders").filter("o_orderdate >= timestamp_ntz'1996-01-01'")
+    return o.join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_name")

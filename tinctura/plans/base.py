@@ -3,24 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Decimals that fractions are shown with; sums of them depend on the order of rows in the last digits.
+DECIMALS = 6
+
+
 class Plans:
-    """Queries by name. ``@plans.add(sql)`` registers a function under its own name."""
+    """Queries by name. ``@plans.add(sql, fractions)`` registers a function under its own name.
+
+    fractions: columns of floating-point numbers, rounded on both sides.
+    """
 
     def __init__(self) -> None:
         self._queries: dict[str, Query] = {}
         self._sql: dict[str, str] = {}
 
-    def add(self, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(self, sql: str | None = None, fractions: str = "") -> Callable[[Query], Query]:
+        names = fractions.split()
+
         def keep(f: Query) -> Query:
-            self._queries[f.__name__] = f
+            @wraps(f)
+            def shown(spark: SparkSession, d: str) -> DataFrame:
+                return f(spark, d).withColumns({c: F.round(c, DECIMALS) for c in names})
+
+            self._queries[f.__name__] = shown if names else f
             if sql:
-                self._sql[f.__name__] = sql
+                rounded = ", ".join(f'round("{c}", {DECIMALS}) AS "{c}"' for c in names)
+                self._sql[f.__name__] = f"SELECT * REPLACE ({rounded}) FROM ({sql})" if names else sql
             return f
 
         return keep

@@ -41,7 +41,7 @@ def run_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return Z.outcomes(_steps(spark, d), "run", F.col("output") == 7, F.col("l_quantity") > 48, 5)
 
 
-@plans.add(f"""WITH {_STEPS}, f AS (SELECT *, row_number() OVER (PARTITION BY run, output ORDER BY idx) = 1 AS new FROM st) SELECT run, idx AS step, new, CAST(sum(CAST(new AS INTEGER)) OVER (PARTITION BY run ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS inventory FROM f""")
+@plans.add(f"""WITH {_STEPS}, f AS (SELECT *, row_number() OVER (PARTITION BY run, output ORDER BY idx) = 1 AS new FROM st) SELECT run, CAST(idx AS INTEGER) AS step, new, CAST(sum(CAST(new AS INTEGER)) OVER (PARTITION BY run ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS inventory FROM f""")
 def playback(spark: SparkSession, d: str) -> DataFrame:
     """D21."""
     return Z.playback(_steps(spark, d), "run", "output").select("run", F.col("index").alias("step"), "new", "inventory")
@@ -61,13 +61,13 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.col("event_type").alias("run"), step.alias("step")).agg(F.avg("value").alias("loss"))
 
 
-@plans.add(f"WITH {_LOG} SELECT run, CAST((step - 1) // 50 * 50 + 50 AS BIGINT) AS step, avg(loss) AS mean FROM lg GROUP BY 1, 2")
+@plans.add(f"WITH {_LOG} SELECT run, CAST((step - 1) // 50 * 50 + 50 AS BIGINT) AS step, avg(loss) AS mean FROM lg GROUP BY 1, 2", fractions="mean")
 def logged_means(spark: SparkSession, d: str) -> DataFrame:
     """2.7: means between log points."""
     return Z.averaged(_log(spark, d), "run", "step", "loss", 50)
 
 
-@plans.add(f"WITH {_LOG}, b AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM lg) SELECT run, step, least(before, loss) AS best, before IS NULL OR loss < before AS improved FROM b")
+@plans.add(f"WITH {_LOG}, b AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM lg) SELECT run, step, least(before, loss) AS best, before IS NULL OR loss < before AS improved FROM b", fractions="best")
 def best_losses(spark: SparkSession, d: str) -> DataFrame:
     """2.7: the best so far."""
     return Z.best_so_far(_log(spark, d), "run", "step", "loss")

@@ -14,7 +14,7 @@ queries, oracle_sql = plans.queries, plans.oracle_sql
 
 
 @plans.add(f"""SELECT obs_id, {B.concept('output')} AS concept, {B.concept("coalesce(output, '')")} AS answer, {B.key('output')} AS key,
-    translate({B.concept('output')}, ' -''', '') AS compact, {B.flat('output')} AS one_line, {B.words('output')} AS words FROM recipe_observations""")
+    translate({B.concept('output')}, ' -''', '') AS compact, {B.flat('output')} AS one_line, CAST({B.words('output')} AS INTEGER) AS words FROM recipe_observations""")
 def text_forms(spark: SparkSession, d: str) -> DataFrame:
     """P1, P2, P3, P6, P7, P11."""
     obs = table(spark, d, "recipe_observations")

@@ -26,7 +26,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 _SHARE = f"""{_CAND}, sh AS (SELECT *, raw / sum(raw) OVER (PARTITION BY row_id) AS share FROM (SELECT *, CASE WHEN count(weight) OVER (PARTITION BY row_id) = count(*) OVER (PARTITION BY row_id) THEN weight ELSE 1.0 / rank END AS raw FROM cand))"""
 
 
-@plans.add(f"WITH {_SHARE} SELECT row_id, output, rank, share FROM sh")
+@plans.add(f"WITH {_SHARE} SELECT row_id, output, rank, share FROM sh", fractions="share")
 def candidate_shares(spark: SparkSession, d: str) -> DataFrame:
     """A17, S7."""
     return W.normalized(_candidates(spark, d), ["row_id"]).select("row_id", "output", "rank", "share")
@@ -34,7 +34,7 @@ def candidate_shares(spark: SparkSession, d: str) -> DataFrame:
 
 @plans.add(f"""WITH {_CAND}, x AS (SELECT least(input_a, input_b) AS a, split_part(output, ' ', 1) AS output, weight, rank, row_number() OVER (PARTITION BY least(input_a, input_b) ORDER BY row_id, position) - 1 AS position FROM cand),
     s AS (SELECT *, raw / sum(raw) OVER (PARTITION BY a) AS share FROM (SELECT *, CASE WHEN count(weight) OVER (PARTITION BY a) = count(*) OVER (PARTITION BY a) THEN weight ELSE 1.0 / rank END AS raw FROM x))
-    SELECT a, output, sum(share) AS share FROM s GROUP BY 1, 2""")
+    SELECT a, output, sum(share) AS share FROM s GROUP BY 1, 2""", fractions="share")
 def merged_shares(spark: SparkSession, d: str) -> DataFrame:
     """All recipes of one first input as one, outputs by their first word."""
     rows = _candidates(spark, d).withColumn("position", F.col("row_id") * 10_000 + F.col("position"))
@@ -45,21 +45,21 @@ def merged_shares(spark: SparkSession, d: str) -> DataFrame:
 _LOGP = f"{_SHARE}, lp AS (SELECT row_id, share, -(length(output) + rank) / 7.0 AS logprob FROM sh)"
 
 
-@plans.add(f"WITH {_LOGP} SELECT row_id, -sum(share * logprob) AS loss FROM lp GROUP BY 1")
+@plans.add(f"WITH {_LOGP} SELECT row_id, -sum(share * logprob) AS loss FROM lp GROUP BY 1", fractions="loss")
 def expected_losses(spark: SparkSession, d: str) -> DataFrame:
     """A19."""
     rows = W.normalized(_candidates(spark, d), ["row_id"]).withColumn("logprob", -(F.length("output") + F.col("rank")) / 7.0)
     return W.group_losses(rows, "row_id", "logprob", "share", uniform=False, logsumexp=False)
 
 
-@plans.add(f"WITH {_LOGP} SELECT row_id, -ln(avg(exp(logprob))) AS loss FROM lp GROUP BY 1")
+@plans.add(f"WITH {_LOGP} SELECT row_id, -ln(avg(exp(logprob))) AS loss FROM lp GROUP BY 1", fractions="loss")
 def logsumexp_losses(spark: SparkSession, d: str) -> DataFrame:
     """Uniform weights."""
     rows = _candidates(spark, d).withColumn("logprob", -(F.length("output") + F.col("rank")) / 7.0)
     return W.group_losses(rows, "row_id", "logprob", "weight", uniform=True, logsumexp=True)
 
 
-@plans.add("""SELECT vec_id, list_sum(list_transform(range(2, 65), lambda i: CASE WHEN i % 3 = 0 THEN CAST(embedding[i] AS DOUBLE) ELSE 0 END)) AS total, list_sum(list_transform(range(2, 65), lambda i: CASE WHEN i % 3 = 0 THEN CAST(embedding[i] AS DOUBLE) ELSE 0 END)) / 21 AS mean FROM embeddings""")
+@plans.add("""SELECT vec_id, list_sum(list_transform(range(2, 65), lambda i: CASE WHEN i % 3 = 0 THEN CAST(embedding[i] AS DOUBLE) ELSE 0 END)) AS total, list_sum(list_transform(range(2, 65), lambda i: CASE WHEN i % 3 = 0 THEN CAST(embedding[i] AS DOUBLE) ELSE 0 END)) / 21 AS mean FROM embeddings""", fractions="total mean")
 def masked_logprobs(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings stand for token logprobs, every third one is masked in."""
     e = table(spark, d, "embeddings")
@@ -69,14 +69,14 @@ def masked_logprobs(spark: SparkSession, d: str) -> DataFrame:
 
 @plans.add("""WITH p AS (SELECT -l_quantity / 10 AS pc, -l_extendedprice / 10000 AS pr, -l_discount * 30 AS rc, -l_tax * 40 AS rr FROM lineitem), z AS (SELECT *, 0.1 * ((pc - pr) - (rc - rr)) AS z FROM p)
     SELECT avg(-(0.9 * (least(z, 0) - ln(1 + exp(-abs(z)))) + 0.1 * (least(-z, 0) - ln(1 + exp(-abs(z)))))) AS loss, avg(0.1 * (pc - rc)) AS chosen_reward, avg(0.1 * (pr - rr)) AS rejected_reward, avg(0.1 * (pc - rc)) - avg(0.1 * (pr - rr)) AS reward_margin,
-    avg(CASE WHEN z > 0 THEN 1.0 ELSE 0.0 END) AS reward_accuracy, avg(pc) AS chosen_logp, avg(pr) AS rejected_logp FROM z""")
+    avg(CASE WHEN z > 0 THEN 1.0 ELSE 0.0 END) AS reward_accuracy, avg(pc) AS chosen_logp, avg(pr) AS rejected_logp FROM z""", fractions="loss chosen_reward rejected_reward reward_margin reward_accuracy chosen_logp rejected_logp")
 def preference_loss(spark: SparkSession, d: str) -> DataFrame:
     """A21, J14."""
     li = table(spark, d, "lineitem").select((-F.col("l_quantity") / 10).alias("policy_chosen"), (-F.col("l_extendedprice") / 10000).alias("policy_rejected"), (-F.col("l_discount") * 30).alias("reference_chosen"), (-F.col("l_tax") * 40).alias("reference_rejected"))
     return W.preference_loss(li, smoothing=0.1)
 
 
-@plans.add("SELECT l_returnflag, sum(l_extendedprice * l_quantity) / greatest(sum(l_quantity), 1) AS mean FROM lineitem GROUP BY 1")
+@plans.add("SELECT l_returnflag, sum(l_extendedprice * l_quantity) / greatest(sum(l_quantity), 1) AS mean FROM lineitem GROUP BY 1", fractions="mean")
 def weighted_means(spark: SparkSession, d: str) -> DataFrame:
     """A22."""
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(W.weighted_mean("l_extendedprice", "l_quantity").alias("mean"))
@@ -161,13 +161,13 @@ _RATES = """count(*) AS n, avg(CAST(tk AS INTEGER)) AS top1_known_match, avg(CAS
     avg(w) AS mean_top1_words, avg(CASE WHEN w > 0 AND w <= 2 THEN 1.0 ELSE 0.0 END) AS frac_top1_le2_words"""
 
 
-@plans.add(f"WITH {_MATCH} SELECT {_RATES} FROM fl")
+@plans.add(f"WITH {_MATCH} SELECT {_RATES} FROM fl", fractions="top1_known_match top1_canonical_match anyk_known_match anyk_canonical_match empty_top1_rate mean_top1_words frac_top1_le2_words")
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     """A13, A30, J11, S8, P2."""
     return E.coverage(table(spark, d, "predictions"), "prediction_id")
 
 
-@plans.add(f"WITH {_MATCH} SELECT model, {_RATES} FROM fl GROUP BY model")
+@plans.add(f"WITH {_MATCH} SELECT model, {_RATES} FROM fl GROUP BY model", fractions="top1_known_match top1_canonical_match anyk_known_match anyk_canonical_match empty_top1_rate mean_top1_words frac_top1_le2_words")
 def coverage_by_model(spark: SparkSession, d: str) -> DataFrame:
     """A13 by model."""
     return E.coverage(table(spark, d, "predictions"), "prediction_id", "model")
@@ -195,7 +195,7 @@ def judged_samples(spark: SparkSession, d: str) -> DataFrame:
 
 @plans.add(f"""WITH {_JUDGED}, r AS (SELECT prediction_id, bool_or(nth = 0 AND plausible) AS v1, bool_or(nth = 0 AND plausible AND NOT in_dataset) AS c1, bool_or(plausible) AS vk, bool_or(plausible AND NOT in_dataset) AS ck, max(bucket) FILTER (nth = 0) AS b FROM jb GROUP BY 1)
     SELECT count(*) AS n, avg(CAST(v1 AS INTEGER)) AS validity_top1, avg(CAST(c1 AS INTEGER)) AS creativity_top1, avg(CAST(vk AS INTEGER)) AS validity_anyk, avg(CAST(ck AS INTEGER)) AS creativity_anyk,
-    avg(CAST(b = 'invalid' AS INTEGER)) AS top1_invalid_rate, avg(CAST(b = 'valid_known' AS INTEGER)) AS top1_valid_known_rate, avg(CAST(b = 'valid_novel' AS INTEGER)) AS top1_valid_novel_rate FROM r""")
+    avg(CAST(b = 'invalid' AS INTEGER)) AS top1_invalid_rate, avg(CAST(b = 'valid_known' AS INTEGER)) AS top1_valid_known_rate, avg(CAST(b = 'valid_novel' AS INTEGER)) AS top1_valid_novel_rate FROM r""", fractions="validity_top1 creativity_top1 validity_anyk creativity_anyk top1_invalid_rate top1_valid_known_rate top1_valid_novel_rate")
 def verdict_rates(spark: SparkSession, d: str) -> DataFrame:
     """A15."""
     return E.verdict_rates(E.judged(table(spark, d, "predictions"), "prediction_id", _verdicts(spark, d)), "prediction_id")
@@ -218,7 +218,7 @@ def semantic_coverage(spark: SparkSession, d: str) -> DataFrame:
     return E.semantic(table(spark, d, "predictions"), "prediction_id", _embedded(spark, d), 0.75)
 
 
-@plans.add("""WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT x AS vec_id, c AS cosine, 1 - c AS distance FROM p""")
+@plans.add("""WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT x AS vec_id, c AS cosine, 1 - c AS distance FROM p""", fractions="cosine distance")
 def neighbour_cosines(spark: SparkSession, d: str) -> DataFrame:
     """D16."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -240,14 +240,14 @@ _CCS = """g AS (SELECT vec_id // 8 AS grp, list(CAST(embedding AS DOUBLE[]) ORDE
     cc AS (SELECT grp AS "group", avg(d) AS plausibility_distance, avg(1 - d / 2) AS plausibility_score, avg(nv) AS novelty, any_value(dd) AS diversity_distance, any_value(dd) / 2 AS diversity_score, 0.8 * avg(pow(1 - d / 2, 2) * nv) + 0.2 * any_value(dd) / 2 AS local_creativity FROM sa JOIN pw USING (grp) GROUP BY 1)"""
 
 
-@plans.add(f"WITH {_CCS} SELECT * FROM cc")
+@plans.add(f"WITH {_CCS} SELECT * FROM cc", fractions="plausibility_distance plausibility_score novelty diversity_distance diversity_score local_creativity")
 def creativity(spark: SparkSession, d: str) -> DataFrame:
     """D15, D16."""
     return E.creativity_rows(_groups(spark, d))
 
 
 @plans.add(f"""WITH {_CCS} SELECT count(*) AS n, avg(plausibility_score) AS mean_plausibility_score, avg(novelty) AS mean_novelty, avg(diversity_score) AS mean_diversity_score, avg(local_creativity) AS mean_local_creativity,
-    arg_min("group", local_creativity) AS least, arg_max("group", local_creativity) AS most FROM cc""")
+    arg_min("group", local_creativity) AS least, arg_max("group", local_creativity) AS most FROM cc""", fractions="mean_plausibility_score mean_novelty mean_diversity_score mean_local_creativity")
 def creativity_summary(spark: SparkSession, d: str) -> DataFrame:
     """A16."""
     return E.creativity_summary(E.creativity_rows(_groups(spark, d)))

@@ -141,3 +141,19 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     text = F.decode("content", "ISO-8859-1")
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("lines"))
+
+
+def database(spark: SparkSession, url: str, query: str, *, by: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 1, **options: str) -> DataFrame:
+    """Rows of a database by JDBC; in ``parts`` ranges of the numeric column ``by``, so that tasks share the load."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=f"({query}) q", **options)
+    if by:
+        reader = reader.options(partitionColumn=by, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts)
+    return reader.load()
+
+
+def store(spark: SparkSession, path: str, schema: str, *, pattern: str = "*.jsonl", without: tuple[str, ...] = ()) -> DataFrame:
+    """JSON lines of all files below a folder of any store whose names match, folders ``without`` left out."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).json(path)
+    for folder in without:
+        rows = rows.filter(~F.col("_metadata.file_path").contains(f"/{folder}/"))
+    return rows

@@ -9,6 +9,7 @@ for a local master.
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
@@ -22,16 +23,26 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to Python workers that can't import it, once per application."""
-    home = Path(__file__).resolve().parent
-    if str(home.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or (app := spark.sparkContext.applicationId) in _shipped:
+    """Give this package to Python workers that may not be able to import it, once per application.
+
+    On a cluster always; on a local master only if the workers don't get its folder by PYTHONPATH.
+    """
+    home, sc = Path(__file__).resolve().parent, spark.sparkContext
+    local = sc.master.startswith("local[") and str(home.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if local or sc.applicationId in _shipped:
         return
-    there = tempfile.mkdtemp(prefix="tinctura-")  # on the driver, which serves the file to the workers
-    with zipfile.ZipFile(packed := f"{there}/{home.name}.zip", "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in home.rglob("*.py"):
             z.write(p, p.relative_to(home.parent))
-    spark.sparkContext.addPyFile(packed)
-    _shipped.add(app)
+    path = f"{shared_dir(spark)}/tinctura-{uuid.uuid4().hex}.zip"
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(sc._jsc.hadoopConfiguration()).create(place)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(path)
+    _written.append((spark, path))
+    _shipped.add(sc.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
