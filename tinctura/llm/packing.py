@@ -40,29 +40,48 @@ def token_counts(documents: DataFrame, *, ranks: str = RANKS, pattern: str = PAT
 
 
 def boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
-    """Upper bounds of at most ``buckets`` length buckets with the least total padding, by dynamic programming."""
-    sizes = np.array(sorted(histogram), np.int64)
+    """Upper bounds of at most ``buckets`` length buckets with the least total padding, by dynamic programming.
+
+    With c(i) items of t(i) tokens up to the i-th size s(i), a bucket (i, j] pads (c(j) - c(i)) s(j) - (t(j) - t(i)).
+    So the best last cut before j is the lowest of the lines best(i) + t(i) - c(i) x at x = s(j); their slopes fall
+    and x grows, so each bucket more takes one pass over the sizes.
+    """
+    sizes = sorted(histogram)
     n = len(sizes)
     if n <= buckets:
-        return sizes.tolist()
-    count = np.concatenate(([0], np.cumsum([histogram[s] for s in sizes.tolist()])))
-    total = np.concatenate(([0], np.cumsum([histogram[s] * s for s in sizes.tolist()])))
-    best = count[1:] * sizes - total[1:]  # one bucket from the start to each size
-    cuts = []
+        return sizes
+    count, total = [], []
+    c = t = 0
+    for s in sizes:
+        c, t = c + histogram[s], t + histogram[s] * s
+        count.append(c)
+        total.append(t)
+    best, cuts = [count[j] * sizes[j] - total[j] for j in range(n)], []
     for _ in range(1, buckets):
-        new, cut = best.copy(), np.full(n, -1)
+        new, cut = best[:], [-1] * n
+        lines: list[tuple[int, int, int]] = []  # slope, height at 0, cut; of use from left to right
+        at = 0
         for j in range(1, n):
-            cost = best[:j] + (count[j + 1] - count[1 : j + 1]) * sizes[j] - (total[j + 1] - total[1 : j + 1])
-            i = int(np.argmin(cost))
-            if cost[i] < new[j]:
-                new[j], cut[j] = cost[i], i
+            slope, height = -count[j - 1], best[j - 1] + total[j - 1]
+            while len(lines) - at > 1:
+                (m1, h1, _), (m2, h2, _) = lines[-2], lines[-1]
+                if (height - h1) * (m1 - m2) > (h2 - h1) * (m1 - slope):
+                    break
+                lines.pop()
+            lines.append((slope, height, j - 1))
+            x = sizes[j]
+            while len(lines) - at > 1 and lines[at + 1][0] * x + lines[at + 1][1] <= lines[at][0] * x + lines[at][1]:
+                at += 1
+            padded = count[j] * x - total[j] + lines[at][0] * x + lines[at][1]
+            if padded < new[j]:
+                new[j], cut[j] = padded, lines[at][2]
         best = new
         cuts.append(cut)
-    out, j = [int(sizes[-1])], n - 1
+    out, j = [sizes[-1]], n - 1
     for cut in reversed(cuts):
-        if (j := int(cut[j])) < 0:
+        if (j := cut[j]) < 0:
             break
-        out.append(int(sizes[j]))
+        out.append(sizes[j])
     return sorted(out)
 
 
