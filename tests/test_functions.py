@@ -32,7 +32,7 @@ def test_words_and_forms(spark):
     assert one(spark, X.word_count("x"), x=" two  words ") == 2
     assert one(spark, X.word_count("x"), x="  ") == 0
     assert one(spark, X.compact("x"), x="Jack-o' Lantern") == "jackolantern"
-    assert one(spark, X.slug("x"), x=" Final 10K!") == "final_10k"
+    assert one(spark, X.slug("x"), x=" Big 20K!") == "big_20k"
     assert one(spark, X.storage_segment(F.lit(None).cast("string"))) == "anonymous"
     assert one(spark, X.reject_reason("x"), x="Too Vague") == "too_vague"
     assert one(spark, X.human_duration("x"), x=3723) == "1h02m03s"
