@@ -46,7 +46,7 @@ def hidden_copies(obs: DataFrame, *, hash_bits: int = 128) -> DataFrame:
 
     Two rows are copies if the letters and digits of their outputs agree, ignoring case, and those of their inputs
     agree in either order. Null or blank fields: no part. Repeated obs_id: each repeat stands for itself, but a row
-    never is its own copy. An empty table gives an empty result. Other columns don't matter. Groups whose hash
+    never is its own copy; a null obs_id can't be named and gives no row. An empty table gives an empty result. Other columns don't matter. Groups whose hash
     joined unequal keys (found by the check) are grouped again by their full keys.
     """
     rows = keyed(obs, hash_bits=hash_bits)

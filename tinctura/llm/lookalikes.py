@@ -15,6 +15,8 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tinctura.operators.skew import lookup
+
 # Letters of other scripts, or of phonetic notation, that look like plain Latin ones.
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝѵкАВЕЗІЈКМНОРСТУХЅԌԚԜҮ", "aeopcyxijshdqwvkABE3IJKMHOPCTYXSGQWY", strict=True))
 GREEK = dict(zip("ανορυικχγτωΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "avopuikxytwABEZHIKMNOPTYX", strict=True))
@@ -168,8 +170,8 @@ def lookalikes(obs: DataFrame, reference: DataFrame) -> DataFrame:
     text = odd.withColumn("canonical", canonical_column(odd, "output", bigram_counts(obs, "output"))).filter("output <> canonical").select("obs_id", F.lit("output").alias("field_name"))
     listed = reference.select("emoji").distinct()
     shown = obs.select("obs_id", "emoji_output").filter("emoji_output is not null and not emoji_output rlike '^[\\\\x00-\\\\x7f]*$'")
-    like = shown.join(F.broadcast(listed.withColumnRenamed("emoji", "emoji_output")), "emoji_output", "left_anti").withColumn("key", emoji_key("emoji_output"))
-    emoji = like.join(F.broadcast(emoji_forms(reference).select("key")), "key", "left_semi").select("obs_id", F.lit("emoji_output").alias("field_name"))
+    like = lookup(shown, listed.withColumnRenamed("emoji", "emoji_output"), ["emoji_output"], how="left_anti").withColumn("key", emoji_key("emoji_output"))
+    emoji = lookup(like, emoji_forms(reference).select("key"), ["key"], how="left_semi").select("obs_id", F.lit("emoji_output").alias("field_name"))
     return text.unionByName(emoji)
 
 
@@ -177,4 +179,4 @@ def one_form(obs: DataFrame, reference: DataFrame) -> DataFrame:
     """``obs_id, output, emoji_output`` with every value in its one consistent form."""
     forms = emoji_forms(reference).select("key", F.col("emoji").alias("listed"))
     out = obs.select("obs_id", canonical_column(obs, "output").alias("output"), "emoji_output", emoji_key("emoji_output").alias("key"))
-    return out.join(F.broadcast(forms), "key", "left").select("obs_id", "output", F.coalesce("listed", "emoji_output").alias("emoji_output"))
+    return lookup(out, forms, ["key"]).select("obs_id", "output", F.coalesce("listed", "emoji_output").alias("emoji_output"))

@@ -151,7 +151,7 @@ def overlap_report(evals: DataFrame, canonical: DataFrame) -> DataFrame:
     """Per evaluation split and source: rows, rows with an overlap, and overlapping pairs."""
     pairs = split_overlaps(evals, canonical).groupBy("eval_id").agg(F.count("*").alias("pairs"))
     return (
-        evals.join(pairs, "eval_id", "left")
+        evals.select("eval_id", "split", "source").join(pairs, "eval_id", "left")
         .groupBy("split", "source")
         .agg(F.count("*").alias("eval_rows"), F.count("pairs").alias("overlapping_rows"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
     )

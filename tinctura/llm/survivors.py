@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tinctura.llm.copies import HASH, keyed
 from tinctura.llm.lookalikes import emoji_forms, emoji_key
+from tinctura.operators.skew import lookup
 
 _LOW = -(1 << 63)
 
@@ -19,7 +20,7 @@ def _with_trust(obs: DataFrame, trust: DataFrame, reference: DataFrame) -> DataF
     best = trust.filter("source is not null").groupBy("source").agg(F.max("trust").alias("trust"))
     forms = emoji_forms(reference).filter("not coalesce(is_placeholder, false)").select("key", F.col("emoji").alias("shown"))
     rows = obs.select("obs_id", "input_a", "input_b", "output", "emoji_output", "source", "observed_at").withColumn("key", emoji_key("emoji_output"))
-    rows = rows.join(F.broadcast(best), "source", "left").join(F.broadcast(forms), "key", "left")
+    rows = lookup(lookup(rows, best, ["source"]), forms, ["key"])
     return rows.withColumn("trust", F.coalesce(F.col("trust").cast("long"), F.lit(0)))
 
 
@@ -35,7 +36,7 @@ def best_rows(obs: DataFrame, trust: DataFrame, reference: DataFrame) -> DataFra
     output: latest observed_at (null is oldest), then higher trust. emoji_output: of rows that show a listed emoji
     other than a placeholder, higher trust, then latest observed_at; 0 without such a row. source: higher trust, then
     earliest observed_at (null last). Ties: smaller obs_id. Sources null or unlisted have trust 0; rows with a null
-    or blank input or output belong to no group; repeated obs_id count as rows; an empty table gives no group.
+    or blank input or output belong to no group; repeated obs_id count as rows, a null one is never chosen; an empty table gives no group.
     """
     rows = keyed(_with_trust(obs, trust, reference), F.col("trust"), F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at"), F.col("shown").isNotNull().alias("shows"))
     at = F.coalesce("at", F.lit(_LOW))
