@@ -60,16 +60,21 @@ def voted_values(obs: DataFrame, trust: DataFrame, reference: DataFrame, *, half
 
     Each row votes for its normalised value of each field with its source's trust plus one, halved for every
     ``half_life_days`` before the table's last observation (a null date counts as ten half-lives); the value with the
-    most votes wins, ties go to the value later in order. Shown is the winner's smallest spelling. Groups of one row come
+    most votes wins, ties go to the value later in order. Shown is the smallest spelling of the winning output. Groups of one row come
     out as well; null and blank values don't vote.
     """
     last = obs.agg(F.max("observed_at")).first()[0]
     age = F.least((F.unix_micros(F.lit(last).cast("timestamp")) - F.unix_micros(F.col("observed_at").cast("timestamp"))) / F.lit(86_400_000_000.0 * half_life_days), F.lit(60.0))
     rows = keyed(_with_trust(obs, trust, reference), "output", "shown", "source", ((F.col("trust") + 1) * F.pow(F.lit(0.5), F.coalesce(age, F.lit(10.0)))).alias("vote"))
     keys = [*HASH, "chk"]
-    values = [F.struct(F.lit(f).alias("field"), norm.alias("norm"), F.col(c).alias("value")) for f, c, norm in (("output", "output", F.lower(F.trim("output"))), ("emoji_output", "shown", F.col("shown")), ("source", "source", F.col("source")))]
-    long = rows.select(*keys, "obs_id", "vote", F.explode(F.array(*values)).alias("x")).select(*keys, "obs_id", "vote", "x.*")
-    votes = long.groupBy(*keys, "field", "norm").agg(F.round(F.sum("vote"), 9).alias("votes"), F.min("value").alias("value"), F.min("obs_id").alias("first"), F.count("*").alias("n"))
-    votes = votes.withColumn("votes", F.when(F.col("norm").isNotNull(), F.col("votes")))
-    best = votes.groupBy(*keys, "field").agg(F.max_by("value", F.when(F.col("norm").isNotNull(), F.struct("votes", "norm"))).alias("value"), F.min("first").alias("first"), F.sum("n").alias("n"))
-    return best.groupBy(*keys).agg(F.min("first").alias("first_obs_id"), F.max("n").alias("n_copies"), *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("output", "emoji_output", "source")]).drop(*keys)
+    # The spelling goes along only where it may differ from the normalised value; rows without a value don't vote.
+    fields = {"output": F.lower(F.trim("output")), "emoji_output": F.col("shown"), "source": F.col("source")}
+    spelt = {"output": F.col("output")}
+    none = F.lit(None).cast("string")
+    values = [F.when(norm.isNotNull(), F.struct(F.lit(i).cast("byte").alias("field"), norm.alias("norm"), spelt.get(f, none).alias("value"))) for i, (f, norm) in enumerate(fields.items())]
+    long = rows.select(*keys, "obs_id", "vote", F.explode(F.array_compact(F.array(*values))).alias("x")).select(*keys, "obs_id", "vote", "x.*")
+    is_output = F.col("field") == 0  # every row has an output, so these rows count it
+    votes = long.groupBy(*keys, "field", "norm").agg(F.round(F.sum("vote"), 9).alias("votes"), F.min("value").alias("value"), F.min(F.when(is_output, F.col("obs_id"))).alias("first"), F.count("*").alias("n"))
+    shown = F.coalesce("value", "norm")
+    winners = [F.max_by(F.when(F.col("field") == i, shown), F.when(F.col("field") == i, F.struct("votes", "norm"))).alias(f) for i, f in enumerate(fields)]
+    return votes.groupBy(*keys).agg(F.min("first").alias("first_obs_id"), F.sum(F.when(is_output, F.col("n"))).alias("n_copies"), *winners).drop(*keys)
