@@ -107,7 +107,8 @@ def term_counts(df: DataFrame, fields: list[str], *, broadcast_bytes: int = BROA
         coded = tokens.join(F.broadcast(terms), "term").select("field", "id", F.lit(1).alias("occurrences"), F.col("first").cast("int").alias("records"))
     else:
         block = tokens.withColumn("block", F.spark_partition_id()).groupBy("block", "field", "term").agg(F.count("*").alias("occurrences"), F.sum(F.col("first").cast("int")).alias("records"))
-        coded = block.join(terms, "term").select("field", "id", "occurrences", "records")
+        # In the order of identifiers, so that a task fills one range after the other.
+        coded = block.join(terms, "term").select("field", "id", "occurrences", "records").sortWithinPartitions("id")
     blocks = coded.mapInArrow(_count_block, _COUNTS)
     # A range's blocks are summed in two steps, so that a range in every block isn't one task's work alone.
     some = blocks.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16))).repartition("range", "salt").drop("salt").mapInArrow(_sum_ranges, _COUNTS)
