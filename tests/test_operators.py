@@ -147,6 +147,19 @@ def test_graph(spark):
         G.untried(edges.select(F.col("a").alias("element")), edges, 1)
 
 
+def test_levels_deeper_than_64(spark):
+    """A chain of 66 recipes, and a node whose cheaper sum comes only from the end of the chain."""
+    chain = [(f"n{i}", "n0", f"n{i + 1}") for i in range(66)]
+    starters = spark.createDataFrame([("n0", 0)], "node string, cost long")
+    edges = spark.createDataFrame(chain, "a string, b string, c string")
+    dear = [("n0", "n0", "d1"), *((f"d{i}", f"d{i}", f"d{i + 1}") for i in range(1, 8)), ("d8", "n0", "end"), ("n66", "n0", "end")]
+    got = {r.node: r.cost for r in G.levels(spark.createDataFrame(chain + dear, edges.schema), starters.withColumn("cost", F.lit(1)), cost="sum").collect()}
+    assert {n: c for n, c in got.items() if n[0] == "n"} == {f"n{i}": i + 1 for i in range(67)}
+    assert (got["d8"], got["end"]) == (256, 68)
+    with pytest.raises(ValueError, match="negative"):
+        G.levels(edges, starters.withColumn("cost", F.lit(-1)), cost="sum")
+
+
 def test_teacher_outputs(spark):
     df = spark.createDataFrame([("fire", "water", ["Steam"], [("steam", "teacher"), ("Fog", "observed"), ("mist", "teacher"), ("m-ist", "teacher"), ("fire", "teacher"), ("wet running", "teacher")])], "input_a string, input_b string, observed array<string>, proposed array<struct<output:string,source:string>>")
     got = sorted((r["rank"], r.output, r.source) for r in N.merged_candidates(df, ["input_a", "input_b"]).collect())

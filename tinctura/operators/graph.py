@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tinctura.functions.hashing import packed_id
@@ -17,28 +19,30 @@ def pool(recipes: DataFrame) -> DataFrame:
     return rows.filter("a is not null and b is not null and c is not null and a <> c and b <> c").dropDuplicates()
 
 
-def levels(edges: DataFrame, starters: DataFrame, *, cost: str = "depth", max_rounds: int = 64) -> DataFrame:
+def levels(edges: DataFrame, starters: DataFrame, *, cost: str = "depth") -> DataFrame:
     """``node, cost`` of every node that can be made; starters have ``cost``.
 
-    cost ``depth``: 1 + the deeper input; ``sum``: the sum of both inputs. Rounds of joins until nothing improves, so
-    recipes with an input out of reach don't hold it up. A round joins on each input in turn, keeps the least cost per
+    cost ``depth``: 1 + the deeper input; ``sum``: the sum of both inputs. Rounds of joins until nothing improves,
+    however deep the graph, so recipes with an input out of reach don't hold it up. Sums of negative starters could
+    improve forever and are an error. A round joins on each input in turn, keeps the least cost per
     node with map-side combining, and is written, which cuts the lineage. The state is broadcast if no round can know
     more nodes than fit; else both joins are by shuffle.
     """
     plus = (lambda x, y: F.greatest(x, y) + 1) if cost == "depth" else (lambda x, y: x + y)
     known = materialize(starters.select("node", F.col("cost").cast("long").alias("cost")).groupBy("node").agg(F.min("cost").alias("cost")), "levels")
+    if cost == "sum" and known.filter("cost < 0").take(1):
+        raise ValueError("starters with negative costs")
     edges = materialize(edges.select("a", "b", "c"), "edges")
     nodes = edges.select("c").distinct().count() + known.count()
     small = F.broadcast if nodes * 64 <= BROADCAST_BYTES else lambda df: df
-    for i in range(max_rounds):
+    for i in count():
         left, right = known.select(F.col("node").alias("a"), F.col("cost").alias("x")), known.select(F.col("node").alias("b"), F.col("cost").alias("y"))
         made = edges.join(small(left), "a").join(small(right), "b").select(F.col("c").alias("node"), plus(F.col("x"), F.col("y")).alias("cost"), F.lit(None).cast("long").alias("was"))
         both = known.select("node", "cost", F.col("cost").alias("was")).unionByName(made)
         state = materialize(both.groupBy("node").agg(F.min("cost").alias("cost"), F.min("was").alias("was")), f"levels-{i}")
         known = state.select("node", "cost")
         if not state.filter("was is null or cost < was").take(1):
-            break
-    return known
+            return known
 
 
 def witness_paths(recipes: list[tuple[str, str, str]], starters: list[str], max_depth: int) -> dict[str, list[tuple[str, str, str]]]:
