@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tinctura.operators import arena as A, canonical as S, enrich as N, evaluate as E, graph as G, skew, weights as W
+from tinctura.plans import graphs
 
 OBS = "obs_id long, input_a string, input_b string, output string, emoji_a string, emoji_b string, emoji_output string, source string"
 
@@ -160,6 +162,36 @@ def test_levels_deeper_than_64(spark):
         G.levels(edges, starters.withColumn("cost", F.lit(-1)), cost="sum")
 
 
+def test_whole_graph(spark, tmp_path, rows):
+    """Against brute force, on more elements than the 60 of the folded graph, with cycles and recipes out of reach."""
+    rng = random.Random(5)
+    made = [(f"e{rng.randrange(i)}", f"e{rng.randrange(i)}", f"e{i}") for i in range(8, 120) for _ in range(2)] + [(f"e{rng.randrange(8, 120)}", f"e{rng.randrange(120)}", f"e{rng.randrange(8, 120)}") for _ in range(60)]
+    lines = [*made, ("e0", "x", "y"), ("y", "e1", "x"), ("e2", "e3", "e2"), ("e0", "e1", None)]
+    spark.createDataFrame(lines, "input_a string, input_b string, canonical_output string").write.parquet(str(tmp_path / "recipe_canonical_v0.parquet"))
+    edges = {(min(a, b), max(a, b), c) for a, b, c in lines if c and c not in (a, b)}
+    starters = {x for a, b, _ in edges for x in (a, b)} - {c for *_, c in edges}
+
+    def levels(start, plus):
+        known, was = dict.fromkeys(starters, start), None
+        while was != known:
+            was = dict(known)
+            for a, b, c in edges:
+                if a in known and b in known:
+                    known[c] = min(known.get(c, 1 << 60), plus(known[a], known[b]))
+        return known
+
+    d = str(tmp_path)
+    depth, costs = levels(0, lambda x, y: max(x, y) + 1), levels(1, lambda x, y: x + y)
+    assert len(depth) > 60 and "x" not in depth
+    assert set(rows(graphs.whole_edges(spark, d))) == edges
+    assert dict(rows(graphs.whole_depths(spark, d))) == depth and dict(rows(graphs.whole_sum_costs(spark, d))) == costs
+    assert set(rows(graphs.whole_priced(spark, d))) == {(a, b, c, costs.get(a), costs.get(b), costs.get(c)) for a, b, c in edges if costs.get(c, 0) <= 100}
+    assert {e: (i, o) for e, i, o in rows(graphs.whole_uses(spark, d))} == {e: (sum(e in x[:2] for x in edges), sum(e == x[2] for x in edges)) for x in edges for e in x}
+    assert graphs.whole_links(spark, d).count() == sum(2 + (a != b) for a, b, _ in edges) and graphs.whole_packed(spark, d).distinct().count() == len(edges)
+    goal = graphs.whole_daily_goal(spark, d).first()
+    assert depth[goal.node] == goal.cost
+
+
 def test_teacher_outputs(spark):
     df = spark.createDataFrame([("fire", "water", ["Steam"], [("steam", "teacher"), ("Fog", "observed"), ("mist", "teacher"), ("m-ist", "teacher"), ("fire", "teacher"), ("wet running", "teacher")])], "input_a string, input_b string, observed array<string>, proposed array<struct<output:string,source:string>>")
     got = sorted((r["rank"], r.output, r.source) for r in N.merged_candidates(df, ["input_a", "input_b"]).collect())

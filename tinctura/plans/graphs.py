@@ -1,4 +1,4 @@
-"""Queries over the recipe graph: edges of line items, elements 0..59, starters 0..3."""
+"""Queries over the recipe graph: edges of line items, elements 0..59, starters 0..3; ``whole_*`` over all canonical recipes."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tinctura.operators import graph as G
 from tinctura.plans.base import Plans
-from tinctura.storage import table
+from tinctura.storage import materialize, table
 
 plans = Plans()
 queries, oracle_sql = plans.queries, plans.oracle_sql
@@ -102,8 +102,12 @@ def priced_recipes(spark: SparkSession, d: str) -> DataFrame:
 @plans.add()
 def packed_recipes(spark: SparkSession, d: str) -> DataFrame:
     """Recipes in codes of a dictionary in the order of cost and name."""
-    e = _edges(spark, d).select(*[F.col(c).cast("string").alias(c) for c in "abc"])
-    costs = sum_costs(spark, d).select(F.col("node").cast("string").alias("name"), "cost")
+    return _packed(_edges(spark, d), sum_costs(spark, d))
+
+
+def _packed(edges: DataFrame, costs: DataFrame) -> DataFrame:
+    e = edges.select(*[F.col(c).cast("string").alias(c) for c in "abc"])
+    costs = costs.select(F.col("node").cast("string").alias("name"), "cost")
     names = e.select(F.explode(F.array("a", "b", "c")).alias("name")).distinct().join(costs, "name", "left").withColumn("cost", F.coalesce("cost", F.lit(1 << 60)))
     return G.packed(names, e)[1]
 
@@ -114,3 +118,68 @@ def witness_lengths(spark: SparkSession, d: str) -> DataFrame:
     rows = [(str(r["a"]), str(r["b"]), str(r["c"])) for r in _edges(spark, d).orderBy("a", "b", "c").collect()]  # at most 60 * 6 * 3
     paths = G.witness_paths(rows, [str(s) for s in _STARTS], 20)
     return spark.createDataFrame([(k, len(p)) for k, p in paths.items()], "node string, length int")
+
+
+# The whole graph: every canonical recipe; starters are the inputs that no recipe makes. Where the SQL would need
+# recursion over all of it, there is none, and tests compare with brute force.
+_WHOLE = """wh AS (SELECT DISTINCT least(input_a, input_b) AS a, greatest(input_a, input_b) AS b, canonical_output AS c FROM recipe_canonical_v0
+    WHERE input_a <> canonical_output AND input_b <> canonical_output)"""
+
+
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.pool(table(spark, d, "recipe_canonical_v0").select(F.col("input_a").alias("a"), F.col("input_b").alias("b"), F.col("canonical_output").alias("c")))
+
+
+def _unmade(edges: DataFrame, cost: int) -> DataFrame:
+    inputs = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return inputs.join(edges.select(F.col("c").alias("node")).distinct(), "node", "left_anti").withColumn("cost", F.lit(cost).cast("long"))
+
+
+@plans.add(f"WITH {_WHOLE} SELECT a, b, c FROM wh")
+def whole_edges(spark: SparkSession, d: str) -> DataFrame:
+    """D19, F18, F20."""
+    return _whole(spark, d)
+
+
+@plans.add()
+def whole_depths(spark: SparkSession, d: str) -> DataFrame:
+    """D26, J15."""
+    e = materialize(_whole(spark, d), "whole")
+    return G.levels(e, _unmade(e, 0))
+
+
+@plans.add()
+def whole_sum_costs(spark: SparkSession, d: str) -> DataFrame:
+    """D25."""
+    e = materialize(_whole(spark, d), "whole")
+    return G.levels(e, _unmade(e, 1), cost="sum")
+
+
+@plans.add()
+def whole_daily_goal(spark: SparkSession, d: str) -> DataFrame:
+    """D18."""
+    return G.goal(whole_depths(spark, d), 5, F.lit(0.4))
+
+
+@plans.add(f"""WITH {_WHOLE}, x AS (SELECT a AS element, 1 AS i, 0 AS o FROM wh UNION ALL SELECT b, 1, 0 FROM wh WHERE a <> b UNION ALL SELECT c, 0, 1 FROM wh) SELECT element, CAST(sum(i) AS BIGINT) AS as_input, CAST(sum(o) AS BIGINT) AS made_by FROM x GROUP BY 1""")
+def whole_uses(spark: SparkSession, d: str) -> DataFrame:
+    """A27, J20."""
+    return G.uses(_whole(spark, d))
+
+
+@plans.add(f"""WITH {_WHOLE} SELECT a AS element, 'to' AS kind, a, b, c FROM wh UNION ALL SELECT b, 'to', a, b, c FROM wh WHERE a <> b UNION ALL SELECT c, 'from', a, b, c FROM wh""")
+def whole_links(spark: SparkSession, d: str) -> DataFrame:
+    """A27."""
+    return G.links(_whole(spark, d))
+
+
+@plans.add()
+def whole_priced(spark: SparkSession, d: str) -> DataFrame:
+    """O11, F17."""
+    return G.listed(_whole(spark, d), whole_sum_costs(spark, d)).filter("coalesce(cost_c, 0) <= 100")
+
+
+@plans.add()
+def whole_packed(spark: SparkSession, d: str) -> DataFrame:
+    """S16."""
+    return _packed(_whole(spark, d), whole_sum_costs(spark, d))
