@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tinctura.plans import files
 from tinctura.sources import readers as R, writers as W
 from tinctura.streaming import streams as T
 
@@ -19,6 +20,15 @@ def test_chats(spark, tmp_path, rows):
     assert got == [("Fire", "Water", "Steam", "💨", "chat_train"), ("a", "b", "plain", None, "chat_train"), ("c", "d", '{"result": "x", "emoji": null}', None, "chat_train")]
 
 
+def test_whole_chat_lines(spark, tmp_path, rows):
+    """What the format must carry; only what it can't tell apart or has no place for is left out."""
+    odd = ['say "hi"', "back\\slash", "line\nbreak\r\u2028end", "crème brûlée", "a-b'c 42", "zero\u200bwidth", "火", "tab\there", "a+b", '{"result": null}', "\\\"result\\\": null", "🏴\u200d☠️", "}{", "null"]
+    kept = [(a, b, c, "💨") for a, b, c in zip(odd, odd[1:] + odd[:1], odd[2:] + odd[:2], strict=True)]
+    out = [("x + y", "z", "w", "💨"), ("x", "y", "  ", "💨"), ("x", "y", "z", None), (None, "y", "z", "💨"), ("x +", "y", "z", "💨")]
+    spark.createDataFrame([*kept, *out, (" x ", "y\u00a0", "\tz", "💨 ")], "input_a string, input_b string, output string, emoji_output string").write.parquet(str(tmp_path / "recipe_observations.parquet"))
+    assert rows(files.whole_chat_lines(spark, str(tmp_path))) == sorted([*kept, ("x", "y", "z", "💨")], key=repr)
+
+
 def test_csv(spark, tmp_path, rows):
     (tmp_path / "r.csv").write_text('# comment\n\nfire+water,steam\na+b+c,x\nalone\n"x + y","z, w"\n')
     assert rows(R.csv_recipes(spark, str(tmp_path)), "input_a", "input_b", "output") == [("fire", "water", "steam"), ("x", "y", "z, w")]

@@ -25,6 +25,10 @@ _PLAIN = r"input_a NOT LIKE '%+%' AND input_b NOT LIKE '%+%' AND regexp_matches(
 def chat_lines(spark: SparkSession, d: str) -> DataFrame:
     """Observations of plain letters as chats and back."""
     o = table(spark, d, "recipe_observations").filter("input_a not like '%+%' and input_b not like '%+%' and emoji_output is not null").filter(F.concat("input_a", "input_b", "output").rlike(r"^[A-Za-z ]*\z"))
+    return _chatted(spark, o)
+
+
+def _chatted(spark: SparkSession, o: DataFrame) -> DataFrame:
     m = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     said = F.to_json(F.struct(F.col("output").alias("result"), F.col("emoji_output").alias("emoji")))
     rows = o.select(F.array(m("system", F.lit("Combine.")), m("user", F.concat_ws(" + ", "input_a", "input_b")), m("assistant", said)).alias("messages"))
@@ -32,6 +36,13 @@ def chat_lines(spark: SparkSession, d: str) -> DataFrame:
     return R.chats(spark, path).select("input_a", "input_b", "output", "emoji_output")
 
 
+@plans.add(f"SELECT {strip('input_a')} AS input_a, {strip('input_b')} AS input_b, {strip('output')} AS output, {strip('emoji_output')} AS emoji_output FROM recipe_observations WHERE string_split(input_a || ' + ' || input_b, ' + ') = [input_a, input_b] AND emoji_output IS NOT NULL AND {strip('input_a')} <> '' AND {strip('input_b')} <> '' AND {strip('output')} <> ''")
+def whole_chat_lines(spark: SparkSession, d: str) -> DataFrame:
+    """All observations as chats and back, but those whose inputs the chat's `` + `` can't tell apart."""
+    o = table(spark, d, "recipe_observations").filter("output is not null and emoji_output is not null")
+    return _chatted(spark, o.filter(F.split(F.concat("input_a", F.lit(" + "), "input_b"), r" \+ ") == F.array("input_a", "input_b")))
+
+
 @plans.add("SELECT input_a, input_b, canonical_output AS output FROM recipe_canonical_v0")
 def csv_recipes(spark: SparkSession, d: str) -> DataFrame:
     """Canonical pairs as CSV and back."""
