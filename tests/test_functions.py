@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tinctura.functions import concepts as C, hashing as H, text as X, vectors as V
+from tinctura.plans import texts
 
 
 def one(spark, column, **values):
@@ -118,3 +119,11 @@ def test_creativity(spark):
     assert novelty == [pytest.approx(0.25), pytest.approx(0.14644662)]
     assert one(spark, V.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
     assert one(spark, V.mean_pairwise_distance(two((1.0, 0.0)))) == 0.0
+
+
+def test_whole_titles(spark, tmp_path):
+    """Rules that hold only beyond the fourth word."""
+    titles = {1: "one more day at the harbour with old friends", 2: "a b c d; e", 3: "who is in the: end", 4: "a b c d e", 5: "misty lake", 6: None}
+    spark.createDataFrame(list(titles.items()), "doc_id long, title string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {1: "too_long", 2: "hard_symbol", 3: "title_or_sentence_like", 4: "too_many_words", 5: None, 6: "empty"}
+    assert {r.doc_id: r.reason for r in texts.whole_title_quality(spark, str(tmp_path)).collect()} == want

@@ -141,6 +141,12 @@ def title_quality(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", phrase.alias("phrase")).select("doc_id", C.concept_defect("phrase").alias("reason"))
 
 
+@plans.add(f"""SELECT doc_id, {B.defect('title')} AS reason FROM documents""")
+def whole_title_quality(spark: SparkSession, d: str) -> DataFrame:
+    """F2 on whole titles."""
+    return table(spark, d, "documents").select("doc_id", C.concept_defect("title").alias("reason"))
+
+
 @plans.add(f"""SELECT obs_id, {B.recipe_defect('a', 'b', 'o')} AS reason FROM (SELECT obs_id, {B.key('input_a')} AS a, {B.key('input_b')} AS b, {B.key('output')} AS o FROM recipe_observations)""")
 def recipe_quality(spark: SparkSession, d: str) -> DataFrame:
     """F3."""
