@@ -110,3 +110,11 @@ def test_stuffed_tables(spark):
     docs = spark.createDataFrame([(1, STUFF * 200, "en"), (1, STUFF, "en")], "doc_id long, text string, lang string")
     assert [r.doc_id for r in stuffing.stuffed(docs).collect()] == [1]
     assert stuffing.stuffed(docs.limit(0)).count() == 0
+
+
+def test_short_texts_of_links(spark, rows):
+    """Fewer than six words: links decide, lists and repetition don't."""
+    texts = ["https://shop.example/cheap", "#sale #cheap #shoes", "<a href='x'>", "lamp, lamp, lamp", "a calm lake", "see www.example.org for the rest", ""]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert rows(stuffing.stuffed(df)) == [(0,), (1,), (2,)]
+    assert stuffing.spam_shares(df).columns == ["doc_id", "words", "spam_words"]

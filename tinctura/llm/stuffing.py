@@ -47,7 +47,7 @@ LINKED, TOP_WORD, SEPARATED = 0.5, 0.2, 0.25
 REPEATED = 0.35
 #: Share of a document's words in such windows.
 MOSTLY = 0.5
-#: Shorter texts repeat nothing and are never spam.
+#: Shorter texts repeat nothing; they are spam only if most of their words are linked.
 LEAST_WORDS = 6
 
 _FEATURES = "doc_id long, lang string, words int, functional int, linked int, top int, separators int, pairs int, repeated boolean"
@@ -120,13 +120,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def spam_shares(documents: DataFrame) -> DataFrame:
-    """``doc_id, words, spam_words`` of each document that has words.
-
-    Null, empty and wordless texts don't come out; a repeated doc_id sums over its rows; texts are read whole.
-    A window's language is the one whose function words it holds most, else that of the text, else the given one;
-    the usual share of function words is the median over all windows of a language, of all documents, without links.
-    """
+def _shares(documents: DataFrame) -> DataFrame:
+    """``spam_shares`` with ``linked_words``, those in links."""
     seen = materialize(spread(documents.select("doc_id", "text", "lang")).mapInArrow(_measure, _FEATURES), "stuffing")
     usual = seen.filter("linked = 0 and words >= 6").groupBy("lang").agg(F.percentile_approx(F.col("functional") / F.col("words"), 0.5, 1000).alias("usual"))
     rows = seen.join(F.broadcast(usual), "lang", "left")  # a row per listed language
@@ -134,9 +129,20 @@ def spam_shares(documents: DataFrame) -> DataFrame:
     share = F.col("functional") / own / F.greatest(F.coalesce("usual", F.lit(0.3)), F.lit(0.2))
     listed = (F.col("top") / own > TOP_WORD) | (F.col("separators") / F.col("words") > SEPARATED) | (F.col("pairs") / own > 0.3) | F.col("repeated")
     spam = (F.col("linked") / F.col("words") > LINKED) | (F.col("top") / own > REPEATED) & (F.col("words") >= 6) | ((share < MISSING) & listed) | ((share < ABSENT) & (F.col("words") >= 12))
-    return rows.groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum(F.when(spam, F.col("words")).otherwise(0)).alias("spam_words"))
+    return rows.groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum(F.when(spam, F.col("words")).otherwise(0)).alias("spam_words"), F.sum("linked").alias("linked_words"))
+
+
+def spam_shares(documents: DataFrame) -> DataFrame:
+    """``doc_id, words, spam_words`` of each document that has words.
+
+    Null, empty and wordless texts don't come out; a repeated doc_id sums over its rows; texts are read whole.
+    A window's language is the one whose function words it holds most, else that of the text, else the given one;
+    the usual share of function words is the median over all windows of a language, of all documents, without links.
+    """
+    return _shares(documents).drop("linked_words")
 
 
 def stuffed(documents: DataFrame) -> DataFrame:
-    """``doc_id`` of the documents most of whose words stand in keywords, links or tags; of six words at least."""
-    return spam_shares(documents).filter((F.col("spam_words") > MOSTLY * F.col("words")) & (F.col("words") >= LEAST_WORDS)).select("doc_id")
+    """``doc_id`` of the documents most of whose words stand in keywords, links or tags; of fewer than six words, in links."""
+    long = (F.col("words") >= LEAST_WORDS) & (F.col("spam_words") > MOSTLY * F.col("words"))
+    return _shares(documents).filter(long | (F.col("words") < LEAST_WORDS) & (F.col("linked_words") > LINKED * F.col("words"))).select("doc_id")
