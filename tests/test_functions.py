@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tinctura.functions import concepts as C, hashing as H, text as X, vectors as V
-from tinctura.plans import texts
+from tinctura.plans import texts, training
 
 
 def one(spark, column, **values):
@@ -127,3 +127,11 @@ def test_whole_titles(spark, tmp_path):
     spark.createDataFrame(list(titles.items()), "doc_id long, title string").write.parquet(str(tmp_path / "documents.parquet"))
     want = {1: "too_long", 2: "hard_symbol", 3: "title_or_sentence_like", 4: "too_many_words", 5: None, 6: "empty"}
     assert {r.doc_id: r.reason for r in texts.whole_title_quality(spark, str(tmp_path)).collect()} == want
+
+
+def test_words_use_all_embeddings(spark, tmp_path):
+    words = [f"w{i}" for i in range(20)]
+    spark.createDataFrame([(i, [float(i)] * 64) for i in range(1000)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(w, None, None) for w in words], "prediction string, sampled_outputs array<string>, known_outputs array<string>").write.parquet(str(tmp_path / "predictions.parquet"))
+    want = {w: float(int(hashlib.sha256(w.encode()).hexdigest()[:8], 16) % 1000) for w in words}
+    assert {r.text: r.vector[0] for r in training._embedded(spark, str(tmp_path)).collect()} == want and max(want.values()) >= 500

@@ -208,7 +208,8 @@ def _embedded(spark: SparkSession, d: str) -> DataFrame:
     texts = p.select(F.explode(F.concat(F.coalesce("sampled_outputs", none), F.coalesce("known_outputs", none), F.array(F.coalesce("prediction", F.lit(""))))).alias("text")).filter("text is not null").distinct()
     words_ = texts.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word <> ''").distinct()
     vectors = table(spark, d, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("vector"))
-    coded = words_.withColumn("vec_id", F.conv(F.substring(F.sha2("word", 256), 1, 8), 16, 10).cast("long") % 500).join(vectors, "vec_id").select("word", "vector")
+    ids = (vectors.agg(F.max("vec_id")).first()[0] or 0) + 1
+    coded = words_.withColumn("vec_id", F.conv(F.substring(F.sha2("word", 256), 1, 8), 16, 10).cast("long") % ids).join(vectors, "vec_id").select("word", "vector")
     return E.text_vectors(texts, coded, 64)
 
 
