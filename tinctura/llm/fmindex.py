@@ -1,62 +1,84 @@
-"""A compressed full-text index (Burrows-Wheeler text, sampled ranks and positions) searched in batches with numpy."""
+"""A compressed full-text index (Burrows-Wheeler text, sampled ranks and text numbers) searched in batches with numpy.
+
+Letters are the bytes of UTF-8, so any script is told apart exactly. Suffixes are compared up to the end of their text
+only: a search never runs over it, and what is equal so far stays in the order of the texts, which keeps the steps of
+backward search consistent.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 BLOCK = 64  # letters between two rank samples
-STEP = 8  # text positions between two position samples
-MAX_CODES = 64  # letters told apart; the rarest share the last code, so a search finds a superset
+STEP = 8  # letters of a text between two samples of its number
+TABLE = 1 << 21  # entries of the table of short endings at most
+
 
+def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Order of the suffixes, and by order the number that their first ``k`` letters make. Code 0 ends a text.
 
-def suffix_array(codes: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling, from eight codes on; codes are below MAX_CODES, the last is unique and the smallest."""
-    n, width = len(codes), 8
+    As many letters as fit a 64-bit number are sorted at once; only suffixes still equal are sorted on, doubling.
+    """
+    n, base = len(codes), int(codes.max()) + 1
+    width = int(62 // math.log2(max(base, 2)))
+    k = max(1, min(3, width, int(math.log(TABLE, max(base, 2)))))
+    ends = np.flatnonzero(codes == 0)
+    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # letters before the end
     key = np.zeros(n, np.int64)
     for i in range(width):
-        key *= MAX_CODES
-        key[: max(n - i, 0)] += codes[i:]
-    while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        if rank[order[-1]] == n - 1 or width >= n:
-            return order
-        key = rank * (n + 1)
-        key[: n - width] += rank[width:] + 1
+        key *= base
+        key[: max(n - i, 0)] += np.where(left[: max(n - i, 0)] >= i, codes[i:], 0)
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    short = ordered // base ** (width - k)
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    alone = new & np.concatenate((new[1:], [True]))
+    slots = np.flatnonzero(~alone & (left[order] >= width))
+    while len(slots):
+        at = order[slots]
+        both = rank[at] * n + rank[at + width]
+        again = np.argsort(both, kind="stable")
+        at, both = at[again], both[again]
+        order[slots] = at
+        new = np.concatenate(([True], both[1:] != both[:-1]))
+        rank[at] = slots[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        alone = new & np.concatenate((new[1:], [True]))
         width *= 2
+        slots = slots[~alone & (left[at] >= width)]
+    return order, short, k
 
 
 class FMIndex:
-    """Backward search over ``texts``, which must not hold the separator U+0001."""
+    """Backward search over ``texts``, which must not hold U+0001."""
 
     def __init__(self, texts: list[str]):
-        joined = "\x01".join([*texts, ""])
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        self.starts = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1].astype(np.int64)
-        seen, counts = np.unique(points, return_counts=True)
-        own = seen[np.argsort(-counts, kind="stable")][: MAX_CODES - 2]
-        self.code = {int(c): i + 1 for i, c in enumerate(sorted(own))}
-        other = len(self.code) + 1
-        self.code |= {int(c): other for c in seen if int(c) not in self.code}
-        codes = np.concatenate([np.array([self.code[int(c)] for c in seen], np.uint8)[np.searchsorted(seen, points)], np.zeros(1, np.uint8)])
-        self.codes_n = other + 1
-        order = suffix_array(codes)
+        points = np.frombuffer("\x01".join([*texts, ""]).encode() or b"\x01", np.uint8)
+        self.code = np.full(256, 255, np.uint8)
+        seen = np.unique(points)
+        self.code[seen] = np.arange(len(seen), dtype=np.uint8)  # the end mark is the smallest byte
+        codes = self.code[points]
+        self.base = len(seen)
+        order, short, self.k = suffix_order(codes.astype(np.int64))
         self.n = n = len(codes)
-        self.bwt = np.zeros(-(-(n + 1) // BLOCK) * BLOCK, np.uint8) + 255
+        self.table = np.concatenate(([0], np.cumsum(np.bincount(short, minlength=self.base**self.k)))).astype(np.int32)
+        self.bwt = np.full(-(-(n + 1) // BLOCK) * BLOCK, 255, np.uint8)
         self.bwt[:n] = codes[order - 1]
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=self.codes_n))))[:-1].astype(np.int64)
-        blocks = self.bwt.reshape(-1, BLOCK)
-        per = np.zeros((len(blocks) + 1, self.codes_n), np.int32)
-        for c in range(self.codes_n):
-            per[1:, c] = (blocks == c).sum(1)
-        self.sampled = np.cumsum(per, axis=0, dtype=np.int32)
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=self.base))))[:-1].astype(np.int64)
+        cell = np.arange(len(self.bwt)) // BLOCK * (self.base + 1) + np.minimum(self.bwt, self.base)
+        per = np.bincount(cell, minlength=len(self.bwt) // BLOCK * (self.base + 1)).reshape(-1, self.base + 1)[:, : self.base]
+        self.sampled = np.concatenate((np.zeros((1, self.base), np.int32), np.cumsum(per, axis=0, dtype=np.int32)))
+        ends = np.flatnonzero(codes == 0)
+        number = np.searchsorted(ends, np.arange(n)).astype(np.int32)
+        place = np.arange(n) - np.concatenate(([0], ends[:-1] + 1))[number]
         mark = np.zeros(len(self.bwt), bool)
-        mark[:n] = order % STEP == 0
-        self.marks = np.packbits(mark)
+        mark[:n] = (place % STEP == 0)[order]
+        self.marks = mark
         self.mark_rank = np.concatenate(([0], np.cumsum(mark.reshape(-1, BLOCK).sum(1)))).astype(np.int32)
-        self.positions = order[order % STEP == 0].astype(np.int32)
+        self.numbers = number[order[mark[:n]]]
 
     def _rank(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each code stands in the transformed text before position ``at``."""
@@ -69,38 +91,44 @@ class FMIndex:
         return out
 
     def search(self, patterns: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The interval [low, high) of suffixes that begin with each pattern."""
-        lengths = np.array([len(p) for p in patterns], np.int64)
+        """The interval [low, high) of suffixes that begin with each pattern; of all for an empty one.
+
+        The last ``k`` letters are looked up in a table, the others are added by backward search.
+        """
+        coded = [p.encode() for p in patterns]
+        lengths = np.array([len(p) for p in coded], np.int64)
         ends = np.cumsum(lengths)
-        points = np.frombuffer("".join(patterns).encode("utf-32-le"), np.uint32)
-        seen, back = np.unique(points, return_inverse=True)
-        codes = np.array([self.code.get(int(c), 255) for c in seen], np.uint8)[back] if len(seen) else np.zeros(0, np.uint8)
+        codes = self.code[np.frombuffer(b"".join(coded), np.uint8)].astype(np.int64)
         low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        live, step = np.flatnonzero(lengths > 0), 1
+        long = np.flatnonzero(lengths >= self.k)
+        number, fits = np.zeros(len(long), np.int64), np.ones(len(long), bool)
+        for i in range(self.k, 0, -1):
+            c = codes[ends[long] - i]
+            fits &= c < 255
+            number = number * self.base + np.where(c < 255, c, 0)
+        low[long], high[long] = self.table[number], np.where(fits, self.table[number + 1], self.table[number])
+        done = np.where(lengths >= self.k, self.k, 0)
+        live = np.flatnonzero((lengths > done) & (low < high))
         while len(live):
-            c = codes[ends[live] - step]
-            known = c < self.codes_n
+            c = codes[ends[live] - done[live] - 1]
+            known = c < 255
             high[live[~known]] = low[live[~known]]
             live, c = live[known], c[known]
             both = self._rank(np.concatenate((c, c)), np.concatenate((low[live], high[live])))
             low[live], high[live] = self.first[c] + both[: len(live)], self.first[c] + both[len(live) :]
-            step += 1
-            live = live[(lengths[live] >= step) & (low[live] < high[live])]
+            done[live] += 1
+            live = live[(lengths[live] > done[live]) & (low[live] < high[live])]
         return low, high
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
-        """The number of the text that each suffix row starts in, by walking back to a sampled position."""
-        at, walked, out = rows.astype(np.int64), 0, np.empty(len(rows), np.int64)
-        todo = np.arange(len(rows))
-        bits = np.unpackbits(self.marks).astype(bool)
-        inside, marks = np.arange(BLOCK), bits.reshape(-1, BLOCK)
+        """The number of the text that each suffix starts in, by walking back to a sampled place of it."""
+        at, out = rows.astype(np.int64), np.empty(len(rows), np.int64)
+        todo, inside, marks = np.arange(len(rows)), np.arange(BLOCK), self.marks.reshape(-1, BLOCK)
         while len(todo):
-            hit = bits[at]
+            hit = self.marks[at]
             b = at[hit] // BLOCK
-            nth = self.mark_rank[b] + (marks[b] & (inside < (at[hit] % BLOCK)[:, None])).sum(1)
-            out[todo[hit]] = self.positions[nth] + walked
+            out[todo[hit]] = self.numbers[self.mark_rank[b] + (marks[b] & (inside < (at[hit] % BLOCK)[:, None])).sum(1)]
             todo, at = todo[~hit], at[~hit]
-            c = self.bwt[at]
+            c = self.bwt[at].astype(np.int64)
             at = self.first[c] + self._rank(c, at)
-            walked += 1
-        return np.searchsorted(self.starts, out, side="right") - 1
+        return out

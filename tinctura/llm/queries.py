@@ -28,6 +28,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.split_overlaps(table(spark, d, "eval_records"), table(spark, d, "recipe_canonical_v0"))
 
 
+def p2_spans(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.overlap_spans(table(spark, d, "eval_records"), table(spark, d, "recipe_canonical_v0"))
+
+
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.overlap_report(table(spark, d, "eval_records"), table(spark, d, "recipe_canonical_v0"))
 
@@ -89,7 +93,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_collapsed, p2_found, p2_report, p3_found, p3_terms, p4_found, p4_voted, p5_found, p5_forms, p6_found, p7_packed, p7_report, p8_found, p8_spans, p9_found, p9_shares)
+    own = (p1_found, p1_collapsed, p2_found, p2_spans, p2_report, p3_found, p3_terms, p4_found, p4_voted, p5_found, p5_forms, p6_found, p7_packed, p7_report, p8_found, p8_spans, p9_found, p9_shares)
     return {f.__name__: f for f in own}
 
 
