@@ -37,25 +37,42 @@ def test_words_and_forms(spark):
     assert one(spark, X.storage_segment(F.lit(None).cast("string"))) == "anonymous"
     assert one(spark, X.reject_reason("x"), x="Too Vague") == "too_vague"
     assert one(spark, X.human_duration("x"), x=3723) == "1h02m03s"
-    assert one(spark, X.human_size("x"), x=2000) == "2k"
+    assert [one(spark, X.human_duration("x"), x=v) for v in (-3.0, 0.5, 1.5, 59.6, 3599.5)] == ["0s", "0s", "2s", "1m00s", "1h00m00s"]
+    assert [one(spark, X.human_size("x"), x=v) for v in (2000, 1_000_000, 999, 1500, 0)] == ["2k", "1000k", "999", "1500", "0"]
+    assert one(spark, X.generated_concept("x", 0), x="a b c d e") == "a b c d e"
+
+
+def test_prompts(spark):
+    """Spans cut exactly the concept and the rationale out of the text, whatever the order."""
+    for why, first in ((None, False), ("", True), ("they mix 火", False), ("they mix 火", True)):
+        r = one(spark, X.prompt_spans("a", "b", "o", F.col("w").cast("string"), rationale_first=first), a="fire", b="wåter", o="steam", w=why)
+        assert r.text[r.start : r.end] == "steam" and r.text[r.rationale_start : r.rationale_end] == (why or "")
+        assert r.text.startswith("Input A: fire\nInput B: wåter\n" + ("Rationale: " if why and first else "Final concept: "))
+    assert one(spark, X.chat_prompt("a", "b"), a="x", b="y").endswith("Concept A: x\nConcept B: y\n\nReturn only the resulting concept.")
 
 
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("Poisoned animal model with a long tail", "Poisoned animal model"),
+        ("Poisoned animal model with a long tail", "Poisoned animal model"), ("poisoned animal model for lead poisoning animal model.\nRationale: because...", "poisoned animal model"),
+        ("clockwork watch with clockwork timer or", "clockwork watch"), ("of mice", ""), ("fire-and-ice", "fire"), ("fire - water", "fire water"), ("a, b, c", "a b c"), ("Sand (wet)", "Sand"), ("candy forest", "candy forest"), ("_x_ -y-", "x y"),
         ("clockwork watch. It ticks", "clockwork watch"),
         ("**steam** and more", "steam"),
         (None, ""),
         ("-_ fog, ", "fog"),
     ],
-)
+)
 def test_generated_concept(spark, text, want):
     assert one(spark, X.generated_concept(F.col("x").cast("string")), x=text) == want
 
 
 def test_replies(spark):
-    assert one(spark, X.model_concept("x"), x="<think>hm</think>\n<|im_start|>\nConcept: \"Steam\"\nextra") == "Steam"
+    cases = {
+        '<think>hm</think>\n<|im_start|>\n"Concept: Steam"\nextra': "steam", "'\nResulting  concept :\n Big  Fog ": "big fog", "<think>open\nx": "<think>open", "concept:": "", "`Concept: a`": "a", 'Concept: "Steam"': '"steam',
+        "“Fog”": "“fog”", "<THINK>a\nb</Think> Ice": "ice",
+    }
+    for reply, want in cases.items():
+        assert one(spark, X.model_concept("x"), x=reply) == want
     assert one(spark, X.without_fence("x"), x='```json\n{"a": 1}\n```') == '{"a": 1}'
     assert one(spark, X.outer_object("x"), x='so {"a": {"b": 1}} ok') == '{"a": {"b": 1}}'
     assert one(spark, X.outer_object("x"), x="none") is None
@@ -126,7 +143,7 @@ def test_whole_titles(spark, tmp_path):
     titles = {1: "one more day at the harbour with old friends", 2: "a b c d; e", 3: "who is in the: end", 4: "a b c d e", 5: "misty lake", 6: None}
     spark.createDataFrame(list(titles.items()), "doc_id long, title string").write.parquet(str(tmp_path / "documents.parquet"))
     want = {1: "too_long", 2: "hard_symbol", 3: "title_or_sentence_like", 4: "too_many_words", 5: None, 6: "empty"}
-    assert {r.doc_id: r.reason for r in texts.whole_title_quality(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.reason for r in texts.title_quality(spark, str(tmp_path)).collect()} == want
 
 
 def test_words_use_all_embeddings(spark, tmp_path):

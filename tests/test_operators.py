@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
@@ -115,9 +116,31 @@ def test_text_vectors(spark):
 
 
 def test_verdicts(spark):
-    df = spark.createDataFrame([('x {"results": [{"plausible": "false", "plausibility": 3}, {"plausible": true}, {}]} y', 2), ('{"results": []}', 1)], "reply string, n int")
-    got = [r.verdicts for r in E.parsed_verdicts(df, F.col("n")).collect()]
-    assert got[1] is None and len(got[0]) == 2 and got[0][1].plausible and got[0][1].plausibility == 1.0 and got[0][0].plausibility == 1.0
+    """Truth by JSON type, numbers from texts, defaults, clamping; too few results or other items are no verdicts."""
+    values = ['"false"', "false", "0", "0.0", '""', "[]", "{}", "null", "1", '"x"', "[0]", '{"a": 0}', "-0.5"]
+    many = '{"results": [' + ",".join(f'{{"plausible": {v}}}' for v in values) + "]}"
+    scores = ["3", "-1", '"0.5"', '" 0.25 "', '"high"', "null", "[1]", "true", "1e-1"]
+    rated = '{"results": [' + ",".join(f'{{"plausible": true, "plausibility": {v}, "reason": {w}}}' for v, w in zip(scores, ['"r"', "null", "3", '""', '"a"', '"b"', '"c"', '"d"', '"e"'], strict=True)) + "]}"
+    rows = [(many, len(values)), (rated, 9), ('{"results": []}', 1), ('x {"results": [{}, {}]} y', 1), ('{"results": [3]}', 1), ("none", 1), (None, 1), ('{"results": {}}', 1)]
+    got = [r.verdicts for r in E.parsed_verdicts(spark.createDataFrame(rows, "reply string, n int"), F.col("n")).collect()]
+    assert [v.plausible for v in got[0]] == [True] + [False] * 7 + [True] * 5 and [v.plausibility for v in got[0]] == [1.0] + [0.0] * 7 + [1.0] * 5
+    assert [v.plausibility for v in got[1]] == [1.0, 0.0, 0.5, 0.25, 1.0, 1.0, 1.0, 1.0, 0.1] and [v.reason for v in got[1]][:4] == ["r", "None", "3", ""]
+    assert [None if v is None else len(v) for v in got[2:]] == [None, 1, None, None, None, None]
+
+
+def test_novelties(spark):
+    """The JSON's score, else the first number from 0 to 1 anywhere."""
+    cases = ['ok {"novelty_score": 0.4, "reason": "1 of 2"}', '{"novelty_score": "7"}', '{"novelty": 0.4}', "I say 0.75 of 1", "none at all", None, '{"novelty_score": "x", "reason": "0.5"}', '{"novelty_score": -3}']
+    got = [r.x for r in spark.createDataFrame([(c,) for c in cases], "t string").select(E.novelty_of(F.col("t")).alias("x")).collect()]
+    assert [x and x.novelty for x in got] == [0.4, 1.0, 0.4, 0.75, None, None, 0.5, 0.0] and got[0].reason == "1 of 2" and got[3].reason == "I say 0.75 of 1"
+    batch = ['{"results": [{"novelty_score": 0.1}, {"novelty_score": 2, "reason": "r"}, {}]}', '{"results": [{"novelty_score": 0.1}]}', '{"results": [{"novelty_score": 0.1}, {"novelty_score": null}]}']
+    got = [r.x for r in spark.createDataFrame([(c,) for c in batch], "t string").select(E.novelties_of(F.col("t"), F.lit(2)).alias("x")).collect()]
+    assert [tuple(v) for v in got[0]] == [(0.1, ""), (1.0, "r")] and got[1] is None and got[2] is None
+
+
+def test_efficiency(spark):
+    df = spark.createDataFrame([("m", 3, 2.26), ("n", 0, None)], "model string, wins long, avg_combinations double")
+    assert [tuple(r) for r in A.efficiency(df).collect()] == [("m", 2.3, 3)]
 
 
 def test_boards(spark):
@@ -145,8 +168,7 @@ def test_graph(spark):
     paths = G.witness_paths([tuple(r) for r in edges.collect()], ["water", "fire", "earth"], 3)
     assert [p[2] for p in paths["geyser"]] == ["steam", "mud", "geyser"] and G.replays(paths["geyser"], ["water", "fire", "earth"], "geyser")
     assert "geyser" not in G.witness_paths([tuple(r) for r in edges.collect()], ["water", "fire", "earth"], 2)
-    with pytest.raises(ValueError, match="more than"):
-        G.untried(edges.select(F.col("a").alias("element")), edges, 1)
+    assert G.witnesses(edges.limit(0), starters, 3).count() == 0
 
 
 def test_levels_deeper_than_64(spark):
@@ -163,7 +185,7 @@ def test_levels_deeper_than_64(spark):
 
 
 def test_whole_graph(spark, tmp_path, rows):
-    """Against brute force, on more elements than the 60 of the folded graph, with cycles and recipes out of reach."""
+    """Against brute force, with cycles and recipes out of reach."""
     rng = random.Random(5)
     made = [(f"e{rng.randrange(i)}", f"e{rng.randrange(i)}", f"e{i}") for i in range(8, 120) for _ in range(2)] + [(f"e{rng.randrange(8, 120)}", f"e{rng.randrange(120)}", f"e{rng.randrange(8, 120)}") for _ in range(60)]
     lines = [*made, ("e0", "x", "y"), ("y", "e1", "x"), ("e2", "e3", "e2"), ("e0", "e1", None)]
@@ -183,31 +205,112 @@ def test_whole_graph(spark, tmp_path, rows):
     d = str(tmp_path)
     depth, costs = levels(0, lambda x, y: max(x, y) + 1), levels(1, lambda x, y: x + y)
     assert len(depth) > 60 and "x" not in depth
-    assert set(rows(graphs.whole_edges(spark, d))) == edges
-    assert dict(rows(graphs.whole_depths(spark, d))) == depth and dict(rows(graphs.whole_sum_costs(spark, d))) == costs
-    assert set(rows(graphs.whole_priced(spark, d))) == {(a, b, c, costs.get(a), costs.get(b), costs.get(c)) for a, b, c in edges if costs.get(c, 0) <= 100}
-    assert {e: (i, o) for e, i, o in rows(graphs.whole_uses(spark, d))} == {e: (sum(e in x[:2] for x in edges), sum(e == x[2] for x in edges)) for x in edges for e in x}
-    assert graphs.whole_links(spark, d).count() == sum(2 + (a != b) for a, b, _ in edges) and graphs.whole_packed(spark, d).distinct().count() == len(edges)
-    goal = graphs.whole_daily_goal(spark, d).first()
+    assert set(rows(graphs.recipe_edges(spark, d))) == edges
+    assert dict(rows(graphs.depths(spark, d))) == depth and dict(rows(graphs.sum_costs(spark, d))) == costs
+    assert set(rows(graphs.priced_recipes(spark, d))) == {(a, b, c, costs.get(a), costs.get(b), costs.get(c)) for a, b, c in edges if costs.get(c, 0) <= 100}
+    assert {e: (i, o) for e, i, o in rows(graphs.element_uses(spark, d))} == {e: (sum(e in x[:2] for x in edges), sum(e == x[2] for x in edges)) for x in edges for e in x}
+    assert graphs.element_links(spark, d).count() == sum(2 + (a != b) for a, b, _ in edges) and graphs.packed_recipes(spark, d).distinct().count() == len(edges)
+    goal = graphs.daily_goal(spark, d).first()
     assert depth[goal.node] == goal.cost
+    # Witness paths: rounds that all use the round before; of a round's paths the shortest, of equals the first.
+    paths = {x: [] for x in starters}
+    for _ in range(graphs.STEPS):
+        new = {}
+        for a, b, c in edges:
+            if a in paths and b in paths and c not in starters:
+                union = {t[2]: t for t in reversed([*paths[a], *paths[b], (a, b, c)])}
+                path = sorted(union.values(), key=[*paths[a], *paths[b], (a, b, c)].index)
+                if len(path) <= graphs.STEPS and (c not in new or (len(path), path) < (len(new[c]), new[c])):
+                    new[c] = path
+        better = {c: p for c, p in new.items() if c not in paths or len(p) < len(paths[c])}
+        if not better:
+            break
+        paths |= better
+    e = graphs._edges(spark, d)
+    got = {r.node: [tuple(x) for x in r.path] for r in G.witnesses(e, graphs._unmade(e, 0), graphs.STEPS).collect()}
+    assert got == {c: p for c, p in paths.items() if p} and len(got) > 30
+    assert all(G.replays(p, list(starters), c) for c, p in got.items())
+    asked = {x: sum(x in t[:2] for t in edges) for t in edges for x in t[:2]}
+    most = sorted(asked, key=lambda x: (-asked[x], x))[: graphs.ASKED]
+    pairs = {(min(x, y), max(x, y)) for x in most for y in asked} - {t[:2] for t in edges}
+    assert rows(graphs.untried_pairs(spark, d)) == sorted(pairs, key=repr)
+
+
+RECIPES = "id int, input_a string, input_b string, outputs array<string>, reply struct<keep_recipe:boolean,reject_reason:string,candidates:array<struct<output:string,source:string,rationale:string>>>"
 
 
 def test_teacher_outputs(spark):
-    df = spark.createDataFrame([("fire", "water", ["Steam"], [("steam", "teacher"), ("Fog", "observed"), ("mist", "teacher"), ("m-ist", "teacher"), ("fire", "teacher"), ("wet running", "teacher")])], "input_a string, input_b string, observed array<string>, proposed array<struct<output:string,source:string>>")
-    got = sorted((r["rank"], r.output, r.source) for r in N.merged_candidates(df, ["input_a", "input_b"]).collect())
-    assert got == [(1, "steam", "observed"), (2, "mist", "teacher"), (3, "wet running", "teacher")]
+    """What stays of a reply, and the first reason against a recipe."""
+    said = [("steam", "teacher", "hot  water "), ("Fog", "observed", "x"), ("mist", "teacher", "y"), ("m-ist", "teacher", "z"), ("fire", "teacher", "f"), ("wet running", "teacher", "w"), ("rain", "teacher", " "), (None, "teacher", "n")]
+    lines = [
+        (1, " Fire", "water", ["Steam", "steam "], (True, None, said)), (2, "fire", "", ["steam"], (True, None, said)), (3, "fire", "water", ["fire", "x#y", None], (False, "no", said)), (4, "fire", "water", None, None),
+        (5, "fire", "water", ["steam"], None), (6, "fire", "water", ["steam"], (False, "Too  Vague", said)), (7, "fire", "water", ["steam"], (False, None, said)), (8, "fire", "water", ["steam"], (True, None, [("fire", "teacher", "x")])), (9, "fire", "water", ["steam"], (True, None, None)),
+    ]
+    got = {r.id: r for r in N.enriched(spark.createDataFrame(lines, RECIPES), 3).collect()}
+    assert [tuple(c) for c in got[1].candidate_outputs] == [("steam", "observed", "hot water", 1), ("mist", "teacher", "y", 2), ("wet running", "teacher", "w", 3)]
+    assert (got[1].input_a, got[1].outputs, got[1].reject_reason) == ("fire", ["steam"], None)
+    reasons = {2: "no_valid_observed_outputs", 3: "no_valid_observed_outputs", 4: "no_valid_observed_outputs", 5: "teacher_response_error", 6: "too_vague", 7: "teacher_rejected_recipe", 8: "no_valid_teacher_candidates", 9: "no_valid_teacher_candidates"}
+    assert {k: r.reject_reason for k, r in got.items() if k > 1} == reasons and all(r.candidate_outputs is None for k, r in got.items() if k > 1)
+    assert N.enriched(spark.createDataFrame([], RECIPES)).count() == 0
+
+
+def test_completed(spark):
+    lines = [("fire", "water", ["Steam", "fire", "bad#"], ["steam", "fog", "mist", "rain"]), ("fire", "water", ["a1"], None), ("fire", "water", None, []), ("fire", "water", ["one", "two", "three", "four"], ["five"])]
+    df = spark.createDataFrame(lines, "input_a string, input_b string, observed array<string>, taught array<string>")
+    got = [([tuple(c) for c in r.candidate_outputs], r.quality_status) for r in N.completed(df, 3).collect()]
+    assert got == [
+        ([("steam", "observed"), ("fog", "teacher"), ("mist", "teacher")], "complete"), ([], "failed_enrichment"), ([], "failed_enrichment"), ([("one", "observed"), ("two", "observed"), ("three", "observed")], "complete"),
+    ]
+
+
+def test_rationales(spark):
+    """Faultless replies fill in and replace; a fault is named and changes nothing."""
+    cand = lambda *x: [(o, "observed", r) for o, r in x]
+    say = lambda *x: json.dumps({"rationales": [{"output": o, "rationale": r} for o, r in x]})
+    two = cand(("a", "old"), ("b", None))
+    cases = {
+        1: (two, f"```json\n{say(('a', 'new  one'), ('b', 'x'))}\n```"), 2: (two, say(("b", "x"), ("a", "y"))), 3: (two, say(("a", "x"), ("a", "y"))), 4: (two, say(("c", "x"))), 5: (two, '{"rationales": [3]}'), 6: (two, '{"rationales": 3}'), 7: (two, "nope"),
+        8: (two, None), 9: (cand(("a", "k")), "nope"), 10: ([], say()), 11: (cand(("a", None)), "nope"), 12: (cand(("a", None)), say(("a", " "))), 13: (two, '{"rationales": [{"output": "a", "rationale": 1}]}'), 14: (two, say(("a", ""))),
+    }
+    df = spark.createDataFrame([(k, *v) for k, v in cases.items()], "id int, candidate_outputs array<struct<output:string,source:string,rationale:string>>, reply string")
+    got = {r.id: r for r in N.with_rationales(df).collect()}
+    assert [c.rationale for c in got[1].candidate_outputs] == ["new one", "x"] and got[1].quality_status == "complete" and got[1].reason is None
+    assert {k: got[k].error for k in range(2, 9)} == {2: "reordered", 3: "duplicate", 4: "unexpected", 5: "not_an_object", 6: "not_a_list", 7: "not_json", 8: "not_json"} and got[13].error == "not_texts"
+    assert all(([c.rationale for c in got[k].candidate_outputs], got[k].quality_status, got[k].reason, got[k].missing_outputs) == (["old", None], "partial_rationale", "missing_rationales", ["b"]) for k in (2, 3, 4, 5, 6, 7, 8, 13, 14))
+    assert (got[9].quality_status, got[9].error) == ("complete", None) and (got[10].quality_status, got[10].reason) == ("failed_rationale", "teacher_response_error")
+    assert (got[11].quality_status, got[12].quality_status) == ("failed_rationale", "partial_rationale") and got[12].reason == "teacher_response_error"
 
 
 def test_hot_keys_are_salted(spark, monkeypatch):
+    """A key with a third of the rows is split, whatever the size of the table."""
     monkeypatch.setattr(skew, "HOT_PARTS", 10)
     left = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
     groups = left.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    got = skew.salted_join(left, groups, ["k"], "n", F.col("id"), least_rows=1)
+    got = skew.salted_join(left, groups, ["k"], "n", F.col("id"))
     want = left.join(groups, "k")
     assert got.count() == want.count() == 5000 and got.columns == want.columns
     assert got.filter("k = 7").count() == want.filter("k = 7").count()
-
-
-def test_lookup_without_broadcast(spark):
-    left, small = spark.range(10).toDF("k"), spark.range(5).select(F.col("id").alias("k"), F.lit("x").alias("v"))
-    assert skew.lookup(left, small, ["k"], bound=0).filter("v = 'x'").count() == skew.lookup(left, small, ["k"]).filter("v = 'x'").count() == 5
+    assert "_salt" in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+@pytest.mark.parametrize("share", [10, 1000])
+def test_lookup_without_broadcast(spark, monkeypatch, rows, how, share):
+    """A third of the rows ask for one key, some for none, some for one that isn't there; columns clash with nothing."""
+    monkeypatch.setattr(skew, "HOT_PARTS", share)
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 40)
+    left = spark.range(1200).select(F.col("id"), key.alias("k"), F.lit("l").alias("w"))
+    small = spark.range(25).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"), F.when(F.col("id") > 9, F.col("id")).alias("n"))
+    got, want = skew.lookup(left, small, ["k"], bound=0, how=how), left.join(small, ["k"], how)
+    assert got.columns == want.columns and rows(got) == rows(want) == rows(skew.lookup(left, small, ["k"], how=how))
+
+
+def test_measured_bytes(spark):
+    from tinctura.storage import measured, scope
+
+    with scope():
+        df, size = measured(spark.createDataFrame([("abc", [1, 2], None), (None, None, "é")], "a string, b array<int>, c string"), "m")
+        assert df.count() == 2 and 100 < size < 300 and measured(df.limit(0), "none")[1] == 0
+        place = df.inputFiles()[0]
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        spark.read.parquet(place).count()

@@ -20,13 +20,13 @@ def test_chats(spark, tmp_path, rows):
     assert got == [("Fire", "Water", "Steam", "💨", "chat_train"), ("a", "b", "plain", None, "chat_train"), ("c", "d", '{"result": "x", "emoji": null}', None, "chat_train")]
 
 
-def test_whole_chat_lines(spark, tmp_path, rows):
+def test_chat_lines(spark, tmp_path, rows):
     """What the format must carry; only what it can't tell apart or has no place for is left out."""
     odd = ['say "hi"', "back\\slash", "line\nbreak\r\u2028end", "crème brûlée", "a-b'c 42", "zero\u200bwidth", "火", "tab\there", "a+b", '{"result": null}', "\\\"result\\\": null", "🏴\u200d☠️", "}{", "null"]
     kept = [(a, b, c, "💨") for a, b, c in zip(odd, odd[1:] + odd[:1], odd[2:] + odd[:2], strict=True)]
     out = [("x + y", "z", "w", "💨"), ("x", "y", "  ", "💨"), ("x", "y", "z", None), (None, "y", "z", "💨"), ("x +", "y", "z", "💨")]
     spark.createDataFrame([*kept, *out, (" x ", "y\u00a0", "\tz", "💨 ")], "input_a string, input_b string, output string, emoji_output string").write.parquet(str(tmp_path / "recipe_observations.parquet"))
-    assert rows(files.whole_chat_lines(spark, str(tmp_path))) == sorted([*kept, ("x", "y", "z", "💨")], key=repr)
+    assert rows(files.chat_lines(spark, str(tmp_path))) == sorted([*kept, ("x", "y", "z", "💨")], key=repr)
 
 
 def test_csv(spark, tmp_path, rows):
@@ -98,3 +98,34 @@ def test_store(spark, tmp_path, rows):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(f'{{"n": "{name}"}}\n')
     assert rows(R.store(spark, str(tmp_path), "n string", without=("skip",))) == [("a/x.jsonl",)]
+
+
+def test_packed_documents_on_lines(spark, tmp_path, rows):
+    """Many documents in one file, each with its own ids, and a file with a fault."""
+    one = lambda n: json.dumps({"index": {"0": ["🔥", f"Fire{n}"], "1": ["💧", "Water"], "2": ["💨", "Steam"]}, "data": "0,1,2"})
+    (tmp_path / "d.json").write_text("\n".join([one(1), "", one(2), "{broken"]))
+    assert rows(R.packed_index(spark, str(tmp_path)), "input_a", "output") == [("Fire1", "Steam"), ("Fire2", "Steam")]
+
+
+def test_swap_keeps_one_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    W.swap(spark.read.parquet(path).filter("id > 0"), path, spark)
+    assert spark.read.parquet(path).count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+    W.swap(spark.range(5), str(tmp_path / "new"), spark)
+    assert spark.read.parquet(str(tmp_path / "new")).count() == 5
+
+
+def test_refreshed(spark):
+    now, loaded = [0.0], []
+
+    def load():
+        loaded.append(now[0])
+        return spark.range(0 if now[0] < 5 else 3)
+
+    kept = T.Refreshed(load, 300, lambda: now[0])
+    assert kept.get().count() == kept.get().count() == 0 and len(loaded) == 2  # an empty table isn't kept
+    now[0] = 10.0
+    assert kept.get().count() == kept.get().count() == 3 and len(loaded) == 3
+    now[0] = 311.0
+    assert kept.get().count() == 3 and len(loaded) == 4

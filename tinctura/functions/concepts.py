@@ -8,12 +8,14 @@ from pyspark.sql import Column, functions as F
 
 from tinctura.functions.text import Name, col, concept, let, stripped
 
-# Characters no concept holds, marks of titles, words of sentences, the form of a word.
+# Characters no concept holds, marks of titles, words of sentences, the form of a word, the sign of a missing emoji, endings and words no concept has.
 GARBAGE = r"[#`;{}\[\]|\\<>+*=]"
 TITLE_MARKS = r"[:?!\"()]"
 SENTENCE_WORDS = ("because", "inside", "instead", "that", "this", "when", "while", "with", "without", "your")
 WORD = r"([a-z0-9]+(?:['-][a-z0-9]+)?)"
 PLACEHOLDER = "⚪"
+SUFFIXES = ("nado",)
+NO_CONCEPTS = ("undefined", "unknown", "null", "none")
 # End of fixed values.
 
 
@@ -28,8 +30,8 @@ class Quality:
     gerunds: bool = False
     sentence_words: bool = False
     vowelless_from: int = 4
-    suffixes: tuple[str, ...] = ("nado",)
-    placeholders: tuple[str, ...] = ("undefined", "unknown", "null", "none")
+    suffixes: tuple[str, ...] = SUFFIXES
+    placeholders: tuple[str, ...] = NO_CONCEPTS
 
 
 def is_garbage(c: Name) -> Column:

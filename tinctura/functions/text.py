@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 Name = Column | str
-_SPACE = r"(?U)\s+"
+_SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: White space of any kind, to strip; a text without any but single plain spaces needs no pattern.
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_ODD = r"[^ -~]|  "
 
-# Words a generated concept is cut before.
+# Words a generated concept is cut before; the texts of prompts.
 CONNECTORS = "with|and|or|of|in|for|to|on|from|by"
+PLAIN_PROMPT = "Input A: %s\nInput B: %s\nFinal concept:"
+REASONED_PROMPT = "Input A: %s\nInput B: %s\nRationale:"
+CHAT_PROMPT = "Given two concepts, combine them into one resulting concept.\n\nConcept A: %s\nConcept B: %s\n\nReturn only the resulting concept."
+BEFORE_CONCEPT, BEFORE_RATIONALE = "\nFinal concept: ", "\nRationale: "
 # End of fixed values.
 
 
@@ -25,12 +32,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def stripped(c: Name) -> Column:
     """Without white space, of any kind, at either end."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.trim(col(c), F.lit(_BLANKS))
+
+
+def one_line(c: Name) -> Column:
+    """Stripped, each run of white space one space; case stays."""
+    text = col(c)
+    return F.trim(F.when(text.rlike(_ODD), F.regexp_replace(text, _SPACE, " ")).otherwise(text))
 
 
 def concept(c: Name) -> Column:
     """Stripped, lower case, each run of white space one space."""
-    return F.lower(F.trim(F.regexp_replace(col(c), _SPACE, " ")))
+    return F.lower(one_line(c))
 
 
 def answer(c: Name) -> Column:
@@ -59,11 +72,6 @@ def compact(c: Name) -> Column:
     return F.translate(concept(c), " -'", "")
 
 
-def one_line(c: Name) -> Column:
-    """Each run of white space one space; case stays."""
-    return F.trim(F.regexp_replace(col(c), _SPACE, " "))
-
-
 def reject_reason(c: Name) -> Column:
     """Lower case, spaces to ``_``, 80 characters at most; blank or null: the default reason."""
     text = concept(c)
@@ -83,41 +91,48 @@ def storage_segment(c: Name) -> Column:
 
 def word_count(c: Name) -> Column:
     """Words of the answer; none for null and blank."""
-    text = answer(c)
-    return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
+    return let(answer(c), lambda text: F.when(text == "", 0).otherwise(F.size(F.split(text, " "))))
 
 
 def without_thoughts(c: Name) -> Column:
-    """What follows the first ``</think>``; nothing if a ``<think>`` stays open."""
+    """What follows the first ``</think>``; nothing if a ``<think>`` stays open; else the text as it is."""
     text = col(c)
     after = F.substr(text, F.locate("</think>", text) + F.lit(8))
-    return F.trim(F.when(F.contains(text, F.lit("</think>")), after).when(F.contains(text, F.lit("<think>")), "").otherwise(text))
+    return F.when(F.contains(text, F.lit("</think>")), after).when(F.contains(text, F.lit("<think>")), "").otherwise(text)
 
 
 def generated_concept(c: Name, max_words: int = 3) -> Column:
     """A concept cut out of generated text.
 
-    The first line, up to the first of ``.:;?!()[]{}``, asterisks as spaces, up to a connecting word, without
-    spaces, commas, hyphens and underscores at the ends, at most ``max_words`` words.
+    The first line up to the first of ``.:;?!()[]{}``, asterisks as spaces, up to a connecting word wherever it
+    stands as a word of its own, each word without commas, hyphens and underscores at its ends; at most ``max_words``
+    words, all of them if that is 0.
     """
-    line = F.regexp_extract(stripped(F.coalesce(col(c), F.lit(""))), r"^([^\n\r]*)", 1)
+    line = F.regexp_extract(stripped(F.coalesce(col(c), F.lit(""))), r"^([^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*)", 1)
     head = F.regexp_extract(line, r"^([^.:;?!()\[\]{}]*)", 1)
-    flat = one_line(F.translate(head, "*", " "))
-    cut = F.regexp_extract(flat, rf"(?i)^(.*?)(?:\s+(?:{CONNECTORS})\b.*)?$", 1)
-    return F.array_join(F.slice(F.split(F.regexp_replace(cut, "^[ ,_-]+|[ ,_-]+$", ""), " "), 1, max_words), " ")
+    flat = F.regexp_replace(F.translate(stripped(head), "*", " "), _SPACE, " ")
+    cut = F.regexp_replace(flat, rf"(?is)(?<![\p{{L}}\p{{N}}_])(?:{CONNECTORS})(?![\p{{L}}\p{{N}}_]).*$", "")
+    words = F.filter(F.transform(F.split(cut, " "), lambda w: F.regexp_replace(w, "^[,_-]+|[,_-]+$", "")), lambda w: w != "")
+    return F.array_join(F.slice(words, 1, max_words) if max_words > 0 else words, " ")
 
 
 def model_concept(c: Name) -> Column:
-    """The first line that isn't blank of a model's reply, without thoughts, control tokens, label and quotes."""
-    text = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?is)<think>.*?</think>", "")
-    lines = F.filter(F.transform(F.split(F.regexp_replace(text, r"<\|[^|]*\|>", ""), r"\r?\n"), F.trim), lambda x: x != "")
-    first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    return F.trim(F.regexp_replace(F.regexp_replace(first, r"(?i)^\s*concept\s*:\s*", ""), "^[\"'`“”]+|[\"'`“”]+$", ""))
+    """The concept in a model's reply, normalised.
+
+    Closed thoughts and control tokens go; of the lines the first counts that holds something once quotation marks at
+    its ends and then a label (``concept:``, ``resulting concept:``) are taken off.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?is)<think>.*?</think>", ""), r"<\|[^|]+?\|>", "")
+    bare = lambda x: stripped(F.regexp_replace(F.regexp_replace(stripped(x), "^[\"'`]+|[\"'`]+$", ""), r"(?iU)^(?:resulting\s+concept|concept)\s*:\s*", ""))
+    lines = F.filter(F.transform(F.split(stripped(text), r"\r?\n"), bare), lambda x: x != "")
+    return concept(F.coalesce(F.get(lines, F.lit(0)), F.lit("")))
 
 
 def without_fence(c: Name) -> Column:
-    """Without the lines of a Markdown fence around it."""
-    return F.trim(F.regexp_replace(F.trim(col(c)), r"(?s)^```[^\n]*\n?|\n?```\s*$", ""))
+    """Without the first and the last line of a Markdown fence, if it begins with one."""
+    text = stripped(c)
+    opened = F.regexp_replace(text, r"^```[^\n]*\n?", "")
+    return F.when(text.startswith("```"), stripped(F.regexp_replace(opened, r"(?:^|\n)[^\S\n]*```[^\S\n]*$", ""))).otherwise(text)
 
 
 def outer_object(c: Name) -> Column:
@@ -127,28 +142,49 @@ def outer_object(c: Name) -> Column:
 
 
 def human_size(c: Name) -> Column:
-    """Thousands and millions that divide evenly as ``k`` and ``m``."""
+    """Thousands that divide evenly as ``k``."""
     n = col(c)
-    return F.when((n >= 1_000_000) & (n % 1_000_000 == 0), F.concat((n / 1_000_000).cast("long").cast("string"), F.lit("m"))).when((n >= 1000) & (n % 1000 == 0), F.concat((n / 1000).cast("long").cast("string"), F.lit("k"))).otherwise(n.cast("string"))
+    return F.when((n >= 1000) & (n % 1000 == 0), F.concat((n / 1000).cast("long").cast("string"), F.lit("k"))).otherwise(n.cast("string"))
 
 
 def human_duration(seconds: Name) -> Column:
-    """``1h02m03s``, ``2m03s`` or ``3s``."""
-    s = F.floor(col(seconds)).cast("long")
+    """``1h02m03s``, ``2m03s`` or ``3s``; rounded half to even, never below 0."""
+    s = F.greatest(F.bround(col(seconds)), F.lit(0.0)).cast("long")
     h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
     return F.when(h > 0, F.format_string("%dh%02dm%02ds", h, m, r)).when(m > 0, F.format_string("%dm%02ds", m, r)).otherwise(F.format_string("%ds", r))
 
 
 def prompt(a: Name, b: Name) -> Column:
     """The plain prompt for a pair."""
-    return F.format_string("Concept A: %s\nConcept B: %s\nResult:", col(a), col(b))
+    return F.format_string(PLAIN_PROMPT, col(a), col(b))
+
 
+def chat_prompt(a: Name, b: Name) -> Column:
+    """The user's message of a chat about a pair."""
+    return F.format_string(CHAT_PROMPT, col(a), col(b))
 
-def prompt_spans(a: Name, b: Name, output: Name) -> Column:
-    """The prompt with its completion and the span of the completion, in code points, end excluded."""
-    text = prompt(a, b)
-    start = F.length(text) + 1
-    return F.struct(F.concat(text, F.lit(" "), col(output)).alias("text"), start.alias("start"), (start + F.length(col(output))).alias("end"))
+
+def prompt_spans(a: Name, b: Name, output: Name, rationale: Name | None = None, *, rationale_first: bool = False) -> Column:
+    """A prompt with its completion: ``text, start, end, rationale_start, rationale_end``, spans in code points.
+
+    The rationale stands after the concept, or before it if ``rationale_first``; without one (null or empty) its span
+    is 0, 0 and the plain prompt is used.
+    """
+    out, why = col(output), F.coalesce(col(rationale), F.lit("")) if rationale is not None else F.lit("")
+    plain, reasoned = prompt(a, b), F.format_string(REASONED_PROMPT, col(a), col(b))
+    start = F.length(plain) + 1
+    end = start + F.length(out)
+    after = end + len(BEFORE_RATIONALE)
+    spans = lambda *x: F.struct(*[v.alias(n) for v, n in zip(x, ("text", "start", "end", "rationale_start", "rationale_end"), strict=True)])
+    none = F.lit(0)
+    bare = spans(F.concat(plain, F.lit(" "), out), start, end, none, none)
+    if rationale_first:
+        why_at = F.length(reasoned) + 1
+        at = why_at + F.length(why) + len(BEFORE_CONCEPT)
+        told = spans(F.concat(reasoned, F.lit(" "), why, F.lit(BEFORE_CONCEPT), out), at, at + F.length(out), why_at, why_at + F.length(why))
+    else:
+        told = spans(F.concat(plain, F.lit(" "), out, F.lit(BEFORE_RATIONALE), why), start, end, after, after + F.length(why))
+    return F.when(why == "", bare).otherwise(told)
 
 
 def batch_request(text: Name, candidates: Column) -> Column:

@@ -27,6 +27,11 @@ def ranked(board: DataFrame) -> DataFrame:
     return board.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # a row per model
 
 
+def efficiency(board: DataFrame) -> DataFrame:
+    """models that won, with their mean combinations to one decimal."""
+    return board.filter("avg_combinations is not null").select("model", F.round("avg_combinations", 1).alias("avg"), "wins")
+
+
 def overall(daily: DataFrame) -> DataFrame:
     """Per model the mean of its daily win rates, sums, days, and combinations weighted by wins."""
     weight = F.when(F.col("avg_combinations").isNotNull(), F.col("wins"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tinctura.functions.concepts import PLACEHOLDER, Quality, is_garbage, recipe_defect, source_matches
+from tinctura.functions.concepts import PLACEHOLDER, Quality, concept_defect, is_garbage, source_matches
 from tinctura.functions.hashing import canonical_pair_id, split_of
 from tinctura.functions.text import concept, key, ordered, stripped
 from tinctura.operators.skew import lookup
-from tinctura.storage import materialize, spread
+from tinctura.storage import materialize, measured, spread
 
 
 @dataclass(frozen=True)
@@ -39,27 +41,38 @@ def vocabulary(obs: DataFrame, names: tuple[str, ...], prefixes: tuple[str, ...]
     return rows.select(F.explode(F.array(*[concept(c) for c in ("input_a", "input_b", "output")])).alias("concept")).filter("concept <> ''").distinct()
 
 
+def concept_flags(rows: DataFrame, known: DataFrame | None, c: Cleaning) -> tuple[DataFrame, int]:
+    """``concept, garbage, reason, strange`` of each concept with a fault, and the table's bytes.
+
+    The rules depend on a concept alone, so each distinct one is judged once. strange: asked for by a row with
+    ``suspect`` and not in the vocabulary ``known``.
+    """
+    each = rows.select(F.explode(F.array_distinct(F.array("a", "b", "out"))).alias("concept"), "suspect").groupBy("concept").agg(F.max("suspect").alias("asked"))
+    each = each.join(known.withColumn("_k", F.lit(True)), "concept", "left") if known is not None else each.withColumn("_k", F.lit(True))
+    garbage = is_garbage("concept") if c.garbage else F.lit(False)
+    reason = concept_defect("concept", c.quality) if c.quality else F.lit(None).cast("string")
+    flags = each.select("concept", garbage.alias("garbage"), reason.alias("reason"), (F.col("asked") & F.col("_k").isNull()).alias("strange"))
+    return measured(flags.filter("garbage or reason is not null or strange"), "flags")
+
+
 def judged(obs: DataFrame, c: Cleaning = Cleaning(), position: str = "obs_id") -> DataFrame:
     """``keys`` with ``reason``: ``garbage``, a quality reason, ``untrusted_source_vocab``, or null for a good row.
 
     The vocabulary check looks up keys as they are, with inner white space, in the collapsed vocabulary (F4).
     """
-    rows = spread(keys(obs, position))
-    reason = F.lit(None).cast("string")
-    if c.quality:
-        reason = recipe_defect("a", "b", "out", c.quality)
-    if c.garbage:
-        reason = F.when(is_garbage("a") | is_garbage("b") | is_garbage("out"), "garbage").otherwise(reason)
-    rows = rows.withColumn("reason", reason)
-    if not (c.quality and (c.untrusted or c.untrusted_prefixes)):
-        return rows
-    suspect = source_matches("source", c.untrusted, c.untrusted_prefixes) & F.col("reason").isNull()
-    known = vocabulary(obs, c.trusted, c.trusted_prefixes)
-    # Only the suspects' words are looked up, each once; a suspect with an unknown word is found by its row.
-    words = rows.filter(suspect).select("pos", F.explode(F.array_distinct(F.array("a", "b", "out"))).alias("concept"))
-    unknown = words.join(known, "concept", "left_anti").select("pos").distinct().withColumn("strange", F.lit(True))
-    marked = rows.join(unknown, "pos", "left")
-    return marked.withColumn("reason", F.when(F.col("strange"), "untrusted_source_vocab").otherwise(F.col("reason"))).drop("strange")
+    checked = bool(c.quality and (c.untrusted or c.untrusted_prefixes))
+    suspect = source_matches("source", c.untrusted, c.untrusted_prefixes) if checked else F.lit(False)
+    rows = keys(spread(obs), position).withColumn("suspect", suspect)
+    flags, size = concept_flags(rows, vocabulary(obs, c.trusted, c.trusted_prefixes) if checked else None, c)
+    sides = {"a": "input_a", "b": "input_b", "out": "output"}
+    for side in sides:
+        rows = lookup(rows, flags.select(F.col("concept").alias(side), F.struct("garbage", "reason", "strange").alias(f"_{side}")), [side], size=size)
+    some = lambda flag: reduce(or_, [F.coalesce(F.col(f"_{s}.{flag}"), F.lit(False)) for s in sides])
+    first = F.coalesce(*[F.concat(F.lit(f"{name}:"), F.col(f"_{s}.reason")) for s, name in sides.items()])
+    same = F.when((F.col("out") == F.col("a")) | (F.col("out") == F.col("b")), "identity") if c.quality else F.lit(None)
+    reason = F.when(some("garbage"), "garbage").otherwise(F.coalesce(first, same))
+    reason = F.coalesce(reason, F.when(F.col("suspect") & some("strange"), "untrusted_source_vocab"))
+    return rows.withColumn("reason", reason).select("pos", "a", "b", "out", "emoji_a", "emoji_b", "emoji_output", "source", "reason")
 
 
 def emoji_modes(rows: DataFrame) -> DataFrame:
@@ -78,14 +91,14 @@ def canonical_pairs(obs: DataFrame, c: Cleaning = Cleaning(), position: str = "o
     """
     kept = judged(obs, c, position).filter("reason is null").withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
     good = materialize(kept.drop("reason"), "good")  # read for emoji and for pairs; the rules are costly
-    emoji = materialize(emoji_modes(good), "emoji")  # looked up three times
+    emoji, size = measured(emoji_modes(good), "emoji")  # looked up three times
     counted = good.groupBy("lo", "hi", "out").agg(F.count("*").alias("n"), F.min("pos").alias("pos"), F.collect_set(F.when(F.col("source") != "", F.col("source"))).alias("sources"))
-    named = lookup(counted, emoji.select(F.col("concept").alias("out"), F.col("emoji").alias("e")), ["out"])
+    named = lookup(counted, emoji.select(F.col("concept").alias("out"), F.col("emoji").alias("e")), ["out"], size=size)
     one = F.struct("out", F.coalesce("e", F.lit(PLACEHOLDER)).alias("e"), F.col("n"), "pos")
     pairs = named.groupBy("lo", "hi").agg(F.array_sort(F.collect_list(one)).alias("outs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
     best = F.element_at(F.array_sort(F.transform("outs", lambda o: F.struct(-o["n"], o["pos"], o["out"].alias("out"), o["e"].alias("e")))), 1)
     for side in ("lo", "hi"):
-        pairs = lookup(pairs, emoji.select(F.col("concept").alias(side), F.col("emoji").alias(f"e_{side}")), [side])
+        pairs = lookup(pairs, emoji.select(F.col("concept").alias(side), F.col("emoji").alias(f"e_{side}")), [side], size=size)
     return pairs.select(
         canonical_pair_id("lo", "hi").alias("pair_id"),
         F.concat_ws("+", "lo", "hi").alias("pair_key"),
@@ -153,9 +166,9 @@ def backfilled(obs: DataFrame, position: str = "obs_id") -> DataFrame:
     """Observations with inputs in order and every missing emoji taken from the registry."""
     a, b = ordered(stripped("input_a"), stripped("input_b"))
     rows = obs.select(F.col(position).alias("pos"), a.alias("input_a"), b.alias("input_b"), stripped("output").alias("output"), "emoji_output", "source")
-    known = materialize(emoji_registry(obs, position), "registry")
+    known, size = measured(emoji_registry(obs, position), "registry")
     for side in ("input_a", "input_b", "output"):
-        rows = lookup(rows.withColumn("k", key(side)), known.select(F.col("concept").alias("k"), F.col("emoji").alias(f"e_{side}")), ["k"]).drop("k")
+        rows = lookup(rows.withColumn("k", key(side)), known.select(F.col("concept").alias("k"), F.col("emoji").alias(f"e_{side}")), ["k"], size=size).drop("k")
     return rows.select("pos", "input_a", "input_b", "output", F.col("e_input_a").alias("emoji_a"), F.col("e_input_b").alias("emoji_b"), F.coalesce(F.when(F.col("emoji_output") != "", F.col("emoji_output")), "e_output").alias("emoji_output"), "source")
 
 

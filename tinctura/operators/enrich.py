@@ -2,71 +2,133 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tinctura.functions.concepts import Quality, concept_defect
-from tinctura.functions.text import compact, concept, one_line, reject_reason
+from tinctura.functions.text import compact, concept, one_line, reject_reason, stripped, without_fence
+from tinctura.storage import materialize
 
 #: Quality of teacher outputs: gerunds may stand in them.
 TEACHER = Quality(gerunds=True)
 
 
-def valid_outputs(outputs: Column, existing: Column, a: Column, b: Column, limit: int, q: Quality = TEACHER) -> Column:
+#: A teacher's proposal, and a candidate as written.
+PROPOSAL = "array<struct<output:string,source:string,rationale:string>>"
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def valid_outputs(outputs: Column, existing: Column, a: Column, b: Column, limit: int | Column, q: Quality = TEACHER) -> Column:
     """clean outputs in their order, each once, neither existing nor an input, ``limit`` at most."""
-    clean = F.transform(F.coalesce(outputs, F.array().cast("array<string>")), concept)
-    good = F.filter(clean, lambda o: (o != "") & (o != concept(a)) & (o != concept(b)) & concept_defect(o, q).isNull())
-    return F.slice(F.array_except(F.array_distinct(good), F.transform(existing, concept)), 1, limit)
+    clean = F.transform(F.coalesce(outputs, _none()), lambda o: concept(F.coalesce(o, F.lit(""))))
+    good = F.filter(clean, lambda o: (o != a) & (o != b) & concept_defect(o, q).isNull())
+    return F.slice(F.array_except(F.array_distinct(good), existing), F.lit(1), F.greatest(limit if isinstance(limit, Column) else F.lit(limit), F.lit(0)))
 
 
-def merged_candidates(rows: DataFrame, keys: list[str], limit: int = 5, q: Quality = TEACHER) -> DataFrame:
-    """Ranked candidates of each recipe out of ``observed`` and ``proposed`` (structs of output, source).
+def first_of_forms(rows: Column, form: Callable[[Column], Column]) -> Column:
+    """Of structs with the same form the first, in their order; for arrays as short as a reply."""
+    forms = F.transform(rows, form)
+    return F.filter(rows, lambda r, i: F.array_position(forms, F.get(forms, i)) == i + 1)
 
-    A proposal said to be observed must be; one that is observed is so whatever it says; of proposals with the same
-    compact form the first stays; at most ``limit``, ranked from 1. Recipes without one are left out.
+
+def enriched(rows: DataFrame, limit: int = 5, q: Quality = TEACHER) -> DataFrame:
+    """Recipes with their ranked candidates, or the reason for which they are rejected.
+
+    Needs ``input_a, input_b, outputs`` and the teacher's ``reply`` (struct of keep_recipe, reject_reason and
+    candidates; null if the call failed). Adds ``candidate_outputs`` (structs of output, source, rationale, rank) and
+    ``reject_reason``, null for accepted recipes; the inputs are normalised. Reasons in their order: no valid observed
+    outputs (or an input missing), no reply, told by the teacher, no valid candidate.
+
+    A proposal said to be observed must be; one that is observed is so whatever it says; it needs a rationale, quality
+    and a form that no proposal before it has. All within the row, nothing is shuffled.
     """
-    known = F.transform("observed", concept)
-    each = F.transform("proposed", lambda p, i: F.struct(i.alias("at"), concept(p["output"]).alias("output"), p["source"].alias("said")))
-    one = rows.select(*keys, known.alias("known"), F.explode(each).alias("p")).select(*keys, "known", "p.*")
-    seen = F.array_contains("known", F.col("output"))
-    inputs = [concept(k) for k in keys[:2]]
-    one = one.filter((F.col("output") != "") & (seen | (F.col("said") != "observed")) & concept_defect("output", q).isNull() & (F.col("output") != inputs[0]) & (F.col("output") != inputs[1]))
-    one = one.withColumn("source", F.when(seen, "observed").otherwise("teacher"))
-    first = one.groupBy(*keys, compact("output").alias("form")).agg(F.min(F.struct("at", "output", "source")).alias("c"))
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("c.at"))).filter(F.col("rank") <= limit)
-    return ranked.select(*keys, F.col("c.output").alias("output"), F.col("c.source").alias("source"), "rank")
+    given = rows.withColumns({"input_a": concept(F.coalesce("input_a", F.lit(""))), "input_b": concept(F.coalesce("input_b", F.lit("")))})
+    a, b = F.col("input_a"), F.col("input_b")
+    given = given.withColumn("_seen", valid_outputs(F.col("outputs"), _none(), a, b, limit, q))
+    one = lambda p: F.struct(concept(F.coalesce(p["output"], F.lit(""))).alias("output"), p["source"].alias("source"), one_line(F.coalesce(p["rationale"], F.lit(""))).alias("rationale"))
+    seen = lambda p: F.array_contains("_seen", p["output"])
+    usable = lambda p: (p["rationale"] != "") & (p["output"] != a) & (p["output"] != b) & (seen(p) | (p["source"] != "observed")) & concept_defect(p["output"], q).isNull()
+    given = given.withColumn("_p", F.filter(F.transform(F.coalesce("reply.candidates", F.array().cast(PROPOSAL)), one), usable))
+    kept = F.slice(first_of_forms(F.col("_p"), lambda p: compact(p["output"])), 1, limit)
+    told = F.transform(kept, lambda p, i: F.struct(p["output"].alias("output"), F.when(seen(p), "observed").otherwise(p["source"]).alias("source"), p["rationale"].alias("rationale"), (i + 1).cast("int").alias("rank")))
+    given = given.withColumn("_c", told)
+    reason = (
+        F.when((a == "") | (b == "") | (F.size("_seen") == 0), "no_valid_observed_outputs").when(F.col("reply").isNull(), "teacher_response_error")
+        .when(~F.coalesce("reply.keep_recipe", F.lit(False)), reject_reason("reply.reject_reason")).when(F.size("_c") == 0, "no_valid_teacher_candidates")
+    )
+    out = given.withColumn("reject_reason", reason).withColumn("candidate_outputs", F.when(F.col("reject_reason").isNull(), F.col("_c")))
+    return out.withColumn("outputs", F.when(F.col("reject_reason") == "no_valid_observed_outputs", F.col("outputs")).otherwise(F.col("_seen"))).drop("_seen", "_p", "_c")
 
 
 def completed(rows: DataFrame, wanted: int, q: Quality = TEACHER) -> DataFrame:
-    """``outputs`` observed then taught, up to ``wanted``; status complete, partial or failed."""
-    observed = F.slice(F.array_distinct(F.transform("observed", concept)), 1, wanted)
-    more = valid_outputs(F.col("taught"), F.col("observed"), F.col("input_a"), F.col("input_b"), wanted, q)
-    both = F.slice(F.concat(observed, more), 1, wanted)
-    status = F.when(F.size("outputs") >= wanted, "complete").when(F.size("outputs") > 0, "partial").otherwise("failed")
-    return rows.withColumn("outputs", both).withColumn("quality_status", status)
+    """``candidate_outputs`` (structs of output, source): valid observed outputs, then taught ones, up to ``wanted``.
+
+    ``quality_status``: complete, partial_enrichment or failed_enrichment. Inputs are normalised.
+    """
+    given = rows.withColumns({"input_a": concept(F.coalesce("input_a", F.lit(""))), "input_b": concept(F.coalesce("input_b", F.lit("")))})
+    a, b = F.col("input_a"), F.col("input_b")
+    given = given.withColumn("_o", valid_outputs(F.col("observed"), _none(), a, b, wanted, q))
+    more = valid_outputs(F.col("taught"), F.col("_o"), a, b, F.lit(wanted) - F.size("_o"), q)
+    of = lambda c, source: F.transform(c, lambda o: F.struct(o.alias("output"), F.lit(source).alias("source")))
+    given = given.withColumn("candidate_outputs", F.concat(of(F.col("_o"), "observed"), of(more, "teacher"))).drop("_o")
+    n = F.size("candidate_outputs")
+    return given.withColumn("quality_status", F.when(n >= wanted, "complete").when(n > 0, "partial_enrichment").otherwise("failed_enrichment"))
 
 
-def rationale_problems(rows: DataFrame) -> DataFrame:
-    """Problems of a reply's rationales against the outputs asked for: unexpected, duplicate, missing, reordered.
+def rationale_error(reply: Column, asked: Column) -> Column:
+    """What is wrong with a reply of rationales for the outputs ``asked``; null if nothing is.
 
-    Needs ``outputs`` and ``replied`` (structs of output, rationale); rationales that are blank count as missing.
+    not_json, not_a_list, or of the first bad item: not_an_object, not_texts, unexpected, duplicate, reordered.
     """
-    names = F.transform("replied", lambda r: concept(r["output"]))
-    kept = F.filter("replied", lambda r: F.coalesce(one_line(r["rationale"]), F.lit("")) != "")
-    asked = F.transform("outputs", concept)
-    given = F.transform(kept, lambda r: concept(r["output"]))
-    return rows.select("*", F.array_compact(F.array(
-        F.when(F.size(F.array_except(names, asked)) > 0, "unexpected"),
-        F.when(F.size(names) != F.size(F.array_distinct(names)), "duplicate"),
-        F.when(F.size(F.array_except(asked, given)) > 0, "missing"),
-        F.when((F.size(F.array_except(asked, given)) == 0) & (F.size(names) == F.size(asked)) & (names != asked), "reordered"),
-    )).alias("problems"))
+    parsed = F.try_parse_json(without_fence(reply))
+    items = F.try_variant_get(parsed, "$.rationales", "array<variant>")
+    names = F.transform(items, _said("output"))
+
+    def wrong(item: Column, i: Column) -> Column:
+        out = F.get(names, i)
+        return (
+            F.when(~F.schema_of_variant(item).startswith("OBJECT"), "not_an_object").when(out.isNull() | _said("rationale")(item).isNull(), "not_texts")
+            .when(~F.array_contains(asked, out), "unexpected").when(F.array_position(names, out) != i + 1, "duplicate").when((i < F.size(asked)) & (out != F.get(asked, i)), "reordered")
+        )
+
+    first = F.get(F.filter(F.transform(items, wrong), lambda e: e.isNotNull()), F.lit(0))
+    return F.when(reply.isNull() | parsed.isNull(), "not_json").when(items.isNull(), "not_a_list").otherwise(first)
+
 
+def _said(name: str) -> Callable[[Column], Column]:
+    """A text field of a JSON item, null if it is missing or no text."""
+    value = lambda item: F.try_variant_get(item, f"$.{name}", "variant")
+    return lambda item: F.when(F.schema_of_variant(value(item)) == "STRING", F.try_variant_get(item, f"$.{name}", "string"))
 
-def rejected(rows: DataFrame) -> DataFrame:
-    """Recipes to reject with their first reason: told by the teacher, no candidates, or none that is clean."""
-    clean = valid_outputs(F.transform("proposed", lambda p: p["output"]), F.array().cast("array<string>"), F.col("input_a"), F.col("input_b"), 1 << 20)
-    reason = F.when(~F.coalesce("keep_recipe", F.lit(True)), reject_reason("reject_reason")).when(F.coalesce(F.size("proposed"), F.lit(0)) <= 0, "no_candidates").when(F.size(clean) == 0, "no_valid_candidates")
-    return rows.withColumn("reason", reason).filter("reason is not null")
+
+def with_rationales(rows: DataFrame) -> DataFrame:
+    """Candidates with the rationales of a teacher's reply merged in, their status, and why some are missing.
+
+    Needs ``candidate_outputs`` (structs of output, source, rationale) and ``reply`` (JSON text). A reply counts only
+    if it is faultless and a candidate lacks a rationale; then it also replaces those given. ``quality_status``:
+    complete, partial_rationale or failed_rationale; ``reason``: missing_rationales (some are there) or
+    teacher_response_error (none is), null if complete; ``missing_outputs``: those without one.
+    """
+    asked = F.transform("candidate_outputs", lambda c: F.coalesce(c["output"], F.lit("")))
+    rows = rows.withColumn("_asked", asked).withColumn("_own", F.filter("candidate_outputs", lambda c: stripped(F.coalesce(c["rationale"], F.lit(""))) != ""))
+    lacks = F.size(F.array_except("_asked", F.transform("_own", lambda c: c["output"]))) > 0
+    rows = rows.withColumn("_lacks", lacks).withColumn("error", F.when(F.col("_lacks"), rationale_error(F.col("reply"), F.col("_asked"))))
+    items = F.try_variant_get(F.try_parse_json(without_fence(F.col("reply"))), "$.rationales", "array<variant>")
+    told = F.filter(F.transform(items, lambda i: F.struct(_said("output")(i).alias("output"), one_line(_said("rationale")(i)).alias("rationale"))), lambda i: i["rationale"] != "")
+    rows = rows.withColumn("_told", F.when(F.col("_lacks") & F.col("error").isNull(), told))
+    last = lambda found, o: F.get(F.reverse(F.filter(found, lambda x: x["output"] == o)), F.lit(0))["rationale"]
+    merged = F.transform("candidate_outputs", lambda c: F.struct(F.coalesce(c["output"], F.lit("")).alias("output"), F.coalesce(c["source"], F.lit("")).alias("source"), F.coalesce(last("_told", c["output"]), last("_own", c["output"])).alias("rationale")))
+    rows = rows.withColumn("candidate_outputs", merged)
+    rows = rows.withColumn("missing_outputs", F.transform(F.filter("candidate_outputs", lambda c: c["rationale"].isNull()), lambda c: c["output"]))
+    n, gone = F.size("candidate_outputs"), F.size("missing_outputs")
+    none = gone == n
+    status = F.when((n > 0) & (gone == 0), "complete").when((n == 0) | (none & F.col("error").isNotNull()), "failed_rationale").otherwise("partial_rationale")
+    reason = F.when(F.col("quality_status") == "complete", None).when(none, "teacher_response_error").otherwise("missing_rationales")
+    return rows.withColumn("quality_status", status).withColumn("reason", reason).drop("_asked", "_own", "_lacks", "_told")
 
 
 def remaining(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,8 +138,6 @@ def remaining(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 def record_ids(rows: DataFrame, split: str, order: str) -> DataFrame:
     """P25: ``split:00000000`` by the order of ``order``, counted over all splits by range-sorted partitions."""
-    from tinctura.storage import materialize
-
     parts = materialize(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("m", F.monotonically_increasing_id()), "records")
     part = F.shiftright("m", 33)
     sizes = parts.groupBy(part.alias("part")).agg(F.count("*").alias("n"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tinctura.functions import vectors as V
-from tinctura.functions.text import answer, outer_object, word_count
+from tinctura.functions.text import answer, outer_object, stripped, word_count
 from tinctura.operators.skew import lookup
 
 
@@ -69,17 +71,55 @@ def semantic(rows: DataFrame, row_id: str, embedded: DataFrame, threshold: float
     return flags.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col("top1").cast("double")), F.lit(0.0)).alias("top1_semantic_match"), F.coalesce(F.avg(F.col("any").cast("double")), F.lit(0.0)).alias("anyk_semantic_match"))
 
 
+def _results(reply: Column) -> Column:
+    """The list under ``results`` of the JSON object in a judge's reply; null if there is none."""
+    return F.try_variant_get(F.try_parse_json(outer_object(reply)), "$.results", "array<variant>")
+
+
+def _number(item: Column, name: str) -> Column:
+    """A field of a JSON item as a number: numbers, texts of numbers, and true or false as 1 or 0; else null."""
+    field = F.try_variant_get(item, f"$.{name}", "variant")
+    kind = F.schema_of_variant(field)
+    whole = F.try_variant_get(item, f"$.{name}", "double")
+    told = F.trim(F.try_variant_get(item, f"$.{name}", "string")).try_cast("double")
+    return F.when(kind == "BOOLEAN", F.try_variant_get(item, f"$.{name}", "boolean").cast("int").cast("double")).when(kind == "STRING", told).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), whole)
+
+
+def _clamped(x: Column) -> Column:
+    """Within [0, 1]; what is no number counts as 0."""
+    return F.when(F.isnan(x), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
+
+def _told(item: Column, name: str) -> Column:
+    """A field of a JSON item as text: as it is if it is one, else as JSON, ``None`` for null, empty if missing."""
+    field = F.try_variant_get(item, f"$.{name}", "variant")
+    return F.when(field.isNull(), "").when(F.is_variant_null(field), "None").when(F.schema_of_variant(field) == "STRING", F.try_variant_get(item, f"$.{name}", "string")).otherwise(F.to_json(field))
+
+
+def _truth(field: Column) -> Column:
+    """Whether a JSON value counts as true: all but null, false, zero and what is empty; the text ``false`` does."""
+    text = F.to_json(field)
+    return F.coalesce(~text.isin("null", "false", '""', "[]", "{}") & (F.coalesce(text.try_cast("double"), F.lit(1.0)) != 0), F.lit(False))
+
+
+def _by_position(reply: Column, expected: Column, each: Callable[[Column], Column], usable: Callable[[Column], Column]) -> Column:
+    """``each`` of the first ``expected`` results; null if there are fewer, or one isn't usable."""
+    items = F.slice(_results(reply), F.lit(1), expected)
+    return F.when((F.size(items) == expected) & F.forall(items, usable), F.transform(items, each))
+
+
 def parsed_verdicts(replies: DataFrame, expected: Column) -> DataFrame:
-    """``verdicts`` of judge replies by position; null if there are fewer results than ``expected``.
+    """``verdicts`` of judge replies by position; null if the reply has fewer than ``expected`` objects.
 
-    Truth is that of any non-empty value; plausibility is clamped to [0, 1] and defaults to 1 or 0.
+    A verdict is plausible if the value counts as true by its JSON type; plausibility is clamped to [0, 1], and is 1
+    or 0 by the verdict where none is given or it is no number.
     """
-    schema = "struct<results:array<struct<plausible:string,plausibility:string,reason:string>>>"
-    found = F.slice(F.from_json(outer_object("reply"), schema)["results"], 1, 1 << 20)
-    true = lambda v: F.coalesce(~F.lower(v["plausible"]).isin("false", "0", "0.0", "", "null", "[]", "{}"), F.lit(False))
-    number = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_to_number(v["plausibility"], F.lit("9.999999999")).cast("double"), v["plausibility"].try_cast("double"), true(v).cast("int").cast("double"))))
-    each = F.transform(F.slice(found, F.lit(1), expected), lambda v: F.struct(true(v).alias("plausible"), number(v).alias("plausibility"), F.coalesce(v["reason"], F.lit("")).alias("reason")))
-    return replies.withColumn("verdicts", F.when(F.size(found) >= expected, each))
+
+    def one(item: Column) -> Column:
+        true = _truth(F.try_variant_get(item, "$.plausible", "variant"))
+        return F.struct(true.alias("plausible"), _clamped(F.coalesce(_number(item, "plausibility"), true.cast("int").cast("double"))).alias("plausibility"), _told(item, "reason").alias("reason"))
+
+    return replies.withColumn("verdicts", _by_position(F.col("reply"), expected, one, lambda i: F.schema_of_variant(i).startswith("OBJECT")))
 
 
 def bucket(plausible: Column, known: Column) -> Column:
@@ -110,9 +150,20 @@ def verdict_rates(samples: DataFrame, row_id: str) -> DataFrame:
 
 
 def novelty_of(text: Column) -> Column:
-    """The novelty in a judge's reply: of its JSON, else the first number from 0 to 1; null without either."""
-    value = F.coalesce(F.get_json_object(outer_object(text), "$.novelty").try_cast("double"), F.nullif(F.regexp_extract(text, r"([01](?:\.\d+)?)", 1), F.lit("")).try_cast("double"))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    """``novelty, reason`` of a judge's reply: of its JSON, else the first number from 0 to 1 and the whole reply.
+
+    Null without either.
+    """
+    parsed = F.try_parse_json(outer_object(text))
+    given = _number(parsed, "novelty_score")
+    found = F.nullif(F.regexp_extract(text, r"([01](?:\.\d+)?)", 1), F.lit("")).try_cast("double")
+    return F.when(given.isNotNull(), F.struct(_clamped(given).alias("novelty"), _told(parsed, "reason").alias("reason"))).when(found.isNotNull(), F.struct(_clamped(found).alias("novelty"), stripped(text).alias("reason")))
+
+
+def novelties_of(reply: Column, expected: Column) -> Column:
+    """``novelty, reason`` of each of ``expected`` outputs by position; null if there are fewer, or one has no number."""
+    one = lambda i: F.struct(_clamped(_number(i, "novelty_score")).alias("novelty"), _told(i, "reason").alias("reason"))
+    return _by_position(reply, expected, one, lambda i: F.schema_of_variant(i).startswith("OBJECT") & _number(i, "novelty_score").isNotNull())
 
 
 def creativity_rows(groups: DataFrame, alpha: float = 0.8, penalty: float = 2.0) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from tinctura.functions.hashing import packed_id
 from tinctura.operators.skew import BROADCAST_BYTES, lookup
-from tinctura.storage import materialize
+from tinctura.storage import materialize, measured
 
 NOTHING = "Nothing"
 
@@ -24,25 +24,60 @@ def levels(edges: DataFrame, starters: DataFrame, *, cost: str = "depth") -> Dat
 
     cost ``depth``: 1 + the deeper input; ``sum``: the sum of both inputs. Rounds of joins until nothing improves,
     however deep the graph, so recipes with an input out of reach don't hold it up. Sums of negative starters could
-    improve forever and are an error. A round joins on each input in turn, keeps the least cost per
-    node with map-side combining, and is written, which cuts the lineage. The state is broadcast if no round can know
-    more nodes than fit; else both joins are by shuffle.
+    improve forever and are an error. Only recipes with an input that improved in the round before are worked out
+    again; a round keeps the least cost per node with map-side combining, is written, which cuts the lineage, and
+    counts what improved as it is written. The state is broadcast while it measures little; else both joins are by
+    shuffle.
     """
     plus = (lambda x, y: F.greatest(x, y) + 1) if cost == "depth" else (lambda x, y: x + y)
-    known = materialize(starters.select("node", F.col("cost").cast("long").alias("cost")).groupBy("node").agg(F.min("cost").alias("cost")), "levels")
+    first = starters.select("node", F.col("cost").cast("long").alias("cost")).groupBy("node").agg(F.min("cost").alias("cost")).withColumn("new", F.lit(True))
+    known, size = measured(first, "levels")
     if cost == "sum" and known.filter("cost < 0").take(1):
         raise ValueError("starters with negative costs")
     edges = materialize(edges.select("a", "b", "c"), "edges")
-    nodes = edges.select("c").distinct().count() + known.count()
-    small = F.broadcast if nodes * 64 <= BROADCAST_BYTES else lambda df: df
     for i in count():
-        left, right = known.select(F.col("node").alias("a"), F.col("cost").alias("x")), known.select(F.col("node").alias("b"), F.col("cost").alias("y"))
-        made = edges.join(small(left), "a").join(small(right), "b").select(F.col("c").alias("node"), plus(F.col("x"), F.col("y")).alias("cost"), F.lit(None).cast("long").alias("was"))
+        small = F.broadcast if size <= BROADCAST_BYTES else lambda df: df
+        left, right = known.select(F.col("node").alias("a"), F.struct("cost", "new").alias("x")), known.select(F.col("node").alias("b"), F.struct("cost", "new").alias("y"))
+        reached = edges.join(small(left), "a").join(small(right), "b").filter("x.new or y.new")
+        made = reached.select(F.col("c").alias("node"), plus(F.col("x.cost"), F.col("y.cost")).alias("cost"), F.lit(None).cast("long").alias("was"))
         both = known.select("node", "cost", F.col("cost").alias("was")).unionByName(made)
-        state = materialize(both.groupBy("node").agg(F.min("cost").alias("cost"), F.min("was").alias("was")), f"levels-{i}")
-        known = state.select("node", "cost")
-        if not state.filter("was is null or cost < was").take(1):
-            return known
+        state = both.groupBy("node").agg(F.min("cost").alias("cost"), F.min("was").alias("was"))
+        seen = Observation()
+        state = state.select("node", "cost", (F.col("was").isNull() | (F.col("cost") < F.col("was"))).alias("new"))
+        known, size = measured(state.observe(seen, F.count_if("new").alias("new")), f"levels-{i}")
+        if not seen.get["new"]:
+            return known.select("node", "cost")
+
+
+def witnesses(edges: DataFrame, starters: DataFrame, max_depth: int) -> DataFrame:
+    """D17 for a pool of any size: ``node, path``: recipes (a, b, c) that make the node from the starters, in order.
+
+    ``max_depth`` rounds at most, each joining both inputs' paths of the round before. A path is the ordered union, by
+    output, of its inputs' paths and the recipe; of a node's new paths the shortest, of equals the first by recipe, is
+    kept where it is strictly shorter than the one before; longer ones than ``max_depth`` don't count. Starters aren't
+    made. (``witness_paths`` uses within a round what it made before, in the order of its recipes.)
+    """
+    step = "struct<a:string,b:string,c:string>"
+    edges = materialize(edges.join(starters.select(F.col("node").alias("c")).distinct(), "c", "left_anti").select("a", "b", "c"), "edges")
+    begin = starters.select("node").distinct().select("node", F.array().cast(f"array<{step}>").alias("path"), F.lit(True).alias("new"))
+    known, size = measured(begin, "witnesses")
+    for i in range(max_depth):
+        small = F.broadcast if size <= BROADCAST_BYTES else lambda df: df
+        left, right = known.select(F.col("node").alias("a"), F.struct("path", "new").alias("x")), known.select(F.col("node").alias("b"), F.struct("path", "new").alias("y"))
+        reached = edges.join(small(left), "a").join(small(right), "b").filter("x.new or y.new")
+        apart = lambda p: F.filter(p, lambda s: ~F.exists("x.path", lambda t: t["c"] == s["c"]))
+        union = F.concat("x.path", apart(F.col("y.path")))
+        own = F.struct(*[F.col(k).cast("string").alias(k) for k in "abc"])
+        path = F.when(F.exists(union, lambda s: s["c"] == F.col("c")), union).otherwise(F.concat(union, F.array(own)))
+        made = reached.select(F.col("c").alias("node"), path.alias("path")).filter(F.size("path") <= max_depth)
+        rated = lambda df, was: df.select("node", F.struct(F.size("path").alias("n"), (~F.lit(was)).alias("made"), "path").alias("p"))
+        both = rated(known, True).unionByName(rated(made, False))
+        state = both.groupBy("node").agg(F.min("p").alias("p")).select("node", "p.path", F.col("p.made").alias("new"))
+        seen = Observation()
+        known, size = measured(state.observe(seen, F.count_if("new").alias("new")), f"witnesses-{i}")
+        if not seen.get["new"]:
+            break
+    return known.filter(F.size("path") > 0).select("node", "path")
 
 
 def witness_paths(recipes: list[tuple[str, str, str]], starters: list[str], max_depth: int) -> dict[str, list[tuple[str, str, str]]]:
@@ -111,25 +146,25 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return only(left, right, "left").unionByName(only(right, left, "right"))
 
 
-def untried(elements: DataFrame, tried: DataFrame, max_elements: int = 2000) -> DataFrame:
-    """Pairs ``a <= b`` of a bounded list of elements that no recipe has tried.
+def untried(queries: DataFrame, elements: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs ``a <= b`` of a query element and any element that no recipe has tried.
 
-    The result holds every pair, so the list must be short: more than ``max_elements`` distinct ones are an error.
+    The result holds a row for nearly every pair, so the queries are a stated, short list: they are sent to each task
+    as one array, whose size is the caller's choice, and each element meets them where it is. Pairs of two queries
+    come out once.
     """
-    names = [r[0] for r in elements.select("element").distinct().orderBy("element").limit(max_elements + 1).collect()]
-    if len(names) > max_elements:
-        raise ValueError(f"more than {max_elements} elements")
-    rows = elements.sparkSession.createDataFrame([(n, names[i:]) for i, n in enumerate(names)], "a string, others array<string>")
-    pairs = rows.select("a", F.explode("others").alias("b"))
+    names = queries.select("element").distinct().agg(F.array_sort(F.collect_list("element")).alias("qs"))
+    each = elements.select("element").distinct().join(F.broadcast(names)).select("element", F.explode("qs").alias("q"), "qs")
+    pairs = each.filter((F.col("q") <= F.col("element")) | ~F.array_contains("qs", F.col("element"))).select(F.least("q", "element").alias("a"), F.greatest("q", "element").alias("b"))
     return pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
 
 
 def listed(edges: DataFrame, costs: DataFrame) -> DataFrame:
     """Recipes with the costs of output and inputs, ``place`` by the report's order is left to a top-k query."""
-    cost = costs.select(F.col("node"), "cost")
-    out = lookup(edges, cost.select(F.col("node").alias("c"), F.col("cost").alias("cost_c")), ["c"])
-    for side in ("a", "b"):
-        out = lookup(out, cost.select(F.col("node").alias(side), F.col("cost").alias(f"cost_{side}")), [side])
+    cost, size = measured(costs.select("node", "cost"), "costs")
+    out = edges
+    for side in ("c", "a", "b"):
+        out = lookup(out, cost.select(F.col("node").alias(side), F.col("cost").alias(f"cost_{side}")), [side], size=size)
     return out.select("a", "b", "c", "cost_a", "cost_b", "cost_c")
 
 
@@ -143,8 +178,8 @@ def packed(names: DataFrame, recipes: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = parts.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     start = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ids = parts.withColumn("part", part).join(F.broadcast(sizes.select("part", start.alias("start"))), "part").select((F.col("start") + F.col("m") - F.shiftleft("part", 33)).alias("id"), "name")
-    coded = ids.withColumn("code", packed_id("id"))
+    coded, size = measured(ids.withColumn("code", packed_id("id")), "codes")
     out = recipes
     for side in ("a", "b", "c"):
-        out = lookup(out, coded.select(F.col("name").alias(side), F.col("code").alias(f"{side}_code")), [side], how="inner")
+        out = lookup(out, coded.select(F.col("name").alias(side), F.col("code").alias(f"{side}_code")), [side], how="inner", size=size)
     return coded, out.select(F.concat_ws(",", "a_code", "b_code", "c_code").alias("line"))

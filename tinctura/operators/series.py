@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tinctura.functions.hashing import fnv1a
-from tinctura.functions.text import key
+from tinctura.functions.text import concept, key
 from tinctura.operators.skew import lookup
 
 # Signs of concepts that have no emoji, by the hash of the name.
-FALLBACK_EMOJI = "✨ 🌀 🔷 🔶 🟢 🟣 🟠 🧿 🎐 🫧 🌟 💠 🔺 🧩 🎲 🪄 🎇 🌠 🫟 🪩".split()
+FALLBACK_EMOJI = ("✨", "🌀", "🔷", "🔶", "🟢", "🟣", "🟠", "🧿", "🎐", "🫧", "🌟", "💠", "🔺", "🧩", "🎲", "🪄", "🎇", "🌠", "🫟", "🪩")
 # End of fixed values.
 
 
@@ -26,6 +26,12 @@ def concept_emoji(names: DataFrame, known: DataFrame) -> DataFrame:
     return found.select("name", F.coalesce("emoji", spare).alias("emoji"))
 
 
+def element_tokens(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``id, name, emoji`` of distinct elements (``name, given``): the emoji given, else that of the concept."""
+    named = rows.select(concept("name").alias("name"), "given").filter("name <> ''").groupBy("name").agg(F.min("given").alias("given"))
+    return named.join(concept_emoji(named, known), "name").select(F.col("name").alias("id"), "name", F.coalesce("given", "emoji").alias("emoji"))
+
+
 def numbered(steps: DataFrame, run: str, *order: str | Column) -> DataFrame:
     """Steps with ``index`` from 1 within their run; a run's steps are few (a budget)."""
     return steps.withColumn("index", F.row_number().over(Window.partitionBy(run).orderBy(*order)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tinctura.functions.text import answer, word_count
+from tinctura.functions.text import answer, let
 from tinctura.storage import spread
 
 
@@ -94,9 +94,13 @@ def weighted_mean(value: str, unit: str) -> Column:
 
 def _most_frequent(rows: Column) -> Column:
     """Of rows ``raw, norm, at`` the first raw of the most frequent norm; of equals the shorter, then the first."""
-    scored = F.transform(rows, lambda r: F.struct((-F.size(F.filter(rows, lambda s: s["norm"] == r["norm"]))).alias("n"), F.length(r["norm"]).alias("length"), F.array_min(F.transform(F.filter(rows, lambda s: s["norm"] == r["norm"]), lambda s: s["at"])).alias("first"), r["at"].alias("at")))
-    at = F.element_at(F.array_sort(scored), 1)["at"]
-    return F.get(F.filter(rows, lambda r: r["at"] == at), F.lit(0))
+
+    def best(norms: Column) -> Column:
+        # array_position gives a norm's first row, where its count is taken; later rows of the norm score lower.
+        scored = F.transform(rows, lambda r, i: F.struct((-F.size(F.filter(norms, lambda n: n == r["norm"]))).alias("n"), F.length(r["norm"]).alias("length"), i.alias("i")))
+        return F.get(rows, F.array_min(scored)["i"])
+
+    return let(F.transform(rows, lambda r: r["norm"]), best)
 
 
 def preference_pairs(rows: DataFrame, *, short: int = 2, verbose: int = 3) -> DataFrame:
@@ -105,25 +109,39 @@ def preference_pairs(rows: DataFrame, *, short: int = 2, verbose: int = 3) -> Da
     chosen: the most frequent valid sample of at most ``short`` words, else the short candidate that is observed and
     ranks first. rejected: the first sample if it is bad, else the most frequent bad one; bad: neither empty nor the
     chosen one, and not valid or of ``verbose`` words or more. Needs input_a, input_b, known_outputs,
-    sampled_outputs and candidate_outputs (structs of output, source, rank).
+    sampled_outputs and candidate_outputs (structs of output, source, rank). Every value is worked out once a row; a
+    row without a pair is dropped as its empty list is unfolded, since a filter would work it all out again.
     """
-    known = F.transform(F.coalesce("known_outputs", F.array().cast("array<string>")), answer)
-    samples = F.filter(F.transform(F.coalesce("sampled_outputs", F.array().cast("array<string>")), lambda s, i: F.struct(s.alias("raw"), i.alias("at"))), lambda s: s["raw"].isNotNull())
-    normed = F.transform(samples, lambda s: F.struct(s["raw"].alias("raw"), answer(s["raw"]).alias("norm"), s["at"].alias("at")))
+    none = F.array().cast("array<string>")
     size = lambda n: F.when(n == "", 0).otherwise(F.size(F.split(n, " ")))
-    labeled = F.transform(normed, lambda s: F.struct(s["raw"].alias("raw"), s["norm"].alias("norm"), s["at"].alias("at"), size(s["norm"]).alias("words"), (F.array_contains(F.col("_known"), s["norm"]) & (s["norm"] != "")).alias("valid")))
-    df = spread(rows).withColumn("_known", known).withColumn("_s", labeled)
-    df = df.withColumn("_good", F.filter("_s", lambda s: s["valid"] & (s["words"] > 0) & (s["words"] <= short)))
-    spare = F.array_sort(F.transform(F.filter("candidate_outputs", lambda c: word_count(c["output"]).between(1, short)), lambda c, i: F.struct(F.when(c["source"] == "observed", 0).otherwise(1).alias("o"), F.coalesce(c["rank"], F.lit(999)).alias("r"), i.alias("i"), c["output"].alias("output"))))
-    df = df.withColumn("chosen", F.when(F.size("_good") > 0, _most_frequent(F.col("_good"))["raw"]).otherwise(F.get(spare, F.lit(0))["output"]))
-    df = df.withColumn("_c", answer("chosen")).filter(F.col("_c") != "")
-    df = df.withColumn("_bad", F.filter("_s", lambda s: (s["norm"] != "") & (s["norm"] != F.col("_c")) & (~s["valid"] | (s["words"] >= verbose)))).filter(F.size("_bad") > 0)
-    first = F.get("_s", F.lit(0))["at"]
-    bad = F.when(F.exists("_bad", lambda b: b["at"] == first), F.get(F.filter("_bad", lambda b: b["at"] == first), F.lit(0))).otherwise(_most_frequent(F.col("_bad")))
-    df = df.withColumn("_r", bad)
-    return df.select(
-        F.concat_ws("+", "input_a", "input_b").alias("pair_id"), "input_a", "input_b", "chosen", F.col("_r.raw").alias("rejected"),
-        F.when(F.size("_good") > 0, "on_policy").otherwise("dataset_candidate").alias("chosen_source"),
-        F.when(F.col("_r.words") >= verbose, "on_policy_verbose").otherwise("on_policy_invalid").alias("rejected_source"),
-        word_count("chosen").alias("chosen_len"), F.col("_r.words").alias("rejected_len"), F.col("_r.valid").alias("rejected_valid"),
-    )
+    normed = F.transform(F.coalesce("sampled_outputs", none), lambda s: F.struct(s.alias("raw"), answer(s).alias("norm")))
+
+    def labeled(known: Column) -> Column:
+        return F.transform(F.filter(normed, lambda s: s["raw"].isNotNull()), lambda s: F.struct(s["raw"].alias("raw"), s["norm"].alias("norm"), size(s["norm"]).alias("words"), ((s["norm"] != "") & F.array_contains(known, s["norm"])).alias("valid")))
+
+    def spare() -> Column:
+        sized = F.transform("candidate_outputs", lambda c, i: F.struct(F.when(c["source"] == "observed", 0).otherwise(1).alias("o"), F.coalesce(c["rank"], F.lit(999)).alias("r"), i.alias("i"), c["output"].alias("output"), answer(c["output"]).alias("norm")))
+        return F.array_min(F.filter(sized, lambda c: size(c["norm"]).between(1, short)))
+
+    def of_samples(s: Column) -> Column:
+        good = F.filter(s, lambda x: x["valid"] & (x["words"] <= short))
+        own = lambda g: F.when(F.size(g) > 0, let(_most_frequent(g), lambda m: F.struct(m["raw"].alias("raw"), m["norm"].alias("norm"), F.lit("on_policy").alias("source"))))
+        other = let(spare(), lambda c: F.when(c.isNotNull(), F.struct(c["output"].alias("raw"), c["norm"].alias("norm"), F.lit("dataset_candidate").alias("source"))))
+        return let(F.coalesce(let(good, own), other), lambda chosen: of_chosen(s, chosen))
+
+    def of_chosen(s: Column, chosen: Column) -> Column:
+        is_bad = lambda x: (x["norm"] != "") & (x["norm"] != chosen["norm"]) & (~x["valid"] | (x["words"] >= verbose))
+        first = F.get(s, F.lit(0))
+        pick = lambda bad: F.when(is_bad(first), first).otherwise(_most_frequent(bad))
+        return let(F.filter(s, is_bad), lambda bad: F.when(F.size(bad) > 0, let(pick(bad), lambda r: pair(chosen, r))))
+
+    def pair(chosen: Column, r: Column) -> Column:
+        return F.struct(
+            chosen["raw"].alias("chosen"), r["raw"].alias("rejected"), chosen["source"].alias("chosen_source"),
+            F.when(r["words"] >= verbose, "on_policy_verbose").otherwise("on_policy_invalid").alias("rejected_source"),
+            size(chosen["norm"]).alias("chosen_len"), r["words"].alias("rejected_len"), r["valid"].alias("rejected_valid"),
+        )
+
+    known = F.transform(F.coalesce("known_outputs", none), answer)
+    found = F.explode(F.array_compact(F.array(let(known, lambda k: let(labeled(k), of_samples))))).alias("p")
+    return spread(rows).select("input_a", "input_b", found).select(F.concat_ws("+", "input_a", "input_b").alias("pair_id"), "input_a", "input_b", "p.*")

@@ -32,6 +32,12 @@ def ranking(spark: SparkSession, d: str) -> DataFrame:
     return A.ranked(A.standings(_runs(spark, d).filter("depth between 1 and 10"), "model"))
 
 
+@plans.add(f"WITH {_RUNS} SELECT model, round(avg(combinations), 1) AS avg, count(*) AS wins FROM r WHERE won AND combinations > 60 GROUP BY 1 HAVING avg(combinations) IS NOT NULL", fractions="avg")
+def efficiency(spark: SparkSession, d: str) -> DataFrame:
+    """F21."""
+    return A.efficiency(A.standings(_runs(spark, d).filter("not won or combinations > 60"), "model"))
+
+
 @plans.add(f"""WITH {_DAILY} SELECT model, avg(win_rate) AS score, count(DISTINCT day) AS days, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(wins) AS BIGINT) AS wins, sum(avg_combinations * wins) FILTER (avg_combinations IS NOT NULL) / nullif(sum(wins) FILTER (avg_combinations IS NOT NULL), 0) AS avg_combinations FROM dly GROUP BY 1""", fractions="score avg_combinations")
 def overall_board(spark: SparkSession, d: str) -> DataFrame:
     """A11, O3."""

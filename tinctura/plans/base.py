@@ -7,6 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tinctura.functions.concepts import GARBAGE, NO_CONCEPTS, SENTENCE_WORDS
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -47,7 +49,7 @@ class Plans:
         return dict(self._sql)
 
 
-_WS = r"[\s\x{0b}\x{85}\p{Z}]"
+_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 
 
 def strip(x: str) -> str:
@@ -80,7 +82,7 @@ def split(a: str, b: str) -> str:
     return f"CASE WHEN {x} < 8000 THEN 'train' WHEN {x} < 9000 THEN 'dev' ELSE 'test' END"
 
 
-GARBAGE = r"[#`;{}\[\]|\\<>+*=]"
+_SENTENCE, _NONE = (", ".join(f"'{w}'" for w in words_) for words_ in (SENTENCE_WORDS, NO_CONCEPTS))
 
 
 def garbage(x: str) -> str:
@@ -93,7 +95,7 @@ def defect(x: str, *, max_words: int = 3, gerunds: bool = False) -> str:
     """The first reason against a concept, or NULL."""
     t = concept(f"coalesce({x}, '')")
     w = f"regexp_extract_all({t}, '[a-z0-9]+(?:[''-][a-z0-9]+)?')"
-    token = """CASE WHEN w IN ('undefined', 'unknown', 'null', 'none') THEN 'placeholder_token' WHEN length(w) < 2 THEN 'short_token'
+    token = f"""CASE WHEN w IN ({_NONE}) THEN 'placeholder_token' WHEN length(w) < 2 THEN 'short_token'
         WHEN ends_with(w, 'nado') AND length(w) > 6 THEN 'suspicious_suffix'
         WHEN regexp_matches(w, '^[a-z]+$') AND length(w) >= 4 AND NOT regexp_matches(w, '[aeiou]') THEN 'vowelless_token' END"""
     gerund = "" if gerunds else f"WHEN len(list_filter({w}[2:], lambda w: ends_with(w, 'ing'))) > 0 THEN 'gerund_phrase'"
@@ -102,7 +104,7 @@ def defect(x: str, *, max_words: int = 3, gerunds: bool = False) -> str:
         WHEN regexp_matches(regexp_replace({t}, '[.,%-]', '', 'g'), '^[0-9]+$') THEN 'numeric'
         WHEN len(list_filter({w}, lambda w: regexp_matches(w, '[0-9]'))) > 0 THEN 'has_digit'
         WHEN len({w}) <> len(list_distinct({w})) THEN 'repeated_token' {gerund}
-        WHEN len({w}) >= 3 AND len(list_intersect({w}, ['because', 'inside', 'instead', 'that', 'this', 'when', 'while', 'with', 'without', 'your'])) > 0 THEN 'sentence_like'
+        WHEN len({w}) >= 3 AND len(list_intersect({w}, [{_SENTENCE}])) > 0 THEN 'sentence_like'
         ELSE list_filter(list_transform({w}, lambda w: {token}), lambda r: r IS NOT NULL)[1] END"""
 
 

@@ -1,4 +1,7 @@
-"""Queries over the recipe graph: edges of line items, elements 0..59, starters 0..3; ``whole_*`` over all canonical recipes."""
+"""Queries over the recipe graph: all canonical recipes; starters are the inputs that no recipe makes.
+
+Where the SQL would need recursion over the whole graph there is none, and tests compare with brute force.
+"""
 
 from __future__ import annotations
 
@@ -11,19 +14,19 @@ from tinctura.storage import materialize, table
 plans = Plans()
 queries, oracle_sql = plans.queries, plans.oracle_sql
 
-_EDGES = """ed AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, c FROM (SELECT l_partkey % 60 AS a, l_suppkey % 60 AS b, greatest(l_partkey % 60, l_suppkey % 60) + 1 + CAST(floor(l_quantity) AS BIGINT) % 3 AS c FROM lineitem)
-    WHERE a <> b AND abs(a - b) <= 6 AND a <> c AND b <> c)"""
-_STARTS = [0, 1, 2, 3]
+_EDGES = """ed AS (SELECT DISTINCT least(input_a, input_b) AS a, greatest(input_a, input_b) AS b, canonical_output AS c FROM recipe_canonical_v0
+    WHERE input_a <> canonical_output AND input_b <> canonical_output)"""
+#: Elements whose untried partners are listed, and steps of a witness path at most.
+ASKED, STEPS = 5, 8
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select((F.col("l_partkey") % 60).alias("a"), (F.col("l_suppkey") % 60).alias("b"), F.floor("l_quantity").cast("long").alias("q"))
-    rows = li.withColumn("c", F.greatest("a", "b") + 1 + F.col("q") % 3).filter("a <> b and abs(a - b) <= 6").select("a", "b", "c")
-    return G.pool(rows)
+    return G.pool(table(spark, d, "recipe_canonical_v0").select(F.col("input_a").alias("a"), F.col("input_b").alias("b"), F.col("canonical_output").alias("c")))
 
 
-def _starters(spark: SparkSession, cost: int) -> DataFrame:
-    return spark.createDataFrame([(s, cost) for s in _STARTS], "node long, cost long")
+def _unmade(edges: DataFrame, cost: int) -> DataFrame:
+    inputs = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return inputs.join(edges.select(F.col("c").alias("node")).distinct(), "node", "left_anti").withColumn("cost", F.lit(cost).cast("long"))
 
 
 @plans.add(f"WITH {_EDGES} SELECT a, b, c FROM ed")
@@ -32,28 +35,21 @@ def recipe_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d)
 
 
-# Recursion without the best cost so far: all (node, depth) up to the longest chain, then the least depth.
-_REACH = f"""WITH RECURSIVE {_EDGES},
-    lv(k, nodes) AS (SELECT 0, map([CAST(0 AS BIGINT), 1, 2, 3], [CAST({{start}} AS BIGINT), {{start}}, {{start}}, {{start}}])
-    UNION ALL SELECT k + 1, (SELECT map(list(node), list(cost)) FROM (SELECT node, min(cost) AS cost FROM (
-        SELECT unnest(map_keys(nodes)) AS node, unnest(map_values(nodes)) AS cost UNION ALL
-        SELECT c, {{plus}} FROM (SELECT c, nodes[a] AS x, nodes[b] AS y FROM ed) WHERE x IS NOT NULL AND y IS NOT NULL) GROUP BY node)) FROM lv WHERE k < 40)
-    SELECT unnest(map_keys(nodes)) AS node, unnest(map_values(nodes)) AS cost FROM lv WHERE k = 40"""
-
-
-@plans.add(_REACH.replace("{start}", "0").replace("{plus}", "greatest(x, y) + 1"))
+@plans.add()
 def depths(spark: SparkSession, d: str) -> DataFrame:
     """Rounds of joins to a fixpoint."""
-    return G.levels(_edges(spark, d), _starters(spark, 0))
+    e = materialize(_edges(spark, d), "whole")
+    return G.levels(e, _unmade(e, 0))
 
 
-@plans.add(_REACH.replace("{start}", "1").replace("{plus}", "x + y"))
+@plans.add()
 def sum_costs(spark: SparkSession, d: str) -> DataFrame:
     """D25."""
-    return G.levels(_edges(spark, d), _starters(spark, 1), cost="sum")
+    e = materialize(_edges(spark, d), "whole")
+    return G.levels(e, _unmade(e, 1), cost="sum")
 
 
-@plans.add(f"""SELECT node, cost FROM (SELECT *, row_number() OVER (ORDER BY node) - 1 AS n, count(*) OVER () AS al FROM ({_REACH.replace("{start}", "0").replace("{plus}", "greatest(x, y) + 1")}) WHERE cost = 5) WHERE n = floor(0.4 * al)""")
+@plans.add()
 def daily_goal(spark: SparkSession, d: str) -> DataFrame:
     """D18."""
     return G.goal(depths(spark, d), 5, F.lit(0.4))
@@ -85,15 +81,17 @@ def recipe_difference(spark: SparkSession, d: str) -> DataFrame:
     return G.difference(c.select(F.col("input_a").alias("a"), F.col("input_b").alias("b"), F.get("known_outputs", F.lit(0)).alias("c")), c.select(F.col("input_a").alias("a"), F.col("input_b").alias("b"), F.col("canonical_output").alias("c")))
 
 
-@plans.add(f"""WITH {_EDGES}, el AS (SELECT DISTINCT unnest([a, b]) || '' AS e FROM ed) SELECT x.e AS a, y.e AS b FROM el x JOIN el y ON x.e <= y.e WHERE NOT EXISTS (SELECT 1 FROM ed WHERE least(ed.a || '', ed.b || '') = x.e AND greatest(ed.a || '', ed.b || '') = y.e)""")
+@plans.add(f"""WITH {_EDGES}, x AS (SELECT a AS element FROM ed UNION ALL SELECT b FROM ed WHERE a <> b), el AS (SELECT DISTINCT element AS e FROM x), qs AS (SELECT element AS e FROM x GROUP BY 1 ORDER BY count(*) DESC, element LIMIT {ASKED})
+    SELECT DISTINCT least(q.e, el.e) AS a, greatest(q.e, el.e) AS b FROM qs q JOIN el ON true WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.a = least(q.e, el.e) AND ed.b = greatest(q.e, el.e))""")
 def untried_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Over the graph's 60 elements."""
-    e = _edges(spark, d).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
-    return G.untried(e.select(F.explode(F.array("a", "b")).alias("element")), e)
+    """Of the elements used most (a top-k list is the feature) with all elements."""
+    e = _edges(spark, d)
+    used = e.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("element"))
+    most = used.groupBy("element").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "element").limit(ASKED)
+    return G.untried(most, used, e)
 
 
-@plans.add(f"""WITH co AS ({_REACH.replace("{start}", "1").replace("{plus}", "x + y")}), e2 AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, c FROM (SELECT l_partkey % 60 AS a, l_suppkey % 60 AS b, greatest(l_partkey % 60, l_suppkey % 60) + 1 + CAST(floor(l_quantity) AS BIGINT) % 3 AS c FROM lineitem) WHERE a <> b AND abs(a - b) <= 6)
-    SELECT e2.a, e2.b, e2.c, x.cost AS cost_a, y.cost AS cost_b, z.cost AS cost_c FROM e2 LEFT JOIN co x ON x.node = e2.a LEFT JOIN co y ON y.node = e2.b LEFT JOIN co z ON z.node = e2.c WHERE coalesce(z.cost, 0) <= 100""")
+@plans.add()
 def priced_recipes(spark: SparkSession, d: str) -> DataFrame:
     """O11, F17."""
     return G.listed(_edges(spark, d), sum_costs(spark, d)).filter("coalesce(cost_c, 0) <= 100")
@@ -102,84 +100,14 @@ def priced_recipes(spark: SparkSession, d: str) -> DataFrame:
 @plans.add()
 def packed_recipes(spark: SparkSession, d: str) -> DataFrame:
     """Recipes in codes of a dictionary in the order of cost and name."""
-    return _packed(_edges(spark, d), sum_costs(spark, d))
-
-
-def _packed(edges: DataFrame, costs: DataFrame) -> DataFrame:
-    e = edges.select(*[F.col(c).cast("string").alias(c) for c in "abc"])
-    costs = costs.select(F.col("node").cast("string").alias("name"), "cost")
-    names = e.select(F.explode(F.array("a", "b", "c")).alias("name")).distinct().join(costs, "name", "left").withColumn("cost", F.coalesce("cost", F.lit(1 << 60)))
-    return G.packed(names, e)[1]
+    names = F.explode(F.array("a", "b", "c")).alias("name")
+    costs = sum_costs(spark, d).select(F.col("node").alias("name"), "cost")
+    e = _edges(spark, d)
+    return G.packed(e.select(names).distinct().join(costs, "name", "left").withColumn("cost", F.coalesce("cost", F.lit(1 << 60))), e)[1]
 
 
 @plans.add()
 def witness_lengths(spark: SparkSession, d: str) -> DataFrame:
-    """D17 over the graph of 60 elements, in the order of its recipes: the length of each node's path."""
-    rows = [(str(r["a"]), str(r["b"]), str(r["c"])) for r in _edges(spark, d).orderBy("a", "b", "c").collect()]  # at most 60 * 6 * 3
-    paths = G.witness_paths(rows, [str(s) for s in _STARTS], 20)
-    return spark.createDataFrame([(k, len(p)) for k, p in paths.items()], "node string, length int")
-
-
-# The whole graph: every canonical recipe; starters are the inputs that no recipe makes. Where the SQL would need
-# recursion over all of it, there is none, and tests compare with brute force.
-_WHOLE = """wh AS (SELECT DISTINCT least(input_a, input_b) AS a, greatest(input_a, input_b) AS b, canonical_output AS c FROM recipe_canonical_v0
-    WHERE input_a <> canonical_output AND input_b <> canonical_output)"""
-
-
-def _whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.pool(table(spark, d, "recipe_canonical_v0").select(F.col("input_a").alias("a"), F.col("input_b").alias("b"), F.col("canonical_output").alias("c")))
-
-
-def _unmade(edges: DataFrame, cost: int) -> DataFrame:
-    inputs = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return inputs.join(edges.select(F.col("c").alias("node")).distinct(), "node", "left_anti").withColumn("cost", F.lit(cost).cast("long"))
-
-
-@plans.add(f"WITH {_WHOLE} SELECT a, b, c FROM wh")
-def whole_edges(spark: SparkSession, d: str) -> DataFrame:
-    """D19, F18, F20."""
-    return _whole(spark, d)
-
-
-@plans.add()
-def whole_depths(spark: SparkSession, d: str) -> DataFrame:
-    """D26, J15."""
-    e = materialize(_whole(spark, d), "whole")
-    return G.levels(e, _unmade(e, 0))
-
-
-@plans.add()
-def whole_sum_costs(spark: SparkSession, d: str) -> DataFrame:
-    """D25."""
-    e = materialize(_whole(spark, d), "whole")
-    return G.levels(e, _unmade(e, 1), cost="sum")
-
-
-@plans.add()
-def whole_daily_goal(spark: SparkSession, d: str) -> DataFrame:
-    """D18."""
-    return G.goal(whole_depths(spark, d), 5, F.lit(0.4))
-
-
-@plans.add(f"""WITH {_WHOLE}, x AS (SELECT a AS element, 1 AS i, 0 AS o FROM wh UNION ALL SELECT b, 1, 0 FROM wh WHERE a <> b UNION ALL SELECT c, 0, 1 FROM wh) SELECT element, CAST(sum(i) AS BIGINT) AS as_input, CAST(sum(o) AS BIGINT) AS made_by FROM x GROUP BY 1""")
-def whole_uses(spark: SparkSession, d: str) -> DataFrame:
-    """A27, J20."""
-    return G.uses(_whole(spark, d))
-
-
-@plans.add(f"""WITH {_WHOLE} SELECT a AS element, 'to' AS kind, a, b, c FROM wh UNION ALL SELECT b, 'to', a, b, c FROM wh WHERE a <> b UNION ALL SELECT c, 'from', a, b, c FROM wh""")
-def whole_links(spark: SparkSession, d: str) -> DataFrame:
-    """A27."""
-    return G.links(_whole(spark, d))
-
-
-@plans.add()
-def whole_priced(spark: SparkSession, d: str) -> DataFrame:
-    """O11, F17."""
-    return G.listed(_whole(spark, d), whole_sum_costs(spark, d)).filter("coalesce(cost_c, 0) <= 100")
-
-
-@plans.add()
-def whole_packed(spark: SparkSession, d: str) -> DataFrame:
-    """S16."""
-    return _packed(_whole(spark, d), whole_sum_costs(spark, d))
+    """The length of each node's path."""
+    e = materialize(_edges(spark, d), "whole")
+    return G.witnesses(e, _unmade(e, 0), STEPS).select("node", F.size("path").alias("length"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tinctura.operators import series as Z
-from tinctura.plans.base import Plans
+from tinctura.plans.base import Plans, concept
 from tinctura.storage import table
 
 plans = Plans()
@@ -25,6 +25,16 @@ def concept_emoji(spark: SparkSession, d: str) -> DataFrame:
     return Z.concept_emoji(c.select(F.col("canonical_output").alias("name")), known)
 
 
+@plans.add(f"""WITH k AS (SELECT canonical_output AS concept, min(canonical_emoji) AS emoji FROM recipe_canonical_v0 WHERE canonical_output NOT LIKE '% %' AND canonical_emoji <> '⚪' AND length(canonical_output) % 2 = 0 GROUP BY 1),
+    n AS (SELECT {concept('input_a')} AS name, min(emoji_a) AS given FROM recipe_canonical_v0 GROUP BY 1), t AS (SELECT name, unnest(list_prepend(name, list_reverse(string_split(name, ' ')))) AS concept, unnest(range(len(string_split(name, ' ')) + 1)) AS nth FROM n),
+    f AS (SELECT name, arg_min(k.emoji, nth) FILTER (k.emoji IS NOT NULL) AS emoji FROM t LEFT JOIN k USING (concept) GROUP BY 1) SELECT name AS id, name, coalesce(given, f.emoji, {_FALLBACK}[CAST({_FNV} % 20 AS INTEGER) + 1]) AS emoji FROM n JOIN f USING (name)""")
+def element_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """P17."""
+    c = table(spark, d, "recipe_canonical_v0")
+    known = c.filter("canonical_output not like '% %' and canonical_emoji <> '⚪' and length(canonical_output) % 2 = 0").groupBy(F.col("canonical_output").alias("concept")).agg(F.min("canonical_emoji").alias("emoji"))
+    return Z.element_tokens(c.select(F.col("input_a").alias("name"), F.col("emoji_a").alias("given")), known)
+
+
 _STEPS = "st AS (SELECT l_orderkey AS run, l_partkey % 40 AS output, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS idx FROM lineitem)"
 
 

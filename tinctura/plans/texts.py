@@ -37,13 +37,19 @@ def slugs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_passages").select("item_id", X.slug("suite").alias("slug"), X.storage_segment("suite").alias("segment"))
 
 
-@plans.add(r"""WITH l AS (SELECT prediction_id, regexp_extract(regexp_replace(coalesce(prediction, ''), '^[\s\x{0b}\x{85}\p{Z}]+|[\s\x{0b}\x{85}\p{Z}]+$', '', 'g'), '^([^\n\r]*)', 1) AS line FROM predictions),
-    h AS (SELECT prediction_id, trim(regexp_replace(replace(regexp_extract(line, '^([^.:;?!()\[\]{}]*)', 1), '*', ' '), '[\s\x{0b}\x{85}\p{Z}]+', ' ', 'g')) AS flat FROM l),
-    c AS (SELECT prediction_id, regexp_replace(regexp_extract(flat, '(?i)^(.*?)(?:\s+(?:with|and|or|of|in|for|to|on|from|by)\b.*)?$', 1), '^[ ,_-]+|[ ,_-]+$', '', 'g') AS cut FROM h)
-    SELECT prediction_id, array_to_string(string_split(cut, ' ')[1:3], ' ') AS concept FROM c""")
+_CONNECTOR = r"(?:with|and|or|of|in|for|to|on|from|by)"
+_LINE = "regexp_extract(" + B.strip("coalesce(prediction, '')") + r", '^([^\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]*)', 1)"
+_HEAD = r"regexp_extract(line, '^([^.:;?!()\[\]{}]*)', 1)"
+_CUT = f"l AS (SELECT prediction_id, {_LINE} AS line FROM predictions), h AS (SELECT prediction_id, {B.flat(f"replace({B.strip(_HEAD)}, '*', ' ')")} AS flat FROM l)"
+
+
+@plans.add(rf"""WITH {_CUT},
+    c AS (SELECT prediction_id, CASE WHEN regexp_matches(flat, '(?i)(?:^|[^\p{{L}}\p{{N}}_]){_CONNECTOR}(?:[^\p{{L}}\p{{N}}_]|$)') THEN regexp_extract(flat, '(?is)^(|.*?[^\p{{L}}\p{{N}}_]){_CONNECTOR}(?:[^\p{{L}}\p{{N}}_].*)?$', 1) ELSE flat END AS cut FROM h),
+    w AS (SELECT prediction_id, list_filter(list_transform(string_split(cut, ' '), lambda w: trim(w, ',-_')), lambda w: w <> '') AS words FROM c)
+    SELECT prediction_id, array_to_string(words[1:3], ' ') AS concept, array_to_string(words, ' ') AS uncut FROM w""")
 def generated_concepts(spark: SparkSession, d: str) -> DataFrame:
-    """P12."""
-    return table(spark, d, "predictions").select("prediction_id", X.generated_concept("prediction").alias("concept"))
+    """Up to three words, and all of them."""
+    return table(spark, d, "predictions").select("prediction_id", X.generated_concept("prediction").alias("concept"), X.generated_concept("prediction", 0).alias("uncut"))
 
 
 @plans.add(r"""SELECT prediction_id, nullif(regexp_extract(prediction, '(?s)\{.*\}'), '') AS object,
@@ -54,25 +60,45 @@ def outer_objects(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "predictions").select("prediction_id", found.alias("object"), F.get_json_object(found, "$.result").alias("result"))
 
 
-@plans.add()
+_REPLY = """CASE prediction_id % 5 WHEN 0 THEN '<think>a' || chr(10) || 'b</think>' || chr(10) || '<|end|>' || chr(10) || 'Concept: ' || x WHEN 1 THEN '"Resulting  concept : ' || x || '"' || chr(10) || 'more'
+    WHEN 2 THEN chr(39) || chr(10) || '`concept:`' || chr(13) || chr(10) || x WHEN 3 THEN '<think>open' || chr(10) || x ELSE x END"""
+_BARE = B.strip(r"""regexp_replace(regexp_replace({}, '^["''`]+|["''`]+$', '', 'g'), '(?i)^(?:resulting[\s\x{{0b}}\x{{85}}\p{{Z}}]+concept|concept)[\s\x{{0b}}\x{{85}}\p{{Z}}]*:[\s\x{{0b}}\x{{85}}\p{{Z}}]*', '')""".format(B.strip("y")))
+
+
+@plans.add(rf"""WITH r AS (SELECT prediction_id, {_REPLY} AS raw, '```json' || chr(10) || x || chr(10) || '``` ' AS fenced, x FROM (SELECT prediction_id, coalesce(prediction, canonical_output, 'none') AS x FROM predictions)),
+    t AS (SELECT *, regexp_replace(regexp_replace(raw, '(?is)<think>.*?</think>', '', 'g'), '<\|[^|]+?\|>', '', 'g') AS said FROM r),
+    y AS (SELECT *, list_filter(list_transform(regexp_split_to_array({B.strip('said')}, '\r?\n'), lambda y: {_BARE}), lambda y: y <> '') AS bare FROM t)
+    SELECT prediction_id, {B.concept("coalesce(bare[1], '')")} AS concept, {B.strip("x")} AS unfenced,
+    CASE WHEN contains(raw, '</think>') THEN substr(raw, strpos(raw, '</think>') + 8) WHEN contains(raw, '<think>') THEN '' ELSE raw END AS said FROM y""")
 def model_concepts(spark: SparkSession, d: str) -> DataFrame:
-    """Replies as models give them, wrapped in thoughts, fences and labels, and unwrapped again."""
-    p = table(spark, d, "predictions")
-    raw = F.concat(F.lit("<think>a\nb</think>\n<|end|>\nConcept: \""), F.coalesce("canonical_output", F.lit("none")), F.lit("\"\nmore"))
-    fenced = F.concat(F.lit("```json\n"), F.coalesce("canonical_output", F.lit("none")), F.lit("\n```"))
-    return p.select("prediction_id", X.model_concept(raw).alias("concept"), X.without_fence(fenced).alias("unfenced"), X.without_thoughts(raw).alias("said"))
+    """Predictions as models give them, wrapped in thoughts, fences, quotes and labels, and unwrapped again."""
+    x, n = F.coalesce("prediction", "canonical_output", F.lit("none")), F.col("prediction_id") % 5
+    raw = (
+        F.when(n == 0, F.concat(F.lit("<think>a\nb</think>\n<|end|>\nConcept: "), x)).when(n == 1, F.concat(F.lit('"Resulting  concept : '), x, F.lit('"\nmore')))
+        .when(n == 2, F.concat(F.lit("'\n`concept:`\r\n"), x)).when(n == 3, F.concat(F.lit("<think>open\n"), x)).otherwise(x)
+    )
+    fenced = F.concat(F.lit("```json\n"), x, F.lit("\n``` "))
+    return table(spark, d, "predictions").select("prediction_id", X.model_concept(raw).alias("concept"), X.without_fence(fenced).alias("unfenced"), X.without_thoughts(raw).alias("said"))
+
+
+_PLAIN = "'Input A: ' || input_a || chr(10) || 'Input B: ' || input_b || chr(10) || 'Final concept:'"
+_WHY = "'Input A: ' || input_a || chr(10) || 'Input B: ' || input_b || chr(10) || 'Rationale:'"
 
 
-@plans.add("""SELECT prediction_id, 'Concept A: ' || input_a || chr(10) || 'Concept B: ' || input_b || chr(10) || 'Result: ' || canonical_output AS text,
-    CAST(length('Concept A: ' || input_a || chr(10) || 'Concept B: ' || input_b || chr(10) || 'Result:') + 1 AS INTEGER) AS "start",
-    CAST(length('Concept A: ' || input_a || chr(10) || 'Concept B: ' || input_b || chr(10) || 'Result:') + 1 + length(canonical_output) AS INTEGER) AS "end" FROM predictions WHERE canonical_output IS NOT NULL""")
+@plans.add(f"""WITH p AS (SELECT prediction_id, canonical_output AS o, coalesce(prediction, '') AS why, {_PLAIN} AS plain, {_WHY} AS reasoned, 'Given two concepts, combine them into one resulting concept.' || chr(10) || chr(10) || 'Concept A: ' || input_a || chr(10) || 'Concept B: ' || input_b || chr(10) || chr(10) || 'Return only the resulting concept.' AS chat FROM predictions WHERE canonical_output IS NOT NULL),
+    x AS (SELECT prediction_id, chat, unnest(['plain', 'after', 'before']) AS kind, o, why, plain, reasoned FROM p),
+    y AS (SELECT prediction_id, chat, kind, CASE WHEN kind = 'plain' OR why = '' THEN plain || ' ' || o WHEN kind = 'after' THEN plain || ' ' || o || chr(10) || 'Rationale: ' || why ELSE reasoned || ' ' || why || chr(10) || 'Final concept: ' || o END AS text,
+        CASE WHEN kind <> 'before' OR why = '' THEN length(plain) + 1 ELSE length(reasoned) + length(why) + 17 END AS st, CASE WHEN kind = 'plain' OR why = '' THEN 0 WHEN kind = 'after' THEN length(plain) + length(o) + 13 ELSE length(reasoned) + 1 END AS rst, length(o) AS lo, CASE WHEN kind = 'plain' THEN 0 ELSE length(why) END AS lw FROM x)
+    SELECT prediction_id, chat, kind, text, CAST(st AS INTEGER) AS "start", CAST(st + lo AS INTEGER) AS "end", CAST(rst AS INTEGER) AS rationale_start, CAST(rst + lw AS INTEGER) AS rationale_end FROM y""")
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    """P23."""
+    """Plain, with the rationale after the concept and before it; and as a chat."""
     p = table(spark, d, "predictions").filter("canonical_output is not null")
-    return p.select("prediction_id", X.prompt_spans("input_a", "input_b", "canonical_output").alias("x")).select("prediction_id", "x.*")
+    kinds = {"plain": X.prompt_spans("input_a", "input_b", "canonical_output"), "after": X.prompt_spans("input_a", "input_b", "canonical_output", "prediction"), "before": X.prompt_spans("input_a", "input_b", "canonical_output", "prediction", rationale_first=True)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("x")) for k, v in kinds.items()]))
+    return p.select("prediction_id", X.chat_prompt("input_a", "input_b").alias("chat"), each.alias("k")).select("prediction_id", "chat", "k.kind", "k.x.*")
 
 
-@plans.add("""SELECT row_id, '{"request":{"contents":[{"role":"user","parts":[{"text":' || to_json('Concept A: ' || input_a || chr(10) || 'Concept B: ' || input_b || chr(10) || 'Result:') || '}]}],"generationConfig":{"maxOutputTokens":' ||
+@plans.add("""SELECT row_id, '{"request":{"contents":[{"role":"user","parts":[{"text":' || to_json('Input A: ' || input_a || chr(10) || 'Input B: ' || input_b || chr(10) || 'Final concept:') || '}]}],"generationConfig":{"maxOutputTokens":' ||
     greatest(2048, 256 * len(known_outputs)) || '}}}' AS line FROM recipe_canonical_v0""")
 def batch_requests(spark: SparkSession, d: str) -> DataFrame:
     """P24."""
@@ -86,13 +112,14 @@ def day_seeds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", X.day_seed("ts", F.col("user_id") % 20 + 1).alias("seed"))
 
 
-@plans.add("""SELECT o_orderkey, CASE WHEN n >= 1000000 AND n % 1000000 = 0 THEN (n // 1000000) || 'm' WHEN n >= 1000 AND n % 1000 = 0 THEN (n // 1000) || 'k' ELSE n || '' END AS size,
+@plans.add("""SELECT o_orderkey, CASE WHEN n >= 1000 AND n % 1000 = 0 THEN (n // 1000) || 'k' ELSE n || '' END AS size,
     CASE WHEN s >= 3600 THEN (s // 3600) || 'h' || lpad((s % 3600 // 60) || '', 2, '0') || 'm' || lpad((s % 60) || '', 2, '0') || 's' WHEN s >= 60 THEN (s // 60) || 'm' || lpad((s % 60) || '', 2, '0') || 's' ELSE s || 's' END AS duration
-    FROM (SELECT o_orderkey, o_orderkey * 500 AS n, CAST(floor(o_totalprice) AS BIGINT) % 20000 AS s FROM orders)""")
+    FROM (SELECT o_orderkey, o_orderkey * 500 AS n, CAST(greatest(round_even(t, 0), 0) AS BIGINT) AS s FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 200 - 20.5 ELSE o_totalprice / 16 END AS t FROM orders))""")
 def readable_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """P22."""
-    o = table(spark, d, "orders")
-    return o.select("o_orderkey", X.human_size(F.col("o_orderkey") * 500).alias("size"), X.human_duration(F.floor("o_totalprice").cast("long") % 20000).alias("duration"))
+    """Durations with fractions, halves and negative ones among them."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    seconds = F.when(k % 4 == 0, (k % 200).cast("double") - 20.5).otherwise(F.col("o_totalprice") / 16)
+    return o.select("o_orderkey", X.human_size(k * 500).alias("size"), X.human_duration(seconds).alias("duration"))
 
 
 @plans.add("""SELECT row_id, pair_id = sha256('["' || input_a || '","' || input_b || '"]') AS same, sha256('["final","' || input_a || '","' || input_b || '"]') AS import_id,
@@ -134,16 +161,9 @@ def concept_quality(spark: SparkSession, d: str) -> DataFrame:
     return obs.select("obs_id", C.is_garbage("input_a").alias("garbage_a"), C.is_garbage("output").alias("garbage_out"), C.concept_defect("output").alias("reason"))
 
 
-@plans.add(f"""WITH w AS (SELECT doc_id, array_to_string(string_split({B.flat("coalesce(title, '')")}, ' ')[1:4], ' ') AS phrase FROM documents) SELECT doc_id, {B.defect('phrase')} AS reason FROM w""")
-def title_quality(spark: SparkSession, d: str) -> DataFrame:
-    """F2 on phrases that break more of its rules."""
-    phrase = F.array_join(F.slice(F.split(X.one_line(F.coalesce("title", F.lit(""))), " "), 1, 4), " ")
-    return table(spark, d, "documents").select("doc_id", phrase.alias("phrase")).select("doc_id", C.concept_defect("phrase").alias("reason"))
-
-
 @plans.add(f"""SELECT doc_id, {B.defect('title')} AS reason FROM documents""")
-def whole_title_quality(spark: SparkSession, d: str) -> DataFrame:
-    """F2 on whole titles."""
+def title_quality(spark: SparkSession, d: str) -> DataFrame:
+    """F2 on whole titles, which break more of its rules."""
     return table(spark, d, "documents").select("doc_id", C.concept_defect("title").alias("reason"))
 
 

@@ -82,7 +82,22 @@ def weighted_means(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(W.weighted_mean("l_extendedprice", "l_quantity").alias("mean"))
 
 
-@plans.add()
+_N = concept("coalesce(x, '')")
+_PREF = f"""s AS (SELECT prediction_id, x AS raw, {_N} AS norm, nth, list_contains(list_transform(coalesce(known_outputs, []), lambda x: {_N}), {_N}) AND {_N} <> '' AS valid FROM (SELECT prediction_id, known_outputs, unnest(sampled_outputs) AS x, unnest(range(len(sampled_outputs))) AS nth FROM predictions) WHERE x IS NOT NULL),
+    w AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS wc FROM s),
+    good AS (SELECT prediction_id, norm, count(*) AS n, min(nth) AS nth, arg_min(raw, nth) AS raw FROM w WHERE valid AND wc BETWEEN 1 AND 2 GROUP BY 1, 2),
+    best AS (SELECT prediction_id, raw FROM good QUALIFY row_number() OVER (PARTITION BY prediction_id ORDER BY n DESC, length(norm), nth) = 1),
+    cd AS (SELECT prediction_id, x, nth FROM (SELECT prediction_id, unnest(known_outputs) AS x, unnest(range(len(known_outputs))) AS nth FROM predictions) WHERE {_N} <> '' AND len(string_split({_N}, ' ')) <= 2),
+    spare AS (SELECT prediction_id, arg_min(x, nth) AS raw FROM cd GROUP BY 1),
+    ch AS (SELECT prediction_id, p.input_a, p.input_b, coalesce(best.raw, spare.raw) AS x, best.raw IS NOT NULL AS own FROM predictions p LEFT JOIN best USING (prediction_id) LEFT JOIN spare USING (prediction_id)),
+    cn AS (SELECT *, {_N} AS cnorm FROM ch WHERE {_N} <> ''),
+    bad AS (SELECT w.*, cn.input_a, cn.input_b, cn.x AS chosen, own, cnorm, count(*) OVER (PARTITION BY prediction_id, norm) AS n, min(nth) OVER (PARTITION BY prediction_id, norm) AS first_nth, nth = (SELECT min(nth) FROM w v WHERE v.prediction_id = w.prediction_id) AS top
+        FROM w JOIN cn USING (prediction_id) WHERE norm <> '' AND norm <> cnorm AND (NOT valid OR wc >= 3)),
+    rj AS (SELECT * FROM bad QUALIFY row_number() OVER (PARTITION BY prediction_id ORDER BY top DESC, n DESC, length(norm), first_nth, nth) = 1)"""
+
+
+@plans.add(f"""WITH {_PREF} SELECT input_a || '+' || input_b AS pair_id, input_a, input_b, chosen, raw AS rejected, CASE WHEN own THEN 'on_policy' ELSE 'dataset_candidate' END AS chosen_source, CASE WHEN wc >= 3 THEN 'on_policy_verbose' ELSE 'on_policy_invalid' END AS rejected_source,
+    CAST(len(string_split(cnorm, ' ')) AS INTEGER) AS chosen_len, CAST(wc AS INTEGER) AS rejected_len, valid AS rejected_valid FROM rj""")
 def preference_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Samples of the predictions, candidates of the known outputs."""
     p = table(spark, d, "predictions")
@@ -90,26 +105,102 @@ def preference_pairs(spark: SparkSession, d: str) -> DataFrame:
     return W.preference_pairs(p.withColumn("candidate_outputs", cands))
 
 
-_PROP = f"""pr AS (SELECT prediction_id, input_a, input_b, list_transform(known_outputs, lambda x: {concept('x')}) AS known, unnest(sampled_outputs) AS o, unnest(range(len(sampled_outputs))) AS nth FROM predictions WHERE input_a IS NOT NULL),
-    pc AS (SELECT *, {concept('o')} AS output FROM pr), pk AS (SELECT *, list_contains(known, output) AS seen, {defect('output', gerunds=True)} AS bad FROM pc),
-    pf AS (SELECT *, row_number() OVER (PARTITION BY prediction_id, translate(output, ' -''', '') ORDER BY nth) AS f FROM pk WHERE output <> '' AND (seen OR nth % 2 = 1) AND bad IS NULL AND output <> {concept('input_a')} AND output <> {concept('input_b')})"""
+def _valid(name: str, rows: str, limit: int) -> str:
+    """SQL of the valid outputs of ``rows`` (prediction_id, a, b, xs), in order, as ``name`` (prediction_id, os)."""
+    return f"""{name}_1 AS (SELECT prediction_id, a, b, {_N} AS o, nth FROM (SELECT prediction_id, a, b, unnest(xs) AS x, unnest(range(len(xs))) AS nth FROM {rows})),
+    {name}_2 AS (SELECT prediction_id, o, min(nth) AS nth FROM {name}_1 WHERE o <> a AND o <> b AND {defect('o', gerunds=True)} IS NULL GROUP BY 1, 2), {name} AS (SELECT prediction_id, list(o ORDER BY nth)[1:{limit}] AS os FROM {name}_2 GROUP BY 1)"""
 
 
-@plans.add(f"WITH {_PROP} SELECT * FROM (SELECT prediction_id, output, CASE WHEN seen THEN 'observed' ELSE 'teacher' END AS source, CAST(row_number() OVER (PARTITION BY prediction_id ORDER BY nth) AS INTEGER) AS rank FROM pf WHERE f = 1) WHERE rank <= 5")
+_A, _B = concept("coalesce(input_a, '')"), concept("coalesce(input_b, '')")
+_TEACH = f"""kn AS (SELECT prediction_id, {_A} AS a, {_B} AS b, known_outputs AS xs, sampled_outputs, model FROM predictions), {_valid('sn', 'kn', 5)},
+    pp AS (SELECT prediction_id, a, b, coalesce(os, []) AS seen, {_N} AS o, nth FROM (SELECT prediction_id, a, b, unnest(sampled_outputs) AS x, unnest(range(len(sampled_outputs))) AS nth FROM kn) LEFT JOIN sn USING (prediction_id)),
+    pu AS (SELECT *, row_number() OVER (PARTITION BY prediction_id, translate(o, ' -''', '') ORDER BY nth) AS f FROM pp WHERE nth % 5 < 4 AND o <> a AND o <> b AND (list_contains(seen, o) OR nth % 2 = 1) AND {defect('o', gerunds=True)} IS NULL),
+    pc AS (SELECT prediction_id, list(o ORDER BY nth)[1:5] AS outs, list(CASE WHEN list_contains(seen, o) THEN 'observed' ELSE 'teacher' END ORDER BY nth)[1:5] AS sources FROM pu WHERE f = 1 GROUP BY 1),
+    en AS (SELECT prediction_id, a, b, outs, sources, CASE WHEN a = '' OR b = '' OR os IS NULL THEN 'no_valid_observed_outputs' WHEN prediction_id % 9 = 0 THEN 'teacher_response_error' WHEN prediction_id % 7 = 0 THEN CASE WHEN prediction_id % 2 = 0 THEN 'teacher_rejected_recipe' ELSE substr('too_vague_' || replace({concept('model')}, ' ', '_'), 1, 80) END
+        WHEN outs IS NULL THEN 'no_valid_teacher_candidates' END AS reason FROM kn LEFT JOIN sn USING (prediction_id) LEFT JOIN pc USING (prediction_id))"""
+
+
+def _enriched(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions as recipes, their samples as proposals: every other one said to be observed, every fifth without a
+    rationale; some replies are missing or reject the recipe."""
+    n = F.col("prediction_id")
+    said = F.transform("sampled_outputs", lambda o, i: F.struct(o.alias("output"), F.when(i % 2 == 0, "observed").otherwise("teacher").alias("source"), F.when(i % 5 < 4, " it \n follows").otherwise(" ").alias("rationale")))
+    reply = F.struct((n % 7 != 0).alias("keep_recipe"), F.when(n % 2 != 0, F.concat(F.lit("Too  vague "), "model")).alias("reject_reason"), said.alias("candidates"))
+    rows = table(spark, d, "predictions").select("prediction_id", "input_a", "input_b", F.col("known_outputs").alias("outputs"), F.when(n % 9 != 0, reply).alias("reply"))
+    return N.enriched(rows)
+
+
+@plans.add(f"WITH {_TEACH} SELECT prediction_id, unnest(outs) AS output, unnest(sources) AS source, 'it follows' AS rationale, CAST(unnest(range(1, len(outs) + 1)) AS INTEGER) AS rank FROM en WHERE reason IS NULL")
 def merged_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Samples as proposals, every other one said to be observed."""
-    p = table(spark, d, "predictions").filter("input_a is not null")
-    said = F.transform("sampled_outputs", lambda o, i: F.struct(o.alias("output"), F.when(i % 2 == 0, "observed").otherwise("teacher").alias("source")))
-    rows = p.select("input_a", "input_b", "prediction_id", F.coalesce("known_outputs", F.array().cast("array<string>")).alias("observed"), said.alias("proposed"))
-    return N.merged_candidates(rows, ["input_a", "input_b", "prediction_id"]).select("prediction_id", "output", "source", "rank")
+    """D5, O9, F7, P6, P7."""
+    return _enriched(spark, d).select("prediction_id", F.explode("candidate_outputs").alias("c")).select("prediction_id", "c.*")
+
 
+@plans.add(f"WITH {_TEACH} SELECT prediction_id, a AS input_a, b AS input_b, reason AS reject_reason FROM en WHERE reason IS NOT NULL")
+def rejected_recipes(spark: SparkSession, d: str) -> DataFrame:
+    """D6, P8."""
+    return _enriched(spark, d).filter("reject_reason is not null").select("prediction_id", "input_a", "input_b", "reject_reason")
 
-@plans.add()
+
+@plans.add(f"""WITH kn AS (SELECT prediction_id, {_A} AS a, {_B} AS b, known_outputs AS xs FROM predictions), {_valid('ob', 'kn', 3)}, tk AS (SELECT prediction_id, {_A} AS a, {_B} AS b, sampled_outputs AS xs FROM predictions), {_valid('tg', 'tk', 1_000_000)},
+    al AS (SELECT prediction_id, coalesce(ob.os, []) AS o, list_filter(coalesce(tg.os, []), lambda x: NOT list_contains(coalesce(ob.os, []), x))[1:3 - len(coalesce(ob.os, []))] AS t FROM predictions LEFT JOIN ob USING (prediction_id) LEFT JOIN tg USING (prediction_id))
+    SELECT prediction_id, o AS observed, CASE WHEN len(o) >= 3 THEN [] ELSE t END AS taught, CASE WHEN len(o) >= 3 OR len(o) + len(t) >= 3 THEN 'complete' WHEN len(o) + len(t) > 0 THEN 'partial_enrichment' ELSE 'failed_enrichment' END AS quality_status FROM al""")
 def completed_outputs(spark: SparkSession, d: str) -> DataFrame:
     """D7, A25, F7."""
-    p = table(spark, d, "predictions").filter("input_a is not null and input_b is not null")
-    rows = p.select("prediction_id", "input_a", "input_b", F.coalesce("known_outputs", F.array().cast("array<string>")).alias("observed"), F.col("sampled_outputs").alias("taught"))
-    return N.completed(rows, 3).select("prediction_id", "outputs", "quality_status")
+    done = N.completed(table(spark, d, "predictions").select("prediction_id", "input_a", "input_b", F.col("known_outputs").alias("observed"), F.col("sampled_outputs").alias("taught")), 3)
+    of = lambda source: F.transform(F.filter("candidate_outputs", lambda c: c["source"] == source), lambda c: c["output"])
+    return done.select("prediction_id", of("observed").alias("observed"), of("teacher").alias("taught"), "quality_status")
+
+
+@plans.add("""WITH c AS (SELECT row_id AS n, list_distinct(known_outputs) AS d, known_outputs AS o FROM recipe_canonical_v0), k AS (SELECT *, len(o) AS m, CASE WHEN n % 8 = 7 THEN NULL WHEN n % 8 = 1 THEN 'not_json' WHEN n % 8 = 2 THEN 'not_a_list' WHEN n % 8 = 3 THEN 'unexpected' WHEN n % 8 = 4 THEN 'duplicate' WHEN n % 8 = 5 AND len(o) > 1 THEN 'reordered' WHEN n % 8 = 6 THEN 'not_texts' END AS error FROM c)
+    SELECT n AS row_id, error, CASE WHEN n % 8 = 7 OR error IS NULL THEN 'complete' ELSE CASE WHEN n % 3 = 0 THEN 'partial_rationale' ELSE 'failed_rationale' END END AS quality_status, CASE WHEN n % 8 = 7 OR error IS NULL THEN NULL WHEN n % 3 = 0 AND m > 1 THEN 'missing_rationales' WHEN n % 3 = 0 THEN NULL ELSE 'teacher_response_error' END AS reason,
+    CAST(CASE WHEN n % 8 = 7 OR error IS NULL THEN 0 WHEN n % 3 = 0 THEN m - 1 ELSE m END AS INTEGER) AS missing FROM k WHERE NOT (n % 3 = 0 AND m = 1)
+    UNION ALL SELECT n, NULL, 'complete', NULL, 0 FROM k WHERE n % 3 = 0 AND m = 1""")
+def rationales(spark: SparkSession, d: str) -> DataFrame:
+    """Known outputs as candidates, some with rationales, and replies that are right or wrong in every way."""
+    c, n = table(spark, d, "recipe_canonical_v0"), F.col("row_id")
+    own = F.transform("known_outputs", lambda o, i: F.struct(o.alias("output"), F.lit("observed").alias("source"), F.when((n % 8 == 7) | ((n % 3 == 0) & (i == 0)), "so it is").alias("rationale")))
+    good = F.transform("known_outputs", lambda o: F.struct(o.alias("output"), F.concat(F.lit(" why "), o).alias("rationale")))
+    as_json = lambda items: F.concat(F.lit("```json\n"), F.to_json(F.struct(items.alias("rationales"))), F.lit("\n```"))
+    first = F.get(good, F.lit(0))
+    reply = (
+        F.when(n % 8 == 1, "{broken").when(n % 8 == 2, '{"rationales": {}}').when(n % 8 == 3, as_json(F.array(F.struct(F.lit("?").alias("output"), F.lit("x").alias("rationale"))))).when(n % 8 == 4, as_json(F.array(first, first)))
+        .when(n % 8 == 5, as_json(F.reverse(good))).when(n % 8 == 6, '{"rationales": [{"output": 1, "rationale": "x"}]}').otherwise(as_json(good))
+    )
+    rows = N.with_rationales(c.select("row_id", own.alias("candidate_outputs"), reply.alias("reply")))
+    return rows.select("row_id", "error", "quality_status", "reason", F.size("missing_outputs").alias("missing"))
+
+
+_JUDGE = """rp AS (SELECT prediction_id AS n, CASE prediction_id % 8 WHEN 0 THEN 'true' WHEN 1 THEN '"false"' WHEN 2 THEN '""' WHEN 3 THEN '0' WHEN 4 THEN '[]' WHEN 5 THEN '2.5' WHEN 6 THEN 'null' ELSE '{"a":1}' END AS v,
+    CASE prediction_id % 5 WHEN 0 THEN '1.7' WHEN 1 THEN '"0.25"' WHEN 2 THEN '-3' WHEN 3 THEN '"high"' ELSE 'null' END AS s, CASE WHEN prediction_id % 11 = 0 THEN 2 ELSE 1 END AS wanted FROM predictions)"""
+
+
+def _judge(spark: SparkSession, d: str) -> DataFrame:
+    """Judge replies with values of every JSON type; every eleventh has fewer results than asked for."""
+    n = F.col("prediction_id")
+    pick = lambda k, *texts: F.element_at(F.array(*map(F.lit, texts)), (n % k + 1).cast("int"))
+    plausible, score = pick(8, "true", '"false"', '""', "0", "[]", "2.5", "null", '{"a":1}'), pick(5, "1.7", '"0.25"', "-3", '"high"', "null")
+    item = F.concat(F.lit('{"plausible": '), plausible, F.lit(', "plausibility": '), score, F.lit(', "novelty_score": '), score, F.lit(', "reason": "of 3 kinds"}'))
+    reply = F.concat(F.lit('Here: {"results": ['), item, F.lit("]} done"))
+    return table(spark, d, "predictions").select("prediction_id", reply.alias("reply"), item.alias("item"), F.when(n % 11 == 0, 2).otherwise(1).alias("wanted"))
+
+
+@plans.add(f"""WITH {_JUDGE}, t AS (SELECT *, v NOT IN ('""', '0', '[]', 'null') AS true_ FROM rp) SELECT n AS prediction_id, CASE WHEN wanted = 1 THEN true_ END AS plausible,
+    CASE WHEN wanted = 1 THEN CAST(CASE s WHEN '1.7' THEN 1.0 WHEN '"0.25"' THEN 0.25 WHEN '-3' THEN 0.0 ELSE CAST(true_ AS INTEGER) END AS DOUBLE) END AS plausibility, CASE WHEN wanted = 1 THEN 'of 3 kinds' END AS reason FROM t""", fractions="plausibility")
+def parsed_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """D13."""
+    rows = E.parsed_verdicts(_judge(spark, d), F.col("wanted")).withColumn("v", F.get("verdicts", F.lit(0)))
+    return rows.select("prediction_id", "v.plausible", "v.plausibility", "v.reason")
+
+
+@plans.add(f"""WITH {_JUDGE}, x AS (SELECT *, CASE s WHEN '1.7' THEN 1.0 WHEN '"0.25"' THEN 0.25 WHEN '-3' THEN 0.0 END AS given,
+    TRY_CAST(regexp_extract('{{"plausible": ' || v || ', "plausibility": ' || s || ', "novelty_score": ' || s || ', "reason": "of 3 kinds"}}', '([01](?:\\.\\d+)?)', 1) AS DOUBLE) AS found FROM rp)
+    SELECT n AS prediction_id, CAST(coalesce(given, CASE WHEN found > 1 THEN 1 ELSE found END) AS DOUBLE) AS novelty, CASE WHEN given IS NOT NULL THEN 'of 3 kinds' WHEN found IS NOT NULL THEN '{{"plausible": ' || v || ', "plausibility": ' || s || ', "novelty_score": ' || s || ', "reason": "of 3 kinds"}}' END AS reason,
+    CASE WHEN wanted = 1 THEN CAST(given AS DOUBLE) END AS batch_novelty FROM x""", fractions="novelty batch_novelty")
+def novelties(spark: SparkSession, d: str) -> DataFrame:
+    """Of one output, and of all by position."""
+    rows = _judge(spark, d).withColumns({"one": E.novelty_of(F.col("item")), "all": E.novelties_of(F.col("reply"), F.col("wanted"))})
+    return rows.select("prediction_id", "one.novelty", "one.reason", F.get("all", F.lit(0))["novelty"].alias("batch_novelty"))
 
 
 @plans.add("SELECT c.row_id FROM recipe_canonical_v0 c WHERE NOT EXISTS (SELECT 1 FROM eval_records e WHERE e.input_a = c.input_a AND e.input_b = c.input_b AND len(e.known_outputs) > 0)")
@@ -213,7 +304,18 @@ def _embedded(spark: SparkSession, d: str) -> DataFrame:
     return E.text_vectors(texts, coded, 64)
 
 
-@plans.add()
+# The vector of a text: the mean of its words' vectors, a word's vector chosen by its hash; zeros without words.
+_SEM = """tx AS (SELECT DISTINCT x AS text FROM (SELECT unnest(list_concat(coalesce(sampled_outputs, []), coalesce(known_outputs, []), [coalesce(prediction, '')])) AS x FROM predictions) WHERE x IS NOT NULL),
+    wd AS (SELECT text, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS word FROM tx),
+    wv AS (SELECT text, embedding FROM wd JOIN embeddings ON vec_id = CAST('0x' || substr(sha256(word), 1, 8) AS BIGINT) % (SELECT max(vec_id) + 1 FROM embeddings)),
+    tv AS (SELECT text, list(m ORDER BY i) AS v FROM (SELECT text, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT text, embedding, unnest(range(1, 65)) AS i FROM wv) GROUP BY 1, 2) GROUP BY 1),
+    sm AS (SELECT prediction_id, unnest(s) AS sample, unnest(range(len(s))) AS nth, known_outputs FROM (SELECT prediction_id, CASE WHEN len(coalesce(sampled_outputs, [])) > 0 THEN sampled_outputs ELSE [coalesce(prediction, '')] END AS s, known_outputs FROM predictions WHERE len(known_outputs) > 0)),
+    pr2 AS (SELECT prediction_id, nth, sample, unnest(known_outputs) AS target FROM sm),
+    dp AS (SELECT sample, target, list_cosine_similarity(x.v, y.v) >= 0.75 AS near FROM (SELECT DISTINCT sample, target FROM pr2) JOIN tv x ON x.text = sample JOIN tv y ON y.text = target),
+    fs AS (SELECT prediction_id, bool_or(coalesce(near, false) AND nth = 0) AS t, bool_or(coalesce(near, false)) AS a FROM pr2 LEFT JOIN dp USING (sample, target) GROUP BY 1)"""
+
+
+@plans.add(f"WITH {_SEM} SELECT count(*) AS n, coalesce(avg(CAST(t AS INTEGER)), 0) AS top1_semantic_match, coalesce(avg(CAST(a AS INTEGER)), 0) AS anyk_semantic_match FROM fs", fractions="top1_semantic_match anyk_semantic_match")
 def semantic_coverage(spark: SparkSession, d: str) -> DataFrame:
     """A14, J12, J13, D28."""
     return E.semantic(table(spark, d, "predictions"), "prediction_id", _embedded(spark, d), 0.75)
@@ -228,6 +330,15 @@ def neighbour_cosines(spark: SparkSession, d: str) -> DataFrame:
     return e.join(other, "vec_id").select("vec_id", c.alias("cosine"), (1 - c).alias("distance"))
 
 
+@plans.add("""WITH g AS (SELECT vec_id // 8 AS grp, list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS vs FROM embeddings GROUP BY 1 HAVING count(*) = 8)
+    SELECT grp AS "group", list_transform(vs[1:4], lambda s: round(1 - greatest(list_cosine_similarity(s, vs[5]), list_cosine_similarity(s, vs[6])), 6)) AS nearest, list_transform(vs[1:4], lambda s: round((2 - list_cosine_similarity(s, vs[5]) - list_cosine_similarity(s, vs[6])) / 4, 6)) AS mean FROM g""")
+def reference_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Of each sample the distance to the nearest reference, and half the mean distance to all."""
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    near, mean = V.min_distances(F.col("samples"), F.col("known")), V.mean_distances(F.col("samples"), F.col("known"))
+    return _groups(spark, d).select("group", rounded(near).alias("nearest"), rounded(mean).alias("mean"))
+
+
 def _groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of eight vectors: four samples, two known, two inputs."""
     e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("group"), (F.col("vec_id") % 8).alias("i"), V.doubles(F.col("embedding")).alias("v"))

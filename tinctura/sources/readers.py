@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tinctura.functions.hashing import unpacked_id
 from tinctura.functions.text import stripped
 from tinctura.operators.skew import lookup
+from tinctura.storage import materialize, measured
 
 
 def file_stem() -> Column:
@@ -46,31 +47,48 @@ def csv_recipes(spark: SparkSession, path: str, source: str = "csv") -> DataFram
     return _complete(rows.filter(F.size(p) == 2).select(stripped(p[0]).alias("input_a"), stripped(p[1]).alias("input_b"), stripped("result").alias("output"), F.lit(None).cast("string").alias("emoji_output"), F.lit(source).alias("source")))
 
 
+def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents with their file's ``stem`` and ``doc``, a number; a file is one document, or one on each line.
+
+    Files whose first line is a whole document are read by lines, so that a large dump of many documents has many
+    tasks; others as one text. What isn't a document of the schema comes out null.
+    """
+    first = spark.read.text(path).filter(F.trim("value") != "").select(F.try_parse_json("value").isNotNull()).first()
+    rows = spark.read.text(path, wholetext=not (first and first[0])).filter(F.trim("value") != "")
+    return rows.select(file_stem().alias("stem"), F.monotonically_increasing_id().alias("doc"), F.from_json("value", f"struct<{schema}>").alias("d"))
+
+
+def _named(rows: DataFrame, names: DataFrame, sides: dict[str, dict[str, str]], on: str) -> DataFrame:
+    """Ids of a document's rows replaced by what its dictionary ``doc, id, ..`` says; rows with an unknown id go."""
+    names, size = measured(names, "names")
+    for side, cols in sides.items():
+        rows = lookup(rows, names.select(on, F.col("id").alias(side), *[F.col(k).alias(v) for k, v in cols.items()]), [on, side], how="inner", size=size)
+    return rows
+
+
 def packed_index(spark: SparkSession, path: str, source: str = "packed", *, decode: bool = False) -> DataFrame:
     """``{index: {id: [emoji, name, ..]}, data: "a,b,c;.."}``; lines that aren't three known ids are left out.
 
-    ``decode``: ids in the data are packed in base 64, those of the index are plain numbers.
+    Each document has its own ids. ``decode``: ids in the data are packed in base 64, those of the index are plain numbers.
     """
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", "struct<index:map<string,array<string>>,data:string>").alias("d"))
-    names = doc.select(F.explode("d.index").alias("id", "v")).filter(F.size("v") >= 2).select("id", stripped(F.get("v", F.lit(1))).alias("name"), F.nullif(stripped(F.get("v", F.lit(0))), F.lit("")).alias("emoji"))
-    rows = doc.select(F.explode(F.split("d.data", ";")).alias("line")).select(F.split("line", ",").alias("p")).filter(F.size("p") == 3)
+    docs = materialize(documents(spark, path, "index:map<string,array<string>>,data:string"), "documents")  # numbered once
+    names = docs.select("doc", F.explode("d.index").alias("id", "v")).filter(F.size("v") >= 2).select("doc", "id", stripped(F.get("v", F.lit(1))).alias("name"), F.nullif(stripped(F.get("v", F.lit(0))), F.lit("")).alias("emoji"))
+    rows = docs.select("doc", F.explode(F.split("d.data", ";")).alias("line")).select("doc", F.split("line", ",").alias("p")).filter(F.size("p") == 3)
     ids = {c: (unpacked_id(F.get("p", F.lit(i))).cast("string") if decode else F.get("p", F.lit(i))) for i, c in enumerate("abc")}
-    rows = rows.select(*[v.alias(k) for k, v in ids.items()])
-    for c, (name, emoji) in {"a": ("input_a", "ea"), "b": ("input_b", "eb"), "c": ("output", "emoji_output")}.items():
-        rows = lookup(rows, names.select(F.col("id").alias(c), F.col("name").alias(name), F.col("emoji").alias(emoji)), [c], how="inner")
+    rows = rows.select("doc", *[v.alias(k) for k, v in ids.items()])
+    rows = _named(rows, names, {"a": {"name": "input_a"}, "b": {"name": "input_b"}, "c": {"name": "output", "emoji": "emoji_output"}}, "doc")
     return _complete(rows.withColumn("source", F.lit(source)))
 
 
 def id_files(spark: SparkSession, path: str, prefix: str = "idmap") -> DataFrame:
-    """Files ``{names: {id: name}, recipes: [{ingredients, results}]}``; ids are numbers or texts; a row per result.
+    """Documents ``{names: {id: name}, recipes: [{ingredients, results}]}``; ids are numbers or texts; a row per result.
 
-    Underscores become spaces; recipes without exactly two known ingredients are left out.
+    Each document has its own ids. Underscores become spaces; recipes without exactly two known ingredients are left out.
     """
-    docs = spark.read.text(path, wholetext=True).select(file_stem().alias("stem"), F.from_json("value", "struct<names:map<string,string>,recipes:array<struct<ingredients:array<string>,results:array<string>>>>").alias("d"))
-    names = docs.select("stem", F.explode("d.names").alias("id", "name")).select("stem", "id", stripped(F.translate("name", "_", " ")).alias("name"))
-    rows = docs.select("stem", F.explode("d.recipes").alias("r")).filter(F.size("r.ingredients") == 2).select("stem", F.get("r.ingredients", F.lit(0)).alias("a"), F.get("r.ingredients", F.lit(1)).alias("b"), F.explode("r.results").alias("c"))
-    for c, name in {"a": "input_a", "b": "input_b", "c": "output"}.items():
-        rows = lookup(rows, names.select("stem", F.col("id").alias(c), F.col("name").alias(name)), ["stem", c], how="inner")
+    docs = materialize(documents(spark, path, "names:map<string,string>,recipes:array<struct<ingredients:array<string>,results:array<string>>>"), "documents")
+    names = docs.select("doc", F.explode("d.names").alias("id", "name")).select("doc", "id", stripped(F.translate("name", "_", " ")).alias("name"))
+    rows = docs.select("doc", "stem", F.explode("d.recipes").alias("r")).filter(F.size("r.ingredients") == 2).select("doc", "stem", F.get("r.ingredients", F.lit(0)).alias("a"), F.get("r.ingredients", F.lit(1)).alias("b"), F.explode("r.results").alias("c"))
+    rows = _named(rows, names, {"a": {"name": "input_a"}, "b": {"name": "input_b"}, "c": {"name": "output"}}, "doc")
     return _complete(rows.select("input_a", "input_b", "output", F.lit(None).cast("string").alias("emoji_output"), F.concat_ws("_", F.lit(prefix), "stem").alias("source")))
 
 

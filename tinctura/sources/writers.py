@@ -69,13 +69,21 @@ def replaced_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
 
 
 def swap(df: DataFrame, path: str, spark: SparkSession) -> None:
-    """Replace the table at ``path`` by ``df``, which may read from it: written beside, then renamed."""
-    jvm = spark.sparkContext._jvm
-    here, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    """Replace the table at ``path`` by ``df``, which may read from it.
+
+    The new one is written beside, the old one is renamed aside and removed last; whatever fails, one of them is whole.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    here, new, old = place(path), place(f"{path}.new"), place(f"{path}.old")
     df.write.mode("overwrite").parquet(f"{path}.new")
     files = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(here, True)
-    files.rename(beside, here)
+    files.delete(old, True)
+    if files.exists(here) and not files.rename(here, old):
+        raise OSError(f"{path} can't be renamed")
+    if not files.rename(new, here):
+        files.rename(old, here)
+        raise OSError(f"{path}.new can't be renamed")
+    files.delete(old, True)
 
 
 def load_counts(pairs: DataFrame) -> DataFrame:

@@ -14,12 +14,19 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+#: Places to remove, by the scope they were written in.
 _written: list[tuple[SparkSession, str]] = []
+#: Bytes in memory a value takes beside its letters, for estimates of what a table takes when it is broadcast.
+_PER_VALUE = 16
 _shipped: set[str] = set()
+#: Scans with less than this for each core are dealt out before costly stages.
+SPREAD_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,7 +48,7 @@ def ship(spark: SparkSession) -> None:
     out.write(packed.getvalue())
     out.close()
     sc.addPyFile(path)
-    _written.append((spark, path))
+    _written.insert(0, (spark, path))  # outside of any scope
     _shipped.add(sc.applicationId)
 
 
@@ -51,13 +58,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than the cluster has cores, dealt out to all; larger scans stay as they are.
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of ``df``; for a scan the size of its columns in the files. Runs no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
 
-    For stages that compute much per row; the shuffle is of a few splits at most.
+def spread(df: DataFrame, *, bytes_a_core: int = SPREAD_BYTES) -> DataFrame:
+    """A scan of less than ``bytes_a_core`` for each core, dealt out to all; larger scans have splits enough and stay.
+
+    For stages that compute much per row: a small file may come as few splits, or as one row group. The shuffle is
+    bounded by those bytes.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df.repartition(cores) if estimated_bytes(df) < cores * bytes_a_core else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,21 +85,50 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read from there; removed when the driver ends."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, removed with its scope or when the driver ends."""
     path = f"{shared_dir(spark)}/tinctura-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return it as read from there."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
+
+def measured(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``materialize``, with the bytes its rows take in memory, counted as they are written: no job of its own."""
+    seen = Observation()
+    kinds = dict(df.dtypes)
+    text = lambda c: F.col(f"`{c}`") if kinds[c] == "string" else F.to_json(F.struct(f"`{c}`"))
+    long = [F.coalesce(F.octet_length(text(c)), F.lit(0)) for c in df.columns if kinds[c] == "string" or "<" in kinds[c]]
+    size = F.sum(sum(long, F.lit(_PER_VALUE * (len(df.columns) + 1))).cast("long"))
+    out = materialize(df.observe(seen, size.alias("bytes")), name)
+    return out, seen.get["bytes"] or 0
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Removes what is written inside it when it ends; for sessions that run many queries, one scope each."""
+    began = len(_written)
+    try:
+        yield
+    finally:
+        _remove(began)
+
+
+def _remove(since: int = 0) -> None:
+    for spark, path in _written[since:]:
         try:
             jvm = spark.sparkContext._jvm
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
         except Exception:  # noqa: BLE001 - the session may be gone already
             pass
+    del _written[since:]
+
+
+atexit.register(_remove)

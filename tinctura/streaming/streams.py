@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tinctura.storage import shared_dir
+from tinctura.storage import folder, materialize
 
 
 def file_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -25,7 +25,7 @@ def drained(stream: DataFrame, mode: str, to_batch: Callable[[DataFrame, int], N
     In ``update`` mode a row stands for its key until a later batch's.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/tinctura-stream-{uuid.uuid4().hex}"
+    base = folder(spark, "stream")
     out = f"{base}/out"
 
     def save(batch: DataFrame, n: int) -> None:
@@ -69,3 +69,18 @@ def resumed(spark: SparkSession, path: str, out: str, checkpoint: str, transform
     query = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out).count()
+
+
+class Refreshed:
+    """A table kept as it was loaded for ``seconds``, then loaded again; an empty one is never kept."""
+
+    def __init__(self, load: Callable[[], DataFrame], seconds: float = 300.0, clock: Callable[[], float] = time.monotonic):
+        self.load, self.seconds, self.clock = load, seconds, clock
+        self.kept: tuple[DataFrame, float] | None = None
+
+    def get(self) -> DataFrame:
+        if self.kept and self.clock() - self.kept[1] < self.seconds:
+            return self.kept[0]
+        rows = materialize(self.load(), "refreshed")
+        self.kept = (rows, self.clock()) if rows.take(1) else None
+        return rows
