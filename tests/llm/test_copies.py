@@ -66,8 +66,10 @@ def test_empty_table(spark):
     assert survivors.best_rows(empty, trust, emoji).count() == survivors.voted_values(empty, trust, emoji).count() == 0
 
 
-def test_survivors_match_brute_force(spark, rows):
-    lines, trusted = fuzz(800, 5), {"a": 2, "b": 1}
+@pytest.mark.parametrize(("digits", "factor", "shift"), [(38, 1, 0), (3, 1, 0), (38, -1, 5), (38, 1 << 52, 0)])
+def test_survivors_match_brute_force(spark, rows, digits, factor, shift):
+    """With votes as numbers and as structs; obs_id negative, and so far apart that only structs hold them."""
+    lines, trusted = [(x[0] * factor - shift, *x[1:]) for x in fuzz(800, 5)], {"a": 2, "b": -1}
     never = datetime.datetime(1, 1, 1)
     want = []
     for g in groups(lines):
@@ -78,7 +80,7 @@ def test_survivors_match_brute_force(spark, rows):
         emoji = min(shown, key=lambda x: (-t(x), -(seen(x) - never).total_seconds(), x[0]))[0] if shown else 0
         source = min(g, key=lambda x: (-t(x), x[6] is None, seen(x), x[0]))
         want.append((min(x[0] for x in g), out[0], emoji, source[0]))
-    got = survivors.best_rows(obs(spark, *lines), spark.createDataFrame([("a", 2), ("b", 1), (None, 9)], TRUST), spark.createDataFrame([("🔥", False), ("⚪", True)], EMOJI))
+    got = survivors.best_rows(obs(spark, *lines), spark.createDataFrame([("a", 2), ("b", -1), (None, 9)], TRUST), spark.createDataFrame([("🔥", False), ("⚪", True)], EMOJI), vote_digits=digits)
     assert rows(got) == sorted(want, key=repr)
 
 
