@@ -106,6 +106,34 @@ def test_stuffed(spark, text, want):
     assert (1 in {r.doc_id for r in stuffing.stuffed(docs).collect()}) is want
 
 
+RUSSIAN = "Когда мы смешали огонь с водой, над берегом поднялся густой пар, и дети долго смотрели, как он тает в холодном воздухе. Потом старик рассказал им о реке, которая когда-то текла через лес. "
+POLISH = "Kiedy zmieszaliśmy ogień z wodą, nad brzegiem uniosła się gęsta para, a dzieci długo patrzyły, jak znika w chłodnym powietrzu. Potem starzec opowiedział im historię rzeki płynącej przez las. "
+TURKISH = "Ateşi suyla karıştırdığımızda kıyının üzerinde yoğun bir buhar yükseldi ve çocuklar soğuk havada kayboluşunu uzun süre izlediler. Sonra yaşlı adam onlara ormandan geçen nehrin hikâyesini anlattı. "
+CHINESE = "我们把火和水混在一起，岸边升起了浓浓的蒸汽，孩子们看了很久。后来老人给他们讲了那条穿过森林的河的故事。"
+
+
+@pytest.mark.parametrize("lang", [None, "own", "en"])
+def test_other_languages_are_not_spam(spark, rows, lang):
+    """Prose whose function words nobody listed, with its own label, none, or a wrong one; keywords still come out."""
+    texts = {"ru": RUSSIAN, "pl": POLISH, "tr": TURKISH, "zh": CHINESE}
+    lines = [(i, t.strip() + f" {i}", k if lang == "own" else lang if k in ("ru", "zh") or lang is None else None) for i, (k, t) in enumerate(texts.items()) if lang != "en" or k in ("pl", "tr")]
+    lines += [(50 + i, PROSE * 3, "en") for i in range(5)] + [(90, "вода, огонь, вода, река, вода, пар, " * 12, "ru" if lang else None)]
+    df = spark.createDataFrame(lines, "doc_id long, text string, lang string")
+    assert rows(stuffing.stuffed(df)) == [(90,)]
+
+
+def test_function_words_are_learnt(spark):
+    """From the labelled documents of a language; then pages that lack them are told from those that don't."""
+    r = random.Random(4)
+    nouns = [f"слово{i}" for i in range(300)]
+    prose = lambda: " ".join(f"и {r.choice(nouns)} на {r.choice(nouns)} что он {r.choice(nouns)} в" for _ in range(8))
+    docs = [(i, prose(), "ru-RU") for i in range(80)] + [(500, " ".join(r.sample(nouns, 60)), "RU"), (501, " ".join(r.sample(nouns, 60)), "xx")] + [(900 + i, PROSE, "en") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    learnt = stuffing.learnt_words(df)
+    assert list(learnt) == ["ru"] and {"и", "на", "что", "он", "в"} <= set(learnt["ru"]) and len(learnt["ru"]) <= stuffing.LEARN_WORDS
+    assert [x.doc_id for x in stuffing.stuffed(df).collect()] == [500]
+
+
 def test_stuffed_tables(spark):
     docs = spark.createDataFrame([(1, STUFF * 200, "en"), (1, STUFF, "en")], "doc_id long, text string, lang string")
     assert [r.doc_id for r in stuffing.stuffed(docs).collect()] == [1]

@@ -23,18 +23,31 @@ def reader():
     ("text", "want"),
     [
         ("wаtеr", "water"), ("Ρⅼɑnеt", "Planet"), ("ѕοufflé", "soufflé"), ("Ｗater", "Water"), ("wa​ter", "water"), ("wa­ter﻿", "water"), ("water of", "water of"),
-        ("brіԁɡе", "bridge"), ("ﬁre", "fire"), ("frozen есһо", "frozen echo"), ("　", " "), ("", ""),
+        ("brіԁɡе", "bridge"), ("ﬁre", "fire"), ("　", " "), ("", ""),
     ],
 )
 def test_canonical(reader, text, want):
     assert reader.canonical(text) == want
 
 
-@pytest.mark.parametrize("text", ["water", "jalapeño", "Café", "улитка", "θάλασσα", "оса", "火山", "two\twords\nhere", "a-b_c!", "雪だるま", "نمی‌خواهم"])
+@pytest.mark.parametrize("text", ["water", "jalapeño", "Café", "улитка", "θάλασσα", "оса", "火山", "сок water", "water сор", "frozen есһо", "two\twords\nhere", "a-b_c!", "雪だるま", "نمی‌خواهم"])
 def test_ordinary_text_stays(reader, text):
     assert reader.canonical(text) == text
 
 
+def test_words_meant(reader):
+    assert reader.canonical("Frozen Есһо", {"есһо"}) == "Frozen Echo" and reader.doubtful("frozen Есһо улитка") == [("есһо", "echo")] and reader.doubtful("есһо") == []
+
+
+@pytest.mark.parametrize("bound", [1 << 24, 0])
+def test_words_of_another_script(spark, rows, bound):
+    """Read as Latin only where the Latin word is attested and the word itself isn't."""
+    lines = ["echo", "frozen echo", "frozen есһо", "cop car", "сор", "water сор", "сок water", "water", "ісе", "ice", None]
+    obs = spark.createDataFrame(list(enumerate(lines)), "obs_id long, output string")
+    got = {r.output: r.canonical for r in L.canonical_values(obs, "output", bound=bound).collect()}
+    assert got["frozen есһо"] == "frozen echo" and {k for k, v in got.items() if k != v} == {"frozen есһо"}
+
+
 def test_found(spark, rows):
     lines = [
         (1, "water", "🔥"), (2, "wаter", "🏝"), (3, "soufflé", "🏝️"), (4, None, None), (5, "", ""), (6, " ", "​🔥"), (7, "улитка", "🔥‍"), (8, "x" * 9000 + "​", "?"),

@@ -7,9 +7,9 @@ reads each document once; matches are mapped back to offsets of the original tex
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,6 +27,8 @@ class Passages:
     """The automaton of a block of ``(item_id, text)``."""
 
     def __init__(self, items: list[tuple[int, str]], run: int = RUN_WORDS):
+        import ahocorasick  # only where it is used, so that the other operators don't need it
+
         self.run, self.symbols = run, {}
         self.at: list[list[tuple[int, int]]] = []
         self.automaton = ahocorasick.Automaton()
@@ -71,6 +73,17 @@ class Passages:
         return [(item, spans[end - n + 1].start(), spans[end].end(), n) for item, (n, end) in best.items()]
 
 
+_held: tuple[str, Passages] | None = None
+
+
+def _shared(name: str, build: Callable[[], Passages]) -> Passages:
+    """A worker's automaton, built once however many tasks it runs; only the last one is kept."""
+    global _held
+    if _held is None or _held[0] != name:
+        _held = (name, build())
+    return _held[1]
+
+
 def leaked_passages(documents: DataFrame, passages: DataFrame, *, run_words: int = RUN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id, start, end, words``: each document that quotes at least ``run_words`` successive words of an item.
 
@@ -87,8 +100,8 @@ def leaked_passages(documents: DataFrame, passages: DataFrame, *, run_words: int
         mine = sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()  # a block's passages, bounded
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in mine])
 
-        def scan(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
-            found = Passages(shared.value, run_words)
+        def scan(batches: Iterator[pa.RecordBatch], shared: object = shared, name: str = uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            found = _shared(name, lambda: Passages(shared.value, run_words))
             for batch in batches:
                 rows = [(d, *hit) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for hit in found.find(t)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5

@@ -11,11 +11,13 @@ import math
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Collection
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tinctura.operators.skew import lookup
+from tinctura.operators.skew import BROADCAST_BYTES, lookup
+from tinctura.storage import materialize
 
 # Letters of other scripts, or of phonetic notation, that look like plain Latin ones.
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝѵкАВЕЗІЈКМНОРСТУХЅԌԚԜҮ", "aeopcyxijshdqwvkABE3IJKMHOPCTYXSGQWY", strict=True))
@@ -85,9 +87,14 @@ class Reader:
             self.known[token] = self._read(token)
         return self.known[token]
 
-    def _read(self, token: str) -> str:
+    def latin(self, token: str) -> str | None:
+        """The best reading in Latin letters alone; None if a letter looks like none."""
+        found = self._read(token, ("latin",))
+        return found if all(script(c) == "latin" for c in found) else None
+
+    def _read(self, token: str, scripts: tuple[str, ...] = ("latin", "greek", "cyrillic")) -> str:
         best, least = token, math.inf
-        for s in ("latin", "greek", "cyrillic"):
+        for s in scripts:
             ways = {"^": (-math.log((self.letters[s] + 1) / (self.all + 3)), "")}
             for c in token:
                 step: dict[str, tuple[float, str]] = {}
@@ -104,23 +111,45 @@ class Reader:
                     best, least = text, total
         return best
 
-    def canonical(self, text: str) -> str:
-        """``text`` in composed, compatible, visible characters, its tokens of one script, its spaces plain."""
+    def visible(self, text: str) -> str:
+        """``text`` in composed, compatible, visible characters, its spaces plain."""
         kept = []
         for i, c in enumerate(text):
             kind = unicodedata.category(c)
             hidden = kind == "Cf" or (kind == "Cc" and c not in "\t\n\r") or c == "͏" or "︀" <= c <= "️"
             if not hidden or _JOINED.match(text, i):
                 kept.append(c)
-        text = _SPACES.sub(" ", unicodedata.normalize("NFKC", _SPACES.sub(" ", "".join(kept))))
-        foreign = not any(script(c) == "latin" and c.isalpha() for c in text)
-        whole = lambda t: foreign and len({script(c) for c in t}) == 1  # noqa: E731 - a word of another script, no look-alike
-        return _TOKEN.sub(lambda m: m[0] if whole(m[0]) else self.read(m[0]), text)
+        return _SPACES.sub(" ", unicodedata.normalize("NFKC", _SPACES.sub(" ", "".join(kept))))
+
+    def doubtful(self, text: str) -> list[tuple[str, str]]:
+        """Words wholly of another script in a text with Latin letters, with what they would be in Latin ones; lower case."""
+        text = self.visible(text).lower()
+        if not any(script(c) == "latin" and c.isalpha() for c in text):
+            return []
+        words = {w for w in _TOKEN.findall(text) if _of_one_script(w) and script(w[0]) != "latin"}
+        return [(w, r) for w in sorted(words) if (r := self.latin(w))]
+
+    def canonical(self, text: str, meant: Collection[str] = ()) -> str:
+        """``text`` in composed, compatible, visible characters, its tokens of one script, its spaces plain.
+
+        A word wholly of another script stays, unless its lower-case form is one of those ``meant`` as Latin words.
+        """
+        return _TOKEN.sub(lambda m: m[0] if _of_one_script(m[0]) and script(m[0][0]) != "latin" and m[0].lower() not in meant else self.read(m[0]), self.visible(text))
+
+
+def _of_one_script(word: str) -> bool:
+    return len({script(c) for c in word}) == 1
+
+
+def word_counts(values: DataFrame, col: str) -> DataFrame:
+    """``w, count`` of all words in lower case, and ``alone``: how often in values without Latin letters; written."""
+    other = ~F.col(col).rlike(r"\p{IsLatin}")
+    words = values.select(F.explode(F.regexp_extract_all(F.lower(col), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"), other.cast("int").alias("alone"))
+    return materialize(words.groupBy("w").agg(F.count("*").alias("count"), F.sum("alone").alias("alone")), "words")
 
 
-def bigram_counts(values: DataFrame, col: str) -> dict[tuple[str, str, str], int]:
-    """Counts of letter pairs in all tokens of one script; at most the square of the alphabets' letters."""
-    words = values.select(F.explode(F.regexp_extract_all(F.lower(col), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).groupBy("w").count()
+def bigram_counts(words: DataFrame) -> dict[tuple[str, str, str], int]:
+    """Counts of letter pairs in all words of one script; at most the square of the alphabets' letters."""
     rows = None
     for s, (low, high) in _ALPHABETS.items():
         own = words.filter(F.col("w").rlike(f"^[\\x{{{low:x}}}-\\x{{{high:x}}}]+$"))
@@ -130,21 +159,37 @@ def bigram_counts(values: DataFrame, col: str) -> dict[tuple[str, str, str], int
     return {(r["s"], r["p"][0], r["p"][1]): r["n"] for r in rows.groupBy("s", "p").agg(F.sum("count").alias("n")).toLocalIterator()}
 
 
-def canonical_column(values: DataFrame, col: str, counts: dict | None = None) -> Column:
-    """A column with the consistent form of ``col``; plain ASCII values never leave the JVM's hands unchanged.
+def canonical_values(values: DataFrame, col: str, *, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """``values`` with ``canonical``, the consistent form of ``col``; plain ASCII values never leave the JVM.
 
-    Null stays null, an empty text empty. Letters in upper case stay so; line breaks and tabs stay.
+    Null stays null, an empty text empty. Letters in upper case stay so; line breaks and tabs stay. A word wholly of
+    another script beside Latin letters is read as a Latin word only if some value holds that Latin word, and no value
+    without Latin letters holds the word itself.
     """
-    model = values.sparkSession.sparkContext.broadcast(counts if counts is not None else bigram_counts(values, col))
+    words = word_counts(values, col)
+    model = values.sparkSession.sparkContext.broadcast(bigram_counts(words))
     held: list[Reader] = []
 
-    @F.pandas_udf("string")
-    def canonical(texts: pd.Series) -> pd.Series:
+    def reader() -> Reader:
         if not held:
             held.append(Reader(model.value))
-        return texts.map(held[0].canonical, na_action="ignore")
+        return held[0]
+
+    @F.pandas_udf("array<struct<word:string,latin:string>>")
+    def doubtful(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"word": w, "latin": r} for w, r in reader().doubtful(t)] for t in texts], dtype=object)
+
+    @F.pandas_udf("string")
+    def canonical(texts: pd.Series, meant: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else reader().canonical(t, () if m is None else frozenset(m)) for t, m in zip(texts, meant, strict=True)], dtype=object)
 
-    return F.when(F.col(col).rlike(PLAIN), F.col(col)).otherwise(canonical(F.when(~F.col(col).rlike(PLAIN), F.col(col))))
+    odd = ~F.col(col).rlike(PLAIN)
+    mixed = values.select(col).filter(odd & F.col(col).rlike(r"\p{IsLatin}") & F.col(col).rlike(r"[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]")).distinct()
+    open_ = mixed.select(col, F.explode(doubtful(col)).alias("d")).select(col, "d.word", "d.latin")
+    open_ = open_.join(words.select(F.col("w").alias("latin")), "latin", "left_semi").join(words.filter("alone > 0").select(F.col("w").alias("word")), "word", "left_anti")
+    meant = open_.groupBy(col).agg(F.collect_set("word").alias("_meant"))  # as many as the value has words
+    rows = lookup(values, meant, [col], bound=bound).select(*values.columns, "_meant")
+    return rows.withColumn("canonical", F.when(odd, canonical(F.when(odd, F.col(col)), "_meant")).otherwise(F.col(col))).drop("_meant")
 
 
 def emoji_key(col: Column | str) -> Column:
@@ -160,23 +205,26 @@ def emoji_forms(reference: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min_by("emoji", "emoji").alias("emoji"), F.min_by("is_placeholder", "emoji").alias("is_placeholder")).filter("key <> ''")
 
 
-def lookalikes(obs: DataFrame, reference: DataFrame) -> DataFrame:
+def odd_emoji(obs: DataFrame, reference: DataFrame) -> DataFrame:
+    """``obs_id, listed``: rows whose emoji looks like a listed one without being one, and the form to keep."""
+    known = reference.select(F.col("emoji").alias("emoji_output")).distinct()
+    shown = obs.select("obs_id", "emoji_output").filter("emoji_output is not null and not emoji_output rlike '^[\\\\x00-\\\\x7f]*$'")
+    like = lookup(shown, known, ["emoji_output"], how="left_anti").withColumn("key", emoji_key("emoji_output"))
+    return lookup(like, emoji_forms(reference).select("key", F.col("emoji").alias("listed")), ["key"], how="inner").select("obs_id", "listed")
+
+
+def lookalikes(obs: DataFrame, reference: DataFrame, *, bound: int = BROADCAST_BYTES) -> DataFrame:
     """``obs_id, field_name``: outputs and emoji that look ordinary but are made of other characters.
 
     Null, empty and blank values are no case (but a value of invisible characters only is); repeated rows come out
     each; an empty table gives none; texts of any length are read whole; further columns don't matter.
     """
-    odd = obs.select("obs_id", "output").filter(~F.col("output").rlike(PLAIN))
-    text = odd.withColumn("canonical", canonical_column(odd, "output", bigram_counts(obs, "output"))).filter("output <> canonical").select("obs_id", F.lit("output").alias("field_name"))
-    listed = reference.select("emoji").distinct()
-    shown = obs.select("obs_id", "emoji_output").filter("emoji_output is not null and not emoji_output rlike '^[\\\\x00-\\\\x7f]*$'")
-    like = lookup(shown, listed.withColumnRenamed("emoji", "emoji_output"), ["emoji_output"], how="left_anti").withColumn("key", emoji_key("emoji_output"))
-    emoji = lookup(like, emoji_forms(reference).select("key"), ["key"], how="left_semi").select("obs_id", F.lit("emoji_output").alias("field_name"))
-    return text.unionByName(emoji)
+    text = canonical_values(obs.select("obs_id", "output"), "output", bound=bound).filter("output <> canonical").select("obs_id", F.lit("output").alias("field_name"))
+    return text.unionByName(odd_emoji(obs, reference).select("obs_id", F.lit("emoji_output").alias("field_name")))
 
 
 def one_form(obs: DataFrame, reference: DataFrame) -> DataFrame:
     """``obs_id, output, emoji_output`` with every value in its one consistent form."""
     forms = emoji_forms(reference).select("key", F.col("emoji").alias("listed"))
-    out = obs.select("obs_id", canonical_column(obs, "output").alias("output"), "emoji_output", emoji_key("emoji_output").alias("key"))
+    out = canonical_values(obs.select("obs_id", "output", "emoji_output"), "output").select("obs_id", F.col("canonical").alias("output"), "emoji_output", emoji_key("emoji_output").alias("key"))
     return lookup(out, forms, ["key"]).select("obs_id", "output", F.coalesce("listed", "emoji_output").alias("emoji_output"))

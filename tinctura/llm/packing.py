@@ -19,8 +19,9 @@ from tinctura.storage import materialize, spread
 #: A public tokenizer's ranks, and the pattern its words are split by.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmtl]|ve|re|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Length buckets of a window; rows a rank is counted within.
-BUCKETS, RANKED_ROWS = 128, 100_000
+#: Length buckets of a window at most: up to this capacity each length has its own and nothing is padded. Rows a rank is
+#: counted within.
+BUCKETS, RANKED_ROWS = 4096, 100_000
 
 
 def token_counts(documents: DataFrame, *, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
@@ -29,13 +30,14 @@ def token_counts(documents: DataFrame, *, ranks: str = RANKS, pattern: str = PAT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(ranks, "rb") as lines:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         for batch in batches:
             sizes = [len(own.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
+    with open(ranks, "rb") as file:  # read by the driver, so that no other machine needs it
+        shared = documents.sparkSession.sparkContext.broadcast(file.read())
     return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long")
 
 
@@ -107,6 +109,8 @@ def batches(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
                 if not len(sums):
                     break
                 reach[sums] = s
+            if reach[room] >= 0:
+                break  # full to the last token
         at, held = int(np.flatnonzero(reach >= 0)[-1]), {first: 1}
         while at:
             s = int(reach[at])

@@ -58,6 +58,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.lookalikes(obs, reference)
 
 
+def p5_emoji(spark: SparkSession, d: str) -> DataFrame:
+    obs, _, reference = _observed(spark, d)
+    return lookalikes.odd_emoji(obs, reference)
+
+
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     obs, _, reference = _observed(spark, d)
     return lookalikes.one_form(obs, reference)
@@ -93,7 +98,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_collapsed, p2_found, p2_spans, p2_report, p3_found, p3_terms, p4_found, p4_voted, p5_found, p5_forms, p6_found, p7_packed, p7_report, p8_found, p8_spans, p9_found, p9_shares)
+    own = (p1_found, p1_collapsed, p2_found, p2_spans, p2_report, p3_found, p3_terms, p4_found, p4_voted, p5_found, p5_emoji, p5_forms, p6_found, p7_packed, p7_report, p8_found, p8_spans, p9_found, p9_shares)
     return {f.__name__: f for f in own}
 
 
@@ -155,5 +160,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"WITH {_TERMS} SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
         "p3_terms": f"WITH {_TERMS} SELECT field_name, term, occurrences, records, mark FROM m",
         "p4_found": survivors_sql,
+        "p5_emoji": f"""WITH listed AS (SELECT {_EMOJI.format('emoji')} AS key, min(emoji) AS listed FROM emoji_reference WHERE emoji IS NOT NULL GROUP BY 1)
+            SELECT obs_id, listed FROM recipe_observations o JOIN listed ON key <> '' AND key = {_EMOJI.format('o.emoji_output')} WHERE NOT EXISTS (SELECT 1 FROM emoji_reference e WHERE e.emoji = o.emoji_output)""",
         "p8_found": leaks_sql,
     }

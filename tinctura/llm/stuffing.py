@@ -1,8 +1,11 @@
 """Problem 9: documents of stuffed keywords, link lists or product tags instead of sentences.
 
 Each text is read in windows of words; of each window the share of function words, of its most frequent word, of
-words in links and of separators is measured, and whether its line repeats. Thresholds on function words are
-calibrated for each language over all documents, and a document is spam if most of its words stand in such windows.
+words in links and of separators is measured, and whether its line repeats. What is usual is calibrated for each
+language over all documents: the share of function words by its median, the others by what sentences of the language
+rarely exceed. A language without a list of function words learns one from the documents that are labelled with it;
+where neither is there, function words tell nothing and aren't asked for. A document is spam if most of its words stand
+in windows that are.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tinctura.storage import materialize, spread
 
@@ -28,8 +31,6 @@ FUNCTION_WORDS = {
 }
 # End of fixed values.
 
-_LISTS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_LANGUAGES = {w: [k for k, v in _LISTS.items() if w in v] for v in _LISTS.values() for w in v}
 _WORD = re.compile(r"[^\W_]+")
 _LINK = re.compile(r"https?://\S+|www\.\S+|<a\b[^>]*>|</a>|<br\s*/?>|\]\([^)\s]*\)|#\w+|\S+@\S+\.\w+|\bSKU\S*", re.I)
 _SEPARATOR = re.compile(r"[|·•»›;,/\\*#=<>\[\]]|\s-\s")
@@ -41,10 +42,16 @@ _SPAN = re.compile(rf"[^\W_]+(?:[\W_]+[^\W_]+){{0,{WINDOW - 1}}}[\W_]*")
 #: A window lacks sentences if its share of function words is below this part of its language's usual share: the first
 #: if it looks like a list as well, the second if not.
 MISSING, ABSENT = 0.5, 0.15
-#: Of the words of a window: links, the most frequent word, separators a word, for it to be spam.
-LINKED, TOP_WORD, SEPARATED = 0.5, 0.2, 0.25
+#: Of the words of a window: links, the most frequent word, separators a word, repeated pairs, for it to look like a
+#: list; the last three at least, and at least what USUAL of the language's windows with sentences stay below.
+LINKED, TOP_WORD, SEPARATED, PAIRED, USUAL = 0.5, 0.2, 0.25, 0.3, 0.99
 #: Share of one content word that no sentence has, whatever stands between.
 REPEATED = 0.35
+#: Words of a text that must be function words of a language for it to be that language's by them alone.
+TOLD = 0.1
+#: Documents of a language without a list that it is learnt from at least, the share of them that hold a function word,
+#: and its words at most.
+LEARN_DOCS, LEARN_SHARE, LEARN_WORDS = 50, 0.3, 100
 #: Share of a document's words in such windows.
 MOSTLY = 0.5
 #: Shorter texts repeat nothing; they are spam only if most of their words are linked.
@@ -53,11 +60,32 @@ LEAST_WORDS = 6
 _FEATURES = "doc_id long, lang string, words int, functional int, linked int, top int, separators int, pairs int, repeated boolean"
 
 
-def windows(text: str, given: str | None) -> Iterator[tuple[str, int, int, int, int, int, int, bool]]:
+class Languages:
+    """Function words by language: the lists given and those learnt."""
+
+    def __init__(self, learnt: dict[str, list[str]] | None = None):
+        self.words = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()} | {k: frozenset(v) for k, v in (learnt or {}).items()}
+        self.of: dict[str, list[str]] = {}
+        for k, v in self.words.items():
+            for w in v:
+                self.of.setdefault(w, []).append(k)
+
+    def most(self, counts: Counter, given: str | None) -> tuple[str, int]:
+        """The language with the most function words among counted words, and their number; of equals the one given."""
+        score = dict.fromkeys(self.words, 0)
+        for w in counts.keys() & self.of.keys():
+            for k in self.of[w]:
+                score[k] += counts[w]
+        best = max(score, key=lambda k: (score[k], k == given))
+        return best, score[best]
+
+
+def windows(text: str, given: str | None, known: Languages) -> Iterator[tuple[str, int, int, int, int, int, int, bool]]:
     """``lang, words, functional, linked, top, separators, pairs, repeated`` of each window of ``text``.
 
-    pairs: words that begin a word pair which the text's windows short of function words (under a quarter) hold three
-    times or more, link words aside; counted in those windows only.
+    lang is empty if neither the text nor ``given`` tells a language with known function words. pairs: words that begin
+    a word pair which the text's windows short of function words (under a quarter) hold three times or more, link
+    words aside; counted in those windows only.
     """
     lines = [x for x in re.split(r"[\n\r]+", text.lower()) if x.strip()]
     seen = Counter(x.strip() for x in lines) if len(lines) > 2 else {}
@@ -78,28 +106,24 @@ def windows(text: str, given: str | None) -> Iterator[tuple[str, int, int, int,
     counts: Counter = Counter()
     for plain, *_ in parsed:
         counts.update(plain)
-    score = dict.fromkeys(_LISTS, 0)
-    for w in counts.keys() & _LANGUAGES.keys():
-        for k in _LANGUAGES[w]:
-            score[k] += counts[w]
-    lang = max(score, key=lambda k: (score[k], k == (given or "")))
-    if score[lang] < 0.05 * counts.total() and given:
-        lang = given
+    lang, told = known.most(counts, given)
+    if told < TOLD * counts.total():
+        lang = given if given in known.words else ""
+    own = known.words.get(lang, frozenset())
     judged = []
     near: Counter = Counter()
     for plain, linked, separators, again in parsed:
-        here, functional = lang, sum(map(_LISTS[lang].__contains__, plain))
+        here, words, functional = lang, own, sum(map(own.__contains__, plain))
         if few := functional < 0.25 * len(plain):  # quotations may be in another language
-            most = {k: sum(map(v.__contains__, plain)) for k, v in _LISTS.items()}
-            here = max(most, key=lambda k: (most[k], k == lang))
-            functional = most[here]
+            other, n = known.most(Counter(plain), lang)
+            if n > functional and n >= TOLD * len(plain) and lang:
+                here, words, functional = other, known.words[other], n
             if few := functional < 0.25 * len(plain):
                 near.update(zip(plain, plain[1:]))
-        judged.append((plain, linked, separators, again, here, functional, few))
+        judged.append((plain, linked, separators, again, here, words, functional, few))
     often = {x for x, n in near.items() if n > 2}
-    for plain, linked, separators, again, here, functional, few in judged:
-        own = _LISTS[here]
-        top = max(Counter([w for w in plain if w not in own]).values(), default=0)
+    for plain, linked, separators, again, here, words, functional, few in judged:
+        top = max(Counter([w for w in plain if w not in words]).values(), default=0)
         frequent = sum(x in often for x in zip(plain, plain[1:])) if few and often else 0
         yield here, len(plain) + linked, functional, linked, top, separators, frequent, again
 
@@ -108,27 +132,63 @@ def _as_links(link: re.Match) -> str:
     return " " + f"{_LINKED} " * len(_WORD.findall(link[0]))
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.string(), *[pa.int32()] * 6, pa.bool_())
-    names = ["doc_id", "lang", "words", "functional", "linked", "top", "separators", "pairs", "repeated"]
-    for batch in batches:
-        rows = []
-        for d, t, g in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-            given = (g or "").strip().lower()[:2]
-            rows += [(d, *w) for w in windows(t or "", given if given in _LISTS else None)]
-        cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+def label(lang: Column) -> Column:
+    """The two letters of a language's label; null if there are none."""
+    return F.nullif(F.regexp_extract(F.lower(F.coalesce(lang, F.lit(""))), r"^\s*([a-z]{2})", 1), F.lit(""))
+
+
+def learnt_words(documents: DataFrame) -> dict[str, list[str]]:
+    """Function words of labelled languages without a list: those that many documents of the language hold.
+
+    At most LEARN_WORDS for each two-letter label reach the driver. Documents of languages with a list aren't read.
+    """
+    rows = documents.select("text", label(F.col("lang")).alias("lang")).filter(F.col("lang").isNotNull() & ~F.col("lang").isin(*FUNCTION_WORDS))
+    words = rows.select("lang", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))).alias("ws")).filter("size(ws) >= 12")
+    docs = words.groupBy("lang").agg(F.count("*").alias("docs")).filter(F.col("docs") >= LEARN_DOCS)
+    held = words.select("lang", F.explode("ws").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")).join(F.broadcast(docs), "lang")  # a row a label
+    best = held.filter(F.col("n") >= LEARN_SHARE * F.col("docs")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    out: dict[str, list[str]] = {}
+    for r in best.filter(F.col("k") <= LEARN_WORDS).collect():
+        out.setdefault(r["lang"], []).append(r["word"])
+    return out
+
+
+_NAMES = ["doc_id", "lang", "words", "functional", "linked", "top", "separators", "pairs", "repeated"]
+_KINDS = (pa.int64(), pa.string(), *[pa.int32()] * 6, pa.bool_())
+
+
+def _measured(documents: DataFrame) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(learnt_words(documents))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Languages(shared.value)
+        for batch in batches:
+            rows = [(d, *w) for d, t, g in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True) for w in windows(t or "", g, known)]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], _NAMES)
+
+    return spread(documents.select("doc_id", "text", label(F.col("lang")).alias("lang"))).mapInArrow(run, _FEATURES)
 
 
 def _shares(documents: DataFrame) -> DataFrame:
     """``spam_shares`` with ``linked_words``, those in links."""
-    seen = materialize(spread(documents.select("doc_id", "text", "lang")).mapInArrow(_measure, _FEATURES), "stuffing")
-    usual = seen.filter("linked = 0 and words >= 6").groupBy("lang").agg(F.percentile_approx(F.col("functional") / F.col("words"), 0.5, 1000).alias("usual"))
-    rows = seen.join(F.broadcast(usual), "lang", "left")  # a row per listed language
+    seen = materialize(_measured(documents), "stuffing")
     own = F.greatest(F.col("words") - F.col("linked"), F.lit(1))
-    share = F.col("functional") / own / F.greatest(F.coalesce("usual", F.lit(0.3)), F.lit(0.2))
-    listed = (F.col("top") / own > TOP_WORD) | (F.col("separators") / F.col("words") > SEPARATED) | (F.col("pairs") / own > 0.3) | F.col("repeated")
-    spam = (F.col("linked") / F.col("words") > LINKED) | (F.col("top") / own > REPEATED) & (F.col("words") >= 6) | ((share < MISSING) & listed) | ((share < ABSENT) & (F.col("words") >= 12))
+    functional, top, separated, paired = F.col("functional") / own, F.col("top") / own, F.col("separators") / F.col("words"), F.col("pairs") / own
+    at = lambda c, q: F.percentile_approx(c, q, 1000)
+    usual = seen.filter("lang <> '' and linked = 0 and words >= 6").groupBy("lang").agg(at(functional, 0.5).alias("usual"))
+    usual = F.broadcast(usual.withColumn("usual", F.greatest("usual", F.lit(0.2))))  # a row per language with function words
+    # Windows with sentences, which only known function words tell; else the limits are those that hold everywhere.
+    spoken = seen.join(usual, "lang").filter("words >= 6 and linked = 0").filter(functional >= F.col("usual"))
+    limits = spoken.groupBy("lang").agg(at(top, USUAL).alias("tops"), at(separated, USUAL).alias("seps"), at(paired, USUAL).alias("prs"))
+    rows = seen.join(usual, "lang", "left").join(F.broadcast(limits), "lang", "left")
+    over = lambda share, floor, limit: share > F.greatest(F.lit(floor), F.coalesce(limit, F.lit(floor)))
+    many, cut, twice = over(top, TOP_WORD, "tops"), over(separated, SEPARATED, "seps"), over(paired, PAIRED, "prs")
+    share = functional / F.coalesce("usual", F.lit(0.3))
+    told = F.col("lang") != ""
+    lacking = told & (((share < MISSING) & (many | cut | twice | F.col("repeated"))) | ((share < ABSENT) & (F.col("words") >= 12)))
+    untold = ~told & (F.col("words") >= 6) & ((twice & (many | cut)) | (cut & many) | (F.col("repeated") & (many | cut | twice)))
+    spam = (F.col("linked") / F.col("words") > LINKED) | ((top > REPEATED) & (F.col("words") >= 6)) | lacking | untold
     return rows.groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum(F.when(spam, F.col("words")).otherwise(0)).alias("spam_words"), F.sum("linked").alias("linked_words"))
 
 
@@ -136,13 +196,14 @@ def spam_shares(documents: DataFrame) -> DataFrame:
     """``doc_id, words, spam_words`` of each document that has words.
 
     Null, empty and wordless texts don't come out; a repeated doc_id sums over its rows; texts are read whole.
-    A window's language is the one whose function words it holds most, else that of the text, else the given one;
-    the usual share of function words is the median over all windows of a language, of all documents, without links.
+    A text's language is the one whose function words make up most of it, if they are TOLD of its words, else that of
+    its label, else it isn't told. A window short of them may be in another. What is usual in a language is worked out
+    over all windows of all documents.
     """
     return _shares(documents).drop("linked_words")
 
 
-def stuffed(documents: DataFrame) -> DataFrame:
-    """``doc_id`` of the documents most of whose words stand in keywords, links or tags; of fewer than six words, in links."""
-    long = (F.col("words") >= LEAST_WORDS) & (F.col("spam_words") > MOSTLY * F.col("words"))
-    return _shares(documents).filter(long | (F.col("words") < LEAST_WORDS) & (F.col("linked_words") > LINKED * F.col("words"))).select("doc_id")
+def stuffed(documents: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``doc_id`` of the documents most of whose words stand in keywords, links or tags; of fewer than ``least_words``, in links."""
+    long = (F.col("words") >= least_words) & (F.col("spam_words") > MOSTLY * F.col("words"))
+    return _shares(documents).filter(long | (F.col("words") < least_words) & (F.col("linked_words") > LINKED * F.col("words"))).select("doc_id")

@@ -12,11 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from tinctura.functions.text import let
 from tinctura.operators.skew import BROADCAST_BYTES
 from tinctura.storage import materialize
 
 #: Identifiers in a range; ranges of counts a block holds before it passes them on.
 RANGE, HELD = 4096, 512
+#: Tasks that a range's blocks are summed by in the first step.
+SALTS = 16
 
 
 def terms_of(col: Column | str) -> Column:
@@ -25,11 +28,14 @@ def terms_of(col: Column | str) -> Column:
 
 
 def term_rows(df: DataFrame, fields: list[str]) -> DataFrame:
-    """``field, term, first``: a row per occurrence; ``first`` marks a term's first occurrence in its record."""
-    lists = F.array(*[F.struct(F.lit(i).cast("byte").alias("field"), terms_of(c).alias("terms")) for i, c in enumerate(fields)])
-    each = df.select(F.explode(lists).alias("x")).select("x.field", "x.terms")
-    one = each.select("field", "terms", F.posexplode("terms").alias("pos", "term"))
-    return one.select("field", "term", (F.array_position("terms", F.col("term")) == F.col("pos") + 1).alias("first"))
+    """``field, term, first``: a row per occurrence; ``first`` marks one of a term's occurrences in its record.
+
+    A record's terms are sorted, so that equal ones stand together and each is compared with the one before it only.
+    """
+    marked = lambda terms: F.transform(terms, lambda t, i: F.struct(t.alias("term"), ((i == 0) | (t != F.get(terms, F.greatest(i - 1, F.lit(0))))).alias("first")))
+    lists = F.array(*[F.struct(F.lit(i).cast("byte").alias("field"), let(F.array_sort(terms_of(c)), marked).alias("terms")) for i, c in enumerate(fields)])
+    each = df.select(F.explode(lists).alias("x")).select("x.field", F.explode("x.terms").alias("t"))
+    return each.select("field", "t.term", "t.first")
 
 
 def dictionary(terms: DataFrame) -> DataFrame:
@@ -111,8 +117,8 @@ def term_counts(df: DataFrame, fields: list[str], *, broadcast_bytes: int = BROA
         coded = block.join(terms, "term").select("field", "id", "occurrences", "records").sortWithinPartitions("id")
     blocks = coded.mapInArrow(_count_block, _COUNTS)
     # A range's blocks are summed in two steps, so that a range in every block isn't one task's work alone.
-    some = blocks.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16))).repartition("range", "salt").drop("salt").mapInArrow(_sum_ranges, _COUNTS)
-    total = some.repartition("range").mapInArrow(_sum_ranges, _COUNTS) if blocks.rdd.getNumPartitions() > 256 else blocks.repartition("range").mapInArrow(_sum_ranges, _COUNTS)
+    some = blocks.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).repartition("range", "salt").drop("salt").mapInArrow(_sum_ranges, _COUNTS)
+    total = some.repartition("range").mapInArrow(_sum_ranges, _COUNTS)
     each = total.select("field", "range", F.explode(F.arrays_zip("slots", "occurrences", "records")).alias("x"))
     # A range that a task passed on early comes out in parts.
     summed = each.groupBy("field", (F.col("range") * RANGE + F.col("x.slots")).alias("id")).agg(F.sum("x.occurrences").alias("occurrences"), F.sum("x.records").alias("records"))
