@@ -151,6 +151,25 @@ def oracle_sql() -> dict[str, str]:
         d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
         h AS (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
         SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (gram)"""
+    voted_sql = f"""
+        WITH {_KEYED}, listed AS (SELECT {_EMOJI.format('emoji')} AS key, min(emoji) AS emoji, bool_or(is_placeholder) AS ph FROM emoji_reference GROUP BY 1),
+        s AS (SELECT ko, kl, kh, obs_id, output, listed.emoji AS shown, CASE WHEN trim(k.source) <> '' THEN k.source END AS source,
+                (coalesce(trust, 0) + 1) * pow(0.5, coalesce(least((epoch_us((SELECT max(observed_at) FROM recipe_observations)) - epoch_us(observed_at)) / (86400000000.0 * 180), 60), 10)) AS vote
+              FROM k LEFT JOIN source_trust USING (source) LEFT JOIN listed ON NOT ph AND listed.key = {_EMOJI.format('k.emoji_output')}),
+        l AS (SELECT ko, kl, kh, 1 AS f, lower(trim(output)) AS norm, output AS value, vote FROM s UNION ALL SELECT ko, kl, kh, 2, shown, shown, vote FROM s WHERE shown IS NOT NULL UNION ALL SELECT ko, kl, kh, 3, source, source, vote FROM s WHERE source IS NOT NULL),
+        v AS (SELECT ko, kl, kh, f, norm, min(value) AS value, round(sum(vote), 9) AS votes FROM l GROUP BY 1, 2, 3, 4, 5),
+        w AS (SELECT ko, kl, kh, f, value FROM v QUALIFY row_number() OVER (PARTITION BY ko, kl, kh, f ORDER BY votes DESC, norm DESC) = 1),
+        p AS (SELECT ko, kl, kh, max(CASE WHEN f = 1 THEN value END) AS output, max(CASE WHEN f = 2 THEN value END) AS emoji_output, max(CASE WHEN f = 3 THEN value END) AS source FROM w GROUP BY 1, 2, 3)
+        SELECT min(obs_id) AS first_obs_id, count(*) AS n_copies, any_value(p.output) AS output, any_value(p.emoji_output) AS emoji_output, any_value(p.source) AS source FROM s JOIN p USING (ko, kl, kh) GROUP BY ko, kl, kh"""
+    spans_sql = r"""
+        WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_passages),
+        g AS (SELECT item_id, k, array_to_string(w[k : k + 11], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+        d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: length(x)) AS wl, list_transform(regexp_split_to_array(text, '[\p{L}\p{N}]+'), lambda x: length(x)) AS sl FROM documents),
+        h AS (SELECT doc_id, p, array_to_string(w[p : p + 11], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM d)),
+        m AS (SELECT doc_id, item_id, p, p - k AS line, p - row_number() OVER (PARTITION BY doc_id, item_id, p - k ORDER BY p) AS run FROM h JOIN g USING (gram)),
+        r AS (SELECT doc_id, item_id, min(p) AS p, count(*) + 11 AS n FROM m GROUP BY doc_id, item_id, line, run),
+        b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, p) = 1)
+        SELECT doc_id, item_id, CAST(coalesce(list_sum(wl[1 : p - 1]), 0) + list_sum(sl[1 : p]) AS INTEGER) AS "start", CAST(list_sum(wl[1 : p + n - 1]) + list_sum(sl[1 : p + n - 1]) AS INTEGER) AS "end", CAST(n AS INTEGER) AS words FROM b JOIN d USING (doc_id)"""
     return {
         "p1_found": f"WITH {_KEYED} SELECT first_obs_id, obs_id AS copy_obs_id FROM (SELECT obs_id, min(obs_id) OVER (PARTITION BY ko, kl, kh) AS first_obs_id FROM k) WHERE obs_id <> first_obs_id",
         "p1_collapsed": f"WITH {_KEYED} SELECT min(obs_id) AS first_obs_id, count(*) AS n_copies FROM k GROUP BY ko, kl, kh",
@@ -162,5 +181,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": survivors_sql,
         "p5_emoji": f"""WITH listed AS (SELECT {_EMOJI.format('emoji')} AS key, min(emoji) AS listed FROM emoji_reference WHERE emoji IS NOT NULL GROUP BY 1)
             SELECT obs_id, listed FROM recipe_observations o JOIN listed ON key <> '' AND key = {_EMOJI.format('o.emoji_output')} WHERE NOT EXISTS (SELECT 1 FROM emoji_reference e WHERE e.emoji = o.emoji_output)""",
+        "p4_voted": voted_sql,
         "p8_found": leaks_sql,
+        "p8_spans": spans_sql,
     }

@@ -95,7 +95,7 @@ def voted_values(obs: DataFrame, trust: DataFrame, reference: DataFrame, *, half
     rows = keyed(_with_trust(obs, trust, reference), "output", "shown", "source", ((F.col("trust") + 1) * F.pow(F.lit(0.5), F.coalesce(age, F.lit(10.0)))).alias("vote"))
     keys = [*HASH, "chk"]
     # The spelling goes along only where it may differ from the normalised value; rows without a value don't vote.
-    fields = {"output": F.lower(F.trim("output")), "emoji_output": F.col("shown"), "source": F.col("source")}
+    fields = {"output": F.lower(F.trim("output")), "emoji_output": F.col("shown"), "source": F.when(F.trim("source") != "", F.col("source"))}
     spelt = {"output": F.col("output")}
     none = F.lit(None).cast("string")
     values = [F.when(norm.isNotNull(), F.struct(F.lit(i).cast("byte").alias("field"), norm.alias("norm"), spelt.get(f, none).alias("value"))) for i, (f, norm) in enumerate(fields.items())]

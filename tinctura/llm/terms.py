@@ -10,11 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tinctura.functions.text import let
-from tinctura.operators.skew import BROADCAST_BYTES
-from tinctura.storage import materialize
+from tinctura.operators.skew import BROADCAST_BYTES, numbered
 
 #: Identifiers in a range; ranges of counts a block holds before it passes them on.
 RANGE, HELD = 4096, 512
@@ -39,14 +38,8 @@ def term_rows(df: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def dictionary(terms: DataFrame) -> DataFrame:
-    """``term, id``: the distinct terms in order, numbered from 0 without gaps; written, so it can be read again."""
-    parts = terms.select("term").distinct().repartitionByRange("term").sortWithinPartitions("term")
-    local = materialize(parts.withColumn("m", F.monotonically_increasing_id()), "terms")
-    part = F.shiftright("m", 33)
-    sizes = local.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.select("part", before.alias("start")))  # a row per partition
-    return local.withColumn("part", part).join(starts, "part").select("term", (F.col("start") + F.col("m") - F.shiftleft("part", 33)).alias("id"))
+    """``term, id``: the distinct terms in order, numbered from 0 without gaps; read from a written table."""
+    return numbered(terms.select("term").distinct(), "term", name="id").select("term", "id")
 
 
 _COUNTS = "field byte, range long, slots array<int>, occurrences array<long>, records array<long>"
