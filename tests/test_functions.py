@@ -135,6 +135,9 @@ def test_creativity(spark):
     novelty = one(spark, V.mean_distances(two((1.0, 0.0), (1.0, 1.0)), two((1.0, 0.0), (0.0, 1.0))))
     assert novelty == [pytest.approx(0.25), pytest.approx(0.14644662)]
     assert one(spark, V.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
+    assert one(spark, V.cosine_matrix(two((1.0, 0.0), (0.0, 0.0)), two((1.0, 0.0), (0.0, 1.0)))) == [[1.0, 0.0], [0.0, 0.0]]
+    assert one(spark, V.distance_matrix(two((1.0, 0.0)), two((2.0, 0.0), (0.0, 1.0), (0.0, 0.0)))) == [[0.0, 1.0, 1.0]]
+    assert one(spark, V.min_distances(two((1.0, 0.0), (1.0, 1.0)), two((1.0, 0.0), (0.0, 1.0)))) == [0.0, pytest.approx(0.29289322)]
     assert one(spark, V.mean_pairwise_distance(two((1.0, 0.0)))) == 0.0
 
 

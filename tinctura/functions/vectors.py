@@ -38,6 +38,16 @@ def mean(values: Column) -> Column:
     return F.try_divide(F.aggregate(values, F.lit(0.0), lambda s, v: s + v), F.size(values))
 
 
+def cosine_matrix(xs: Column, ys: Column) -> Column:
+    """A row for each of ``xs`` with its cosine similarity to each of ``ys``."""
+    return F.transform(xs, lambda x: F.transform(ys, lambda y: cosine(x, y)))
+
+
+def distance_matrix(xs: Column, ys: Column) -> Column:
+    """One less the cosine similarity of each pair."""
+    return F.transform(cosine_matrix(xs, ys), lambda row: F.transform(row, lambda c: 1 - c))
+
+
 def min_distances(samples: Column, references: Column) -> Column:
     """Of each sample, the cosine distance to the nearest reference."""
     return F.transform(samples, lambda s: F.array_min(F.transform(references, lambda r: 1 - cosine(s, r))))

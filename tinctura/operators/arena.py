@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tinctura.functions.text import concept
+from tinctura.operators.skew import lookup
 
 
 def runs(events: DataFrame, threshold: float = 250.0) -> DataFrame:
@@ -83,7 +84,7 @@ def looked_up(requests: DataFrame, stored: DataFrame) -> DataFrame:
     """Requests with their stored output; ``missing`` where one has to be generated."""
     best = distinct_on(stored, ["input_a", "input_b"], F.col("rank"), F.col("output"))
     rows = requests.withColumns({"input_a": F.least("x", "y"), "input_b": F.greatest("x", "y")})
-    return rows.join(best.select("input_a", "input_b", "output"), ["input_a", "input_b"], "left").withColumn("missing", F.col("output").isNull())
+    return lookup(rows, best.select("input_a", "input_b", "output"), ["input_a", "input_b"]).withColumn("missing", F.col("output").isNull())
 
 
 def options(stored: DataFrame, generated: DataFrame, n: int = 3) -> DataFrame:

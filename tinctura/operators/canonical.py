@@ -201,5 +201,5 @@ def outside(rows: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame
 def repaired(rows: DataFrame, authority: DataFrame) -> DataFrame:
     """Recipes whose pair the authority has with another output take that output; the rest stay."""
     best = authority.select("input_a", "input_b", F.col("output").alias("right"))
-    joined = rows.join(best, ["input_a", "input_b"], "left")
+    joined = lookup(rows, best, ["input_a", "input_b"])
     return joined.select("input_a", "input_b", F.coalesce("right", "output").alias("output"), (F.col("right") != F.col("output")).alias("changed"))

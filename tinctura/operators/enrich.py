@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tinctura.functions.concepts import Quality, concept_defect
 from tinctura.functions.text import compact, concept, one_line, reject_reason, stripped, without_fence
-from tinctura.storage import materialize
+from tinctura.operators.skew import numbered
 
 #: Quality of teacher outputs: gerunds may stand in them.
 TEACHER = Quality(gerunds=True)
@@ -137,13 +137,8 @@ def remaining(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def record_ids(rows: DataFrame, split: str, order: str) -> DataFrame:
-    """P25: ``split:00000000`` by the order of ``order``, counted over all splits by range-sorted partitions."""
-    parts = materialize(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("m", F.monotonically_increasing_id()), "records")
-    part = F.shiftright("m", 33)
-    sizes = parts.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    start = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = parts.withColumn("part", part).join(F.broadcast(sizes.select("part", start.alias("start"))), "part")
-    return numbered.withColumn("record_id", F.concat(F.col(split), F.lit(":"), F.lpad((F.col("start") + F.col("m") - F.shiftleft("part", 33)).cast("string"), 8, "0"))).drop("m", "part", "start")
+    """P25: ``split:00000000`` by the order of ``order``, counted over all splits."""
+    return numbered(rows, order, name="_n").withColumn("record_id", F.concat(F.col(split), F.lit(":"), F.lpad(F.col("_n").cast("string"), 8, "0"))).drop("_n")
 
 
 def reply_text(line: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tinctura.functions import vectors as V
 from tinctura.functions.text import answer, outer_object, stripped, word_count
 from tinctura.operators.skew import lookup
+from tinctura.storage import measured
 
 
 def items(rows: DataFrame, row_id: str) -> DataFrame:
@@ -62,11 +63,12 @@ def semantic(rows: DataFrame, row_id: str, embedded: DataFrame, threshold: float
     """The share of rows (with known outputs) whose first sample, or any, is as close to a known output."""
     df = items(rows, row_id).filter(F.size("known") > 0).select(row_id, "samples", "known")
     pairs = df.select(row_id, F.posexplode("samples").alias("at", "sample"), "known").select(row_id, "at", "sample", F.explode("known").alias("target"))
-    left, right = embedded.select(F.col("text").alias("sample"), F.col("vector").alias("x")), embedded.select(F.col("text").alias("target"), F.col("vector").alias("y"))
+    vectors, size = measured(embedded.select("text", "vector"), "vectors")
+    left, right = vectors.select(F.col("text").alias("sample"), F.col("vector").alias("x")), vectors.select(F.col("text").alias("target"), F.col("vector").alias("y"))
     # Equal pairs of texts are compared once.
     distinct = pairs.select("sample", "target").distinct()
-    near = distinct.join(left, "sample").join(right, "target").select("sample", "target", (V.cosine(F.col("x"), F.col("y")) >= threshold).alias("near"))
-    each = pairs.join(near, ["sample", "target"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    near = lookup(lookup(distinct, left, ["sample"], how="inner", size=size), right, ["target"], how="inner", size=size).select("sample", "target", (V.cosine(F.col("x"), F.col("y")) >= threshold).alias("near"))
+    each = lookup(pairs, near, ["sample", "target"]).withColumn("near", F.coalesce("near", F.lit(False)))
     flags = each.groupBy(row_id).agg(F.max(F.col("near") & (F.col("at") == 0)).alias("top1"), F.max("near").alias("any"))
     return flags.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col("top1").cast("double")), F.lit(0.0)).alias("top1_semantic_match"), F.coalesce(F.avg(F.col("any").cast("double")), F.lit(0.0)).alias("anyk_semantic_match"))
 
@@ -133,7 +135,7 @@ def judged(rows: DataFrame, row_id: str, verdicts: DataFrame) -> DataFrame:
     ``verdicts``: ``output, plausible, plausibility``, one row per distinct output.
     """
     each = items(rows, row_id).select(row_id, F.posexplode("samples").alias("at", "output"), F.transform("known", answer).alias("k"))
-    found = each.join(verdicts.select("output", "plausible", "plausibility"), "output", "left")
+    found = lookup(each, verdicts.select("output", "plausible", "plausibility"), ["output"])
     plausible = F.coalesce("plausible", F.lit(False)) & (answer("output") != "")
     known = F.array_contains("k", answer("output"))
     return found.select(row_id, "at", "output", plausible.alias("plausible"), F.when(plausible, F.coalesce("plausibility", F.lit(0.0))).otherwise(0.0).alias("plausibility"), known.alias("in_dataset"), bucket(plausible, known).alias("bucket"))

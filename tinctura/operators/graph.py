@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tinctura.functions.hashing import packed_id
-from tinctura.operators.skew import BROADCAST_BYTES, lookup
+from tinctura.operators.skew import BROADCAST_BYTES, lookup, numbered
 from tinctura.storage import materialize, measured
 
 NOTHING = "Nothing"
@@ -117,9 +117,9 @@ def goal(nodes: DataFrame, depth: int, draw: Column) -> DataFrame:
     """A node of the wanted depth, else of the nearest (less deep first); ``draw`` in [0, 1) picks among them."""
     sized = nodes.filter("cost > 0").withColumn("off", F.abs(F.col("cost") - depth) * 2 + (F.col("cost") > depth).cast("int"))
     best = sized.agg(F.min("off").alias("off"))
-    pick = sized.join(F.broadcast(best), "off")  # one row
-    counted = pick.withColumn("n", F.row_number().over(Window.partitionBy("off").orderBy("node")) - 1).withColumn("all", F.count("*").over(Window.partitionBy("off")))
-    return counted.filter(F.col("n") == F.floor(draw * F.col("all"))).select("node", "cost")
+    pick = numbered(sized.join(F.broadcast(best), "off").drop("off"), "node", name="n")  # one row
+    total = pick.agg(F.count("*").alias("all"))
+    return pick.join(F.broadcast(total), F.col("n") == F.floor(draw * F.col("all"))).select("node", "cost")
 
 
 def uses(edges: DataFrame) -> DataFrame:
@@ -173,11 +173,7 @@ def packed(names: DataFrame, recipes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Ids are numbered by range-sorted partitions, so no task sorts all names.
     """
-    parts = materialize(names.select("name", "cost").repartitionByRange("cost", "name").sortWithinPartitions("cost", "name").withColumn("m", F.monotonically_increasing_id()), "names")
-    part = F.shiftright("m", 33)
-    sizes = parts.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    start = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ids = parts.withColumn("part", part).join(F.broadcast(sizes.select("part", start.alias("start"))), "part").select((F.col("start") + F.col("m") - F.shiftleft("part", 33)).alias("id"), "name")
+    ids = numbered(names.select("name", "cost"), "cost", "name", name="id").select("id", "name")
     coded, size = measured(ids.withColumn("code", packed_id("id")), "codes")
     out = recipes
     for side in ("a", "b", "c"):

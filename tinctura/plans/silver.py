@@ -112,11 +112,20 @@ def split_counts(spark: SparkSession, d: str) -> DataFrame:
     return load_counts(table(spark, d, "recipe_canonical_v0"))
 
 
-@plans.add(f"""SELECT input_a, input_b, count(DISTINCT split) AS splits FROM (SELECT least(input_a, input_b) AS input_a, greatest(input_a, input_b) AS input_b, {B.split('input_a', 'input_b')} AS split FROM recipe_canonical_v0) GROUP BY 1, 2 HAVING count(DISTINCT split) > 1""")
+@plans.add(f"""WITH r AS (SELECT {B.key('input_a')} AS a, {B.key('input_b')} AS b, split FROM recipe_canonical_v0 UNION ALL SELECT {B.key('input_a')}, {B.key('input_b')}, split FROM eval_records)
+    SELECT least(a, b) AS input_a, greatest(a, b) AS input_b, count(DISTINCT split) AS splits FROM r GROUP BY 1, 2 HAVING count(DISTINCT split) > 1""")
 def split_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """D3: none."""
-    c = table(spark, d, "recipe_canonical_v0")
-    return S.split_leaks(c.withColumn("split", split_of("input_a", "input_b")))
+    """D3: pairs that the canonical table and the exported evaluation items put in different splits."""
+    c, e = (table(spark, d, t).select(S.key("input_a").alias("input_a"), S.key("input_b").alias("input_b"), "split") for t in ("recipe_canonical_v0", "eval_records"))
+    return S.split_leaks(c.unionByName(e))
+
+
+@plans.add(f"SELECT count(*) AS pairs, 0 AS leaks FROM (SELECT DISTINCT least(input_a, input_b), greatest(input_a, input_b) FROM recipe_canonical_v0)")
+def split_check(spark: SparkSession, d: str) -> DataFrame:
+    """Splits by the pair never leak."""
+    c = table(spark, d, "recipe_canonical_v0").withColumn("split", split_of(F.least("input_a", "input_b"), F.greatest("input_a", "input_b")))
+    splits = c.groupBy(F.least("input_a", "input_b").alias("a"), F.greatest("input_a", "input_b").alias("b")).agg(F.countDistinct("split").alias("n"))
+    return splits.agg(F.count("*").alias("pairs"), F.count_if(F.col("n") > 1).cast("int").alias("leaks"))
 
 
 @plans.add("SELECT row_id, pair_key, split FROM recipe_canonical_v0 WHERE split = 'test' ORDER BY sha256(row_id || '|42'), row_id LIMIT 100")
