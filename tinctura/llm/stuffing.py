@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -31,7 +32,7 @@ FUNCTION_WORDS = {
 }
 # End of fixed values.
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD, _LINES = re.compile(r"[^\W_]+"), re.compile(r"[\n\r]+")
 _LINK = re.compile(r"https?://\S+|www\.\S+|<a\b[^>]*>|</a>|<br\s*/?>|\]\([^)\s]*\)|#\w+|\S+@\S+\.\w+|\bSKU\S*", re.I)
 _SEPARATOR = re.compile(r"[|·•»›;,/\\*#=<>\[\]]|\s-\s")
 #: What may begin a link; a word that stands for each word of one.
@@ -87,33 +88,39 @@ def windows(text: str, given: str | None, known: Languages) -> Iterator[tuple[st
     a word pair which the text's windows short of function words (under a quarter) hold three times or more, link
     words aside; counted in those windows only.
     """
-    lines = [x for x in re.split(r"[\n\r]+", text.lower()) if x.strip()]
-    seen = Counter(x.strip() for x in lines) if len(lines) > 2 else {}
+    lines = [x for x in _LINES.split(text.lower()) if x and not x.isspace()]
+    seen = Counter(map(str.strip, lines)) if len(lines) > 2 else {}
     parsed: list[tuple[list[str], int, int, bool]] = []
     for line in lines:
         again = bool(seen) and seen[line.strip()] > 2
         if _HINT.search(line):
             line = _LINK.sub(_as_links, line)
-        pieces = [m[0] for m in _SPAN.finditer(line)]
-        cut = [_WORD.findall(x) for x in pieces]
-        if len(cut) > 1 and len(cut[-1]) < WINDOW // 2:
-            words, piece = cut.pop(), pieces.pop()
-            cut[-1] += words
-            pieces[-1] += piece
-        for words, piece in zip(cut, pieces, strict=True):
+        words = _WORD.findall(line)
+        if len(words) < WINDOW + WINDOW // 2:
+            parts = [(words, line[_WORD.search(line).start() :])] if words else []
+        else:
+            cuts = [m.start() for m in _SPAN.finditer(line)]
+            if len(words) % WINDOW and len(words) % WINDOW < WINDOW // 2:
+                cuts.pop()  # too few for a window of their own
+            ends = [*cuts[1:], len(line)]
+            parts = [(words[k * WINDOW : (k + 1) * WINDOW if k < len(cuts) - 1 else None], line[i:j]) for k, (i, j) in enumerate(zip(cuts, ends, strict=True))]
+        for words, piece in parts:
             linked = words.count(_LINKED)
             parsed.append(([w for w in words if w != _LINKED] if linked else words, linked, len(_SEPARATOR.findall(piece)), again))
-    counts: Counter = Counter()
-    for plain, *_ in parsed:
-        counts.update(plain)
-    lang, told = known.most(counts, given)
-    if told < TOLD * counts.total():
-        lang = given if given in known.words else ""
-    own = known.words.get(lang, frozenset())
+    total = sum(len(plain) for plain, *_ in parsed)
+    lang, own = given or "", known.words.get(given or "", frozenset())
+    functionals = [sum(map(own.__contains__, plain)) for plain, *_ in parsed]
+    if sum(functionals) < 0.25 * total or not own:  # the label may be wrong, or there is none
+        lang, told = known.most(Counter(chain.from_iterable(plain for plain, *_ in parsed)), given)
+        if told < TOLD * total:
+            lang = given if given in known.words else ""
+        if own is not (new := known.words.get(lang, frozenset())):
+            own = new
+            functionals = [sum(map(own.__contains__, plain)) for plain, *_ in parsed]
     judged = []
     near: Counter = Counter()
-    for plain, linked, separators, again in parsed:
-        here, words, functional = lang, own, sum(map(own.__contains__, plain))
+    for (plain, linked, separators, again), functional in zip(parsed, functionals, strict=True):
+        here, words = lang, own
         if few := functional < 0.25 * len(plain):  # quotations may be in another language
             other, n = known.most(Counter(plain), lang)
             if n > functional and n >= TOLD * len(plain) and lang:
@@ -123,7 +130,10 @@ def windows(text: str, given: str | None, known: Languages) -> Iterator[tuple[st
         judged.append((plain, linked, separators, again, here, words, functional, few))
     often = {x for x, n in near.items() if n > 2}
     for plain, linked, separators, again, here, words, functional, few in judged:
-        top = max(Counter([w for w in plain if w not in words]).values(), default=0)
+        # No word can come more often than this; up to TOP_WORD of the words it makes no difference which does.
+        top = len(plain) - len(set(plain)) + (1 if plain else 0)
+        if top > TOP_WORD * len(plain):
+            top = max(Counter([w for w in plain if w not in words]).values(), default=0)
         frequent = sum(x in often for x in zip(plain, plain[1:])) if few and often else 0
         yield here, len(plain) + linked, functional, linked, top, separators, frequent, again
 
