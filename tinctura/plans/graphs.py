@@ -1,12 +1,10 @@
-"""Queries over the recipe graph: all canonical recipes; starters are the inputs that no recipe makes.
-
-Where the SQL would need recursion over the whole graph there is none, and tests compare with brute force.
-"""
+"""Queries over the recipe graph: all canonical recipes; starters are the inputs that no recipe makes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tinctura.functions.hashing import PACKED_ALPHABET
 from tinctura.operators import graph as G
 from tinctura.plans.base import Plans
 from tinctura.storage import materialize, table
@@ -16,6 +14,17 @@ queries, oracle_sql = plans.queries, plans.oracle_sql
 
 _EDGES = """ed AS (SELECT DISTINCT least(input_a, input_b) AS a, greatest(input_a, input_b) AS b, canonical_output AS c FROM recipe_canonical_v0
     WHERE input_a <> canonical_output AND input_b <> canonical_output)"""
+
+
+def _levels(start: int, plus: str) -> str:
+    """SQL of each node's least cost: a table by key that rows replace while they improve it."""
+    return f"""WITH RECURSIVE {_EDGES}, st AS (SELECT DISTINCT x AS node FROM (SELECT unnest([a, b]) AS x FROM ed) WHERE x NOT IN (SELECT c FROM ed)),
+    lv(node, cost) USING KEY (node) AS (SELECT node, CAST({start} AS BIGINT) FROM st UNION
+        SELECT c, min({plus}) FROM ed JOIN recurring.lv x ON x.node = a JOIN recurring.lv y ON y.node = b LEFT JOIN recurring.lv z ON z.node = c GROUP BY c, z.cost HAVING z.cost IS NULL OR min({plus}) < z.cost)
+    SELECT node, cost FROM lv"""
+
+
+_DEPTHS, _COSTS = _levels(0, "greatest(x.cost, y.cost) + 1"), _levels(1, "x.cost + y.cost")
 #: Elements whose untried partners are listed, and steps of a witness path at most.
 ASKED, STEPS = 5, 8
 
@@ -35,21 +44,22 @@ def recipe_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d)
 
 
-@plans.add()
+@plans.add(_DEPTHS)
 def depths(spark: SparkSession, d: str) -> DataFrame:
     """Rounds of joins to a fixpoint."""
     e = materialize(_edges(spark, d), "whole")
     return G.levels(e, _unmade(e, 0))
 
 
-@plans.add()
+@plans.add(_COSTS)
 def sum_costs(spark: SparkSession, d: str) -> DataFrame:
     """D25."""
     e = materialize(_edges(spark, d), "whole")
     return G.levels(e, _unmade(e, 1), cost="sum")
 
 
-@plans.add()
+@plans.add(f"""WITH dp AS ({_DEPTHS}), o AS (SELECT *, min(abs(cost - 5) * 2 + CAST(cost > 5 AS INTEGER)) OVER () AS best, abs(cost - 5) * 2 + CAST(cost > 5 AS INTEGER) AS off FROM dp WHERE cost > 0)
+    SELECT node, cost FROM (SELECT *, row_number() OVER (ORDER BY node) - 1 AS n, count(*) OVER () AS al FROM o WHERE off = best) WHERE n = floor(0.4 * al)""")
 def daily_goal(spark: SparkSession, d: str) -> DataFrame:
     """D18."""
     return G.goal(depths(spark, d), 5, F.lit(0.4))
@@ -91,13 +101,18 @@ def untried_pairs(spark: SparkSession, d: str) -> DataFrame:
     return G.untried(most, used, e)
 
 
-@plans.add()
+@plans.add(f"""WITH co AS ({_COSTS}), {_EDGES} SELECT ed.a, ed.b, ed.c, x.cost AS cost_a, y.cost AS cost_b, z.cost AS cost_c FROM ed LEFT JOIN co x ON x.node = ed.a LEFT JOIN co y ON y.node = ed.b LEFT JOIN co z ON z.node = ed.c WHERE coalesce(z.cost, 0) <= 100""")
 def priced_recipes(spark: SparkSession, d: str) -> DataFrame:
     """O11, F17."""
     return G.listed(_edges(spark, d), sum_costs(spark, d)).filter("coalesce(cost_c, 0) <= 100")
 
 
-@plans.add()
+_DIGIT = f"substr('{PACKED_ALPHABET}', CAST({{}} % 64 AS INTEGER) + 1, 1)"
+_CODE = " || ".join(f"CASE WHEN n >= {64**k} THEN {_DIGIT.format(f'n // {64**k}')} ELSE '' END" for k in range(5, 0, -1)) + " || " + _DIGIT.format("n")
+
+
+@plans.add(f"""WITH co AS ({_COSTS}), {_EDGES}, nm AS (SELECT DISTINCT unnest([a, b, c]) AS name FROM ed), nb AS (SELECT name, row_number() OVER (ORDER BY coalesce(cost, 1152921504606846976), name) - 1 AS n FROM nm LEFT JOIN co ON co.node = name), cd AS (SELECT name, {_CODE} AS code FROM nb)
+    SELECT x.code || ',' || y.code || ',' || z.code AS line FROM ed JOIN cd x ON x.name = ed.a JOIN cd y ON y.name = ed.b JOIN cd z ON z.name = ed.c""")
 def packed_recipes(spark: SparkSession, d: str) -> DataFrame:
     """Recipes in codes of a dictionary in the order of cost and name."""
     names = F.explode(F.array("a", "b", "c")).alias("name")
