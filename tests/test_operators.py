@@ -138,6 +138,33 @@ def test_novelties(spark):
     assert [tuple(v) for v in got[0]] == [(0.1, ""), (1.0, "r")] and got[1] is None and got[2] is None
 
 
+def test_judged_samples(spark):
+    """An implausible sample keeps its plausibility, an empty or unjudged one has none."""
+    rows = spark.createDataFrame([(1, ["Fog", " ", "mud", "ice"], None, ["fog"], None)], "id int, sampled_outputs array<string>, prediction string, known_outputs array<string>, canonical_output string")
+    said = spark.createDataFrame([("Fog", True, 0.9), ("mud", False, 0.2), (" ", True, 1.0)], "output string, plausible boolean, plausibility double")
+    got = [(r.output, r.plausible, r.plausibility, r.in_dataset, r.bucket) for r in E.judged(rows, "id", said).orderBy("at").collect()]
+    assert got == [("Fog", True, 0.9, True, "valid_known"), (" ", False, 0.0, False, "invalid"), ("mud", False, 0.2, False, "invalid"), ("ice", False, 0.0, False, "invalid")]
+
+
+def test_eval_items(spark):
+    lines = [("a", "b", ["x", " ", None], None, None), ("a", "b", None, "c", "p"), ("a", "b", [], "c", None), ("", "b", ["x"], "c", None), ("a", "b", [" "], None, None), ("a", "b", ["x"], "", "")]
+    df = spark.createDataFrame(lines, "input_a string, input_b string, known_outputs array<string>, canonical_output string, pair_id string")
+    got = [(r.pair_id, r.known_outputs, r.canonical_output) for r in E.eval_items(df).collect()]
+    assert got == [("a+b", ["x"], "x"), ("p", ["c"], "c"), ("a+b", ["x"], "x")]
+    ranked = spark.createDataFrame([("a", "b", [("x",), ("",)], None)], "input_a string, input_b string, candidate_outputs array<struct<output:string>>, canonical_output string")
+    assert E.eval_items(ranked).first().known_outputs == ["x"]
+
+
+def test_options_and_picks(spark):
+    """The stored first, then generated ones, then other stored ones. J16: each id once."""
+    kind = "input_a string, input_b string, output string, rank int"
+    stored, made = spark.createDataFrame([("a", "b", "top", 1), ("a", "b", "other", 2), ("c", "d", "one", 1)], kind), spark.createDataFrame([("a", "b", "Top ", 7), ("a", "b", "new", 8), ("e", "f", "x", 1), ("e", "f", "y", 2)], kind)
+    assert {r.input_a: r.options for r in A.options(stored, made).collect()} == {"a": ["top", "new", "other"], "e": ["x", "y"]}
+    asked = spark.createDataFrame([(1, [3, 5, 3, 9, 4, 5])], "owner int, ids array<int>")
+    owned = spark.createDataFrame([(1, i) for i in (3, 4, 5)], "owner int, id int")
+    assert A.picked(asked, owned, 3).first().ids == [3, 5, 4]
+
+
 def test_efficiency(spark):
     df = spark.createDataFrame([("m", 3, 2.26), ("n", 0, None)], "model string, wins long, avg_combinations double")
     assert [tuple(r) for r in A.efficiency(df).collect()] == [("m", 2.3, 3)]
@@ -254,6 +281,24 @@ def test_teacher_outputs(spark):
     assert N.enriched(spark.createDataFrame([], RECIPES)).count() == 0
 
 
+def test_imported_replies(spark):
+    """The first outcome that holds, and what was written by an earlier line."""
+    def line(n, said, status=None, who="a", **more):
+        ask = {"contents": [{"parts": [{"text": "Teach."}, {"text": f"Dataset record id:  {who}\nrest"}]}]}
+        return (n, json.dumps({"request": ask, "response": {"candidates": [{"content": {"parts": [{"text": ""}, {"text": said}]}}]}, "status": status, **more}))
+
+    good = json.dumps({"keep_recipe": True, "candidate_outputs": [{"output": "Steam", "rationale": "x", "source": "observed"}, {"output": "fog", "rationale": "y", "source": "teacher"}]})
+    bad = [json.dumps(x) for x in ({"keep_recipe": "yes"}, {"candidate_outputs": []}, {"keep_recipe": True, "candidate_outputs": None}, {"keep_recipe": True, "candidate_outputs": [{"output": "x", "rationale": "y", "source": "else"}]}, {"keep_recipe": True, "reject_reason": 3}, [1])]
+    lines = [(0, "{broken"), line(1, good, who="nobody"), line(2, good, who="old"), line(3, good, "failed"), line(4, "no json"), line(5, json.dumps({"keep_recipe": False})), line(6, good), line(7, good), line(8, good, "failed"), line(9, good, who="b"), line(20, good, who="nobody")]
+    lines += [line(10 + i, b, who="c") for i, b in enumerate(bad)] + [(30, json.dumps({"request": {}, "response": {}}))]
+    index = spark.createDataFrame([("a", "train", "Fire", "water", ["steam"]), ("b", "dev", "fire", "water", ["steam"]), ("c", "dev", "x", "y", ["z1"]), ("old", "train", "mud", "sand", ["clay"])], "record_id string, split string, input_a string, input_b string, outputs array<string>")
+    done = spark.createDataFrame([("train", "MUD", " sand"), (None, "fire", "water")], "split string, input_a string, input_b string")
+    got = {r.position: r for r in N.imported(spark.createDataFrame(lines, "position long, line string"), index, done).collect()}
+    want = {0: "parse_error", 1: "missing_batch_record_id", 2: "skipped_existing", 3: "batch_row_error", 4: "batch_response_parse_error", 5: "teacher_rejected_recipe", 6: "written", 7: "skipped_existing", 8: "skipped_existing", 9: "written", 20: "missing_batch_record_id", 30: "missing_batch_record_id"}
+    assert {k: r.outcome for k, r in got.items()} == want | {10 + i: "batch_response_parse_error" for i in range(len(bad))}
+    assert [tuple(c) for c in got[6].candidate_outputs] == [("steam", "observed", "x", 1), ("fog", "teacher", "y", 2)] and got[7].candidate_outputs is None
+
+
 def test_completed(spark):
     lines = [("fire", "water", ["Steam", "fire", "bad#"], ["steam", "fog", "mist", "rain"]), ("fire", "water", ["a1"], None), ("fire", "water", None, []), ("fire", "water", ["one", "two", "three", "four"], ["five"])]
     df = spark.createDataFrame(lines, "input_a string, input_b string, observed array<string>, taught array<string>")

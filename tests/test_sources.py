@@ -14,10 +14,10 @@ from tinctura.streaming import streams as T
 
 def test_chats(spark, tmp_path, rows):
     m = lambda user, assistant: json.dumps({"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": user}, {"role": "assistant", "content": assistant}]})
-    lines = [m("Fire + Water", '{"result": "Steam", "emoji": "💨"}'), m("a + b", "plain"), m("a + b + c", "x"), m("a + ", "x"), "{broken", "", m("c + d", '{"result": "x", "emoji": null}')]
+    lines = [m("Fire + Water", '{"result": "Steam", "emoji": "💨"}'), m("a + b", "plain"), m("a + b + c", "x"), m("a + ", "x"), "{broken", "", m("c + d", '{"result": "x", "emoji": null}'), m("e + f", '{"result": 5}'), m("g + h", '["x"]'), m("i + j", '{"result": " x "}'), m("k + l", '{"emoji": "💨"}')]
     (tmp_path / "train.jsonl").write_text("\n".join(lines))
     got = rows(R.chats(spark, str(tmp_path)))
-    assert got == [("Fire", "Water", "Steam", "💨", "chat_train"), ("a", "b", "plain", None, "chat_train"), ("c", "d", '{"result": "x", "emoji": null}', None, "chat_train")]
+    assert got == [("Fire", "Water", "Steam", "💨", "chat_train"), ("a", "b", "plain", None, "chat_train"), ("c", "d", '{"result": "x", "emoji": null}', None, "chat_train"), ("e", "f", '{"result": 5}', None, "chat_train"), ("g", "h", '["x"]', None, "chat_train"), ("i", "j", "x", "", "chat_train")]
 
 
 def test_chat_lines(spark, tmp_path, rows):

@@ -80,7 +80,7 @@ def reject_reason(c: Name) -> Column:
 
 def slug(c: Name) -> Column:
     """Lower case, runs of other characters than letters and digits one ``_``, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(col(c)), r"(?U)[^\p{Alnum}]+", "_"), "^_+|_+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(col(c)), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
 
 
 def storage_segment(c: Name) -> Column:

@@ -88,11 +88,12 @@ def looked_up(requests: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def options(stored: DataFrame, generated: DataFrame, n: int = 3) -> DataFrame:
-    """Up to ``n`` distinct options a pair: the stored first, then generated ones; fewer than two: none.
+    """Up to ``n`` distinct options a pair; fewer than two: none.
 
-    Options are the same if their concepts are; the first stored one always stays.
+    The stored one of rank 1 comes first and always stays, then generated ones, then what else is stored. Options are
+    the same if their concepts are; the first of them stays.
     """
-    rows = stored.select("input_a", "input_b", "output", F.lit(0).alias("kind"), F.col("rank")).unionByName(generated.select("input_a", "input_b", "output", F.lit(1).alias("kind"), F.col("rank")))
+    rows = stored.select("input_a", "input_b", "output", F.when(F.col("rank") == 1, 0).otherwise(2).alias("kind"), F.col("rank")).unionByName(generated.select("input_a", "input_b", "output", F.lit(1).alias("kind"), F.col("rank")))
     rows = rows.withColumn("c", concept("output")).filter("c <> ''")
     first = rows.groupBy("input_a", "input_b", "c").agg(F.min(F.struct("kind", "rank", "output")).alias("o"))
     sorted_ = F.slice(F.array_sort(F.collect_list("o")), 1, n)
@@ -125,12 +126,14 @@ def preference_events(events: DataFrame) -> DataFrame:
     """Preference events: the options shown (by JSON), the one selected, and their order."""
     k = F.get_json_object("props", "$.k").cast("int")
     shown = F.array_distinct(F.array(k % 7, k % 5 + 7, k % 3 + 12))
-    return events.select("event_id", "user_id", "ts", F.col("event_type").alias("mode"), shown.alias("shown"), F.get(shown, (F.col("event_id") % 4).cast("int")).alias("selected"))
+    source = F.get(F.array(F.lit("known_recipe"), F.lit("model_generated"), F.lit("typed")), k % 3)
+    return events.select("event_id", "user_id", "ts", F.col("event_type").alias("mode"), shown.alias("shown"), F.get(shown, (F.col("event_id") % 4).cast("int")).alias("selected"), source.alias("source"), (k % 10).alias("combination_index"))
 
 
-def valid_preferences(rows: DataFrame, modes: tuple[str, ...]) -> DataFrame:
-    """Known mode, two options or more, the selected one among them; with those rejected."""
-    good = F.col("mode").isin(*modes) & (F.size("shown") >= 2) & F.array_contains("shown", F.col("selected"))
+def valid_preferences(rows: DataFrame, modes: tuple[str, ...], sources: tuple[str, ...]) -> DataFrame:
+    """Known mode and source, a positive index, two options or more, none missing, the selected one among them; with those rejected."""
+    shown = (F.size("shown") >= 2) & ~F.exists("shown", lambda o: o.isNull()) & F.array_contains("shown", F.col("selected"))
+    good = F.col("mode").isin(*modes) & F.col("source").isin(*sources) & (F.col("combination_index") > 0) & shown
     return rows.filter(good).withColumn("rejected", F.array_remove("shown", F.col("selected")))
 
 
@@ -140,8 +143,8 @@ def asked(n: str = "round") -> Column:
 
 
 def picked(requests: DataFrame, inventory: DataFrame, n: int = 6) -> DataFrame:
-    """Of each request's ids those in its owner's inventory, in the order asked, ``n`` at most."""
-    one = requests.select("owner", F.posexplode("ids").alias("at", "id")).join(inventory, ["owner", "id"], "left_semi")
+    """Of each request's distinct ids those in its owner's inventory, in the order asked, ``n`` at most."""
+    one = requests.select("owner", F.posexplode(F.array_distinct("ids")).alias("at", "id")).join(inventory, ["owner", "id"], "left_semi")
     return one.groupBy("owner").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]), 1, n).alias("ids"))
 
 

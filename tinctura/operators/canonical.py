@@ -89,8 +89,12 @@ def canonical_pairs(obs: DataFrame, c: Cleaning = Cleaning(), position: str = "o
     Two shuffles of pre-aggregated rows: counts by pair and output, then pairs. The emoji of concepts are looked up
     on the counted rows.
     """
-    kept = judged(obs, c, position).filter("reason is null").withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
-    good = materialize(kept.drop("reason"), "good")  # read for emoji and for pairs; the rules are costly
+    return pairs_of(materialize(judged(obs, c, position).filter("reason is null").drop("reason"), "good"), c)  # read for emoji and for pairs
+
+
+def pairs_of(good: DataFrame, c: Cleaning = Cleaning()) -> DataFrame:
+    """``canonical_pairs`` of the good rows of ``judged``, which must be written."""
+    good = good.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
     emoji, size = measured(emoji_modes(good), "emoji")  # looked up three times
     counted = good.groupBy("lo", "hi", "out").agg(F.count("*").alias("n"), F.min("pos").alias("pos"), F.collect_set(F.when(F.col("source") != "", F.col("source"))).alias("sources"))
     named = lookup(counted, emoji.select(F.col("concept").alias("out"), F.col("emoji").alias("e")), ["out"], size=size)
@@ -120,14 +124,19 @@ def canonical_pairs(obs: DataFrame, c: Cleaning = Cleaning(), position: str = "o
     )
 
 
-def clean_metrics(pairs: DataFrame) -> DataFrame:
-    """A5: counts of canonical pairs, conflicts, statuses and splits in one row."""
+def clean_metrics(rows: DataFrame, c: Cleaning = Cleaning()) -> DataFrame:
+    """A5: counts of canonical pairs, conflicts, statuses, splits and discarded rows in one row, of ``judged`` rows.
+
+    The rows must be written: they are read for the pairs and for what was discarded.
+    """
     of = lambda cond: F.count_if(cond)
-    return pairs.agg(
+    pairs = pairs_of(rows.filter("reason is null").drop("reason"), c).agg(
         F.count("*").alias("num_canonical_pairs"), of(F.col("is_conflicting_pair")).alias("num_conflicting_pairs"),
         of(F.col("status") == "keep").alias("num_keep"), of(F.col("status") == "review_identity").alias("num_review_identity"),
         *[of(F.col("split") == s).alias(f"{s}_pairs") for s in ("train", "dev", "test")],
     )
+    gone = rows.agg(of(F.col("reason") == "garbage").alias("num_garbage_discarded"), of(F.col("reason").isNotNull() & (F.col("reason") != "garbage")).alias("num_quality_discarded"))
+    return pairs.withColumn("_", F.lit(1)).join(gone.withColumn("_", F.lit(1)), "_").drop("_")  # a row each
 
 
 def reject_histogram(rows: DataFrame) -> DataFrame:
@@ -199,7 +208,16 @@ def outside(rows: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame
 
 
 def repaired(rows: DataFrame, authority: DataFrame) -> DataFrame:
-    """Recipes whose pair the authority has with another output take that output; the rest stay."""
-    best = authority.select("input_a", "input_b", F.col("output").alias("right"))
-    joined = lookup(rows, best, ["input_a", "input_b"])
-    return joined.select("input_a", "input_b", F.coalesce("right", "output").alias("output"), (F.col("right") != F.col("output")).alias("changed"))
+    """Recipes (``input_a, input_b, output``) whose pair occurs more than once, set right by ``authority``.
+
+    Inputs are put in order first. Of such a pair that the authority knows (a row a pair) the recipes with its output
+    stay, the others go, and one with its output comes in if there was none. All other recipes stay.
+    """
+    rows = rows.select(F.least("input_a", "input_b").alias("input_a"), F.greatest("input_a", "input_b").alias("input_b"), "output")
+    pairs = rows.groupBy("input_a", "input_b", "output").agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("input_a", "input_b").agg(F.sum("n").alias("n"), F.collect_set("output").alias("outs")).filter("n > 1")
+    doubted = materialize(pairs.join(authority.select("input_a", "input_b", F.col("output").alias("right")), ["input_a", "input_b"]), "doubted")
+    known = lookup(rows, doubted.select("input_a", "input_b", "right"), ["input_a", "input_b"])
+    kept = known.filter("right is null or right = output").select("input_a", "input_b", "output")
+    new = doubted.filter(~F.array_contains("outs", F.col("right"))).select("input_a", "input_b", F.col("right").alias("output"))
+    return kept.unionByName(new)

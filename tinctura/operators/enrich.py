@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tinctura.functions.concepts import Quality, concept_defect
 from tinctura.functions.text import compact, concept, one_line, reject_reason, stripped, without_fence
 from tinctura.operators.skew import numbered
+from tinctura.storage import materialize
 
 #: Quality of teacher outputs: gerunds may stand in them.
 TEACHER = Quality(gerunds=True)
@@ -141,35 +142,69 @@ def record_ids(rows: DataFrame, split: str, order: str) -> DataFrame:
     return numbered(rows, order, name="_n").withColumn("record_id", F.concat(F.col(split), F.lit(":"), F.lpad(F.col("_n").cast("string"), 8, "0"))).drop("_n")
 
 
+def _texts(line: Column, side: str) -> Column:
+    """The texts, none empty, of a batch line's request or response: of its candidates, else of its contents."""
+    part = "array<struct<parts:array<struct<text:string>>>>"
+    read = F.from_json(line, f"struct<{side}:struct<candidates:array<struct<content:struct<parts:array<struct<text:string>>>>>,contents:{part}>>")[side]
+    contents = F.when(F.size(read["candidates"]) > 0, F.transform(read["candidates"], lambda c: c["content"])).otherwise(read["contents"])
+    return F.filter(F.flatten(F.transform(contents, lambda c: F.coalesce(c["parts"]["text"], F.array().cast("array<string>")))), lambda t: F.coalesce(t, F.lit("")) != "")
+
+
 def reply_text(line: Column) -> Column:
-    """The first text of a batch reply's candidates, null if it has none."""
-    schema = "struct<response:struct<candidates:array<struct<content:struct<parts:array<struct<text:string>>>>>>>"
-    parts = F.flatten(F.transform(F.from_json(line, schema)["response"]["candidates"], lambda c: c["content"]["parts"]["text"]))
-    return F.get(F.filter(parts, lambda t: t.isNotNull()), F.lit(0))
+    """The first text of a batch reply, null if it has none."""
+    return F.get(_texts(line, "response"), F.lit(0))
+
+
+def request_id(line: Column) -> Column:
+    """The record id that stands in a text of a batch line's request; null if none does."""
+    ids = F.transform(_texts(line, "request"), lambda t: F.regexp_extract(t, r"Dataset record id:\s*(\S+)", 1))
+    return F.get(F.filter(ids, lambda i: i != ""), F.lit(0))
 
 
 def usage(line: Column) -> Column:
     """Prompt, output and total tokens of a reply, by either set of names."""
-    n = lambda *names: F.coalesce(*[F.nullif(F.get_json_object(line, f"$.{p}").try_cast("long"), F.lit(0).cast("long")) for p in names], F.lit(0).cast("long"))
-    i, o = n("response.usageMetadata.promptTokenCount", "usage.inputTokens"), n("response.usageMetadata.candidatesTokenCount", "usage.outputTokens")
-    total = n("response.usageMetadata.totalTokenCount", "usage.totalTokens")
+    n = lambda *names: F.coalesce(*[F.nullif(F.get_json_object(line, f"$.response.usageMetadata.{p}").try_cast("long"), F.lit(0).cast("long")) for p in names], F.lit(0).cast("long"))
+    i, o, total = n("promptTokenCount", "inputTokens"), n("candidatesTokenCount", "outputTokens"), n("totalTokenCount")
     return F.struct(i.alias("input"), o.alias("output"), F.when(total > 0, total).otherwise(i + o).alias("total"))
 
 
-def imported(replies: DataFrame, index: DataFrame, done: DataFrame) -> DataFrame:
-    """Each reply with its outcome: parse_error, skipped, row_error, unmatched, empty, duplicate or accepted.
+def teacher_reply(text: Column) -> Column:
+    """The teacher's ``keep_recipe, reject_reason, candidates`` out of JSON; null if it isn't of that form.
 
-    ``replies``: line, position; a record id stands in the line. ``index``: record_id, recipe. Of the usable replies
-    of a record the first is accepted.
+    keep_recipe must be true or false; candidates may be missing, else each needs output, rationale and a known source.
+    """
+    kind = lambda v, path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    parsed = F.try_parse_json(text)
+    items = F.try_variant_get(parsed, "$.candidate_outputs", "array<variant>")
+    told = lambda i: F.struct(*[_said(k)(i).alias(k) for k in ("output", "source", "rationale")])
+    whole = lambda c: c["output"].isNotNull() & c["rationale"].isNotNull() & F.coalesce(c["source"].isin("observed", "teacher"), F.lit(False))
+    candidates = F.transform(items, told)
+    usable = (kind(parsed, "$.keep_recipe") == "BOOLEAN") & F.coalesce(kind(parsed, "$.reject_reason").isin("STRING", "VOID"), F.lit(True)) & (kind(parsed, "$.candidate_outputs").isNull() | F.coalesce(F.forall(candidates, whole), F.lit(False)))
+    return F.when(usable, F.struct(F.try_variant_get(parsed, "$.keep_recipe", "boolean").alias("keep_recipe"), _said("reject_reason")(parsed).alias("reject_reason"), candidates.alias("candidates")))
+
+
+def imported(replies: DataFrame, index: DataFrame, done: DataFrame, limit: int = 5, q: Quality = TEACHER) -> DataFrame:
+    """Batch replies (``position, line``) with their ``outcome`` and, if written, ``candidate_outputs``.
+
+    ``index``: record_id, split, input_a, input_b, outputs; ``done``: split, input_a, input_b of recipes written before.
+    The first outcome that holds: parse_error (no JSON), missing_batch_record_id (none in the request, or unknown),
+    skipped_existing (done before, or by a reply before this one), batch_row_error (a status),
+    batch_response_parse_error, a reason to reject the recipe, written.
     """
-    record = F.regexp_extract("line", r'"record_id"\s*:\s*"([^"]+)"', 1)
-    rows = replies.select("position", record.alias("record_id"), F.try_parse_json("line").alias("json"), reply_text(F.col("line")).alias("text"), F.get_json_object("line", "$.status").alias("error"))
-    rows = rows.join(index.select("record_id", "recipe"), "record_id", "left").join(done.select("record_id", F.lit(True).alias("done")).distinct(), "record_id", "left")
+    key = lambda df: [df["split"], *[concept(F.coalesce(df[c], F.lit(""))) for c in ("input_a", "input_b")]]
+    names = ("split", "_a", "_b")
+    rows = replies.select("position", "line", request_id(F.col("line")).alias("record_id"), F.try_parse_json("line").isNull().alias("_bad"), F.coalesce(F.get_json_object("line", "$.status"), F.lit("")).alias("_status"))
+    rows = rows.join(index.select("record_id", *[k.alias(n) for k, n in zip(key(index), names, strict=True)], "input_a", "input_b", "outputs", F.lit(True).alias("_known")), "record_id", "left")
+    before = done.select(*[k.alias(n) for k, n in zip(key(done), names, strict=True)], F.lit(True).alias("_done")).distinct()
+    rows = rows.join(before, rows["split"].eqNullSafe(before["split"]) & (rows["_a"] == before["_a"]) & (rows["_b"] == before["_b"]), "left").select(rows["*"], "_done")
+    rows = enriched(rows.withColumn("reply", teacher_reply(reply_text(F.col("line")))), limit, q)
     outcome = (
-        F.when(F.col("json").isNull(), "parse_error").when(F.col("done"), "skipped").when(F.coalesce("error", F.lit("")) != "", "row_error")
-        .when(F.col("recipe").isNull(), "unmatched").when(F.coalesce("text", F.lit("")) == "", "empty").otherwise("accepted")
+        F.when(F.col("_bad"), "parse_error").when(F.col("_known").isNull(), "missing_batch_record_id").when(F.col("_done"), "skipped_existing").when(F.col("_status") != "", "batch_row_error")
+        .when(F.col("reply").isNull(), "batch_response_parse_error").otherwise(F.coalesce("reject_reason", F.lit("written")))
     )
-    rows = rows.withColumn("outcome", outcome)
-    first = rows.filter("outcome = 'accepted'").groupBy("record_id").agg(F.min("position").alias("first"))
-    rows = rows.join(first, "record_id", "left")
-    return rows.select("position", "record_id", "text", F.when((F.col("outcome") == "accepted") & (F.col("position") != F.col("first")), "duplicate").otherwise(F.col("outcome")).alias("outcome"))
+    rows = materialize(rows.select("position", "record_id", *names, outcome.alias("outcome"), "candidate_outputs"), "imported")
+    first = rows.filter("outcome = 'written'").groupBy(*names).agg(F.min("position").alias("_first"))
+    again = rows.alias("r").join(first.alias("f"), F.col("r.split").eqNullSafe(F.col("f.split")) & (F.col("r._a") == F.col("f._a")) & (F.col("r._b") == F.col("f._b")), "left")
+    late = ~F.col("outcome").isin("parse_error", "missing_batch_record_id") & F.coalesce(F.col("position") > F.col("_first"), F.lit(False))
+    final = again.select("position", "record_id", F.col("r.split").alias("split"), F.when(late, "skipped_existing").otherwise(F.col("outcome")).alias("outcome"), "candidate_outputs")
+    return final.withColumn("candidate_outputs", F.when(F.col("outcome") == "written", F.col("candidate_outputs")))

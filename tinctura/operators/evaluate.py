@@ -26,6 +26,23 @@ def items(rows: DataFrame, row_id: str) -> DataFrame:
     return rows.select(row_id, samples.alias("samples"), known.alias("known"), canonical.alias("canonical"))
 
 
+def eval_items(rows: DataFrame) -> DataFrame:
+    """Usable evaluation records; those without an input or a known output that isn't blank are left out.
+
+    known: known_outputs, else the outputs of candidate_outputs, else the canonical output; pair_id and canonical_output
+    are filled in where they are missing. Columns that ``rows`` lack count as null.
+    """
+    has = set(rows.columns)
+    none = F.lit(None).cast("array<string>")
+    known = F.col("known_outputs") if "known_outputs" in has else none
+    ranked = F.transform("candidate_outputs", lambda c: c["output"]) if "candidate_outputs" in has else none
+    given = F.nullif(F.col("canonical_output"), F.lit(""))
+    some = F.filter(F.coalesce(known, ranked, F.when(given.isNotNull(), F.array(given))), lambda o: stripped(F.coalesce(o, F.lit(""))) != "")
+    out = rows.withColumn("known_outputs", some).filter("input_a <> '' and input_b <> '' and size(known_outputs) > 0")
+    pair = F.coalesce(F.nullif(F.col("pair_id"), F.lit("")) if "pair_id" in has else F.lit(None), F.concat_ws("+", "input_a", "input_b"))
+    return out.withColumn("pair_id", pair).withColumn("canonical_output", F.coalesce(given, F.get("known_outputs", F.lit(0))))
+
+
 def matched(rows: DataFrame, row_id: str) -> DataFrame:
     """Per row whether the first sample, or any, is the canonical or a known output; words of the first."""
     df = items(rows, row_id).select(row_id, F.transform("samples", answer).alias("s"), F.transform("known", answer).alias("k"), answer("canonical").alias("c"))
@@ -138,7 +155,7 @@ def judged(rows: DataFrame, row_id: str, verdicts: DataFrame) -> DataFrame:
     found = lookup(each, verdicts.select("output", "plausible", "plausibility"), ["output"])
     plausible = F.coalesce("plausible", F.lit(False)) & (answer("output") != "")
     known = F.array_contains("k", answer("output"))
-    return found.select(row_id, "at", "output", plausible.alias("plausible"), F.when(plausible, F.coalesce("plausibility", F.lit(0.0))).otherwise(0.0).alias("plausibility"), known.alias("in_dataset"), bucket(plausible, known).alias("bucket"))
+    return found.select(row_id, "at", "output", plausible.alias("plausible"), F.when(answer("output") != "", F.coalesce("plausibility", F.lit(0.0))).otherwise(0.0).alias("plausibility"), known.alias("in_dataset"), bucket(plausible, known).alias("bucket"))
 
 
 def verdict_rates(samples: DataFrame, row_id: str) -> DataFrame:

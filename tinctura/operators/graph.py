@@ -10,7 +10,25 @@ from tinctura.functions.hashing import packed_id
 from tinctura.operators.skew import BROADCAST_BYTES, lookup, numbered
 from tinctura.storage import materialize, measured
 
+# The result of a pair that makes nothing; parts of a name that a comma cut in two.
 NOTHING = "Nothing"
+FRAGMENTS = ("20", "000 Leagues Under the Sea")
+# End of fixed values.
+
+
+def cleaned(recipes: DataFrame) -> DataFrame:
+    """distinct recipes without those made of nothing, or that hold a fragment of a name."""
+    return recipes.filter(~F.col("a").isin(NOTHING, *FRAGMENTS) & ~F.col("b").isin(NOTHING, *FRAGMENTS) & ~F.col("c").isin(*FRAGMENTS)).select("a", "b", "c").dropDuplicates()
+
+
+def with_visibility(recipes: DataFrame) -> DataFrame:
+    """``visible`` is false for recipes that make nothing or one of their inputs."""
+    return recipes.withColumn("visible", (F.col("c") != NOTHING) & (F.col("c") != F.col("a")) & (F.col("c") != F.col("b")))
+
+
+def report_order() -> list[Column]:
+    """The order of ``listed`` recipes in a report: nothing last, then cost and name of the output, then of the inputs."""
+    return [F.col("c") == NOTHING, F.col("cost_c"), F.col("c"), F.col("cost_a") + F.col("cost_b"), F.col("cost_a"), F.col("a"), F.col("cost_b"), F.col("b")]
 
 
 def pool(recipes: DataFrame) -> DataFrame:
@@ -160,7 +178,7 @@ def untried(queries: DataFrame, elements: DataFrame, tried: DataFrame) -> DataFr
 
 
 def listed(edges: DataFrame, costs: DataFrame) -> DataFrame:
-    """Recipes with the costs of output and inputs, ``place`` by the report's order is left to a top-k query."""
+    """Recipes with the costs of output and inputs; a report takes the first in ``report_order``."""
     cost, size = measured(costs.select("node", "cost"), "costs")
     out = edges
     for side in ("c", "a", "b"):

@@ -37,13 +37,16 @@ def numbered(steps: DataFrame, run: str, *order: str | Column) -> DataFrame:
     return steps.withColumn("index", F.row_number().over(Window.partitionBy(run).orderBy(*order)))
 
 
-def outcomes(steps: DataFrame, run: str, reached: Column, failed: Column, budget: int = 20) -> DataFrame:
-    """How each run ended: at the first failed step, at the target, or with its budget used up; else it is open."""
+def outcomes(steps: DataFrame, run: str, reached: Column, fault: Column, budget: int = 20) -> DataFrame:
+    """How each run ended: at its first fault, at the target, or with its budget used up; else it is open.
+
+    ``fault``: a step's reason to stop (model_error, invalid_action, combine_error), null if it went well.
+    """
     rows = steps.filter(F.col("index") <= budget)
-    ends = rows.groupBy(run).agg(F.min(F.when(failed, F.col("index"))).alias("bad"), F.min(F.when(reached & ~failed, F.col("index"))).alias("hit"), F.count("*").alias("n"))
-    target = F.col("hit").isNotNull() & (F.col("bad").isNull() | (F.col("hit") < F.col("bad")))
-    reason = F.when(target, "target_reached").when(F.col("bad").isNotNull(), "model_error").when(F.col("n") >= budget, "budget_exhausted").otherwise("open")
-    return ends.select(run, reason.alias("stop_reason"), target.alias("success"), F.when(target, F.col("hit")).when(F.col("bad").isNotNull(), F.col("bad") - 1).otherwise(F.col("n")).cast("long").alias("combinations"))
+    ends = rows.groupBy(run).agg(F.min(F.when(fault.isNotNull(), F.struct("index", fault.alias("why")))).alias("bad"), F.min(F.when(reached & fault.isNull(), F.col("index"))).alias("hit"), F.count("*").alias("n"))
+    target = F.col("hit").isNotNull() & (F.col("bad").isNull() | (F.col("hit") < F.col("bad.index")))
+    reason = F.when(target, "target_reached").when(F.col("bad").isNotNull(), F.col("bad.why")).when(F.col("n") >= budget, "budget_exhausted").otherwise("open")
+    return ends.select(run, reason.alias("stop_reason"), target.alias("success"), F.when(target, F.col("hit")).when(F.col("bad").isNotNull(), F.col("bad.index") - 1).otherwise(F.col("n")).cast("long").alias("combinations"))
 
 
 def playback(steps: DataFrame, run: str, output: str) -> DataFrame:

@@ -137,7 +137,7 @@ def looked_up(spark: SparkSession, d: str) -> DataFrame:
 
 
 @plans.add(f"""WITH {_STORED}, g AS (SELECT input_a, input_b, sampled_outputs[i] AS output, CAST(i + prediction_id * 100 AS INTEGER) AS rank FROM (SELECT input_a, input_b, prediction_id, sampled_outputs, unnest(range(1, len(sampled_outputs) + 1)) AS i FROM predictions)),
-    u AS (SELECT input_a, input_b, output, 0 AS kind, rank FROM st UNION ALL SELECT input_a, input_b, output, 1, rank FROM g),
+    u AS (SELECT input_a, input_b, output, CASE WHEN rank = 1 THEN 0 ELSE 2 END AS kind, rank FROM st UNION ALL SELECT input_a, input_b, output, 1, rank FROM g),
     c AS (SELECT *, lower(trim(regexp_replace(output, '[\\s\\x{{0b}}\\x{{85}}\\p{{Z}}]+', ' ', 'g'))) AS c FROM u), f AS (SELECT *, row_number() OVER (PARTITION BY input_a, input_b, c ORDER BY kind, rank, output) AS r FROM c WHERE c <> '')
     SELECT input_a, input_b, list(output ORDER BY kind, rank, output)[1:3] AS options FROM f WHERE r = 1 GROUP BY 1, 2 HAVING count(*) > 1""")
 def blind_options(spark: SparkSession, d: str) -> DataFrame:
@@ -161,14 +161,14 @@ def rate_limits(spark: SparkSession, d: str) -> DataFrame:
     return A.limited(table(spark, d, "events"), ["event_type"], "ts", 86400, 40).select("event_id", "nth", "allowed", "retry_after")
 
 
-_PREFS = """p AS (SELECT event_id, user_id, event_type AS mode, list_transform(list_filter(range(1, 4), lambda i: list_position([k % 7, k % 5 + 7, k % 3 + 12], [k % 7, k % 5 + 7, k % 3 + 12][i]) = i), lambda i: [k % 7, k % 5 + 7, k % 3 + 12][i]) AS shown
+_PREFS = """p AS (SELECT event_id, user_id, event_type AS mode, list_transform(list_filter(range(1, 4), lambda i: list_position([k % 7, k % 5 + 7, k % 3 + 12], [k % 7, k % 5 + 7, k % 3 + 12][i]) = i), lambda i: [k % 7, k % 5 + 7, k % 3 + 12][i]) AS shown, ['known_recipe', 'model_generated', 'typed'][k % 3 + 1] AS source, k % 10 AS combination_index
     FROM (SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)), s AS (SELECT *, shown[event_id % 4 + 1] AS selected FROM p)"""
 
 
-@plans.add(f"WITH {_PREFS} SELECT event_id, selected, list_filter(shown, lambda x: x <> selected) AS rejected FROM s WHERE mode IN ('click', 'purchase') AND len(shown) >= 2 AND list_contains(shown, selected)")
+@plans.add(f"WITH {_PREFS} SELECT event_id, selected, list_filter(shown, lambda x: x <> selected) AS rejected FROM s WHERE mode IN ('click', 'purchase') AND source IN ('known_recipe', 'model_generated') AND combination_index > 0 AND len(shown) >= 2 AND list_contains(shown, selected)")
 def preferences(spark: SparkSession, d: str) -> DataFrame:
     """F10, D24."""
-    return A.valid_preferences(A.preference_events(table(spark, d, "events")), ("click", "purchase")).select("event_id", "selected", "rejected")
+    return A.valid_preferences(A.preference_events(table(spark, d, "events")), ("click", "purchase"), ("known_recipe", "model_generated")).select("event_id", "selected", "rejected")
 
 
 @plans.add(f"WITH {_PREFS} SELECT event_id, list_transform(list_sort(list_transform(shown, lambda o: struct_pack(h := sha256(event_id || '|' || o), o := o))), lambda x: x.o)[1:2] AS two FROM s")
@@ -177,7 +177,7 @@ def drawn_options(spark: SparkSession, d: str) -> DataFrame:
     return A.preference_events(table(spark, d, "events")).select("event_id", A.two_of(F.col("shown"), F.col("event_id")).alias("two"))
 
 
-@plans.add("""WITH r AS (SELECT o_custkey AS owner, list(l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS ids FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), x AS (SELECT owner, unnest(ids) AS id, unnest(range(len(ids))) AS nth FROM r)
+@plans.add("""WITH r AS (SELECT o_custkey AS owner, list(l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS ids FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), y AS (SELECT owner, unnest(ids) AS id, unnest(range(len(ids))) AS nth FROM r), x AS (SELECT owner, id, min(nth) AS nth FROM y GROUP BY 1, 2)
     SELECT owner, list(id ORDER BY nth)[1:6] AS ids FROM x WHERE id % 3 = owner % 3 GROUP BY 1""")
 def picked_items(spark: SparkSession, d: str) -> DataFrame:
     """J16."""

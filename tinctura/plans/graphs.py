@@ -107,6 +107,23 @@ def priced_recipes(spark: SparkSession, d: str) -> DataFrame:
     return G.listed(_edges(spark, d), sum_costs(spark, d)).filter("coalesce(cost_c, 0) <= 100")
 
 
+@plans.add(f"""WITH co AS ({_COSTS}), {_EDGES} SELECT ed.a, ed.b, ed.c, x.cost AS cost_a, y.cost AS cost_b, z.cost AS cost_c FROM ed JOIN co x ON x.node = ed.a JOIN co y ON y.node = ed.b JOIN co z ON z.node = ed.c
+    ORDER BY ed.c = 'Nothing', z.cost, ed.c, x.cost + y.cost, x.cost, ed.a, y.cost, ed.b LIMIT 50""")
+def cheapest_recipes(spark: SparkSession, d: str) -> DataFrame:
+    """The first of a report."""
+    return G.listed(_edges(spark, d), sum_costs(spark, d)).filter("cost_a is not null and cost_b is not null and cost_c is not null").orderBy(*G.report_order()).limit(50)
+
+
+@plans.add("""WITH r AS (SELECT CASE WHEN row_id % 51 = 0 THEN 'Nothing' ELSE input_a END AS a, CASE WHEN row_id % 53 = 0 THEN '20' ELSE input_b END AS b, CASE WHEN row_id % 50 = 0 THEN 'Nothing' WHEN row_id % 57 = 0 THEN '000 Leagues Under the Sea' ELSE canonical_output END AS c FROM recipe_canonical_v0)
+    SELECT DISTINCT a, b, c, c <> 'Nothing' AND c <> a AND c <> b AS visible FROM r WHERE a <> 'Nothing' AND b <> '20' AND c <> '000 Leagues Under the Sea'""")
+def visible_recipes(spark: SparkSession, d: str) -> DataFrame:
+    """recipes with faults put in."""
+    n = F.col("row_id")
+    a, b = F.when(n % 51 == 0, "Nothing").otherwise(F.col("input_a")), F.when(n % 53 == 0, "20").otherwise(F.col("input_b"))
+    c = F.when(n % 50 == 0, "Nothing").when(n % 57 == 0, "000 Leagues Under the Sea").otherwise(F.col("canonical_output"))
+    return G.with_visibility(G.cleaned(table(spark, d, "recipe_canonical_v0").select(a.alias("a"), b.alias("b"), c.alias("c"))))
+
+
 _DIGIT = f"substr('{PACKED_ALPHABET}', CAST({{}} % 64 AS INTEGER) + 1, 1)"
 _CODE = " || ".join(f"CASE WHEN n >= {64**k} THEN {_DIGIT.format(f'n // {64**k}')} ELSE '' END" for k in range(5, 0, -1)) + " || " + _DIGIT.format("n")
 

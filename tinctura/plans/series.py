@@ -43,12 +43,13 @@ def _steps(spark: SparkSession, d: str) -> DataFrame:
     return Z.numbered(li, "run", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").select("run", "output", "l_quantity", "index")
 
 
-@plans.add(f"""WITH {_STEPS}, e AS (SELECT run, min(CASE WHEN l_quantity > 48 THEN idx END) AS bad, min(CASE WHEN output = 7 AND l_quantity <= 48 THEN idx END) AS hit, count(*) AS n FROM st WHERE idx <= 5 GROUP BY 1)
-    SELECT run, CASE WHEN hit IS NOT NULL AND (bad IS NULL OR hit < bad) THEN 'target_reached' WHEN bad IS NOT NULL THEN 'model_error' WHEN n >= 5 THEN 'budget_exhausted' ELSE 'open' END AS stop_reason, hit IS NOT NULL AND (bad IS NULL OR hit < bad) AS success,
+@plans.add(f"""WITH {_STEPS}, e AS (SELECT run, min(CASE WHEN l_quantity > 45 THEN idx END) AS bad, arg_min(CASE WHEN l_quantity > 48 THEN 'model_error' WHEN l_quantity > 46 THEN 'invalid_action' ELSE 'combine_error' END, idx) FILTER (l_quantity > 45) AS why, min(CASE WHEN output = 7 AND l_quantity <= 45 THEN idx END) AS hit, count(*) AS n FROM st WHERE idx <= 5 GROUP BY 1)
+    SELECT run, CASE WHEN hit IS NOT NULL AND (bad IS NULL OR hit < bad) THEN 'target_reached' WHEN bad IS NOT NULL THEN why WHEN n >= 5 THEN 'budget_exhausted' ELSE 'open' END AS stop_reason, hit IS NOT NULL AND (bad IS NULL OR hit < bad) AS success,
     CASE WHEN hit IS NOT NULL AND (bad IS NULL OR hit < bad) THEN hit WHEN bad IS NOT NULL THEN bad - 1 ELSE n END AS combinations FROM e""")
 def run_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """D20."""
-    return Z.outcomes(_steps(spark, d), "run", F.col("output") == 7, F.col("l_quantity") > 48, 5)
+    q = F.col("l_quantity")
+    return Z.outcomes(_steps(spark, d), "run", F.col("output") == 7, F.when(q > 48, "model_error").when(q > 46, "invalid_action").when(q > 45, "combine_error"), 5)
 
 
 @plans.add(f"""WITH {_STEPS}, f AS (SELECT *, row_number() OVER (PARTITION BY run, output ORDER BY idx) = 1 AS new FROM st) SELECT run, CAST(idx AS INTEGER) AS step, new, CAST(sum(CAST(new AS INTEGER)) OVER (PARTITION BY run ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS inventory FROM f""")

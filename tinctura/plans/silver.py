@@ -10,7 +10,7 @@ from tinctura.operators.sampling import reservoir
 from tinctura.plans import base as B
 from tinctura.plans.base import Plans
 from tinctura.sources.writers import load_counts
-from tinctura.storage import table
+from tinctura.storage import materialize, table
 
 plans = Plans()
 queries, oracle_sql = plans.queries, plans.oracle_sql
@@ -49,10 +49,11 @@ def canonical_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @plans.add(f"""WITH {_CANON} SELECT count(*) AS num_canonical_pairs, count(*) FILTER (is_conflicting_pair) AS num_conflicting_pairs, count(*) FILTER (status = 'keep') AS num_keep, count(*) FILTER (status = 'review_identity') AS num_review_identity,
-    count(*) FILTER (split = 'train') AS train_pairs, count(*) FILTER (split = 'dev') AS dev_pairs, count(*) FILTER (split = 'test') AS test_pairs FROM canon""")
+    count(*) FILTER (split = 'train') AS train_pairs, count(*) FILTER (split = 'dev') AS dev_pairs, count(*) FILTER (split = 'test') AS test_pairs,
+    (SELECT count(*) FROM j WHERE reason = 'garbage') AS num_garbage_discarded, (SELECT count(*) FROM j WHERE reason <> 'garbage') AS num_quality_discarded FROM canon""")
 def clean_metrics(spark: SparkSession, d: str) -> DataFrame:
     """A5, K5."""
-    return S.clean_metrics(canonical_pairs(spark, d))
+    return S.clean_metrics(materialize(S.judged(_obs(spark, d), CLEANING), "judged"), CLEANING)
 
 
 @plans.add(f"WITH {_KEYS} SELECT reason, count(*) AS n FROM j WHERE reason IS NOT NULL GROUP BY 1")
@@ -154,9 +155,10 @@ def outside_sources(spark: SparkSession, d: str) -> DataFrame:
     return S.outside(table(spark, d, "eval_records").select("eval_id", "split", "source"), "source", ("eval_test_full", "eval_dev_full"))
 
 
-@plans.add(f"""WITH o AS (SELECT DISTINCT {B.key('input_a')} AS input_a, {B.key('input_b')} AS input_b, {B.key('output')} AS output FROM recipe_observations WHERE input_a IS NOT NULL AND input_b IS NOT NULL AND output IS NOT NULL)
-    SELECT o.input_a, o.input_b, coalesce(c.canonical_output, o.output) AS output, c.canonical_output <> o.output AS changed FROM o LEFT JOIN recipe_canonical_v0 c ON c.input_a = o.input_a AND c.input_b = o.input_b""")
+@plans.add(f"""WITH o AS (SELECT least(x, y) AS a, greatest(x, y) AS b, o FROM (SELECT {B.key('input_a')} AS x, {B.key('input_b')} AS y, {B.key('output')} AS o FROM recipe_observations WHERE input_a IS NOT NULL AND input_b IS NOT NULL AND output IS NOT NULL)),
+    dp AS (SELECT o.a, o.b, any_value(c.canonical_output) AS r, bool_or(o = c.canonical_output) AS had FROM o JOIN recipe_canonical_v0 c ON c.input_a = o.a AND c.input_b = o.b GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT o.a AS input_a, o.b AS input_b, o AS output FROM o LEFT JOIN dp ON dp.a = o.a AND dp.b = o.b WHERE r IS NULL OR r = o UNION ALL SELECT a, b, r FROM dp WHERE NOT had""")
 def repaired_recipes(spark: SparkSession, d: str) -> DataFrame:
     """D27."""
-    rows = _obs(spark, d).filter("input_a is not null and input_b is not null and output is not null").select(S.key("input_a").alias("input_a"), S.key("input_b").alias("input_b"), S.key("output").alias("output")).distinct()
-    return S.repaired(rows, table(spark, d, "recipe_canonical_v0").withColumn("output", F.col("canonical_output")))
+    rows = _obs(spark, d).filter("input_a is not null and input_b is not null and output is not null").select(*[S.key(c).alias(c) for c in ("input_a", "input_b", "output")])
+    return S.repaired(rows, table(spark, d, "recipe_canonical_v0").select("input_a", "input_b", F.col("canonical_output").alias("output")))

@@ -30,7 +30,7 @@ def pair_keys(spark: SparkSession, d: str) -> DataFrame:
     return obs.select("obs_id", a.alias("first_input"), b.alias("second_input"), X.pair_key(X.key("input_a"), X.key("input_b")).alias("pair_key"))
 
 
-@plans.add(r"""SELECT item_id, regexp_replace(regexp_replace(lower(suite), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
+@plans.add(r"""SELECT item_id, regexp_replace(regexp_replace(lower(suite), '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
     CASE WHEN regexp_replace(lower(coalesce(suite, '')), '[^a-z0-9_-]+', '-', 'g') = '' THEN 'anonymous' ELSE regexp_replace(lower(coalesce(suite, '')), '[^a-z0-9_-]+', '-', 'g') END AS segment FROM eval_passages""")
 def slugs(spark: SparkSession, d: str) -> DataFrame:
     """P9, P10."""

@@ -112,14 +112,19 @@ def _valid(name: str, rows: str, limit: int) -> str:
 
 
 _A, _B = concept("coalesce(input_a, '')"), concept("coalesce(input_b, '')")
-_TEACH = f"""kn AS (SELECT prediction_id, {_A} AS a, {_B} AS b, known_outputs AS xs, sampled_outputs, model FROM predictions), {_valid('sn', 'kn', 5)},
+def _teach(failed: str, told: str) -> str:
+    """SQL of the outcomes ``en`` (prediction_id, a, b, outs, sources, reason) of teacher replies; failed, told: conditions."""
+    return f"""kn AS (SELECT prediction_id, {_A} AS a, {_B} AS b, known_outputs AS xs, sampled_outputs, model FROM predictions), {_valid('sn', 'kn', 5)},
     pp AS (SELECT prediction_id, a, b, coalesce(os, []) AS seen, {_N} AS o, nth FROM (SELECT prediction_id, a, b, unnest(sampled_outputs) AS x, unnest(range(len(sampled_outputs))) AS nth FROM kn) LEFT JOIN sn USING (prediction_id)),
     pu AS (SELECT *, row_number() OVER (PARTITION BY prediction_id, translate(o, ' -''', '') ORDER BY nth) AS f FROM pp WHERE nth % 5 < 4 AND o <> a AND o <> b AND (list_contains(seen, o) OR nth % 2 = 1) AND {defect('o', gerunds=True)} IS NULL),
     pc AS (SELECT prediction_id, list(o ORDER BY nth)[1:5] AS outs, list(CASE WHEN list_contains(seen, o) THEN 'observed' ELSE 'teacher' END ORDER BY nth)[1:5] AS sources FROM pu WHERE f = 1 GROUP BY 1),
-    en AS (SELECT prediction_id, a, b, outs, sources, CASE WHEN a = '' OR b = '' OR os IS NULL THEN 'no_valid_observed_outputs' WHEN prediction_id % 9 = 0 THEN 'teacher_response_error' WHEN prediction_id % 7 = 0 THEN CASE WHEN prediction_id % 2 = 0 THEN 'teacher_rejected_recipe' ELSE substr('too_vague_' || replace({concept('model')}, ' ', '_'), 1, 80) END
+    en AS (SELECT prediction_id, a, b, outs, sources, CASE WHEN a = '' OR b = '' OR os IS NULL THEN 'no_valid_observed_outputs' WHEN {failed} THEN 'teacher_response_error' WHEN {told} THEN CASE WHEN prediction_id % 2 = 0 THEN 'teacher_rejected_recipe' ELSE substr('too_vague_' || replace({concept('model')}, ' ', '_'), 1, 80) END
         WHEN outs IS NULL THEN 'no_valid_teacher_candidates' END AS reason FROM kn LEFT JOIN sn USING (prediction_id) LEFT JOIN pc USING (prediction_id))"""
 
 
+_TEACH = _teach("prediction_id % 9 = 0", "prediction_id % 7 = 0")
+
+
 def _enriched(spark: SparkSession, d: str) -> DataFrame:
     """Predictions as recipes, their samples as proposals: every other one said to be observed, every fifth without a
     rationale; some replies are missing or reject the recipe."""
@@ -217,21 +222,27 @@ def record_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Batch replies made of predictions: some broken, some failed, some unknown, some twice."""
-    p = table(spark, d, "predictions")
-    part = F.struct(F.coalesce("prediction", F.lit("")).alias("text"))
-    body = F.to_json(F.struct(F.struct(F.concat(F.lit("r"), F.col("prediction_id")).alias("record_id")).alias("request"), F.struct(F.array(F.struct(F.struct(F.array(part).alias("parts")).alias("content"))).alias("candidates"), F.struct(F.lit(100).alias("promptTokenCount"), F.lit(40).alias("candidatesTokenCount")).alias("usageMetadata")).alias("response"), F.when(F.col("prediction_id") % 11 == 0, "failed").otherwise("").alias("status")))
-    line = F.when(F.col("prediction_id") % 13 == 0, F.substring(body, 1, 40)).otherwise(body)
-    one = p.select(F.col("prediction_id").alias("position"), line.alias("line"))
+    """Batch replies made of predictions: broken lines, unknown records, failed rows, replies that can't be read, and every fifth twice."""
+    p, n = table(spark, d, "predictions"), F.col("prediction_id")
+    said = F.transform(F.coalesce("sampled_outputs", F.array().cast("array<string>")), lambda o, i: F.struct(F.coalesce(o, F.lit("")).alias("output"), F.when(i % 2 == 0, "observed").otherwise("teacher").alias("source"), F.when(i % 5 < 4, " it \n follows").otherwise(" ").alias("rationale")))
+    told = F.when(n % 19 == 0, "no JSON").otherwise(F.to_json(F.struct((n % 5 != 0).alias("keep_recipe"), F.when(n % 2 != 0, F.concat(F.lit("Too  vague "), "model")).alias("reject_reason"), said.alias("candidate_outputs"))))
+    ask = lambda text: F.array(F.struct(F.array(F.struct(text.alias("text"))).alias("parts")))
+    request = F.struct(ask(F.concat(F.lit("Enrich this.\nDataset record id: r"), n, F.lit("\nInput A: "), "input_a")).alias("contents"))
+    response = F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.lit("").alias("text")), F.struct(told.alias("text"))).alias("parts")).alias("content"))).alias("candidates"), F.struct(F.lit(100).alias("promptTokenCount"), F.lit(40).alias("candidatesTokenCount")).alias("usageMetadata"))
+    body = F.to_json(F.struct(request.alias("request"), response.alias("response"), F.when(n % 11 == 0, "failed").otherwise("").alias("status")))
+    one = p.select(n.alias("position"), F.when(n % 13 == 0, F.substring(body, 1, 40)).otherwise(body).alias("line"))
     twice = one.filter("position % 5 = 0").withColumn("position", F.col("position") + 1_000_000_000)
-    index = p.filter("prediction_id % 7 <> 0").select(F.concat(F.lit("r"), F.col("prediction_id")).alias("record_id"), F.col("input_a").alias("recipe"))
-    done = p.filter("prediction_id % 17 = 0").select(F.concat(F.lit("r"), F.col("prediction_id")).alias("record_id"))
-    return one.unionByName(twice), index, done
+    recipe = p.select(n, F.concat(F.lit("r"), n).alias("record_id"), F.col("model").alias("split"), "input_a", "input_b", F.col("known_outputs").alias("outputs"))
+    return one.unionByName(twice), recipe.filter("prediction_id % 7 <> 0").drop("prediction_id"), recipe.filter("prediction_id % 17 = 0").select("split", "input_a", "input_b")
 
 
-@plans.add("""WITH r AS (SELECT prediction_id AS n, coalesce(prediction, '') AS text, input_a, unnest(CASE WHEN prediction_id % 5 = 0 THEN [prediction_id, prediction_id + 1000000000] ELSE [prediction_id] END) AS position FROM predictions),
-    o AS (SELECT position, CASE WHEN n % 13 = 0 THEN 'parse_error' WHEN n % 17 = 0 THEN 'skipped' WHEN n % 11 = 0 THEN 'row_error' WHEN n % 7 = 0 OR input_a IS NULL THEN 'unmatched' WHEN text = '' THEN 'empty' WHEN position >= 1000000000 THEN 'duplicate' ELSE 'accepted' END AS outcome FROM r)
-    SELECT position, outcome FROM o""")
+@plans.add(f"""WITH {_teach('false', 'prediction_id % 5 = 0')}, ix AS (SELECT prediction_id AS n, model AS split, {_A} AS a, {_B} AS b FROM predictions),
+    r AS (SELECT n, position, split, a, b, reason FROM (SELECT *, unnest(CASE WHEN n % 5 = 0 THEN [n, n + 1000000000] ELSE [n] END) AS position FROM ix) JOIN (SELECT prediction_id AS n, reason FROM en) USING (n)),
+    dn AS (SELECT DISTINCT split, a, b FROM ix WHERE n % 17 = 0),
+    o AS (SELECT r.*, CASE WHEN n % 13 = 0 THEN 'parse_error' WHEN n % 7 = 0 THEN 'missing_batch_record_id' WHEN dn.a IS NOT NULL THEN 'skipped_existing' WHEN n % 11 = 0 THEN 'batch_row_error' WHEN n % 19 = 0 THEN 'batch_response_parse_error' ELSE coalesce(reason, 'written') END AS first
+        FROM r LEFT JOIN dn ON dn.split IS NOT DISTINCT FROM r.split AND dn.a = r.a AND dn.b = r.b),
+    f AS (SELECT *, min(CASE WHEN first = 'written' THEN position END) OVER (PARTITION BY split, a, b) AS done_at FROM o)
+    SELECT position, CASE WHEN first NOT IN ('parse_error', 'missing_batch_record_id') AND position > done_at THEN 'skipped_existing' ELSE first END AS outcome FROM f""")
 def imported_replies(spark: SparkSession, d: str) -> DataFrame:
     """D9, J9, S12, K4."""
     return N.imported(*_replies(spark, d)).select("position", "outcome")
@@ -264,10 +275,17 @@ def coverage_by_model(spark: SparkSession, d: str) -> DataFrame:
     return E.coverage(table(spark, d, "predictions"), "prediction_id", "model")
 
 
+@plans.add("""WITH k AS (SELECT *, list_filter(coalesce(known_outputs, CASE WHEN canonical_output <> '' THEN [canonical_output] END, []), lambda x: regexp_matches(x, '[^\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]')) AS o FROM eval_records)
+    SELECT eval_id, coalesce(nullif(pair_id, ''), input_a || '+' || input_b) AS pair_id, coalesce(nullif(canonical_output, ''), o[1]) AS canonical_output, o AS known_outputs FROM k WHERE input_a <> '' AND input_b <> '' AND len(o) > 0""")
+def eval_items(spark: SparkSession, d: str) -> DataFrame:
+    """S8, F8."""
+    return E.eval_items(table(spark, d, "eval_records")).select("eval_id", "pair_id", "canonical_output", "known_outputs")
+
+
 _VERDICTS = "vd AS (SELECT DISTINCT o AS output, length(o) % 3 <> 0 AS plausible, length(o) % 10 / 10.0 AS plausibility FROM (SELECT unnest(sampled_outputs) AS o FROM predictions UNION ALL SELECT coalesce(prediction, '') FROM predictions) WHERE length(o) % 7 <> 0)"
 _JUDGED = f"""{_VERDICTS}, js AS (SELECT prediction_id, unnest(s0) AS output, unnest(range(len(s0))) AS nth, k FROM (SELECT prediction_id, CASE WHEN len(coalesce(sampled_outputs, [])) > 0 THEN sampled_outputs ELSE [coalesce(prediction, '')] END AS s0,
     list_transform(coalesce(known_outputs, []), lambda x: {concept("coalesce(x, '')")}) AS k FROM predictions)),
-    jd AS (SELECT js.prediction_id, CAST(js.nth AS INTEGER) AS nth, js.output, coalesce(plausible, false) AND {concept('js.output')} <> '' AS plausible, list_contains(k, {concept('js.output')}) AS in_dataset FROM js LEFT JOIN vd ON vd.output = js.output),
+    jd AS (SELECT js.prediction_id, CAST(js.nth AS INTEGER) AS nth, js.output, coalesce(plausible, false) AND {concept('js.output')} <> '' AS plausible, CASE WHEN {concept('js.output')} <> '' THEN coalesce(plausibility, 0) ELSE 0 END AS plausibility, list_contains(k, {concept('js.output')}) AS in_dataset FROM js LEFT JOIN vd ON vd.output = js.output),
     jb AS (SELECT *, CASE WHEN NOT plausible THEN 'invalid' WHEN in_dataset THEN 'valid_known' ELSE 'valid_novel' END AS bucket FROM jd)"""
 
 
@@ -278,10 +296,10 @@ def _verdicts(spark: SparkSession, d: str) -> DataFrame:
     return outs.filter(F.length("output") % 7 != 0).select("output", (F.length("output") % 3 != 0).alias("plausible"), (F.length("output") % 10 / 10.0).alias("plausibility"))
 
 
-@plans.add(f"WITH {_JUDGED} SELECT prediction_id, nth, output, plausible, in_dataset, bucket FROM jb")
+@plans.add(f"WITH {_JUDGED} SELECT prediction_id, nth, output, plausible, plausibility, in_dataset, bucket FROM jb", fractions="plausibility")
 def judged_samples(spark: SparkSession, d: str) -> DataFrame:
     """D11, D12, J10."""
-    return E.judged(table(spark, d, "predictions"), "prediction_id", _verdicts(spark, d)).drop("plausibility").withColumnRenamed("at", "nth")
+    return E.judged(table(spark, d, "predictions"), "prediction_id", _verdicts(spark, d)).withColumnRenamed("at", "nth")
 
 
 @plans.add(f"""WITH {_JUDGED}, r AS (SELECT prediction_id, bool_or(nth = 0 AND plausible) AS v1, bool_or(nth = 0 AND plausible AND NOT in_dataset) AS c1, bool_or(plausible) AS vk, bool_or(plausible AND NOT in_dataset) AS ck, max(bucket) FILTER (nth = 0) AS b FROM jb GROUP BY 1)

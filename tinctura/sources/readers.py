@@ -22,17 +22,18 @@ def _complete(df: DataFrame) -> DataFrame:
 def chats(spark: SparkSession, path: str, prefix: str = "chat") -> DataFrame:
     """JSON lines of messages; the user's ``A + B``, the assistant's JSON ``result, emoji`` or plain text.
 
-    Of several messages of a role the last counts. Broken lines and other prompts are left out. A null emoji, like any
-    reply that isn't such an object, makes the whole reply the output.
+    Of several messages of a role the last counts. Broken lines and other prompts are left out. A reply that isn't
+    an object, or whose result or emoji is there but no text, is the output as a whole.
     """
     lines = spark.read.text(path).select("value", file_stem().alias("stem"))
     m = F.from_json("value", "struct<messages:array<struct<role:string,content:string>>>")["messages"]
     last = lambda role: F.get(F.reverse(F.filter(m, lambda x: x["role"] == role)), F.lit(0))["content"]
     rows = lines.select("stem", F.split(last("user"), r" \+ ").alias("p"), F.coalesce(last("assistant"), F.lit("")).alias("said")).filter(F.size("p") == 2)
-    told = F.from_json("said", "struct<result:string,emoji:string>")
-    result, emoji = F.get_json_object("said", "$.result"), F.get_json_object("said", "$.emoji")
-    nulls = F.coalesce(F.regexp_like("said", F.lit(r'"(?:result|emoji)"\s*:\s*null')), F.lit(False))
-    parsed = told.isNotNull() & F.col("said").rlike(r"(?s)^\s*\{.*\}\s*$") & ~nulls
+    told = F.try_parse_json("said")
+    field = lambda k: F.try_variant_get(told, f"$.{k}", "variant")
+    texts = [F.coalesce(F.schema_of_variant(field(k)) == "STRING", F.lit(True)) for k in ("result", "emoji")]
+    result, emoji = (F.try_variant_get(told, f"$.{k}", "string") for k in ("result", "emoji"))
+    parsed = F.coalesce(F.schema_of_variant(told).startswith("OBJECT"), F.lit(False)) & texts[0] & texts[1]
     return _complete(rows.select(
         stripped(F.get("p", F.lit(0))).alias("input_a"), stripped(F.get("p", F.lit(1))).alias("input_b"),
         F.when(parsed, stripped(F.coalesce(result, F.lit("")))).otherwise(stripped("said")).alias("output"),
