@@ -11,9 +11,10 @@ import math
 
 import numpy as np
 
-BLOCK = 64  # letters between two rank samples
+BLOCK = 64  # letters between two rank samples, and bits of a mask
 STEP = 8  # letters of a text between two samples of its number
 TABLE = 1 << 21  # entries of the table of short endings at most
+_BELOW = (np.uint64(1) << np.arange(BLOCK, dtype=np.uint64)) - np.uint64(1)  # bits before a place in its block
 
 
 def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -52,6 +53,11 @@ def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return order, short, k
 
 
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Masks of BLOCK bits, the first the lowest."""
+    return np.packbits(bits, bitorder="little").view("<u8")
+
+
 class FMIndex:
     """Backward search over ``texts``, which must not hold U+0001."""
 
@@ -68,27 +74,25 @@ class FMIndex:
         self.bwt = np.full(-(-(n + 1) // BLOCK) * BLOCK, 255, np.uint8)
         self.bwt[:n] = codes[order - 1]
         self.first = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=self.base))))[:-1].astype(np.int64)
-        cell = np.arange(len(self.bwt)) // BLOCK * (self.base + 1) + np.minimum(self.bwt, self.base)
-        per = np.bincount(cell, minlength=len(self.bwt) // BLOCK * (self.base + 1)).reshape(-1, self.base + 1)[:, : self.base]
-        self.sampled = np.concatenate((np.zeros((1, self.base), np.int32), np.cumsum(per, axis=0, dtype=np.int32)))
+        self.bits = np.empty((len(self.bwt) // BLOCK, self.base), np.uint64)
+        for c in range(self.base):
+            self.bits[:, c] = _packed(self.bwt == c)
+        per = np.bitwise_count(self.bits)
+        self.sampled = np.zeros((len(per) + 1, self.base), np.int32)
+        np.cumsum(per, axis=0, dtype=np.int32, out=self.sampled[1:])
         ends = np.flatnonzero(codes == 0)
         number = np.searchsorted(ends, np.arange(n)).astype(np.int32)
         place = np.arange(n) - np.concatenate(([0], ends[:-1] + 1))[number]
         mark = np.zeros(len(self.bwt), bool)
         mark[:n] = (place % STEP == 0)[order]
-        self.marks = mark
-        self.mark_rank = np.concatenate(([0], np.cumsum(mark.reshape(-1, BLOCK).sum(1)))).astype(np.int32)
+        self.marks, self.mark_bits = mark, _packed(mark)
+        self.mark_rank = np.concatenate(([0], np.cumsum(np.bitwise_count(self.mark_bits), dtype=np.int32)))
         self.numbers = number[order[mark[:n]]]
 
     def _rank(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each code stands in the transformed text before position ``at``."""
-        out = np.empty(len(at), np.int64)
-        inside, blocks = np.arange(BLOCK), self.bwt.reshape(-1, BLOCK)
-        for i in range(0, len(at), 1 << 15):
-            c, p = code[i : i + (1 << 15)], at[i : i + (1 << 15)]
-            b, rest = p // BLOCK, p % BLOCK
-            out[i : i + (1 << 15)] = self.sampled[b, c] + ((blocks[b] == c[:, None]) & (inside < rest[:, None])).sum(1)
-        return out
+        block = at // BLOCK
+        return self.sampled[block, code] + np.bitwise_count(self.bits[block, code] & _BELOW[at % BLOCK]).astype(np.int64)
 
     def search(self, patterns: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The interval [low, high) of suffixes that begin with each pattern; of all for an empty one.
@@ -123,11 +127,11 @@ class FMIndex:
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """The number of the text that each suffix starts in, by walking back to a sampled place of it."""
         at, out = rows.astype(np.int64), np.empty(len(rows), np.int64)
-        todo, inside, marks = np.arange(len(rows)), np.arange(BLOCK), self.marks.reshape(-1, BLOCK)
+        todo = np.arange(len(rows))
         while len(todo):
             hit = self.marks[at]
             b = at[hit] // BLOCK
-            out[todo[hit]] = self.numbers[self.mark_rank[b] + (marks[b] & (inside < (at[hit] % BLOCK)[:, None])).sum(1)]
+            out[todo[hit]] = self.numbers[self.mark_rank[b] + np.bitwise_count(self.mark_bits[b] & _BELOW[at[hit] % BLOCK])]
             todo, at = todo[~hit], at[~hit]
             c = self.bwt[at].astype(np.int64)
             at = self.first[c] + self._rank(c, at)

@@ -20,9 +20,10 @@ from tinctura.llm.fmindex import FMIndex
 from tinctura.operators.skew import HOT_PARTS
 from tinctura.storage import materialize, spread
 
-#: Letters of index text in a shard at most, and where all shards together have less than two for each core, at least
-#: (a longer single record makes a longer shard); an index takes about 6 bytes each.
-SHARD_CHARS, LEAST_CHARS = 8_000_000, 500_000
+#: Letters of index text in a shard at most, and at least where there could be a shard for each core (a longer single
+#: record makes a longer shard). An index takes about 12 bytes each, up to 50 where the text has many scripts. A row
+#: meets the shards of five lengths, so wide shards are searched less often.
+SHARD_CHARS, LEAST_CHARS = 4_000_000, 500_000
 #: Training rows a task searches a shard for; it builds the shard's index itself, which takes a small part of that time.
 TASK_ROWS = 250_000
 #: Training rows searched at a time, and matches located at a time.
@@ -183,7 +184,7 @@ def agreeing_inputs(train: DataFrame, pairs: DataFrame, *, shard_chars: int = SH
     longer = lambda c: F.when(F.length(c) <= SHORT + 1, F.length(c) + 1).otherwise(1)
     texts = F.when((F.length("a") > SHORT + 1) & (F.length("b") > SHORT + 1), 0).otherwise(longer("a") * longer("b") * (total + 4))
     letters = {r["class"]: r["n"] for r in pairs.groupBy("class").agg(F.sum(3 * total + 5 + texts).alias("n")).collect()}  # a row per class
-    route = routes(letters, max(1, min(shard_chars, max(LEAST_CHARS, -(-sum(letters.values()) // (2 * cores))))))
+    route = routes(letters, max(1, min(shard_chars, max(LEAST_CHARS, -(-sum(letters.values()) // cores)))))
     if not route:
         return train.sparkSession.createDataFrame([], _FOUND)
     top = max(route) + 1
