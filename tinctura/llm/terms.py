@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tinctura.functions.text import let
 from tinctura.operators.skew import BROADCAST_BYTES, numbered
 
 #: Identifiers in a range; ranges of counts a block holds before it passes them on.
@@ -31,10 +30,10 @@ def term_rows(df: DataFrame, fields: list[str]) -> DataFrame:
 
     A record's terms are sorted, so that equal ones stand together and each is compared with the one before it only.
     """
-    marked = lambda terms: F.transform(terms, lambda t, i: F.struct(t.alias("term"), ((i == 0) | (t != F.get(terms, F.greatest(i - 1, F.lit(0))))).alias("first")))
-    lists = F.array(*[F.struct(F.lit(i).cast("byte").alias("field"), let(F.array_sort(terms_of(c)), marked).alias("terms")) for i, c in enumerate(fields)])
-    each = df.select(F.explode(lists).alias("x")).select("x.field", F.explode("x.terms").alias("t"))
-    return each.select("field", "t.term", "t.first")
+    lists = F.array(*[F.struct(F.lit(i).cast("byte").alias("field"), F.sort_array(terms_of(c)).alias("terms")) for i, c in enumerate(fields)])
+    each = df.select(F.explode(lists).alias("x")).select("x.field", "x.terms")
+    one = each.select("field", "terms", F.posexplode("terms").alias("pos", "term"))
+    return one.select("field", "term", ((F.col("pos") == 0) | (F.col("term") != F.get("terms", F.greatest(F.col("pos") - 1, F.lit(0))))).alias("first"))
 
 
 def dictionary(terms: DataFrame) -> DataFrame:
