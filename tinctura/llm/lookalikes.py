@@ -159,14 +159,14 @@ def bigram_counts(words: DataFrame) -> dict[tuple[str, str, str], int]:
     return {(r["s"], r["p"][0], r["p"][1]): r["n"] for r in rows.groupBy("s", "p").agg(F.sum("count").alias("n")).toLocalIterator()}
 
 
-def canonical_values(values: DataFrame, col: str, *, bound: int = BROADCAST_BYTES) -> DataFrame:
-    """``values`` with ``canonical``, the consistent form of ``col``; plain ASCII values never leave the JVM.
+def canonical_values(values: DataFrame, col: str, *, corpus: DataFrame | None = None, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """``values`` with ``canonical``, the consistent form of ``col``; what plain ASCII values hold never reaches Python.
 
-    Null stays null, an empty text empty. Letters in upper case stay so; line breaks and tabs stay. A word wholly of
+    Words are counted over ``corpus`` (``values`` itself if none is given). Null stays null, an empty text empty. Letters in upper case stay so; line breaks and tabs stay. A word wholly of
     another script beside Latin letters is read as a Latin word only if some value holds that Latin word, and no value
     without Latin letters holds the word itself.
     """
-    words = word_counts(values, col)
+    words = word_counts(values if corpus is None else corpus, col)
     model = values.sparkSession.sparkContext.broadcast(bigram_counts(words))
     held: list[Reader] = []
 
@@ -219,7 +219,8 @@ def lookalikes(obs: DataFrame, reference: DataFrame, *, bound: int = BROADCAST_B
     Null, empty and blank values are no case (but a value of invisible characters only is); repeated rows come out
     each; an empty table gives none; texts of any length are read whole; further columns don't matter.
     """
-    text = canonical_values(obs.select("obs_id", "output"), "output", bound=bound).filter("output <> canonical").select("obs_id", F.lit("output").alias("field_name"))
+    odd = obs.select("obs_id", "output").filter(~F.col("output").rlike(PLAIN))
+    text = canonical_values(odd, "output", corpus=obs.select("output"), bound=bound).filter("output <> canonical").select("obs_id", F.lit("output").alias("field_name"))
     return text.unionByName(odd_emoji(obs, reference).select("obs_id", F.lit("emoji_output").alias("field_name")))
 
 
