@@ -23,7 +23,7 @@ def reader():
     ("text", "want"),
     [
         ("wаtеr", "water"), ("Ρⅼɑnеt", "Planet"), ("ѕοufflé", "soufflé"), ("Ｗater", "Water"), ("wa​ter", "water"), ("wa­ter﻿", "water"), ("water of", "water of"),
-        ("brіԁɡе", "bridge"), ("ﬁre", "fire"), ("　", " "), ("", ""),
+        ("brіԁɡе", "bridge"), ("wаtеr Ꮲꓡаnеt", "water PLanet"), ("siӏеnсе", "silence"), ("ﬁre", "fire"), ("　", " "), ("", ""),
     ],
 )
 def test_canonical(reader, text, want):

@@ -20,10 +20,12 @@ from tinctura.operators.skew import BROADCAST_BYTES, lookup
 from tinctura.storage import materialize
 
 # Letters of other scripts, or of phonetic notation, that look like plain Latin ones.
-CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝѵкАВЕЗІЈКМНОРСТУХЅԌԚԜҮ", "aeopcyxijshdqwvkABE3IJKMHOPCTYXSGQWY", strict=True))
-GREEK = dict(zip("ανορυικχγτωΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "avopuikxytwABEZHIKMNOPTYX", strict=True))
+CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝѵкӏүАВЕЗІЈКМНОРСТУХЅԌԚԜҮӀ", "aeopcyxijshdqwvklyABE3IJKMHOPCTYXSGQWYI", strict=True))
+GREEK = dict(zip("ανορυικχγτωϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "avopuikxytwcjABEZHIKMNOPTYXCJ", strict=True))
 LATIN = dict(zip("ɑɡıɩʏʟꞮꓲǀ", "agiiyLIIl", strict=True))
 ARMENIAN = dict(zip("օսհոցքзѡ", "ouhngq3w", strict=True))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPSTVWZ", strict=True))
+LISU = dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHJKLMNOPRSTUVWXYZ", strict=True))
 # End of fixed values.
 
 #: Cost of reading a letter as another one, in nats, and the count added to each bigram.
@@ -48,7 +50,7 @@ def script(c: str) -> str:
 def _options(c: str) -> list[str]:
     """The letters that ``c`` may stand for: itself and the plain letters it looks like."""
     out = [c]
-    for t in (CYRILLIC, GREEK, LATIN, ARMENIAN):
+    for t in (CYRILLIC, GREEK, LATIN, ARMENIAN, CHEROKEE, LISU):
         if c in t:
             out.append(t[c])
     base = unicodedata.normalize("NFD", c)
