@@ -11,6 +11,11 @@ from tinctura.functions.text import compact, concept, one_line, reject_reason, s
 from tinctura.operators.skew import numbered
 from tinctura.storage import materialize
 
+# How a record's id stands in a batch request, the kinds of sources of a teacher's candidates.
+RECORD_ID = r"Dataset record id:\s*(\S+)"
+SOURCES = ("observed", "teacher")
+# End of fixed values.
+
 #: Quality of teacher outputs: gerunds may stand in them.
 TEACHER = Quality(gerunds=True)
 
@@ -157,7 +162,7 @@ def reply_text(line: Column) -> Column:
 
 def request_id(line: Column) -> Column:
     """The record id that stands in a text of a batch line's request; null if none does."""
-    ids = F.transform(_texts(line, "request"), lambda t: F.regexp_extract(t, r"Dataset record id:\s*(\S+)", 1))
+    ids = F.transform(_texts(line, "request"), lambda t: F.regexp_extract(t, RECORD_ID, 1))
     return F.get(F.filter(ids, lambda i: i != ""), F.lit(0))
 
 
@@ -177,7 +182,7 @@ def teacher_reply(text: Column) -> Column:
     parsed = F.try_parse_json(text)
     items = F.try_variant_get(parsed, "$.candidate_outputs", "array<variant>")
     told = lambda i: F.struct(*[_said(k)(i).alias(k) for k in ("output", "source", "rationale")])
-    whole = lambda c: c["output"].isNotNull() & c["rationale"].isNotNull() & F.coalesce(c["source"].isin("observed", "teacher"), F.lit(False))
+    whole = lambda c: c["output"].isNotNull() & c["rationale"].isNotNull() & F.coalesce(c["source"].isin(*SOURCES), F.lit(False))
     candidates = F.transform(items, told)
     usable = (kind(parsed, "$.keep_recipe") == "BOOLEAN") & F.coalesce(kind(parsed, "$.reject_reason").isin("STRING", "VOID"), F.lit(True)) & (kind(parsed, "$.candidate_outputs").isNull() | F.coalesce(F.forall(candidates, whole), F.lit(False)))
     return F.when(usable, F.struct(F.try_variant_get(parsed, "$.keep_recipe", "boolean").alias("keep_recipe"), _said("reject_reason")(parsed).alias("reject_reason"), candidates.alias("candidates")))
