@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tinctura.functions.concepts import Quality, concept_defect
-from tinctura.functions.text import compact, concept, one_line, reject_reason, stripped, without_fence
+from tinctura.functions.text import compact, concept, let, one_line, reject_reason, stripped, without_fence
 from tinctura.operators.skew import numbered
 from tinctura.storage import materialize
 
@@ -37,8 +37,7 @@ def valid_outputs(outputs: Column, existing: Column, a: Column, b: Column, limit
 
 def first_of_forms(rows: Column, form: Callable[[Column], Column]) -> Column:
     """Of structs with the same form the first, in their order; for arrays as short as a reply."""
-    forms = F.transform(rows, form)
-    return F.filter(rows, lambda r, i: F.array_position(forms, F.get(forms, i)) == i + 1)
+    return let(rows, lambda rs: let(F.transform(rs, form), lambda forms: F.filter(rs, lambda r, i: F.array_position(forms, F.get(forms, i)) == i + 1)))
 
 
 def enriched(rows: DataFrame, limit: int = 5, q: Quality = TEACHER) -> DataFrame:
@@ -52,22 +51,26 @@ def enriched(rows: DataFrame, limit: int = 5, q: Quality = TEACHER) -> DataFrame
     A proposal said to be observed must be; one that is observed is so whatever it says; it needs a rationale, quality
     and a form that no proposal before it has. All within the row, nothing is shuffled.
     """
-    given = rows.withColumns({"input_a": concept(F.coalesce("input_a", F.lit(""))), "input_b": concept(F.coalesce("input_b", F.lit("")))})
-    a, b = F.col("input_a"), F.col("input_b")
-    given = given.withColumn("_seen", valid_outputs(F.col("outputs"), _none(), a, b, limit, q))
-    one = lambda p: F.struct(concept(F.coalesce(p["output"], F.lit(""))).alias("output"), p["source"].alias("source"), one_line(F.coalesce(p["rationale"], F.lit(""))).alias("rationale"))
-    seen = lambda p: F.array_contains("_seen", p["output"])
-    usable = lambda p: (p["rationale"] != "") & (p["output"] != a) & (p["output"] != b) & (seen(p) | (p["source"] != "observed")) & concept_defect(p["output"], q).isNull()
-    given = given.withColumn("_p", F.filter(F.transform(F.coalesce("reply.candidates", F.array().cast(PROPOSAL)), one), usable))
-    kept = F.slice(first_of_forms(F.col("_p"), lambda p: compact(p["output"])), 1, limit)
-    told = F.transform(kept, lambda p, i: F.struct(p["output"].alias("output"), F.when(seen(p), "observed").otherwise(p["source"]).alias("source"), p["rationale"].alias("rationale"), (i + 1).cast("int").alias("rank")))
-    given = given.withColumn("_c", told)
+    def of_seen(a: Column, b: Column, seen: Column) -> Column:
+        known = lambda p: F.array_contains(seen, p["output"])
+        one = lambda p: F.struct(concept(F.coalesce(p["output"], F.lit(""))).alias("output"), p["source"].alias("source"), one_line(F.coalesce(p["rationale"], F.lit(""))).alias("rationale"))
+        usable = lambda p: (p["rationale"] != "") & (p["output"] != a) & (p["output"] != b) & (known(p) | (p["source"] != "observed")) & concept_defect(p["output"], q).isNull()
+        proposed = F.filter(F.transform(F.coalesce("reply.candidates", F.array().cast(PROPOSAL)), one), usable)
+        kept = F.slice(first_of_forms(proposed, lambda p: compact(p["output"])), 1, limit)
+        told = F.transform(kept, lambda p, i: F.struct(p["output"].alias("output"), F.when(known(p), "observed").otherwise(p["source"]).alias("source"), p["rationale"].alias("rationale"), (i + 1).cast("int").alias("rank")))
+        return F.struct(a.alias("a"), b.alias("b"), seen.alias("seen"), told.alias("told"))
+
+    # Each value is bound where it is worked out: a column used inside the functions below would be worked out for each element.
+    name = lambda c: concept(F.coalesce(c, F.lit("")))
+    whole = let(name("input_a"), lambda a: let(name("input_b"), lambda b: let(valid_outputs(F.col("outputs"), _none(), a, b, limit, q), lambda seen: of_seen(a, b, seen))))
+    given = rows.withColumn("_x", whole)
     reason = (
-        F.when((a == "") | (b == "") | (F.size("_seen") == 0), "no_valid_observed_outputs").when(F.col("reply").isNull(), "teacher_response_error")
-        .when(~F.coalesce("reply.keep_recipe", F.lit(False)), reject_reason("reply.reject_reason")).when(F.size("_c") == 0, "no_valid_teacher_candidates")
+        F.when((F.col("_x.a") == "") | (F.col("_x.b") == "") | (F.size("_x.seen") == 0), "no_valid_observed_outputs").when(F.col("reply").isNull(), "teacher_response_error")
+        .when(~F.coalesce("reply.keep_recipe", F.lit(False)), reject_reason("reply.reject_reason")).when(F.size("_x.told") == 0, "no_valid_teacher_candidates")
     )
-    out = given.withColumn("reject_reason", reason).withColumn("candidate_outputs", F.when(F.col("reject_reason").isNull(), F.col("_c")))
-    return out.withColumn("outputs", F.when(F.col("reject_reason") == "no_valid_observed_outputs", F.col("outputs")).otherwise(F.col("_seen"))).drop("_seen", "_p", "_c")
+    out = given.withColumn("reject_reason", reason).withColumn("candidate_outputs", F.when(F.col("reject_reason").isNull(), F.col("_x.told")))
+    out = out.withColumn("outputs", F.when(F.col("reject_reason") == "no_valid_observed_outputs", F.col("outputs")).otherwise(F.col("_x.seen")))
+    return out.withColumns({"input_a": F.col("_x.a"), "input_b": F.col("_x.b")}).drop("_x")
 
 
 def completed(rows: DataFrame, wanted: int, q: Quality = TEACHER) -> DataFrame:

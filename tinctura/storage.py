@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -104,7 +105,9 @@ def measured(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     seen = Observation()
     kinds = dict(df.dtypes)
     text = lambda c: F.col(f"`{c}`") if kinds[c] == "string" else F.to_json(F.struct(f"`{c}`"))
-    long = [F.coalesce(F.octet_length(text(c)), F.lit(0)) for c in df.columns if kinds[c] == "string" or "<" in kinds[c]]
+    numbers = lambda k: re.fullmatch(r"array<(double|float|bigint|int|smallint|tinyint)>", k)
+    length = lambda c: F.size(f"`{c}`") * 8 if numbers(kinds[c]) else F.octet_length(text(c))
+    long = [F.greatest(F.coalesce(length(c), F.lit(0)), F.lit(0)) for c in df.columns if kinds[c] == "string" or "<" in kinds[c]]
     size = F.sum(sum(long, F.lit(_PER_VALUE * (len(df.columns) + 1))).cast("long"))
     out = materialize(df.observe(seen, size.alias("bytes")), name)
     return out, seen.get["bytes"] or 0
