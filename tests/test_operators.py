@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tinctura.operators import arena as A, canonical as S, enrich as N, evaluate as E, graph as G, skew, weights as W
-from tinctura.plans import graphs
+from tinctura.plans import arena, graphs
 
 OBS = "obs_id long, input_a string, input_b string, output string, emoji_a string, emoji_b string, emoji_output string, source string"
 
@@ -165,6 +165,15 @@ def test_options_and_picks(spark):
     assert A.picked(asked, owned, 3).first().ids == [3, 5, 4]
 
 
+def test_options_of_large_ids(spark, tmp_path):
+    """Predictions with ids beyond 21 million keep their order."""
+    kind = "row_id long, pair_id string, input_a string, input_b string, known_outputs array<string>"
+    spark.createDataFrame([(1, "p", "a", "b", ["top"])], kind).write.parquet(f"{tmp_path}/recipe_canonical_v0.parquet")
+    made = [(5 * 10**9, "a", "b", ["late"]), (30_000_000, "a", "b", ["Top", "soon"])]
+    spark.createDataFrame(made, "prediction_id long, input_a string, input_b string, sampled_outputs array<string>").write.parquet(f"{tmp_path}/predictions.parquet")
+    assert arena.blind_options(spark, str(tmp_path)).first().options == ["top", "soon", "late"]
+
+
 def test_efficiency(spark):
     df = spark.createDataFrame([("m", 3, 2.26), ("n", 0, None)], "model string, wins long, avg_combinations double")
     assert [tuple(r) for r in A.efficiency(df).collect()] == [("m", 2.3, 3)]

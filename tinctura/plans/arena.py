@@ -143,7 +143,7 @@ def looked_up(spark: SparkSession, d: str) -> DataFrame:
 def blind_options(spark: SparkSession, d: str) -> DataFrame:
     """D23, D30."""
     p = table(spark, d, "predictions")
-    g = p.select("input_a", "input_b", "prediction_id", F.posexplode("sampled_outputs").alias("i", "output")).withColumn("rank", (F.col("i") + 1 + F.col("prediction_id") * 100).cast("int"))
+    g = p.select("input_a", "input_b", "prediction_id", F.posexplode("sampled_outputs").alias("i", "output")).withColumn("rank", F.col("i") + 1 + F.col("prediction_id") * 100)  # a long: ids go beyond an int
     return A.options(_stored(spark, d), g)
 
 
