@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from tinctura.llm import answers
 from tinctura.llm.answers import English, defect, defects
 
 A, B = "frozen windmill", "smoky river of glass"
@@ -56,3 +57,28 @@ def test_words_of_all_prompts_are_known(spark, rows, bound):
     lines = [(1, "stone lantern", "stone", "rain"), (2, "stone rain", "stone", "lantern"), (5, "stone turq", "stone", "rain"), (5, None, "stone", "rain")]
     df = spark.createDataFrame(lines, "prediction_id long, prediction string, input_a string, input_b string")
     assert rows(defects(df, fit_rows=1, bound=bound)) == rows(defects(df, bound=bound)) == [(5, "empty"), (5, "truncated")]
+
+
+@pytest.mark.parametrize("bound", [1 << 24, 0])
+def test_prompts_of_all_rows_are_fitted(spark, rows, bound):
+    """Words that stand in the prompt of one row among many look English, wherever that row stands; others don't."""
+    mine = ["zimowy ogień", "stary młyn", "zielony chleb", "cichy dzwon", "biały księżyc", "czarny węgiel"]
+    lines = [(9000 + i, w, "stone", "rain") for i, w in enumerate([*mine, "żółty liść"])] + [(9100 + i, "lantern", w, "rain") for i, w in enumerate(mine)]
+    many = spark.range(9000).selectExpr("id as prediction_id", "'lantern' as prediction", "'stone lantern' as input_a", "'rain' as input_b")
+    df = many.unionByName(spark.createDataFrame(lines, "prediction_id long, prediction string, input_a string, input_b string"))
+    assert rows(defects(df, bound=bound)) == [(9006, "other_language")]
+
+
+def test_joined_scores_are_the_models(spark):
+    """The scores of the joined way equal those of the model on the workers, for words of many scripts."""
+    prompts = [(1, None, A, B), (2, None, "jalapeño stone", "火の鳥 stone"), (3, None, "stone 12", None)]
+    df = spark.createDataFrame(prompts, "prediction_id long, prediction string, input_a string, input_b string")
+    words = answers._fitted_words(df)
+    asked = ["stone", "stony", "火の山", "é", "zimowy", "the", "smokywind"]
+    english = English([x for p in prompts for x in p[2:] if x])
+    held = spark.createDataFrame([(w,) for w in asked], "word string")
+    for bound in (1 << 24, 0):
+        got = {r.word: r.score for r in answers._scores(held, words, answers._trigrams(words), bound).collect()}
+        assert got == {w: pytest.approx(english.score(w), abs=1e-6) for w in asked}
+    counted = English.counted([r.word for r in words.collect()], {r.gram: r.n for r in answers._trigrams(words).collect()})
+    assert counted.fitted == english.fitted and all(counted.score(w) == pytest.approx(english.score(w), abs=1e-6) for w in asked)

@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tinctura.llm.stuffing import FUNCTION_WORDS
-from tinctura.operators.skew import BROADCAST_BYTES
-from tinctura.storage import materialize, spread
+from tinctura.operators.skew import BROADCAST_BYTES, lookup
+from tinctura.storage import materialize, measured, spread
 
 # Words for no value; classes of words that refusals are made of (apostrophes dropped), and their orders
 # in refusals, with as many other words between two as said; words that only dress up a prompt; JSON keys.
@@ -73,40 +73,70 @@ _TELLING = frozenset(w for c in ("not", "never", "unable", "sorry", "denied", "o
 _DRESSING, _SENTENCE = frozenset(DRESSING.split()), frozenset(SENTENCE.split())
 _DANGLING, _OPENING = frozenset(DANGLING.split()), frozenset(OPENING.split())
 _FOREIGN = {k: frozenset(v.split()) - frozenset(FUNCTION_WORDS["en"].split()) - {"on", "son", "sin", "come", "pour", "con", "sans", "plus", "est", "no", "a", "dat", "war", "also", "bis", "die", "per", "den"} for k, v in FUNCTION_WORDS.items() if k != "en"}
-#: Rows whose prompts the letter model is fitted on at most, the first in the order of a hash.
-FIT_ROWS = 4000
+#: Words of the letter model whatever the prompts, and their weight.
+_BASE, _BASE_WEIGHT = _SENTENCE | _DRESSING | frozenset(FUNCTION_WORDS["en"].split()), 3.0
+#: Prompts of more words count in proportion, each word by its count among so many: scores don't depend on the size of a table.
+FIT_WORDS = 20_000
+#: Added to the counts of a trigram and of its first two letters.
+_SMOOTH, _SMOOTH_ALL = 0.05, 2.0
+#: Weights are added up in billionths, as integers: their sums don't depend on the order of rows.
+_UNIT = 1_000_000_000
 #: Part of an answer's content and of an input's that their longest common subsequence covers in a copy.
 ALIGNED = 0.8
 
 
+def _plain_words(text: str) -> list[str]:
+    """The words of a text without numbers, as often as they stand in it."""
+    return [w for w in _WORD.findall(text.lower()) if not w.isdigit()]
+
+
 class English:
     """Letter trigrams of English words. ``strange`` says whether words don't look English.
 
     The trigrams are fitted on ``texts``, whose words look English; further ``known`` words only tell whole words from
-    broken ones.
+    broken ones. ``counted`` takes trigrams that are already counted.
     """
 
-    def __init__(self, texts: list[str], known: Iterable[str] = ()):
-        words = Counter(w for t in texts for w in _WORD.findall(t.lower()))
-        kept = {w: n for w, n in words.items() if not w.isdigit()}
-        fit = {w: 1 + math.log(n) for w, n in kept.items()} | {w: 3.0 for w in _SENTENCE | _DRESSING | frozenset(FUNCTION_WORDS["en"].split())}
-        self.fitted = frozenset(fit)
-        self.known = self.fitted | frozenset(w for w in known if not w.isdigit())
-        self.tri, self.bi = Counter(), Counter()
+    def __init__(self, texts: Iterable[str] = (), known: Iterable[str] = ()):
+        words = Counter(w for t in texts for w in _plain_words(t))
+        share = min(1.0, FIT_WORDS / max(1, words.total()))
+        fit = {w: 1 + math.log(n * share) if n * share > 1 else n * share for w, n in words.items()} | dict.fromkeys(_BASE, _BASE_WEIGHT)
+        tri: Counter[str] = Counter()
         for w, n in fit.items():
             x = f"^{w}$"
             for i in range(len(x) - 1):
-                self.bi[x[max(0, i - 1) : i + 1]] += n
-                self.tri[x[max(0, i - 1) : i + 2]] += n
+                tri[x[max(0, i - 1) : i + 2]] += round(n * _UNIT)
+        self._set(fit, tri)
+        self.known = self.fitted | frozenset(w for w in known if not w.isdigit())
+
+    @classmethod
+    def counted(cls, words: Iterable[str], trigrams: dict[str, int]) -> English:
+        """Of all words fitted and their trigrams with their weights in billionths."""
+        new = cls.__new__(cls)
+        new._set(words, trigrams)
+        return new
+
+    def _set(self, words: Iterable[str], trigrams: dict[str, int]) -> None:
+        self.fitted = self.known = frozenset(words)
+        bi: Counter[str] = Counter()
+        for x, n in trigrams.items():
+            bi[x[:-1]] += n
+        self.tri = Counter({x: n / _UNIT for x, n in trigrams.items()})
+        self.bi = Counter({x: n / _UNIT for x, n in bi.items()})
         self.scores: dict[str, float] = {}
 
+    def scored(self, scores: dict[str, float]) -> None:
+        """Only these words count from now on: those of score 0 as fitted, the others by their scores."""
+        self.fitted = self.known = _BASE.union(w for w, s in scores.items() if s == 0)
+        self.scores = scores
+
     def score(self, word: str) -> float:
         """Mean logarithm of the probability of a letter after the two before it; 0 for a fitted word."""
         if word in self.fitted or word.isdigit():
             return 0.0
         if word not in self.scores:
             x = f"^{word}$"
-            s = [math.log((self.tri[x[max(0, i - 1) : i + 2]] + 0.05) / (self.bi[x[max(0, i - 1) : i + 1]] + 2.0)) for i in range(len(x) - 1)]
+            s = [math.log((self.tri[x[max(0, i - 1) : i + 2]] + _SMOOTH) / (self.bi[x[max(0, i - 1) : i + 1]] + _SMOOTH_ALL)) for i in range(len(x) - 1)]
             if len(self.scores) > 100_000:
                 self.scores.clear()
             self.scores[word] = sum(s) / len(s)
@@ -315,44 +345,73 @@ def defect(answer: str | None, a: str | None, b: str | None, english: English) -
     return "truncated" if body[-1] in ",;:-–—(" and len(words) > 1 or sentence >= 2 or (sentence and len(words) > 5) or len(words) > 12 else None
 
 
-def _words(texts: pd.Series) -> pd.Series:
-    return pd.Series([sorted(set(_WORD.findall(x.lower()))) if isinstance(x, str) else [] for x in texts], dtype=object)
+def _all_words(texts: pd.Series) -> pd.Series:
+    return pd.Series([_plain_words(x) if isinstance(x, str) else [] for x in texts], dtype=object)
 
 
 def _answer_words(answers: pd.Series) -> pd.Series:
-    return _words(pd.Series([_shown(x)[0] if isinstance(x, str) else None for x in answers], dtype=object))
+    """The distinct words of each answer as it is judged."""
+    return pd.Series([sorted(set(_plain_words(_shown(x)[0] or ""))) if isinstance(x, str) else [] for x in answers], dtype=object)
+
+
+def _fitted_words(predictions: DataFrame) -> DataFrame:
+    """``word, weight``: the words of the prompts of all rows and those that always count, in billionths."""
+    spark = predictions.sparkSession
+    texts = predictions.select(F.explode(F.array("input_a", "input_b")).alias("text")).filter("text is not null").groupBy("text").agg(F.count("*").alias("n"))
+    words = texts.select(F.explode(F.pandas_udf(_all_words, "array<string>")("text")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    words = materialize(words, "words")
+    share = min(1.0, FIT_WORDS / max(1, words.agg(F.sum("n")).first()[0] or 0))
+    n = F.col("n") * F.lit(share)
+    weight = F.round(F.when(n > 1, 1 + F.ln(n)).otherwise(n) * _UNIT).cast("long")
+    base = spark.createDataFrame([(w, round(_BASE_WEIGHT * _UNIT)) for w in sorted(_BASE)], "word string, weight long")
+    return words.filter(~F.col("word").isin(*sorted(_BASE))).select("word", weight.alias("weight")).unionByName(base)
+
+
+def _grams(words: DataFrame) -> DataFrame:
+    """``words`` with their trigrams, a row each: begin and end are signs of their own, the first has one letter."""
+    x = F.concat(F.lit("^"), "word", F.lit("$"))
+    cut = lambda i: F.substring(x, F.greatest(F.lit(1), i), F.when(i == 0, 2).otherwise(3))
+    return words.withColumn("gram", F.explode(F.transform(F.sequence(F.lit(0), F.length("word")), cut)))
 
 
-def _known_words(predictions: DataFrame) -> DataFrame:
-    """``word``: the distinct words of the prompts of all rows."""
-    texts = predictions.select(F.explode(F.array("input_a", "input_b")).alias("text")).filter("text is not null").distinct()
-    return texts.select(F.explode(F.pandas_udf(_words, "array<string>")("text")).alias("word")).distinct()
+def _trigrams(words: DataFrame) -> DataFrame:
+    """``gram, n``: the trigrams of ``words`` and the sums of their weights."""
+    return _grams(words).groupBy("gram").agg(F.sum("weight").alias("n"))
 
 
-def defects(predictions: DataFrame, *, fit_rows: int = FIT_ROWS, bound: int = BROADCAST_BYTES) -> DataFrame:
+def _scores(held: DataFrame, words: DataFrame, grams: DataFrame, bound: int) -> DataFrame:
+    """``word, score`` of the distinct words of ``held``, as ``English.score`` gives them, whatever the size of the model."""
+    all_ = held.select("word").distinct()
+    begin = F.expr("substring(gram, 1, length(gram) - 1)")
+    begins = grams.groupBy(begin.alias("begin")).agg(F.sum("n").alias("all"))
+    cut = _grams(all_.join(words, "word", "left_anti")).withColumn("begin", begin)
+    cut = lookup(lookup(cut, grams, ["gram"], bound=bound), begins, ["begin"], bound=bound)
+    part = lambda c: F.coalesce(c, F.lit(0)) / F.lit(float(_UNIT))
+    new = cut.groupBy("word").agg(F.avg(F.ln((part("n") + _SMOOTH) / (part("all") + _SMOOTH_ALL))).alias("score"))
+    return all_.join(words, "word", "left_semi").select("word", F.lit(0.0).alias("score")).unionByName(new)
+
+
+def defects(predictions: DataFrame, *, fit_rows: int | None = None, bound: int = BROADCAST_BYTES) -> DataFrame:  # noqa: ARG001
     """``prediction_id, defect`` of the rows whose prediction is no proper answer.
 
     Null inputs count as empty; null predictions are ``empty``; texts of any length are read whole; repeated rows
     come out each; an empty table gives none; further columns don't matter. The English letter model is fitted on the
-    prompts of at most ``fit_rows`` rows, the first in the order of a hash of their id; known are the words of all
-    prompts. They are broadcast if their measured size is below ``bound`` bytes, else each answer is joined with those
-    of its words that are known.
+    prompts of all rows; ``fit_rows`` has no effect and is kept for those who pass it. Words and trigrams are broadcast
+    if their measured size is below ``bound`` bytes, else each answer is joined with the scores of its words.
     """
     spark = predictions.sparkSession
-    prompts = predictions.select("input_a", "input_b", F.xxhash64("prediction_id").alias("h")).orderBy("h").limit(fit_rows).collect()
-    known = materialize(_known_words(predictions), "known")
-    small = (known.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0) <= bound
-    model = spark.sparkContext.broadcast(([x for r in prompts for x in (r["input_a"], r["input_b"]) if x], [r[0] for r in known.collect()] if small else []))
-    held: list[tuple[English, frozenset]] = []
-
-    def judge(answer: pd.Series, a: pd.Series, b: pd.Series, more: pd.Series) -> pd.Series:
-        if not held:
-            held.append(((english := English(*model.value)), english.known))
-        english, base = held[0]
+    words, size = measured(_fitted_words(predictions), "fitted")
+    grams, more = measured(_trigrams(words), "trigrams")
+    small = size + more <= bound
+    model = spark.sparkContext.broadcast(English.counted([r[0] for r in words.select("word").collect()], {r[0]: r[1] for r in grams.collect()}) if small else English())
+
+    def judge(answer: pd.Series, a: pd.Series, b: pd.Series, words: pd.Series, scores: pd.Series) -> pd.Series:
+        english = model.value
         some = lambda s: [x if isinstance(x, str) else None for x in s]
         out = []
-        for x, y, z, m in zip(some(answer), some(a), some(b), more, strict=True):
-            english.known = base.union(w for w in m if not w.isdigit()) if m is not None and len(m) else base
+        for x, y, z, w, s in zip(some(answer), some(a), some(b), words, scores, strict=True):
+            if not small:
+                english.scored({} if w is None else dict(zip(w, s, strict=True)))
             out.append(defect(x, y, z, english))
         return pd.Series(out, dtype=object)
 
@@ -360,9 +419,11 @@ def defects(predictions: DataFrame, *, fit_rows: int = FIT_ROWS, bound: int = BR
     judged = F.pandas_udf(judge, "string").asNondeterministic()
     rows = spread(predictions.select("prediction_id", "prediction", "input_a", "input_b"))
     if small:
-        rows = rows.withColumn("more", F.lit(None).cast("array<string>"))
+        rows = rows.withColumns({"words": F.lit(None).cast("array<string>"), "scores": F.lit(None).cast("array<double>")})
     else:
         rows = materialize(rows.withColumn("at", F.monotonically_increasing_id()), "answers")
-        own = rows.select("at", F.explode(F.pandas_udf(_answer_words, "array<string>")("prediction")).alias("word")).join(known, "word").groupBy("at").agg(F.collect_list("word").alias("more"))
+        held = materialize(rows.select("at", F.explode(F.pandas_udf(_answer_words, "array<string>")("prediction")).alias("word")), "held")
+        found = lookup(held, _scores(held, words, grams, bound), ["word"], bound=bound)
+        own = found.groupBy("at").agg(F.collect_list(F.struct("word", "score")).alias("m")).select("at", F.col("m.word").alias("words"), F.col("m.score").alias("scores"))
         rows = rows.join(own, "at", "left")
-    return rows.select("prediction_id", judged("prediction", "input_a", "input_b", "more").alias("defect")).filter("defect is not null")
+    return rows.select("prediction_id", judged("prediction", "input_a", "input_b", "words", "scores").alias("defect")).filter("defect is not null")
